@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from firnline.llm import bpe_codec, exact_index, fingerprints, mixing, token_counts
+from firnline.llm import bpe_codec, exact_index, fingerprints, html_extract, mixing, token_counts
 from firnline.llm.common import documents
 
 
@@ -31,12 +31,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_codec": op2_bpe_codec,
     "op4_fingerprints": op4_fingerprints,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_mixing": op8_mixing,
+    "op9_html_extract": op9_html_extract,
 }
 
 ORACLES: dict[str, str] = {
