@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from firnline.llm import bpe_codec, exact_index, fingerprints, html_extract, mixing, token_counts
+from firnline.llm import bpe_codec, exact_index, fingerprints, html_extract, mixing, quality_gam, token_counts
 from firnline.llm.common import documents
 
 
@@ -35,6 +35,10 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_codec": op2_bpe_codec,
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op8_mixing": op8_mixing,
     "op9_html_extract": op9_html_extract,
+    "op10_quality_gam": op10_quality_gam,
 }
 
 ORACLES: dict[str, str] = {
