@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from firnline.llm import bpe_codec, exact_index, fingerprints, html_extract, minhash, mixing, quality_gam, suffix_dedup, token_counts
+from firnline.llm import bpe_codec, exact_index, fingerprints, html_extract, line_dedup, minhash, mixing, quality_gam, suffix_dedup, token_counts
 from firnline.llm.common import documents
 
 
@@ -35,6 +35,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_index.exact_duplicates(documents(spark, sf_dir))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_minhash": op5_minhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
     "op9_html_extract": op9_html_extract,
     "op10_quality_gam": op10_quality_gam,
