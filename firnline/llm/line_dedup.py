@@ -292,6 +292,16 @@ def line_report(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHARS)
 def without_repeated_lines(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHARS) -> DataFrame:
     """The rows of docs, with their columns, whose texts have lost their repeated lines. No row goes, null texts stay null."""
     found = repeated_lines(docs, tau, least_chars).select(F.col("doc_id").alias("_id"), F.concat("exact", "near").alias("_removed"))
-    kept = F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda _, i: ~F.array_contains("_removed", i.cast("long"))), "\n")
-    rows = docs.join(found, F.col("doc_id") == F.col("_id"), "left")
-    return rows.select(*[F.when(F.col("_removed").isNull(), F.col(c)).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i, removed in enumerate(batch.column("_removed")):
+                if removed.is_valid and texts[i] is not None:
+                    gone = set(removed.as_py())
+                    texts[i] = "\n".join(line for k, line in enumerate(texts[i].split("\n")) if k not in gone)
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.join(found, F.col("doc_id") == F.col("_id"), "left").select(*names, "_removed").mapInArrow(run, docs.schema)
