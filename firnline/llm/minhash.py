@@ -2,9 +2,9 @@
 
 A document's set holds its distinct shingles of five words. Documents with equal sets are one class, told by its
 smallest doc_id. Classes that share a band of their minima are candidates. Each bucket first links its members to its
-smallest one; where that leaves several components in a bucket, members of different components are compared by
-signature in blocks of bounded size, and first each one's best partner, then all promising pairs are confirmed. So
-groups of thousands of near copies give a few links a document, and no pair of classes in a bucket goes unjudged.
+smallest one. Where that leaves several components in a bucket, they are of one family, and all members of a family
+are compared by their full sets, in blocks of bounded size. So groups of thousands of near copies give a few links a
+document, and no pair of classes in a bucket goes unjudged.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ LIKE, OF = 75, 100
 BANDS, ROWS = 32, 4
 #: Pairs whose signatures agree in less than this share are not confirmed: four standard deviations below 0.75.
 LEAST_AGREEMENT = 0.60
-#: Members of a bucket that are compared with each other at once.
+#: Members of a family that are compared with each other at once.
 BLOCK = 512
 #: Bytes of text worked on at once.
 SLICE_BYTES = 1 << 22
@@ -182,38 +182,52 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.concat_tables(held)
 
 
-def cross_component_pairs(members: DataFrame, best_only: bool, least: float = LEAST_AGREEMENT, block: int = BLOCK) -> DataFrame:
-    """Pairs a < b from bucket, node, component, signature: of different components, one bucket, and signatures that agree.
+def common_counts(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set in turn, how many elements it shares with each of the sets."""
+    lengths = np.array([len(x) for x in sets])
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(lengths) - lengths
+    marked = np.zeros(int(number.max()) + 1, np.int32)
+    for start, length in zip(starts.tolist(), lengths.tolist(), strict=True):
+        own = number[start : start + length]
+        marked[own] = 1
+        yield np.add.reduceat(marked[number], starts)
+        marked[own] = 0
 
-    A bucket of many members is cut into blocks, and each two blocks meet in a task of their own, so that no task
-    holds more than two blocks of one bucket. best_only: each member's best partner in a block only.
+
+def family_links(members: DataFrame, sets: DataFrame, like: int = LIKE, of: int = OF, block: int = BLOCK) -> DataFrame:
+    """Links a, b between different components of one family, for members of family, node, component.
+
+    Every two members of a family are compared by their full sets. A family is cut into blocks of about `block`
+    members, and each two blocks meet in a task of their own, which holds these members only and gives no more links
+    than it takes to join what is linked: fewer than it has members.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    dealt = members.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "signature")
+    dealt = members.join(sizes, "family").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
+    dealt = dealt.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["bucket", "i", "j"]):
-            group = group.combine_chunks()
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            side = group.column("own").to_numpy()
-            node, component = group.column("node").to_numpy(), group.column("component").to_numpy()
-            signature = np.vstack([_matrix(c) for c in group.column("signature").chunks])
-            lefts, rights = (np.flatnonzero(side == i), np.flatnonzero(side == j)) if i != j else (np.arange(len(node)),) * 2
-            for x in lefts:
-                share = (signature[rights] == signature[x]).mean(1)
-                share[component[rights] == component[x]] = 0
-                hits = np.flatnonzero(share >= least)
-                if best_only and len(hits):
-                    hits = hits[np.argmax(share[hits])][None]
-                if len(hits):
-                    y = node[rights[hits]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(y, node[x])), pa.array(np.maximum(y, node[x]))], ["a", "b"])
-
-    dealt = dealt.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        for group in groups(batches, ["family", "i", "j"]):
+            node, root = group.column("node").to_numpy(), group.column("component").to_numpy().copy()
+            side, j = group.column("own").to_numpy(), group.column("j")[0].as_py()
+            shingles = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in group.column("shingles").chunks for x in chunk]
+            size = np.array([len(x) for x in shingles])
+            a, b = [], []
+            for x, common in enumerate(common_counts(shingles)):
+                linked = of * common >= like * (size + size[x] - common)
+                for y in np.flatnonzero(linked & (root != root[x]) & ((side == j) | (side[x] == j))):
+                    if root[y] != root[x]:
+                        a.append(node[x])
+                        b.append(node[y])
+                        root[root == root[y]] = root[x]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    dealt = dealt.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -241,18 +255,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = materialise(agreement_filter(stars), "minhash-tried")
     links = materialise(confirmed(tried, sets), "minhash-links")
     components = materialise(connected_components(links), "minhash-components")
-    for best_only in (True, False):
-        placed = buckets.join(components, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        mixed_buckets = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        open_members = materialise(placed.join(mixed_buckets, "bucket", "left_semi").join(signed, "node"), "minhash-open")
-        more = materialise(cross_component_pairs(open_members, best_only).join(tried, ["a", "b"], "left_anti"), "minhash-more")
-        if more.isEmpty():
-            break
-        found = materialise(confirmed(more, sets), "minhash-links")
-        tried = tried.unionByName(more)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            components = materialise(connected_components(links), "minhash-components")
+    placed = buckets.join(components, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    lowest = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", "low")
+    families = connected_components(placed.join(lowest, "bucket").select(F.col("component").alias("a"), F.col("low").alias("b")).distinct())
+    family = placed.select("node", "component").distinct().join(families.select(F.col("node").alias("component"), F.col("component").alias("family")), "component")
+    more = materialise(family_links(materialise(family, "minhash-families"), sets), "minhash-links")
+    if not more.isEmpty():
+        components = materialise(connected_components(links.unionByName(more)), "minhash-components")
     component = F.coalesce("component", "rep", "doc_id")
     return members.select("doc_id", "n", "rep").join(components, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
