@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +42,23 @@ def text_of(column: str = "text") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Bits of the tables by which rows that can't be wanted are passed over before they are moved.
+FILTER_BITS = 1 << 24
+
+
+def bit_table(wanted: DataFrame, column: str) -> np.ndarray:
+    """A table of FILTER_BITS bits, of this size at any scale, in which the low bits of each wanted number are set."""
+    place = F.col(column).bitwiseAND(FILTER_BITS - 1) + 1  # bitmaps count from 1
+    rows = wanted.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in rows:  # at most FILTER_BITS / 32768, of 4 KB each
+        table[(row["at"] - 1) * 4096 : row["at"] * 4096] |= np.frombuffer(row["bits"], np.uint8)
+    return table
+
+
+def may_be_wanted(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which of the numbers have their bit set: all wanted ones, and few others while the table is mostly empty."""
+    place = numbers.astype(np.int64) & (FILTER_BITS - 1)
+    return (table[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import materialise, small_batches, text_of
+from firnline.llm.common import bit_table, materialise, may_be_wanted, small_batches, text_of
 from firnline.llm.components import connected_components
 from firnline.llm.text_features import string_bytes, word_hashes, words
 
@@ -130,18 +130,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, shingles (their hashes, ascending, 8 bytes each) of the documents whose doc_id is in ids.id."""
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+    """doc_id, shingles (their hashes, ascending, 8 bytes each) of the documents whose doc_id is in ids.id.
+
+    A table of bits lets most other documents be passed over where they are read, so that only wanted sets are moved.
+    """
+    maybe = bit_table(ids, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(may_be_wanted(maybe, batch.column("doc_id").to_numpy())))
             out = []
             for piece in slices(batch.column("text")):
                 total, places = shingle_sets(piece)
                 out += [total[a:b].tobytes() for a, b in zip(places[:-1], places[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "shingles"])
 
-    return wanted.mapInArrow(run, "doc_id long, shingles binary")
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return texts.mapInArrow(run, "doc_id long, shingles binary").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, like: int = LIKE, of: int = OF) -> DataFrame:
