@@ -5,8 +5,10 @@ from __future__ import annotations
 import struct
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from firnline.errors import CoverageError, UnknownBasin
 from firnline.functions.grid import Grid, ellipsoid_strip
@@ -153,9 +155,11 @@ def wkb_hash(rings: Column) -> Column:
     return F.sha2(_wkb(rings), 256)
 
 
-@F.pandas_udf("binary")
-def _wkb(rings):  # noqa: ANN001, ANN202  one array per basin record, not per pixel
-    def encoded(polygon) -> bytes | None:  # noqa: ANN001
+@F.pandas_udf(BinaryType())
+def _wkb(rings: pd.Series) -> pd.Series:
+    """One call for a batch of basin records; pixels never pass here."""
+
+    def encoded(polygon: list | None) -> bytes | None:
         if polygon is None:
             return None
         out = struct.pack("<BII", 1, 3, len(polygon))
