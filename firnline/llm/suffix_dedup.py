@@ -5,9 +5,10 @@ with one member is not looked at again. So that not every byte's suffix has to b
 passes together: the first digit of a window of `depth` bytes is its anchor, the gram of GRAM bytes in it with the
 least hash (the leftmost of these), which the window's own bytes decide. Neighbouring windows with one anchor are a
 run. Pass 1 orders runs by the anchor's gram; pass 2 by all bytes that the run's windows span. Runs alone with their
-gram are unique, equal runs are equal window by window. Only runs that share a gram but not all bytes go to pass 3,
-which orders their single windows by all `depth` bytes. Equal groups are exactly the repeated windows; all but the
-first by (doc_id, start) are removed.
+gram are unique, equal runs are equal window by window. Only runs that share a gram but not all bytes go on: pass 3
+orders them by the bytes that STEP neighbouring windows have in common, and pass 4 orders the single windows of what
+is then not alone by all `depth` bytes. Equal groups are exactly the repeated windows; all but the first by
+(doc_id, start) are removed.
 
 Digits are compared as 64-bit polynomial hashes, two of them together at the depth that decides.
 """
@@ -35,8 +36,10 @@ _RANDOM = np.random.default_rng(11)
 _BYTES = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_RANDOM.integers(1 << 40, 1 << 62)) * 2 + 1
 _GROUPED = "h long, c long, doc_id long, packed long"
-#: packed: first window << 9 | (windows - 1) << 1 | whether it is known to be repeated.
-_COUNT_BITS, _FLAG_BITS = 9, 1
+#: packed: first window << 17 | offset of the anchor in it << 9 | (windows - 1) << 1 | whether it is known to be repeated.
+FIRST_BITS, _OFFSET_BITS, _FLAG_BITS = 17, 9, 1
+#: Windows that pass 3 orders together.
+STEP = 16
 
 
 @lru_cache(maxsize=8)
@@ -75,10 +78,10 @@ def least_positions(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(column: pa.Array, depth: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of each run in the texts: text number, first window, windows, hash of the anchor's gram, hash of all its bytes."""
+    """Of each run in the texts: text number, first window, anchor's offset in it, windows, hash of the gram, hash of all bytes."""
     data, offsets = string_bytes(column)
     if len(data) < depth:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     spans = SpanHashes(data)
     grams = spans(np.arange(len(data) - gram + 1), np.arange(gram, len(data) + 1))
     anchors = least_positions(grams, depth - gram + 1)  # of the windows that begin at 0, 1, ...
@@ -92,20 +95,20 @@ def runs(column: pa.Array, depth: int, gram: int) -> tuple[np.ndarray, ...]:
     start, anchor = window[first], anchor[first]
     text = np.searchsorted(offsets, start, "right") - 1
     content = spans(start, start + count - 1 + depth) + mixed(((anchor - start) * 1024 + count).astype(np.uint64))
-    return text, start - offsets[text], count, grams[anchor], content
+    return text, start - offsets[text], anchor - start, count, grams[anchor], content
 
 
-def combined(h: np.ndarray, c: np.ndarray, doc: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+def combined(h: np.ndarray, c: np.ndarray, doc: np.ndarray, first: np.ndarray, offset: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
     """Rows for the sort by (h, c). Of those equal in both, all but the first are known to be repeated at once.
 
     Those are marked and dealt by their own place, not by h, so that a string that very many documents share gives
     one row a batch to the task of its key.
     """
     order = np.lexsort((first, doc, c, h))
-    h, c, doc, first, count = (x[order] for x in (h, c, doc, first, count))
+    h, c, doc, first, offset, count = (x[order] for x in (h, c, doc, first, offset, count))
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-    packed = first << _COUNT_BITS | (count - 1) << _FLAG_BITS | again
+    packed = first << FIRST_BITS | offset << _OFFSET_BITS | (count - 1) << _FLAG_BITS | again
     h = np.where(again, mixed(doc.astype(np.uint64) * np.uint64(31) + first.astype(np.uint64)), h)
     return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(packed)], ["h", "c", "doc_id", "packed"])
 
@@ -115,8 +118,8 @@ def _run_rows(depth: int, gram: int):
         for batch in batches:
             doc, done, parts = batch.column("doc_id").to_numpy(), 0, []
             for piece in slices(batch.column("text")):
-                text, first, count, h, c = runs(piece, depth, gram)
-                parts.append((h, c, doc[done + text], first, count))
+                text, first, offset, count, h, c = runs(piece, depth, gram)
+                parts.append((h, c, doc[done + text], first, offset, count))
                 done += len(piece)
             if parts:
                 yield combined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -162,38 +165,95 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "repeated boolean, h long, doc_id long, packed long")
 
 
-def _window_rows(depth: int):
-    """Single windows of the runs in `pending`, keyed by the hash of all their bytes and that of their gram."""
+def unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, anchor's offset in it, windows."""
+    return packed >> FIRST_BITS, packed >> _OFFSET_BITS & 255, (packed >> _FLAG_BITS & 255) + 1
+
+
+def _core_rows(depth: int, gram: int):
+    """Rows of `pending` runs for pass 3: for each STEP offsets of the anchor, the bytes that windows with these share.
+
+    around has STEP - 1 bytes on either side of them, in which the windows differ.
+    """
+    free = depth - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-                spans = SpanHashes(string_bytes(batch.column("text").slice(i, 1))[0])
-                h, packed = (np.array(x.as_py(), np.int64) for x in (batch.column("grams")[i], batch.column("pending")[i]))
-                count = (packed >> _FLAG_BITS & (1 << _COUNT_BITS - _FLAG_BITS) - 1) + 1
-                start = np.repeat(packed >> _COUNT_BITS, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                parts.append((spans(start, start + depth), np.repeat(h.view(np.uint64), count), np.full(len(start), doc), start, np.ones(len(start), np.int64)))
+                data = string_bytes(batch.column("text").slice(i, 1))[0]
+                spans = SpanHashes(data)
+                padded = np.concatenate([np.zeros(STEP - 1, np.uint8), data, np.zeros(STEP - 1, np.uint8)])
+                h, packed = (x.values.to_numpy() for x in (batch.column("grams")[i], batch.column("pending")[i]))
+                first, high, count = unpacked(packed)
+                anchor, low = first + high, high - count + 1
+                for base in range(0, free + 1, STEP):
+                    has = np.flatnonzero((low < base + STEP) & (high >= base))
+                    most, least = np.minimum(high[has], base + STEP - 1), np.maximum(low[has], base)
+                    begin, end = anchor[has] - base, anchor[has] + gram + free - base - STEP + 1
+                    around = padded[np.concatenate([begin[:, None] + np.arange(STEP - 1), end[:, None] + np.arange(STEP - 1) + STEP - 1], 1)]
+                    grams = h[has].view(np.uint64)
+                    parts.append((mixed(spans(begin, end) ^ mixed(grams + np.uint64(base))), grams, np.full(len(has), doc), (anchor[has] - most) << FIRST_BITS | (most - base) << _OFFSET_BITS | (most - least) << _FLAG_BITS, around))
             if parts:
-                yield combined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                h, c, doc, packed, around = (np.concatenate(x) for x in zip(*parts, strict=True))
+                binary = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(np.arange(0, around.size + 1, 2 * STEP - 2, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(around))])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(packed), binary], ["h", "c", "doc_id", "packed", "around"])
 
     return run
 
 
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of single windows for pass 4, of those rows sorted by h and c that have an equal neighbour in both."""
+    held = None  # the last row of the batch before, and whether it has gone out
+    for batch in batches:
+        if not len(batch):
+            continue
+        h, c, doc, packed = (batch.column(k).to_numpy() for k in ("h", "c", "doc_id", "packed"))
+        around = string_bytes(batch.column("around"))[0].reshape(len(h), -1)
+        same = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+        alive = np.zeros(len(h), bool)
+        alive[1:] |= same
+        alive[:-1] |= same
+        if held is not None and (held[0][0], held[1][0]) == (h[0], c[0]):
+            alive[0] = True
+            if not held[5]:
+                h, c, doc, packed, around = (np.concatenate(x) for x in zip(held[:5], (h, c, doc, packed, around), strict=True))
+                alive = np.append(True, alive)
+        held = (h[-1:], c[-1:], doc[-1:], packed[-1:], around[-1:], bool(alive[-1]))
+        h, c, doc, packed, around = (x[alive] for x in (h, c, doc, packed, around))
+        first, offset, count = unpacked(packed)
+        row = np.repeat(np.arange(len(h)), count)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        place = STEP - 1 - (offset[row] - step)  # where the window's own bytes begin in around
+        sums = np.zeros((len(h), 2 * STEP - 1), np.uint64)
+        powers = _powers(_BASE, 1 << 16)
+        np.cumsum(_BYTES[around] * _powers(pow(_BASE, -1, 1 << 64), 1 << 16)[: 2 * STEP - 2], axis=1, out=sums[:, 1:])
+        own = mixed((sums[row, place + STEP - 1] - sums[row, place]) * powers[place])
+        key = mixed(own ^ mixed(h[row].view(np.uint64) + place.astype(np.uint64)))
+        yield combined(key, h[row].view(np.uint64), doc[row], first[row] + step, np.zeros(len(row), np.int64), np.ones(len(row), np.int64))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text_of().alias("text"))
+
+
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """doc_id, packed: the runs of repeated windows; windows first .. first + count - 1 begin strings seen before."""
+    if not 0 < gram <= depth <= 255 or (depth - gram + 1) % STEP:
+        raise ValueError(f"depth - gram + 1 must be a multiple of {STEP}, and depth at most 255")
     small_batches(docs.sparkSession, 512)
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text_of().alias("text"))
+    texts = _texts(docs)
     settled = materialise(_sorted_groups(texts.mapInArrow(_run_rows(depth, gram), _GROUPED)), "suffix-groups")
     pending = settled.where("not repeated").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("h").alias("grams"), F.collect_list("packed").alias("pending"))
-    windows = texts.join(pending, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "grams", "pending").mapInArrow(_window_rows(depth), _GROUPED)
+    cores = texts.join(pending, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "grams", "pending").mapInArrow(_core_rows(depth, gram), _GROUPED + ", around binary")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = cores.repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(_window_rows, _GROUPED)
     return settled.where("repeated").select("doc_id", "packed").unionByName(_sorted_groups(windows).where("repeated").select("doc_id", "packed"))
 
 
 def _kept_parts(text: bytes, packed: np.ndarray, depth: int) -> tuple[list[tuple[int, int]], int]:
     """The spans of text that stay, and the number of maximal removed spans."""
-    count = (packed >> _FLAG_BITS & (1 << _COUNT_BITS - _FLAG_BITS) - 1) + 1
-    start = packed >> _COUNT_BITS
+    start, _, count = unpacked(packed)
     order = np.argsort(start, kind="stable")
     start, end = start[order], np.maximum.accumulate((start + count - 1 + depth)[order])
     new = np.ones(len(start), bool)
@@ -211,7 +271,6 @@ def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, with_tex
     """
     small_batches(docs.sparkSession, 512)
     spans = repeated_spans(docs, depth, gram).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("packed").alias("packed"))
-    texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,4 +291,6 @@ def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, with_tex
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             yield pa.RecordBatch.from_arrays(arrays if with_text else arrays[:5], names if with_text else names[:5])
 
-    return texts.join(spans, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "packed").mapInArrow(run, SCHEMA + (", kept binary" if with_text else ""))
+    rows = _texts(docs).join(spans, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "packed")
+    without_id = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long"), text_of().alias("text"), F.lit(None).cast("array<bigint>").alias("packed"))
+    return rows.unionByName(without_id).mapInArrow(run, SCHEMA + (", kept binary" if with_text else ""))
