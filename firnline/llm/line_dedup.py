@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 
 from firnline.llm.common import materialise, small_batches, text_of
 from firnline.llm.minhash import groups, mixed, slices
-from firnline.llm.suffix_dedup import _BASE, _powers, _sorted_groups, combined
+from firnline.llm.suffix_dedup import FIRST_BITS, _BASE, _powers, _sorted_groups, combined
 
 TAU = 2
 #: Shorter lines are only compared for equality: within two edits they may say quite different things.
 LEAST_CHARS = 24
 BLOCK = 512
+#: Bits of the table by which most lines that share no key are passed over before their texts are moved.
+FILTER_BITS = 1 << 24
 _HISTOGRAM = 64
 _ROWS = "h long, c long, doc_id long, packed long"
 
@@ -72,6 +74,19 @@ def edit_distance_within(a: str, b: str, most: int) -> int:
     return min(distance, most + 1)
 
 
+#: Values of the code points that most texts are made of.
+_VALUES = [mixed(np.arange(0x3000, dtype=np.uint64) + np.uint64(salt)) for salt in (1, 0x9E3779B97F4A7C15)]
+
+
+def _prefix_sums(points: np.ndarray, base: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of code points' values times powers of 1 / base modulo 2^64, and powers of base."""
+    size = 1 << max(16, len(points).bit_length())
+    terms = values[points] if not len(points) or points.max() < len(values) else np.where(points < len(values), values[np.minimum(points, len(values) - 1)], mixed(points.astype(np.uint64) ^ values[0]))
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(terms * _powers(pow(base, -1, 1 << 64), size)[: len(points)], out=sums[1:])
+    return sums, _powers(base, size)
+
+
 class Lines:
     """The lines of some texts as one array of code points, with hashes of any of their spans."""
 
@@ -86,20 +101,19 @@ class Lines:
         self.number = np.arange(len(self.start)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
         solid = np.append(0, np.cumsum(~((points == 32) | (points >= 9) & (points <= 13))))
         self.filled = solid[self.end] > solid[self.start]
-        size = 1 << max(16, len(points).bit_length())
-        self._up = _powers(_BASE, size)
-        self._sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(mixed(points.astype(np.uint64) + np.uint64(1)) * _powers(pow(_BASE, -1, 1 << 64), size)[: len(points)], out=self._sums[1:])
-        self._second = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(mixed(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * _powers(pow(_BASE + 2, -1, 1 << 64), size)[: len(points)], out=self._second[1:])
-        self._up_second = _powers(_BASE + 2, size)
+        self._points = points
+        self._sums, self._up = _prefix_sums(points, _BASE, _VALUES[0])
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self._sums[end] - self._sums[start]) * self._up[start])
 
     def whole(self) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of each line."""
-        return self.span(self.start, self.end), mixed((self._second[self.end] - self._second[self.start]) * self._up_second[self.start])
+        sums, up = _prefix_sums(self._points, _BASE + 2, _VALUES[1])
+        return self.hashes(), mixed((sums[self.end] - sums[self.start]) * up[self.start])
+
+    def hashes(self) -> np.ndarray:
+        return self.span(self.start, self.end)
 
 
 def _keyed(lines: Lines, chosen: np.ndarray, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -124,7 +138,7 @@ def _occurrences():
                 lines = Lines(piece.to_pylist())
                 own = np.flatnonzero(lines.filled)
                 h, c = lines.whole()
-                parts.append((h[own], c[own], doc[done + lines.text[own]], lines.number[own], np.ones(len(own), np.int64)))
+                parts.append((h[own], c[own], doc[done + lines.text[own]], lines.number[own], np.zeros(len(own), np.int64), np.ones(len(own), np.int64)))
                 done += len(piece)
             if parts:
                 yield combined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -137,7 +151,7 @@ def _segment_keys(tau: int, least_chars: int):
         for batch in batches:
             for piece in slices(batch.column("text")):
                 lines = Lines(piece.to_pylist())
-                h, _ = lines.whole()
+                h = lines.hashes()
                 chosen = np.flatnonzero(lines.filled & (lines.end - lines.start >= least_chars))
                 chosen = chosen[np.unique(h[chosen], return_index=True)[1]]  # each line once
                 for key, which, probe in _keyed(lines, chosen, tau):
@@ -192,16 +206,28 @@ def _live_keys(rows: DataFrame) -> DataFrame:
     return rows.repartition(parts, "key").sortWithinPartitions("key", "probe", "ref").mapInArrow(run, "key long, probe boolean, ref long")
 
 
-def _line_texts(least_chars: int):
-    """ref, doc_id, number, line: the first of each line in a batch."""
+def _maybe(wanted: DataFrame) -> np.ndarray:
+    """A table of FILTER_BITS bits, of fixed size at any scale, in which the low bits of each wanted ref are set."""
+    place = F.col("ref").bitwiseAND(FILTER_BITS - 1) + 1  # bitmaps count from 1
+    rows = wanted.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in rows:  # at most FILTER_BITS / 32768, of 4 KB each
+        table[(row["at"] - 1) * 4096 : row["at"] * 4096] |= np.frombuffer(row["bits"], np.uint8)
+    return table
+
+
+def _line_texts(least_chars: int, maybe: np.ndarray):
+    """ref, doc_id, number, line: the first in a batch of each line whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, done = batch.column("doc_id").to_numpy(), 0
             for piece in slices(batch.column("text")):
                 lines = Lines(piece.to_pylist())
-                h, _ = lines.whole()
+                h = lines.hashes()
                 chosen = np.flatnonzero(lines.filled & (lines.end - lines.start >= least_chars))
+                place = (h[chosen] & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                chosen = chosen[maybe[place >> 3] >> (place & 7) & 1 == 1]
                 owner = doc[done + lines.text]
                 chosen = chosen[np.lexsort((lines.number[chosen], owner[chosen]))]
                 chosen = chosen[np.unique(h[chosen], return_index=True)[1]]
@@ -262,15 +288,15 @@ def repeated_lines(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHA
     small_batches(docs.sparkSession, 512)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text_of().alias("text"))
     occurrences = materialise(texts.mapInArrow(_occurrences(), _ROWS), "lines")
-    exact = _sorted_groups(occurrences).where("repeated").select("doc_id", F.shiftright("packed", 9).alias("number"), F.lit(False).alias("near"))
+    exact = _sorted_groups(occurrences).where("repeated").select("doc_id", F.shiftright("packed", FIRST_BITS).alias("number"), F.lit(False).alias("near"))
 
     live = materialise(_live_keys(texts.mapInArrow(_segment_keys(tau, least_chars), "key long, probe boolean, ref long")), "line-keys")
     wanted = live.select("ref").distinct()
-    found = texts.mapInArrow(_line_texts(least_chars), "ref long, doc_id long, number long, line string").join(wanted, "ref", "left_semi")
+    found = texts.mapInArrow(_line_texts(least_chars, _maybe(wanted)), "ref long, doc_id long, number long, line string").join(wanted, "ref", "left_semi")
     firsts = materialise(found.groupBy("ref").agg(F.min(F.struct("doc_id", "number")).alias("at"), F.first("line").alias("line")), "line-texts")
     members = live.join(firsts, "ref").select("key", "probe", "ref", "at.doc_id", "at.number", "line")
     later = materialise(_later_lines(members, tau), "line-near")
-    near = occurrences.where("packed % 2 = 0").join(later, F.col("h") == F.col("ref")).select("doc_id", F.shiftright("packed", 9).alias("number"), F.lit(True).alias("near"))
+    near = occurrences.where("packed % 2 = 0").join(later, F.col("h") == F.col("ref")).select("doc_id", F.shiftright("packed", FIRST_BITS).alias("number"), F.lit(True).alias("near"))
     removed = exact.unionByName(near).groupBy("doc_id", "number").agg(F.min("near").alias("near"))
     pick = lambda flag: F.array_sort(F.collect_list(F.when(F.col("near") == flag, F.col("number"))))
     return removed.groupBy("doc_id").agg(pick(False).alias("exact"), pick(True).alias("near"))
