@@ -230,11 +230,32 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.cumsum(_BYTES[around] * _powers(pow(_BASE, -1, 1 << 64), 1 << 16)[: 2 * STEP - 2], axis=1, out=sums[:, 1:])
         own = mixed((sums[row, place + STEP - 1] - sums[row, place]) * powers[place])
         key = mixed(own ^ mixed(h[row].view(np.uint64) + place.astype(np.uint64)))
-        yield combined(key, h[row].view(np.uint64), doc[row], first[row] + step, np.zeros(len(row), np.int64), np.ones(len(row), np.int64))
+        yield _windows_or_runs(key, h, doc, first, row, step)
+
+
+def _windows_or_runs(key: np.ndarray, h: np.ndarray, doc: np.ndarray, first: np.ndarray, row: np.ndarray, step: np.ndarray) -> pa.RecordBatch:
+    """Windows `step` of rows as rows for the sort by key: the first of equal ones alone, the others, known to be repeated, as runs."""
+    order = np.lexsort((first[row] + step, doc[row], key, h[row]))
+    again = np.zeros(len(row), bool)
+    again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (h[row[order[1:]]] == h[row[order[:-1]]])
+    begins = again.copy()
+    begins[1:] &= ~again[:-1] | (row[1:] != row[:-1])
+    at, alone = np.flatnonzero(begins), np.flatnonzero(~again)
+    ends = again.copy()
+    ends[:-1] &= ~again[1:] | (row[1:] != row[:-1])
+    count = np.flatnonzero(ends) - at + 1
+    start = first[row] + step
+    own = mixed(doc[row[at]].astype(np.uint64) * np.uint64(31) + start[at].astype(np.uint64)).view(np.int64)
+    columns = (
+        np.concatenate([key[alone].view(np.int64), own]), np.concatenate([h[row[alone]], own]), np.concatenate([doc[row[alone]], doc[row[at]]]),
+        np.concatenate([start[alone] << FIRST_BITS, start[at] << FIRST_BITS | (count - 1) << _FLAG_BITS | 1]),
+    )
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "c", "doc_id", "packed"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text_of().alias("text"))
+    """own_id, text: under new names, so that Spark sees that both joins below deal the same rows out and does it once."""
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("own_id"), text_of().alias("own_text"))
 
 
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
@@ -243,9 +264,9 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
         raise ValueError(f"depth - gram + 1 must be a multiple of {STEP}, and depth at most 255")
     small_batches(docs.sparkSession, 512)
     texts = _texts(docs)
-    settled = materialise(_sorted_groups(texts.mapInArrow(_run_rows(depth, gram), _GROUPED)), "suffix-groups")
+    settled = materialise(_sorted_groups(texts.toDF("doc_id", "text").mapInArrow(_run_rows(depth, gram), _GROUPED)), "suffix-groups")
     pending = settled.where("not repeated").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("h").alias("grams"), F.collect_list("packed").alias("pending"))
-    cores = texts.join(pending, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "grams", "pending").mapInArrow(_core_rows(depth, gram), _GROUPED + ", around binary")
+    cores = texts.join(pending, F.col("own_id") == F.col("_id")).select(F.col("own_id").alias("doc_id"), F.col("own_text").alias("text"), "grams", "pending").mapInArrow(_core_rows(depth, gram), _GROUPED + ", around binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     windows = cores.repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(_window_rows, _GROUPED)
     return settled.where("repeated").select("doc_id", "packed").unionByName(_sorted_groups(windows).where("repeated").select("doc_id", "packed"))
@@ -291,6 +312,6 @@ def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, with_tex
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             yield pa.RecordBatch.from_arrays(arrays if with_text else arrays[:5], names if with_text else names[:5])
 
-    rows = _texts(docs).join(spans, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "packed")
+    rows = _texts(docs).join(spans, F.col("own_id") == F.col("_id"), "left").select(F.col("own_id").alias("doc_id"), F.col("own_text").alias("text"), "packed")
     without_id = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long"), text_of().alias("text"), F.lit(None).cast("array<bigint>").alias("packed"))
     return rows.unionByName(without_id).mapInArrow(run, SCHEMA + (", kept binary" if with_text else ""))
