@@ -84,8 +84,6 @@ class Codec:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, pre_tokens: list[str]) -> None:
-        if len(self.known) + len(pre_tokens) > REMEMBERED:
-            self.known.clear()
         encoded = self.model.encode([self._show(t) for t in pre_tokens], num_threads=1)
         self.known.update(zip(pre_tokens, [array("I", ids).tobytes() for ids in encoded], strict=True))
 
@@ -99,10 +97,11 @@ class Codec:
         pre_tokens = self.split(text)
         known = self.known
         if new := {t for t in pre_tokens if t not in known}:
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = {*pre_tokens}
             self._learn([*new])
-            if len(self.known) < len(new) or any(t not in self.known for t in pre_tokens):
-                self._learn([t for t in {*pre_tokens} if t not in self.known])
-        return b"".join(map(self.known.__getitem__, pre_tokens))
+        return b"".join(map(known.__getitem__, pre_tokens))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
