@@ -1,6 +1,9 @@
 """Every query with SQL gives the rows that DuckDB gives."""
 
+import numbers
+
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -22,7 +25,7 @@ def plain(frame: pd.DataFrame) -> list[tuple]:
     for c in frame.columns:
         if "date" in c or "datetime" in str(frame[c].dtype):
             frame = frame.assign(**{c: pd.to_datetime(frame[c]).astype(str)})
-    shown = lambda x: "" if x is None or x != x else f"{float(x):.6f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    shown = lambda x: "" if x is None or x is pd.NA or x is pd.NaT or x != x else f"{float(x):.6f}" if isinstance(x, numbers.Number) and not isinstance(x, (bool, np.bool_)) else str(x)
     return sorted(tuple(shown(x) for x in row) for row in frame.astype(object).itertuples(index=False))
 
 
