@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import materialise, small_batches, text_of
+from firnline.llm.common import bit_table, materialise, may_be_wanted, small_batches, text_of
 from firnline.llm.minhash import groups, mixed, slices
 from firnline.llm.suffix_dedup import FIRST_BITS, _BASE, _powers, _sorted_groups, combined
 
@@ -24,8 +24,6 @@ TAU = 2
 #: Shorter lines are only compared for equality: within two edits they may say quite different things.
 LEAST_CHARS = 24
 BLOCK = 512
-#: Bits of the table by which most lines that share no key are passed over before their texts are moved.
-FILTER_BITS = 1 << 24
 _HISTOGRAM = 64
 _ROWS = "h long, c long, doc_id long, packed long"
 
@@ -116,6 +114,15 @@ class Lines:
         return self.span(self.start, self.end)
 
 
+#: The sign of `line` in a key's rows: indexed lines come before probes when sorted.
+_INDEXED = -(1 << 63)
+
+
+def reference(h: np.ndarray) -> np.ndarray:
+    """A line's hash without its sign."""
+    return (h & np.uint64((1 << 63) - 1)).view(np.int64)
+
+
 def _keyed(lines: Lines, chosen: np.ndarray, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Keys of the chosen lines, which of them have each, and whether they are probes."""
     start, length = lines.start[chosen], lines.end[chosen] - lines.start[chosen]
@@ -154,8 +161,9 @@ def _segment_keys(tau: int, least_chars: int):
                 h = lines.hashes()
                 chosen = np.flatnonzero(lines.filled & (lines.end - lines.start >= least_chars))
                 chosen = chosen[np.unique(h[chosen], return_index=True)[1]]  # each line once
+                ref = reference(h[chosen])
                 for key, which, probe in _keyed(lines, chosen, tau):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), probe)), pa.array(h[chosen[which]].view(np.int64))], ["key", "probe", "ref"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ref[which] | (0 if probe else _INDEXED))], ["key", "line"])
 
     return run
 
@@ -171,7 +179,8 @@ def _live_keys(rows: DataFrame) -> DataFrame:
         last: tuple | None = None  # of the key that the batch before ended with: key, first line, whether it is live
         held: list[tuple] = []  # its rows, while it is not live
         for batch in batches:
-            key, probe, ref = (batch.column(k).to_numpy(zero_copy_only=False) for k in names)
+            key, line = batch.column("key").to_numpy(), batch.column("line").to_numpy()
+            probe, ref = line >= 0, line & ~np.int64(_INDEXED)
             if not len(key):
                 continue
             fresh = np.ones(len(key), bool)
@@ -194,7 +203,8 @@ def _live_keys(rows: DataFrame) -> DataFrame:
                 live[0] |= last[2]
             if len(starts) > 1 or not goes_on:
                 held = []
-            yield batch.filter(pa.array(fresh & live[group]))
+            out = fresh & live[group]
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, probe, ref)], names)
             if not live[-1] and indexed[-1]:
                 tail = np.flatnonzero(fresh & (group == group[-1]))
                 held = held + [(int(key[i]), bool(probe[i]), int(ref[i])) for i in tail]
@@ -203,37 +213,24 @@ def _live_keys(rows: DataFrame) -> DataFrame:
             last = (key[-1], first_ref[-1], bool(live[-1]), bool(indexed[-1]))
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "probe", "ref").mapInArrow(run, "key long, probe boolean, ref long")
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "line").mapInArrow(run, "key long, probe boolean, ref long")
 
 
-def _maybe(wanted: DataFrame) -> np.ndarray:
-    """A table of FILTER_BITS bits, of fixed size at any scale, in which the low bits of each wanted ref are set."""
-    place = F.col("ref").bitwiseAND(FILTER_BITS - 1) + 1  # bitmaps count from 1
-    rows = wanted.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in rows:  # at most FILTER_BITS / 32768, of 4 KB each
-        table[(row["at"] - 1) * 4096 : row["at"] * 4096] |= np.frombuffer(row["bits"], np.uint8)
-    return table
-
-
-def _line_texts(least_chars: int, maybe: np.ndarray):
-    """ref, doc_id, number, line: the first in a batch of each line whose bit is set."""
+def _line_texts(documents_wanted: np.ndarray, lines_wanted: np.ndarray):
+    """ref, doc_id, number, line of those lines whose bits are set, in those documents whose bits are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(may_be_wanted(documents_wanted, batch.column("doc_id").to_numpy())))
             doc, done = batch.column("doc_id").to_numpy(), 0
             for piece in slices(batch.column("text")):
                 lines = Lines(piece.to_pylist())
-                h = lines.hashes()
-                chosen = np.flatnonzero(lines.filled & (lines.end - lines.start >= least_chars))
-                place = (h[chosen] & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                chosen = chosen[maybe[place >> 3] >> (place & 7) & 1 == 1]
-                owner = doc[done + lines.text]
-                chosen = chosen[np.lexsort((lines.number[chosen], owner[chosen]))]
-                chosen = chosen[np.unique(h[chosen], return_index=True)[1]]
+                ref = reference(lines.hashes())
+                chosen = np.flatnonzero(may_be_wanted(lines_wanted, ref))
                 texts = [lines.joined[a:b] for a, b in zip(lines.start[chosen].tolist(), lines.end[chosen].tolist(), strict=True)]
+                columns = [pa.array(ref[chosen]), pa.array(doc[done + lines.text[chosen]]), pa.array(lines.number[chosen]), pa.array(texts, pa.string())]
                 done += len(piece)
-                yield pa.RecordBatch.from_arrays([pa.array(h[chosen].view(np.int64)), pa.array(owner[chosen]), pa.array(lines.number[chosen]), pa.array(texts, pa.string())], ["ref", "doc_id", "number", "line"])
+                yield pa.RecordBatch.from_arrays(columns, ["ref", "doc_id", "number", "line"])
 
     return run
 
@@ -290,13 +287,16 @@ def repeated_lines(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHA
     occurrences = materialise(texts.mapInArrow(_occurrences(), _ROWS), "lines")
     exact = _sorted_groups(occurrences).where("repeated").select("doc_id", F.shiftright("packed", FIRST_BITS).alias("number"), F.lit(False).alias("near"))
 
-    live = materialise(_live_keys(texts.mapInArrow(_segment_keys(tau, least_chars), "key long, probe boolean, ref long")), "line-keys")
+    live = materialise(_live_keys(texts.mapInArrow(_segment_keys(tau, least_chars), "key long, line long")), "line-keys")
     wanted = live.select("ref").distinct()
-    found = texts.mapInArrow(_line_texts(least_chars, _maybe(wanted)), "ref long, doc_id long, number long, line string").join(wanted, "ref", "left_semi")
-    firsts = materialise(found.groupBy("ref").agg(F.min(F.struct("doc_id", "number")).alias("at"), F.first("line").alias("line")), "line-texts")
-    members = live.join(firsts, "ref").select("key", "probe", "ref", "at.doc_id", "at.number", "line")
+    once = occurrences.where("packed % 2 = 0").withColumn("ref", F.col("h").bitwiseAND((1 << 63) - 1))  # the others have an earlier one
+    firsts = once.join(wanted, "ref", "left_semi").groupBy("ref").agg(F.min(F.struct("doc_id", F.shiftright("packed", FIRST_BITS).alias("number"))).alias("at"))
+    firsts = materialise(firsts.select("ref", "at.doc_id", "at.number"), "line-firsts")
+    found = texts.mapInArrow(_line_texts(bit_table(firsts, "doc_id"), bit_table(firsts, "ref")), "ref long, doc_id long, number long, line string")
+    firsts = materialise(found.join(firsts, ["ref", "doc_id", "number"], "left_semi"), "line-texts")
+    members = live.join(firsts, "ref").select("key", "probe", "ref", "doc_id", "number", "line")
     later = materialise(_later_lines(members, tau), "line-near")
-    near = occurrences.where("packed % 2 = 0").join(later, F.col("h") == F.col("ref")).select("doc_id", F.shiftright("packed", FIRST_BITS).alias("number"), F.lit(True).alias("near"))
+    near = once.join(later, "ref").select("doc_id", F.shiftright("packed", FIRST_BITS).alias("number"), F.lit(True).alias("near"))
     removed = exact.unionByName(near).groupBy("doc_id", "number").agg(F.min("near").alias("near"))
     pick = lambda flag: F.array_sort(F.collect_list(F.when(F.col("near") == flag, F.col("number"))))
     return removed.groupBy("doc_id").agg(pick(False).alias("exact"), pick(True).alias("near"))
