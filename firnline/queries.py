@@ -59,7 +59,6 @@ PIXELS_SQL = """pixels AS (
 
 def _zone_sql(step: int = 1000, percent: int = 50) -> str:
     """Ordinals of the pixels' layers."""
-    start, count = -328 // step if step < 328 else -1, 0
     start = int((-100 * 3.28084) // step)
     count = int((4500 * 3.28084) // step) + 1 - start
     return f"""zoned AS (
