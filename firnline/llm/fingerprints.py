@@ -27,7 +27,7 @@ SKETCH = 64
 BLOCK = 1 << 20
 #: Neighbourhoods of doc_id; their ends are broadcast, so there are never more than this.
 MOST_BUCKETS = 1 << 16
-BUCKET_ROWS = 1024
+BUCKET_ROWS = 256
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _P = np.uint64(PRIME)
 _31 = np.uint64(31)
