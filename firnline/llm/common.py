@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="firnline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        session = spark.sparkContext.applicationId
+        if session not in _own_folders:
+            _own_folders[session] = "file://" + tempfile.mkdtemp(prefix="firnline-")
+        folder = _own_folders[session]
     return folder.rstrip("/")
 
 
@@ -30,6 +35,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt_anew(df: DataFrame) -> DataFrame:
+    """df without its partitioning, for a join with the many rows that it summed up by the join's key.
+
+    Else Spark joins where it has summed up, all rows of a key in one task; so it deals both sides out for the join
+    itself, and splits the rows of a very frequent key over several tasks.
+    """
+    return df.hint("rebalance")
+
+
 def small_batches(spark: SparkSession, rows: int) -> None:
     """Bound the rows of an Arrow batch that Python workers get; texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
