@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firnline.plans.zonal import ZonalResult, cell_zones, ordered
+from firnline.plans.zonal import ZonalResult, cell_zones
 
 
 def csv_columns(result: ZonalResult) -> DataFrame:
