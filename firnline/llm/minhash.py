@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import bit_table, materialise, may_be_wanted, small_batches, text_of
+from firnline.llm.common import bit_table, dealt_anew, materialise, may_be_wanted, small_batches, text_of
 from firnline.llm.components import connected_components
 from firnline.llm.text_features import string_bytes, word_hashes, words
 
@@ -244,13 +244,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     and that document is kept. An empty table gives no rows; other columns are not read.
     """
     sketched = materialise(sketches(docs), "minhash-sketches")
-    classes = sketched.where("n > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
+    some = sketched.where("n > 0")
+    classes = dealt_anew(some.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")))
     first = F.col("doc_id") == F.col("rep")
-    members = materialise(sketched.join(classes, ["key1", "key2"], "left").select("doc_id", "n", "rep", F.when(first, F.col("signature")).alias("signature"), F.when(first, F.col("bands")).alias("bands")), "minhash-members")
+    known = some.join(classes, ["key1", "key2"]).unionByName(sketched.where("n = 0").withColumn("rep", F.lit(None).cast("long")))
+    members = materialise(known.select("doc_id", "n", "rep", F.when(first, F.col("signature")).alias("signature"), F.when(first, F.col("bands")).alias("bands")), "minhash-members")
     reps = members.where(first)
     banded = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"))
     smallest = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket", "low")
-    buckets = materialise(banded.join(smallest, "bucket"), "minhash-buckets")
+    buckets = materialise(banded.join(dealt_anew(smallest), "bucket"), "minhash-buckets")
     signed = reps.select(F.col("doc_id").alias("node"), "signature").join(buckets.select("node").distinct(), "node", "left_semi")
     signed = materialise(signed, "minhash-signed")
     sets = materialise(full_sets(docs, signed.select(F.col("node").alias("id"))), "minhash-sets")
@@ -262,7 +264,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     components = materialise(connected_components(links), "minhash-components")
     placed = buckets.join(components, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     lowest = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", "low")
-    families = connected_components(placed.join(lowest, "bucket").select(F.col("component").alias("a"), F.col("low").alias("b")).distinct())
+    families = connected_components(placed.join(dealt_anew(lowest), "bucket").select(F.col("component").alias("a"), F.col("low").alias("b")).distinct())
     family = placed.select("node", "component").distinct().join(families.select(F.col("node").alias("component"), F.col("component").alias("family")), "component")
     more = materialise(family_links(materialise(family, "minhash-families"), sets), "minhash-links")
     if not more.isEmpty():

@@ -113,13 +113,29 @@ def combined(h: np.ndarray, c: np.ndarray, doc: np.ndarray, first: np.ndarray, o
     return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(packed)], ["h", "c", "doc_id", "packed"])
 
 
+#: Bytes of one text whose runs are found at once.
+PIECE_BYTES = 1 << 22
+
+
+def _bounded_runs(column: pa.Array, depth: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The runs of the texts, a very long one's by pieces: a run that a piece's end cuts in two is judged as two."""
+    data, _ = string_bytes(column)
+    if len(column) > 1 or len(data) <= 2 * PIECE_BYTES:
+        yield runs(column, depth, gram)
+        return
+    for start in range(0, len(data) - depth + 1, PIECE_BYTES):
+        piece = pa.array([data[start : start + PIECE_BYTES + depth - 1].tobytes()], pa.binary())
+        text, first, *rest = runs(piece, depth, gram)
+        yield text, first + start, *rest
+
+
 def _run_rows(depth: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, done, parts = batch.column("doc_id").to_numpy(), 0, []
             for piece in slices(batch.column("text")):
-                text, first, offset, count, h, c = runs(piece, depth, gram)
-                parts.append((h, c, doc[done + text], first, offset, count))
+                for text, first, offset, count, h, c in _bounded_runs(piece, depth, gram):
+                    parts.append((h, c, doc[done + text], first, offset, count))
                 done += len(piece)
             if parts:
                 yield combined(*(np.concatenate(x) for x in zip(*parts, strict=True)))

@@ -58,11 +58,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
+#: Bytes of words that are hashed at once.
+BLOCK_BYTES = 1 << 22
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word."""
     if not len(starts):
         return np.empty(0, np.uint64)
     lengths = ends - starts
+    block = np.cumsum(lengths) // BLOCK_BYTES
+    if block[-1] and len(starts) > 1 and block[0] != block[-1]:
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(starts)]
+        return np.concatenate([_hashes(data, starts[a:b], lengths[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    return _hashes(data, starts, lengths)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     at = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     source = at + np.repeat(starts, lengths)
     terms = (data[source].astype(np.uint64) + np.uint64(1)) * _MULTIPLIERS[at & 63] * (np.uint64(2) * (at >> 6).astype(np.uint64) + np.uint64(1))

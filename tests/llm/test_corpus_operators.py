@@ -111,6 +111,22 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert suffix_dedup.deduplicated(empty(spark)).count() == 0
 
 
+def test_long_texts_by_pieces(monkeypatch):
+    texts = [LONG[:3000], LONG[100:2500] + "?" + LONG[:900]]
+    for t in texts:
+        column = pa.array([t])
+        whole = [set(range(f, f + n)) for f, n in zip(*(x.tolist() for x in suffix_dedup.runs(column, 100, 37)[1:4:2]), strict=True)]
+        monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 250)
+        cut = [set(range(f, f + n)) for part in suffix_dedup._bounded_runs(column, 100, 37) for f, n in zip(part[1].tolist(), part[3].tolist(), strict=True)]
+        assert set().union(*cut) == set().union(*whole) == set(range(len(t) - 99)) and sum(map(len, cut)) == len(t) - 99
+        monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 1 << 22)
+    data, offsets = text_features.string_bytes(pa.array([LONG]))
+    starts, ends = text_features.words(data, offsets)
+    at_once = text_features.word_hashes(data, starts, ends)
+    monkeypatch.setattr(text_features, "BLOCK_BYTES", 1000)
+    assert (text_features.word_hashes(data, starts, ends) == at_once).all()
+
+
 def test_suffix_dedup_keeps_rows_without_id(spark):
     rows = spark.createDataFrame([(1, "x" * 300), (None, "x" * 300)], "doc_id long, text string")
     got = {r.doc_id: r.n_removed for r in suffix_dedup.deduplicated(rows).collect()}
