@@ -457,15 +457,16 @@ _add("f6_csv_filename", lambda s, d: s.createDataFrame([(N.csv_name("12345:MT:US
 
 
 def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pixels(spark, sf_dir).where("row < 40")
+    """All pixels by tiles of 20 rows and 25 columns; one tile is absent."""
+    p = pixels(spark, sf_dir)
     return p.select(F.floor(F.col("col") / 25).cast("int").alias("h"), F.floor(F.col("row") / 20).cast("int").alias("v"), (F.col("row") % 20).alias("row"), (F.col("col") % 25).alias("col"), F.col("forest_cover").alias("value")).where("not (h = 1 and v = 1)")
 
 
-def _offsets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(h, v, v * 20, h * 25) for h in (0, 1) for v in (0, 1)], "h int, v int, row_off int, col_off int")
+def _offsets(tiles: DataFrame) -> DataFrame:
+    return tiles.select("h", "v").distinct().select("h", "v", (F.col("v") * 20).alias("row_off"), (F.col("h") * 25).alias("col_off"))
 
 
-_add("s15_mosaic_offsets", lambda s, d: I.mosaic(_tiles(s, d), _offsets(s), 255), f'WITH {PIXELS_SQL} SELECT CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, CAST(forest_cover AS INT) AS value FROM pixels WHERE "row" < 40 AND NOT (col >= 25 AND "row" >= 20) AND forest_cover <> 255')
+_add("s15_mosaic_offsets", lambda s, d: I.mosaic(_tiles(s, d), _offsets(_tiles(s, d)), 255), f'WITH {PIXELS_SQL} SELECT CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, CAST(forest_cover AS INT) AS value FROM pixels WHERE "row" < 40 AND NOT (col >= 25 AND "row" >= 20) AND forest_cover <> 255')
 
 
 def _skip(spark: SparkSession, sf_dir: str) -> DataFrame:
