@@ -205,9 +205,14 @@ def active_coverage(coverage_map: Column, active: Sequence[str]) -> Column:
     return F.map_filter(coverage_map, lambda k, _: k.isin(*active))
 
 
+def within(index: DataFrame, bbox: Box) -> DataFrame:
+    """All entries whose points lie in the box, its edges included."""
+    return index.where(F.col("lon").between(bbox[0], bbox[2]) & F.col("lat").between(bbox[1], bbox[3]))
+
+
 def page(index: DataFrame, offset: int = 0, limit: int = 100, bbox: Box | None = None, records: DataFrame | None = None) -> tuple[DataFrame, int]:
     """A page of the index by triplet, and how many entries match in all; records: join the page with their rings."""
-    chosen = index if bbox is None else index.where(F.col("lon").between(bbox[0], bbox[2]) & F.col("lat").between(bbox[1], bbox[3]))
+    chosen = index if bbox is None else within(index, bbox)
     rows = chosen.orderBy("triplet").offset(offset).limit(limit)
     if records is not None:
         rows = rows.join(records.select("triplet", "rings"), "triplet", "left").orderBy("triplet")

@@ -328,7 +328,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STATIONS = """stations AS (SELECT s_suppkey || ':' || upper(substr(n_name, 1, 2)) || ':USGS' AS triplet, s_name AS name, -120e0 + (s_suppkey % 50) / 10e0 AS lon, 40e0 + s_nationkey / 5e0 AS lat, n_name AS nation, s_suppkey
     FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
-_add("p12_bbox_filter", lambda s, d: B.page(stations(s, d), 0, 100_000, (-119.0, 41.0, -117.0, 43.0))[0].select("triplet", "lon", "lat"), f"WITH {_STATIONS} SELECT triplet, lon, lat FROM stations WHERE lon BETWEEN -119 AND -117 AND lat BETWEEN 41 AND 43")
+_add("p12_bbox_filter", lambda s, d: B.within(stations(s, d), (-119.0, 41.0, -117.0, 43.0)).select("triplet", "lon", "lat"), f"WITH {_STATIONS} SELECT triplet, lon, lat FROM stations WHERE lon BETWEEN -119 AND -117 AND lat BETWEEN 41 AND 43")
 _add("o2_page", lambda s, d: B.page(stations(s, d), 10, 25)[0].select("triplet", "name"), f"WITH {_STATIONS} SELECT triplet, name FROM stations ORDER BY triplet LIMIT 25 OFFSET 10")
 _add("f1_triplet_codec", lambda s, d: stations(s, d).select("triplet", N.stem_of_triplet(F.col("triplet")).alias("stem"), N.triplet_of_stem(N.stem_of_triplet(F.col("triplet"))).alias("back")), f"WITH {_STATIONS} SELECT triplet, replace(triplet, ':', '_') AS stem, triplet AS back FROM stations")
 _add("f2_triplet_validity", lambda s, d: stations(s, d).select("name", N.is_triplet(F.when(F.col("s_suppkey") % 3 == 0, F.lower("triplet")).otherwise(F.col("triplet"))).alias("valid")), f"WITH {_STATIONS} SELECT name, regexp_matches(CASE WHEN s_suppkey % 3 = 0 THEN lower(triplet) ELSE triplet END, '^[A-Za-z0-9_-]+:[A-Z][A-Z]:[A-Z]+$') AS valid FROM stations")
