@@ -28,9 +28,14 @@ DROPPED_TAGS = frozenset("script style noscript template svg math head title nav
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 #: Words of class and id names, between other letters, that mark such parts.
 DROPPED_NAMES = re.compile(
-    r"(?:^|[^a-z])(?:header|topbar|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|aside|footer|foot|masthead|banner|ads?|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promoted|cookies?|consent|gdpr|"
-    r"notice|popup|pop-up|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|recommendations|comments?|commentlist|disqus|replies|respond|pagination|pager|toolbar|widget|skip|hidden)(?:$|[^a-z])"
+    r"(?<![a-z])(header|topbar|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|aside|footer|foot|masthead|banner|ads?|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promoted|cookies?|consent|gdpr|"
+    r"notice|popup|pop-up|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|recommendations|comments?|commentlist|disqus|replies|respond|pagination|pager|toolbar|widget|skip|hidden)(?![a-z])"
 )
+#: Words of names that say what a part lacks, or has beside it, and sections of papers: they mark nothing.
+NO_NAMES = re.compile(r"(?<![a-z])(?:(?:has|no|with|without)[-_]\S*|related[-_](?:works?|research|literature|studies|methods)(?![a-z]))")
+#: Dropped names that parts of an article may have too, and those of readers' comments and consent.
+SOFT_NAMES = frozenset("notice recommendations share sharing social widget foot skip".split())
+ASIDE_NAMES = frozenset("comment comments commentlist disqus replies respond cookie cookies consent gdpr".split())
 #: A new one of these ends an open one of the second set, as HTML has it.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -39,6 +44,8 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 FIRST_POINTS = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "address": -3.0, "header": -10.0, "body": -5.0, "html": -10.0}
 SPACES = re.compile(r"\s+")
 PROSE_CHARS = 80
+#: What a container loses for a name that elsewhere would have it dropped.
+NAME_POINTS = 10.0
 
 
 @dataclass(eq=False)
@@ -47,6 +54,7 @@ class Node:
     parent: Node | None
     dropped: bool = False
     by_name: bool = False  # dropped for its name only
+    names: frozenset = frozenset()  # the words that it is dropped for
     children: list = field(default_factory=list)  # nodes, and strings of text
     points: float = 0.0
     scored: bool = False
@@ -60,6 +68,7 @@ class TreeBuilder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
+        self.named: list[Node] = []  # in page order
 
     def _close_to(self, names: set[str] | frozenset[str], scope: set[str] | frozenset[str]) -> None:
         node = self.at
@@ -84,7 +93,10 @@ class TreeBuilder(HTMLParser):
         if tag in VOID:
             return
         dropped = self._is_dropped(tag, attrs)
-        node = Node(tag, self.at, dropped or self._has_dropped_name(tag, attrs), not dropped)
+        names = frozenset() if dropped else self._dropped_names(tag, attrs)
+        node = Node(tag, self.at, dropped or bool(names), not dropped, names)
+        if names:
+            self.named.append(node)
         if tag in ("article", "main"):  # what holds the article is no side matter, whatever its name
             up = self.at
             while up is not None:
@@ -124,19 +136,59 @@ class TreeBuilder(HTMLParser):
 
 
     @staticmethod
-    def _has_dropped_name(tag: str, attrs: list) -> bool:
+    def _dropped_names(tag: str, attrs: list) -> frozenset[str]:
         if tag in ("article", "main", "body"):
-            return False
-        return any(name in ("class", "id") and value and DROPPED_NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) for name, value in attrs)
+            return frozenset()
+        values = (NO_NAMES.sub(" ", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) for name, value in attrs if name in ("class", "id") and value)
+        return frozenset(m[1] for value in values for m in DROPPED_NAMES.finditer(value))
 
 
 def tree(html: str) -> Node:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
+    named = [n for n in builder.named if n.dropped]
+    if named:
+        _spare(builder.root, named)
     return builder.root
 
 
+def _spare(root: Node, named: list[Node]) -> None:
+    """Don't drop those parts for their names that hold the article, or are a passage of it.
+
+    One holds the article if it has most of the page's prose with few links and no article or main stands elsewhere;
+    comments and consent only if there is no other prose. Its name then counts against it. Softly named prose is a
+    passage when it is a paragraph or stands in an article.
+    """
+    for n in named:
+        n.dropped = False
+    prose, own, linked, others, total, every, told = dict.fromkeys(named, 0), dict.fromkeys(named, 0), dict.fromkeys(named, 0), dict.fromkeys(named, 0), 0, 0, False
+    for node, text, links in blocks(root):
+        chain = list(_ancestors(node))
+        here = [n for n in chain if n.names and n in prose]
+        in_article = any(n.tag in ("article", "main") for n in chain)
+        for n in here:
+            own[n] += len(text)
+            linked[n] += links
+        if len(text) < 25 or links >= 0.25 * len(text):
+            continue
+        aside = any(n.names & ASIDE_NAMES for n in here)
+        told |= in_article and not here
+        total += 0 if aside else len(text)
+        every += len(text)
+        for n in here:
+            others[n] += len(text)
+            prose[n] += 0 if aside else len(text)
+    for n in named:
+        passage = n.names <= SOFT_NAMES and own[n] and linked[n] < 0.25 * own[n] and (n.tag == "p" or others[n] > PROSE_CHARS and any(a.tag in ("article", "main") for a in _ancestors(n)))
+        if n.names & ASIDE_NAMES:
+            holds = not total and 2 * others[n] > every
+        else:
+            holds = not told and 2 * prose[n] > total
+        n.dropped = not (passage or holds)
+        n.points -= NAME_POINTS * (holds and not passage)
+
+
 def _walk(root: Node) -> Iterator[tuple[Node | str, bool]]:
     """Nodes and strings in page order, without dropped parts; nodes come again, with True, when they end."""
     stack: list = [(root, False)]
@@ -230,7 +282,16 @@ def main_text(html: str) -> str:
                 kept.add(id(sibling))
     elif best.parent is not None:  # other articles beside one that says it is one
         kept |= {id(s) for s in best.parent.children if isinstance(s, Node) and not s.dropped and s.tag == best.tag and value(s) >= 0.2 * value(best)}
-    return " ".join(text for node, text, _ in found if any(id(a) in kept for a in _ancestors(node)))
+    inside = [any(id(a) in kept for a in _ancestors(node)) for node, _, _ in found]
+    first, last = inside.index(True), len(inside) - 1 - inside[::-1].index(True)
+    out = []
+    for i, (node, text, linked) in enumerate(found):
+        if not inside[i] and first < i < last:  # between kept parts only what has many links goes
+            side = next((a for a in _ancestors(node) if a.parent is best.parent), None)
+            inside[i] = (linked < 0.25 * len(text) and node is best.parent) if side is None else density(side) < 0.25 and side.tag != "header"
+        if inside[i]:
+            out.append(text)
+    return " ".join(out)
 
 
 def _ancestors(node: Node | None) -> Iterator[Node]:
