@@ -21,8 +21,11 @@ from firnline.llm.minhash import groups, mixed, slices
 from firnline.llm.suffix_dedup import FIRST_BITS, _BASE, _powers, _sorted_groups, combined
 
 TAU = 2
-#: Shorter lines are only compared for equality: within two edits they may say quite different things.
+#: Where the shorter of two lines has fewer characters, one edit at most makes them near ...
 LEAST_CHARS = 24
+#: ... and none where it has fewer than this: within an edit so short lines may say quite different things.
+SHORT_CHARS = 12
+SHORT_TAU = 1
 BLOCK = 512
 _HISTOGRAM = 64
 _ROWS = "h long, c long, doc_id long, packed long"
@@ -130,7 +133,7 @@ def _keyed(lines: Lines, chosen: np.ndarray, tau: int) -> Iterator[tuple[np.ndar
         other = length - shorter
         for i in range(tau + 1):
             at, size = segments(other, tau, i)
-            tag = mixed((other * 64 + i).astype(np.uint64))
+            tag = mixed(((other * 64 + i) * 64 + tau).astype(np.uint64))
             for shift in range(max(-i, shorter - (tau - i)), min(i, shorter + (tau - i)) + 1):
                 fits = (at + shift >= 0) & (at + shift + size <= length) & (other > tau)
                 begin = (start + at + shift)[fits]
@@ -153,17 +156,23 @@ def _occurrences():
     return run
 
 
-def _segment_keys(tau: int, least_chars: int):
+def _segment_keys(tau: int, least_chars: int, short_chars: int):
+    """Keys of long lines, and, for fewer edits, of short ones with the long ones that such a line may be near."""
+    low = min(SHORT_TAU, tau)
+    classes = [(tau, least_chars, None)] + [(low, short_chars, least_chars + low)] * (short_chars < least_chars and low > 0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch.column("text")):
                 lines = Lines(piece.to_pylist())
                 h = lines.hashes()
-                chosen = np.flatnonzero(lines.filled & (lines.end - lines.start >= least_chars))
-                chosen = chosen[np.unique(h[chosen], return_index=True)[1]]  # each line once
-                ref = reference(h[chosen])
-                for key, which, probe in _keyed(lines, chosen, tau):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ref[which] | (0 if probe else _INDEXED))], ["key", "line"])
+                length = lines.end - lines.start
+                for edits, least, end in classes:
+                    chosen = np.flatnonzero(lines.filled & (length >= least) & (length < (end or np.inf)))
+                    chosen = chosen[np.unique(h[chosen], return_index=True)[1]]  # each line once
+                    ref = reference(h[chosen])
+                    for key, which, probe in _keyed(lines, chosen, edits):
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ref[which] | (0 if probe else _INDEXED))], ["key", "line"])
 
     return run
 
@@ -242,8 +251,8 @@ def _histograms(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _later_lines(members: DataFrame, tau: int, block: int = BLOCK) -> DataFrame:
-    """ref of the lines that have an earlier one within tau edits in one of their keys.
+def _later_lines(members: DataFrame, tau: int, least_chars: int, block: int = BLOCK) -> DataFrame:
+    """ref of the lines that have a near earlier one in one of their keys: within tau edits, or fewer for short lines.
 
     A key of many lines is cut into blocks; each two blocks meet in a task of their own.
     """
@@ -260,12 +269,13 @@ def _later_lines(members: DataFrame, tau: int, block: int = BLOCK) -> DataFrame:
             counts, length = _histograms(texts), np.array([len(t) for t in texts])
             later: set[int] = set()
             for x in np.flatnonzero(~probe.astype(bool)):
-                near = (np.abs(counts - counts[x]).sum(1) <= 2 * tau) & (np.abs(length - length[x]) <= tau) & (ref != ref[x])
+                most = np.where(np.minimum(length, length[x]) >= least_chars, tau, min(SHORT_TAU, tau))
+                near = (np.abs(counts - counts[x]).sum(1) <= 2 * most) & (np.abs(length - length[x]) <= most) & (ref != ref[x])
                 if i != j:
                     near &= side != side[x]
                 for y in np.flatnonzero(near):
                     second = y if (doc[x], number[x]) < (doc[y], number[y]) else x
-                    if ref[second] not in later and edit_distance_within(texts[x], texts[y], tau) <= tau:
+                    if ref[second] not in later and edit_distance_within(texts[x], texts[y], int(most[y])) <= most[y]:
                         later.add(int(ref[second]))
             if later:
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(later), pa.int64())], ["ref"])
@@ -275,19 +285,19 @@ def _later_lines(members: DataFrame, tau: int, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(run, "ref long").distinct()
 
 
-def repeated_lines(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHARS, short_chars: int = SHORT_CHARS) -> DataFrame:
     """One row per document with lines to remove: doc_id, exact and near, the numbers (from 0) of lines, ascending.
 
     Lines are what stands between line feeds. A line is removed if an equal one comes earlier (smaller doc_id, or same
-    document, smaller number), or, with at least least_chars characters, one within tau edits; the input decides, not
-    what is left, and a line that both hold for is in exact. Lines of white space only are never removed.
+    document, smaller number), or a near one: within tau edits if both have at least least_chars characters, within one
+    if both have at least short_chars; the input decides, not what is left, and a line that both hold for is in exact. Lines of white space only are never removed.
     """
     small_batches(docs.sparkSession, 512)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text_of().alias("text"))
     occurrences = materialise(texts.mapInArrow(_occurrences(), _ROWS), "lines")
     exact = _sorted_groups(occurrences).where("repeated").select("doc_id", F.shiftright("packed", FIRST_BITS).alias("number"), F.lit(False).alias("near"))
 
-    live = materialise(_live_keys(texts.mapInArrow(_segment_keys(tau, least_chars), "key long, line long")), "line-keys")
+    live = materialise(_live_keys(texts.mapInArrow(_segment_keys(tau, least_chars, short_chars), "key long, line long")), "line-keys")
     wanted = live.select("ref").distinct()
     once = occurrences.where("packed % 2 = 0").withColumn("ref", F.col("h").bitwiseAND((1 << 63) - 1))  # the others have an earlier one
     firsts = once.join(wanted, "ref", "left_semi").groupBy("ref").agg(F.min(F.struct("doc_id", F.shiftright("packed", FIRST_BITS).alias("number"))).alias("at"))
@@ -295,29 +305,29 @@ def repeated_lines(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHA
     found = texts.mapInArrow(_line_texts(bit_table(firsts, "doc_id"), bit_table(firsts, "ref")), "ref long, doc_id long, number long, line string")
     firsts = materialise(found.join(firsts, ["ref", "doc_id", "number"], "left_semi"), "line-texts")
     members = live.join(firsts, "ref").select("key", "probe", "ref", "doc_id", "number", "line")
-    later = materialise(_later_lines(members, tau), "line-near")
+    later = materialise(_later_lines(members, tau, least_chars), "line-near")
     near = once.join(later, "ref").select("doc_id", F.shiftright("packed", FIRST_BITS).alias("number"), F.lit(True).alias("near"))
     removed = exact.unionByName(near).groupBy("doc_id", "number").agg(F.min("near").alias("near"))
     pick = lambda flag: F.array_sort(F.collect_list(F.when(F.col("near") == flag, F.col("number"))))
     return removed.groupBy("doc_id").agg(pick(False).alias("exact"), pick(True).alias("near"))
 
 
-def line_report(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHARS) -> DataFrame:
+def line_report(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHARS, short_chars: int = SHORT_CHARS) -> DataFrame:
     """One row per document: doc_id, n_lines, n_exact, n_near, removed (numbers of the removed lines).
 
     An empty or null text has no lines. doc_id is unique; a row without one loses no line.
     """
     text = text_of()
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
-    found = repeated_lines(docs, tau, least_chars).select(F.col("doc_id").alias("_id"), "exact", "near")
+    found = repeated_lines(docs, tau, least_chars, short_chars).select(F.col("doc_id").alias("_id"), "exact", "near")
     none = F.array().cast("array<bigint>")
     rows = counted.join(found, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_lines", F.coalesce("exact", none).alias("exact"), F.coalesce("near", none).alias("near"))
     return rows.select("doc_id", "n_lines", F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"), F.array_sort(F.concat("exact", "near")).alias("removed"))
 
 
-def without_repeated_lines(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHARS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHARS, short_chars: int = SHORT_CHARS) -> DataFrame:
     """The rows of docs, with their columns, whose texts have lost their repeated lines. No row goes, null texts stay null."""
-    found = repeated_lines(docs, tau, least_chars).select(F.col("doc_id").alias("_id"), F.concat("exact", "near").alias("_removed"))
+    found = repeated_lines(docs, tau, least_chars, short_chars).select(F.col("doc_id").alias("_id"), F.concat("exact", "near").alias("_removed"))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,10 @@
 """Cases in which an operator did less than its whole job."""
 
+import random
+
 import pytest
 
-from firnline.llm import html_extract
+from firnline.llm import html_extract, line_dedup
 
 PROSE = "This is a long paragraph of prose, with commas, and enough characters to be taken as the text of an article, I think."
 
@@ -21,3 +23,21 @@ def test_named_passages_of_an_article_stay():
 def test_short_parts_between_kept_ones_stay():
     html = f"<body><div><p>{PROSE}</p><p>{PROSE}</p></div><p>Short.</p><ul><li>one<li>two</ul>bare<ul><li><a>link</a></ul><table><tr><td>1</table><div><p>{PROSE}</p><p>{PROSE}</p></div><p>{PROSE}</p>"
     assert html_extract.main_text(html).split(PROSE)[2].strip() == "Short. one two bare 1"
+
+
+def test_short_lines_are_near_within_one_edit(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(9, 27))).replace(" ", "_") for _ in range(14)]
+    lines = ["Read more about it", "Read more about it."]
+    for _ in range(150):
+        x = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            at = rng.randrange(len(x))
+            x[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "Y"])
+        lines.append("".join(x))
+    first = {x: lines.index(x) for x in lines}
+    most = lambda x, y: 2 if min(len(x), len(y)) >= 24 else 1 if min(len(x), len(y)) >= 12 else 0
+    near = {max(x, y, key=first.get) for x in first for y in first if x != y and line_dedup.edit_distance_within(x, y, most(x, y)) <= most(x, y)}
+    assert "Read more about it." in near
+    got = {r.doc_id: (r.n_exact, r.n_near) for r in line_dedup.line_report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == {i: (int(first[x] != i), int(first[x] == i and x in near)) for i, x in enumerate(lines)}
