@@ -118,7 +118,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     ids_sha256 is of the ids as little-endian unsigned 32-bit integers, decoded_sha256 of the bytes that they decode
     to. A null text counts as empty: no tokens, both hashes of no bytes. Other columns are not read.
     """
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)

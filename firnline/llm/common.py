@@ -17,10 +17,16 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset a local session gets a folder of its own; on a cluster it is an error, as executors would not
+    see each other's files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         session = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if session not in _own_folders:
             _own_folders[session] = "file://" + tempfile.mkdtemp(prefix="firnline-")
         folder = _own_folders[session]
@@ -32,7 +38,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete what `materialise` wrote for these, once nothing that is still to be worked out reads it."""
+    for df in stored:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def dealt_anew(df: DataFrame) -> DataFrame:
@@ -44,9 +60,14 @@ def dealt_anew(df: DataFrame) -> DataFrame:
     return df.hint("rebalance")
 
 
-def small_batches(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of an Arrow batch that Python workers get; texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows and bytes of an Arrow batch that Python workers get, the same for all operators.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that Python workers get by rows and by bytes, as texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_of(column: str = "text") -> Column:

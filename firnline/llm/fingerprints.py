@@ -208,7 +208,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     descending doc_id and after the last the first. Null texts count as empty, null doc_ids come last; rows of one
     doc_id follow each other by text. A single document is its own next. Other columns are not read.
     """
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib

@@ -307,7 +307,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     space, blocks are joined by one space, and nothing of the article is cut. Markup that is left open or not closed
     is read to its end. Repeated rows give repeated rows; other columns are not read.
     """
-    small_batches(pages.sparkSession, 256)
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -292,7 +292,7 @@ def repeated_lines(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHA
     document, smaller number), or a near one: within tau edits if both have at least least_chars characters, within one
     if both have at least short_chars; the input decides, not what is left, and a line that both hold for is in exact. Lines of white space only are never removed.
     """
-    small_batches(docs.sparkSession, 512)
+    small_batches(docs.sparkSession)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text_of().alias("text"))
     occurrences = materialise(texts.mapInArrow(_occurrences(), _ROWS), "lines")
     exact = _sorted_groups(occurrences).where("repeated").select("doc_id", F.shiftright("packed", FIRST_BITS).alias("number"), F.lit(False).alias("near"))

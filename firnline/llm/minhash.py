@@ -91,7 +91,7 @@ def signatures(total: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n, key1, key2 (a 128-bit hash of the set), signature (a byte of each minimum), bands of each document."""
-    small_batches(docs.sparkSession, 512)
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n long, key1 long, key2 long, signature binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

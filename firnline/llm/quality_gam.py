@@ -139,7 +139,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def feature_rows(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """The columns of `keep` and an array of the features of text."""
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
     columns = docs.select(*keep, text_of().alias("text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in columns.dtypes if c != "text") + ", features array<double>"
 
@@ -174,7 +174,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     Only text goes into a score; null counts as empty. Repeated rows give repeated rows; other columns are not read.
     """
     model = learn(docs, labels, sample_rows)
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +187,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
 def good_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier does not reject, with their columns."""
     model = learn(docs, labels, sample_rows)
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc

@@ -278,7 +278,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
     """doc_id, packed: the runs of repeated windows; windows first .. first + count - 1 begin strings seen before."""
     if not 0 < gram <= depth <= 255 or (depth - gram + 1) % STEP:
         raise ValueError(f"depth - gram + 1 must be a multiple of {STEP}, and depth at most 255")
-    small_batches(docs.sparkSession, 512)
+    small_batches(docs.sparkSession)
     texts = _texts(docs)
     settled = materialise(_sorted_groups(texts.toDF("doc_id", "text").mapInArrow(_run_rows(depth, gram), _GROUPED)), "suffix-groups")
     pending = settled.where("not repeated").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("h").alias("grams"), F.collect_list("packed").alias("pending"))
@@ -306,7 +306,7 @@ def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, with_tex
     start) is removed; overlaps count, and the input decides, not what is left. Null texts are empty; texts shorter
     than depth are kept whole. doc_id is unique; rows without one are kept whole and compared with nothing.
     """
-    small_batches(docs.sparkSession, 512)
+    small_batches(docs.sparkSession)
     spans = repeated_spans(docs, depth, gram).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("packed").alias("packed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,7 +82,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, chunk
     A null or empty text has 0 bytes and tokens. No tokens are added at either end; special strings inside texts are
     handled as the library does by default. Other columns are not read; repeated rows give repeated rows.
     """
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, margin = _tokenizer(tokenizer_path)

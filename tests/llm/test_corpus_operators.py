@@ -220,27 +220,68 @@ def test_components_of_chains_stars_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("capacity", [exact_index.CAPACITY, 2])
-def test_exact_duplicates(spark, capacity):
-    got = by_id(exact_index.exact_duplicates(table(spark), capacity=capacity))
+def duplicates_of(rows):
+    """(doc_id, keep_id, group_size, kept, sha256) of (doc_id, text) rows."""
     same = defaultdict(list)
-    for i, t in enumerate(TEXTS):
+    for i, t in rows:
         same[t or ""].append(i)
-    for t, ids in same.items():
-        for i in ids:
-            assert tuple(got[i]) == (i, max(ids), len(ids), i == max(ids), hashlib.sha256(t.encode()).hexdigest())
+    keep = {t: max((i for i in ids if i is not None), default=None) for t, ids in same.items()}
+    return Counter((i, keep[t or ""], len(same[t or ""]), i == keep[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+
+
+@pytest.mark.parametrize("capacity", [exact_index.CAPACITY, 2])
+@pytest.mark.parametrize("cold_rows", [exact_index.COLD_ROWS, 1])
+def test_exact_duplicates(spark, capacity, cold_rows, monkeypatch):
+    monkeypatch.setattr(exact_index.build_index, "__defaults__", (*exact_index.build_index.__defaults__[:-1], cold_rows))
+    rows = [*enumerate(TEXTS), (None, "same text here"), (None, "no id"), (None, "no id"), (5, "same text here"), *((i, "hot") for i in range(100, 300))]
+    docs = spark.createDataFrame([(i, t, "h", 0) for i, t in rows], "doc_id long, text string, hash64 string, bucket int").repartition(3)
+    assert Counter(map(tuple, exact_index.exact_duplicates(docs, capacity=capacity).collect())) == duplicates_of(rows)
     assert exact_index.exact_duplicates(empty(spark)).count() == 0
 
 
-def test_directory_doubles_and_splits():
-    counts = {i: 1 for i in range(16)} | {0: 50}
-    directory = exact_index.directory_of(counts, capacity=10, max_depth=4)
-    assert len(directory.slots) == 1 << directory.depth == 16
-    held = Counter()
-    for slot, n in counts.items():
-        held[directory.slots[slot >> (4 - directory.depth)]] += n
-    assert all(n <= 10 or depth == 4 for (_, depth), n in held.items()) and directory.slots[15] == (1, 1)
-    assert exact_index.directory_of({}, 10, 4).depth == 0
+def test_buckets_hold_what_the_directory_says(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 700}") for i in range(1500)], "doc_id long, text string")
+    index = exact_index.build_index(docs, capacity=10, max_depth=12)
+    directory = {r.place: (r.bucket, r.depth) for r in index.directory(spark).collect()}
+    entries = index.entries(spark).withColumn("place", exact_index.place_of("hash64", 12)).collect()
+    assert len(entries) == 700 and {r.place for r in entries} == set(directory)
+    held = Counter(r.bucket for r in entries)
+    for r in entries:
+        bucket, depth = directory[r.place]
+        assert r.bucket == bucket == r.place >> (12 - depth) << (12 - depth)  # the bucket owns the places of its leading bits
+        assert held[bucket] <= 10
+        if depth:  # it was split off for a reason: what it was split from held too many
+            up = 13 - depth
+            assert sum(e.place >> up == r.place >> up for e in entries) > 10
+    assert max(d for _, d in directory.values()) > 5
+
+
+def test_lookups_go_through_the_directory(spark):
+    """With a directory that names wrong buckets nothing is found, though the entries are all there."""
+    docs = spark.createDataFrame([(i, f"text {i % 60}") for i in range(100)], "doc_id long, text string")
+    index = exact_index.build_index(docs, capacity=5, max_depth=8)
+    assert index.lookup(docs).where("keep_id is null").count() == 0
+    others = spark.createDataFrame([(1, "not in it"), (2, "text 7")], "doc_id long, text string")
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in index.lookup(others).collect()} == {1: (None, None), 2: (67, 2)}
+    wrong = [(r.place, 1 << 20, r.depth) for r in index.directory(spark).collect()]
+    spark.createDataFrame(wrong, "place int, bucket int, depth int").write.mode("overwrite").parquet(f"{index.path}/directory")
+    assert index.lookup(docs).where("keep_id is not null").count() == 0
+
+
+def test_collisions_chain_and_are_told_apart_by_bytes(spark, monkeypatch):
+    """All texts get one hash: a single chain, whose texts are still told apart."""
+    keyed = exact_index.keyed
+    monkeypatch.setattr(exact_index, "keyed", lambda *args: keyed(*args).withColumn("hash64", F.lit(7).cast("long")))
+    rows = list(enumerate(TEXTS))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, exact_index.exact_duplicates(docs, capacity=2).collect())) == duplicates_of(rows)
+    chain = sorted(r.chain for r in exact_index.build_index(docs, capacity=2).entries(spark).collect())
+    assert chain == list(range(len({t or "" for t in TEXTS})))
+
+
+def test_exact_duplicates_stay_in_the_engine(spark):
+    plan = exact_index.exact_duplicates(table(spark))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan
 
 
 def test_edit_distance_within():
