@@ -2,9 +2,9 @@
 
 A document's set holds its distinct shingles of five words. Documents with equal sets are one class, told by its
 smallest doc_id. Classes that share a band of their minima are candidates. Each bucket first links its members to its
-smallest one. Where that leaves several components in a bucket, they are of one family, and all members of a family
-are compared by their full sets, in blocks of bounded size. So groups of thousands of near copies give a few links a
-document, and no pair of classes in a bucket goes unjudged.
+smallest one. Where that leaves several components in a bucket, all members outside its largest component are compared
+by full sets with all others in it, in blocks of bounded size. So groups of thousands of near copies give a few links
+a document, and no pair of classes in a bucket goes unjudged.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import bit_table, dealt_anew, materialise, may_be_wanted, small_batches, text_of
+from firnline.llm.common import bit_table, dealt_anew, discard, materialise, may_be_wanted, small_batches, text_of
 from firnline.llm.components import connected_components
-from firnline.llm.text_features import string_bytes, word_hashes, words
+from firnline.llm.text_features import mixed, string_bytes, word_hashes, words
 
 SHINGLE = 5
 #: Similarity of three quarters, as a fraction of whole numbers.
@@ -26,7 +26,7 @@ LIKE, OF = 75, 100
 BANDS, ROWS = 32, 4
 #: Pairs whose signatures agree in less than this share are not confirmed: four standard deviations below 0.75.
 LEAST_AGREEMENT = 0.60
-#: Members of a family that are compared with each other at once.
+#: Members of a bucket that are compared with each other at once.
 BLOCK = 512
 #: Bytes of text worked on at once.
 SLICE_BYTES = 1 << 22
@@ -38,13 +38,6 @@ _PLACES = _RANDOM.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2)
 _IN_BAND = _RANDOM.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers whose bits all depend on each other (the finaliser of SplitMix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """The column in pieces of at most `most` bytes, or of one value."""
     _, offsets = string_bytes(column)
@@ -55,28 +48,31 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
         at = end
 
 
-def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each text in ascending order, all in one array, and the n + 1 places where they begin."""
+def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text in ascending order, all in one array, a second hash of each, and the n + 1 places where texts begin."""
     data, offsets = string_bytes(column)
     data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     starts, ends = words(data, offsets)
-    hashes = word_hashes(data, starts, ends)
     first = np.searchsorted(starts, offsets)  # where each text's words begin, and the end
     n = np.diff(first)
-    owner = np.repeat(np.arange(len(n)), np.maximum(n - SHINGLE + 1, (n > 0).astype(int)))
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(np.maximum(n - SHINGLE + 1, (n > 0).astype(int))) - np.maximum(n - SHINGLE + 1, (n > 0).astype(int)), np.maximum(n - SHINGLE + 1, (n > 0).astype(int))) + first[owner]
-    whole = np.append(hashes, np.zeros(SHINGLE, np.uint64))
-    total = np.zeros(len(owner), np.uint64)
+    shingles = np.where(n > 0, np.maximum(n - SHINGLE + 1, 1), 0)
+    owner = np.repeat(np.arange(len(n)), shingles)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(shingles) - shingles, shingles) + first[owner]
     length = np.minimum(n, SHINGLE)[owner]
-    for k in range(SHINGLE):
-        total += np.where(k < length, whole[np.minimum(at + k, len(whole) - 1)], np.uint64(0)) * _PLACES[k]
-    total = mixed(total + length.astype(np.uint64))
+
+    def hashed(which: int) -> np.ndarray:
+        whole = np.append(word_hashes(data, starts, ends, which), np.zeros(SHINGLE, np.uint64))
+        total = np.zeros(len(owner), np.uint64)
+        for k in range(SHINGLE):
+            total += np.where(k < length, whole[np.minimum(at + k, len(whole) - 1)], np.uint64(0)) * _PLACES[k]
+        return mixed(total + length.astype(np.uint64))
+
+    total, second = hashed(0), hashed(1)
     order = np.lexsort((total, owner))
-    total, owner = total[order], owner[order]
+    total, second, owner = total[order], second[order], owner[order]
     keep = np.ones(len(total), bool)
     keep[1:] = (total[1:] != total[:-1]) | (owner[1:] != owner[:-1])
-    total, owner = total[keep], owner[keep]
-    return total, np.searchsorted(owner, np.arange(len(n) + 1))
+    return total[keep], second[keep], np.searchsorted(owner[keep], np.arange(len(n) + 1))
 
 
 def signatures(total: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -90,7 +86,7 @@ def signatures(total: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key1, key2 (a 128-bit hash of the set), signature (a byte of each minimum), bands of each document."""
+    """doc_id, n, key1, key2 (two hashes of the set, 128 bits), signature (a byte of each minimum), bands of each document."""
     small_batches(docs.sparkSession)
     schema = "doc_id long, n long, key1 long, key2 long, signature binary, bands array<long>"
 
@@ -98,14 +94,14 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             parts = []
             for piece in slices(batch.column("text")):
-                total, places = shingle_sets(piece)
+                total, second, places = shingle_sets(piece)
                 summed = lambda x, p=places: np.diff(np.append(np.uint64(0), np.cumsum(x))[p])
                 minima = signatures(total, places)
                 bands = np.zeros((len(piece), BANDS), np.uint64)
                 for k in range(BANDS):
                     own = minima[:, k * ROWS : (k + 1) * ROWS].astype(np.uint64)
                     bands[:, k] = mixed((own * _IN_BAND).sum(1, dtype=np.uint64) + np.uint64(k))
-                parts.append((np.diff(places), summed(total), summed(mixed(total)), minima.astype(np.uint8), bands))
+                parts.append((np.diff(places), summed(total), summed(second), minima.astype(np.uint8), bands))
             n, key1, key2, low, bands = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, int), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty((0, BANDS * ROWS), np.uint8), np.empty((0, BANDS), np.uint64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel().view(np.int64)))
             binary = pa.array([x.tobytes() for x in low], pa.binary())
@@ -141,7 +137,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array(may_be_wanted(maybe, batch.column("doc_id").to_numpy())))
             out = []
             for piece in slices(batch.column("text")):
-                total, places = shingle_sets(piece)
+                total, _, places = shingle_sets(piece)
                 out += [total[a:b].tobytes() for a, b in zip(places[:-1], places[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "shingles"])
 
@@ -187,43 +183,62 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.concat_tables(held)
 
 
-def common_counts(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """For each set in turn, how many elements it shares with each of the sets."""
+def common_counts(sets: list[np.ndarray], chosen: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the chosen sets in turn, how many elements it shares with each of the sets."""
     lengths = np.array([len(x) for x in sets])
     _, number = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(lengths) - lengths
     marked = np.zeros(int(number.max()) + 1, np.int32)
-    for start, length in zip(starts.tolist(), lengths.tolist(), strict=True):
-        own = number[start : start + length]
+    for k in chosen.tolist():
+        own = number[starts[k] : starts[k] + lengths[k]]
         marked[own] = 1
-        yield np.add.reduceat(marked[number], starts)
+        yield k, np.add.reduceat(marked[number], starts)
         marked[own] = 0
 
 
-def family_links(members: DataFrame, sets: DataFrame, like: int = LIKE, of: int = OF, block: int = BLOCK) -> DataFrame:
-    """Links a, b between different components of one family, for members of family, node, component.
+def open_buckets(placed: DataFrame) -> DataFrame:
+    """bucket, base, n_base, n_rest of the buckets of placed (bucket, node, component) that hold several components.
+
+    base is the component with most members in the bucket. Of buckets with the same members one is enough.
+    """
+    own = F.xxhash64("node"), F.xxhash64("node", F.lit(1))
+    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(x).alias(f"x{k}") for k, x in enumerate(own)])
+    most = F.max(F.struct("n", "component"))
+    whole = parts.groupBy("bucket").agg(most.alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("components"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
+    whole = whole.where("components > 1").groupBy("n", "x0", "x1").agg(F.min(F.struct("bucket", "most")).alias("one"))
+    return whole.select("one.bucket", F.col("one.most.component").alias("base"), F.col("one.most.n").alias("n_base"), (F.col("n") - F.col("one.most.n")).alias("n_rest"))
+
+
+def bucket_links(members: DataFrame, sets: DataFrame, like: int = LIKE, of: int = OF, block: int = BLOCK) -> DataFrame:
+    """Links a, b between different components in one bucket, for members of bucket, node, component, base, n_base, n_rest.
 
-    Every two members of a family are compared by their full sets. A family is cut into blocks of about `block`
-    members, and each two blocks meet in a task of their own, which holds these members only and gives no more links
-    than it takes to join what is linked: fewer than it has members.
+    Every two members of a bucket that are of different components are compared by their full sets. Members outside the
+    largest component are cut into blocks of about `block`, and so is that one; each of the former meets each block in
+    a task of its own, which holds these members only and gives no more links than it takes to join what is linked:
+    fewer than it has members. No two blocks of the largest component meet.
     """
-    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    dealt = members.join(sizes, "family").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
+    count = lambda n: F.ceil(F.col(n) / block).cast("int")
+    rest, base, based = count("n_rest"), count("n_base"), F.col("component") == F.col("base")
+    dealt = members.withColumn("rest", rest).withColumn("blocks", rest + base)
+    spread = lambda size: F.pmod(F.xxhash64("node"), size).cast("int")
+    dealt = dealt.withColumn("own", F.when(based, F.col("rest") + spread(F.col("blocks") - F.col("rest"))).otherwise(spread(F.col("rest"))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(based, F.col("rest")).otherwise(F.col("blocks")) - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
     dealt = dealt.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["family", "i", "j"]):
+        for group in groups(batches, ["bucket", "i", "j"]):
             node, root = group.column("node").to_numpy(), group.column("component").to_numpy().copy()
-            side, j = group.column("own").to_numpy(), group.column("j")[0].as_py()
+            if (root == root[0]).all():
+                continue
+            side, i, j = group.column("own").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
             shingles = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in group.column("shingles").chunks for x in chunk]
             size = np.array([len(x) for x in shingles])
             a, b = [], []
-            for x, common in enumerate(common_counts(shingles)):
+            for x, common in common_counts(shingles, np.flatnonzero(side == i)):
                 linked = of * common >= like * (size + size[x] - common)
-                for y in np.flatnonzero(linked & (root != root[x]) & ((side == j) | (side[x] == j))):
+                for y in np.flatnonzero(linked & (root != root[x]) & ((i == j) | (side == j))):
                     if root[y] != root[x]:
                         a.append(node[x])
                         b.append(node[y])
@@ -231,17 +246,19 @@ def family_links(members: DataFrame, sets: DataFrame, like: int = LIKE, of: int
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = dealt.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
+    dealt = dealt.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id (unique), n_shingles, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, kept.
 
     Words are what stands between white space, with A-Z as lower case. A text of fewer than five words has one shingle
     of all of them; one without words, empty or null, has none, is linked with nothing and is kept. Documents are
     linked when their sets share three quarters of their union; component_id is the smallest doc_id that links reach,
-    and that document is kept. An empty table gives no rows; other columns are not read.
+    and that document is kept. Rows of one doc_id have all their texts' links together. A row without doc_id is linked
+    by an equal set only, and kept if that has no doc_id at all (component_id is null then). An empty table gives no
+    rows; other columns are not read.
     """
     sketched = materialise(sketches(docs), "minhash-sketches")
     some = sketched.where("n > 0")
@@ -249,6 +266,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = F.col("doc_id") == F.col("rep")
     known = some.join(classes, ["key1", "key2"]).unionByName(sketched.where("n = 0").withColumn("rep", F.lit(None).cast("long")))
     members = materialise(known.select("doc_id", "n", "rep", F.when(first, F.col("signature")).alias("signature"), F.when(first, F.col("bands")).alias("bands")), "minhash-members")
+    discard(sketched)
     reps = members.where(first)
     banded = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"))
     smallest = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket", "low")
@@ -263,17 +281,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialise(confirmed(tried, sets), "minhash-links")
     components = materialise(connected_components(links), "minhash-components")
     placed = buckets.join(components, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    lowest = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", "low")
-    families = connected_components(placed.join(dealt_anew(lowest), "bucket").select(F.col("component").alias("a"), F.col("low").alias("b")).distinct())
-    family = placed.select("node", "component").distinct().join(families.select(F.col("node").alias("component"), F.col("component").alias("family")), "component")
-    more = materialise(family_links(materialise(family, "minhash-families"), sets), "minhash-links")
+    several = materialise(placed.join(dealt_anew(open_buckets(placed)), "bucket"), "minhash-open")
+    more = materialise(bucket_links(several, sets), "minhash-links")
     if not more.isEmpty():
         components = materialise(connected_components(links.unionByName(more)), "minhash-components")
+    discard(buckets, signed, sets, tried, links, several, more)
     component = F.coalesce("component", "rep", "doc_id")
-    return members.select("doc_id", "n", "rep").join(components, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return members.select("doc_id", "n", "rep").join(components, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, of which one stays for each group of near duplicates."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """The rows of docs, with their columns, of which one stays for each group of near duplicates. Rows without doc_id stay."""
+    kept = near_duplicates(docs.where(F.col("doc_id").isNotNull())).where("kept").select("doc_id").alias("k")
+    left = docs.alias("d")
+    return left.where(F.col("d.doc_id").isNotNull()).join(kept, F.col("d.doc_id") == F.col("k.doc_id"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -27,7 +27,17 @@ for _b in range(256):
     _KIND[_b, _COMMA] = _c == ","
     _KIND[_b, _LINE] = _c == "\n"
 _FLAGS = [np.ascontiguousarray(_KIND[:, k].astype(np.uint8)) for k in range(12)]
-_MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Two random numbers for each byte value at each of PLACES places of a word.
+PLACES = 64
+_NUMBERS = np.random.default_rng(7).integers(0, 1 << 64, (2, PLACES << 8), dtype=np.uint64)
+_PER_BYTE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers whose bits all depend on each other (the finaliser of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,23 +72,30 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 BLOCK_BYTES = 1 << 22
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word; `which` is 0 or 1, for two hashes that do not depend on each other."""
     if not len(starts):
         return np.empty(0, np.uint64)
     lengths = ends - starts
     block = np.cumsum(lengths) // BLOCK_BYTES
     if block[-1] and len(starts) > 1 and block[0] != block[-1]:
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(starts)]
-        return np.concatenate([_hashes(data, starts[a:b], lengths[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-    return _hashes(data, starts, lengths)
+        return np.concatenate([_hashes(data, starts[a:b], lengths[a:b], which) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    return _hashes(data, starts, lengths, which)
+
 
+def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: int) -> np.ndarray:
+    """The sum of a random number for each byte and place, mixed with the length.
 
-def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    Places beyond PLACES mix the number of their stretch into the byte's, so that what two words differ in there does
+    not cancel out either.
+    """
     at = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    source = at + np.repeat(starts, lengths)
-    terms = (data[source].astype(np.uint64) + np.uint64(1)) * _MULTIPLIERS[at & 63] * (np.uint64(2) * (at >> 6).astype(np.uint64) + np.uint64(1))
-    return np.add.reduceat(terms, np.cumsum(lengths) - lengths)
+    terms = _NUMBERS[which][(at & (PLACES - 1)) << 8 | data[at + np.repeat(starts, lengths)]]
+    if int(lengths.max()) > PLACES:
+        far = np.flatnonzero(at >= PLACES)
+        terms[far] = mixed(terms[far] ^ mixed((at[far] // PLACES).astype(np.uint64)))
+    return mixed(np.add.reduceat(terms, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64) * _PER_BYTE)
 
 
 def features(column: pa.Array) -> np.ndarray:

@@ -213,6 +213,51 @@ def test_minhash_equals_brute_force(spark, monkeypatch):
     assert kept.columns == table(spark).columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r[2]}
 
 
+def test_long_words_that_differ_are_not_the_same(spark):
+    """Words of more bytes than the hash has places: what differs in one stretch must not be made up for in another."""
+    base = "m" * 80
+    other = chr(ord("m") + 3) + "m" * 63 + chr(ord("m") - 1) + "m" * 15
+    long = [base, other, "m" * 64, "m" * 128, "m" * 63 + "n" + "m" * 64, "m" * 127 + "n", "n" + "m" * 127]
+    data, offsets = text_features.string_bytes(pa.array(long))
+    starts, ends = text_features.words(data, offsets)
+    for which in (0, 1):
+        assert len(set(text_features.word_hashes(data, starts, ends, which).tolist())) == len(long)
+    texts = [f"{w} q z" for w in long] * 2
+    got = {i: tuple(r)[1:] for i, r in by_id(minhash.near_duplicates(table(spark, texts))).items()}
+    assert got == brute_components(texts)
+
+
+def test_minhash_rows_without_or_with_one_id(spark):
+    rows = [(5, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (None, "other words than those"), (9, "x y z"), (9, "x y z"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, minhash.near_duplicates(docs).collect()))
+    assert got == Counter([(5, 2, 5, True), (7, 2, 5, False), (None, 2, 5, False), (None, 1, None, True), (9, 1, 9, True), (9, 1, 9, True), (None, 0, None, True)])
+    assert Counter(r.doc_id for r in minhash.without_near_duplicates(docs).collect()) == Counter([5, 9, 9, None, None, None])
+
+
+def test_a_bucket_of_several_components_is_compared_within(spark):
+    """Two groups that share every bucket: links between them are found wherever they are, in blocks of any size."""
+    rng = random.Random(21)
+    sets = {i: sorted(rng.sample(range(40), rng.randint(18, 22))) for i in range(60)}
+    component = {i: 0 if i < 40 else i for i in sets}
+    members = spark.createDataFrame([(b, i, component[i], 0, 40, 20) for b in (1, 2) for i in sets], "bucket long, node long, component long, base long, n_base long, n_rest long")
+    stored = spark.createDataFrame([(i, bytearray(np.array(s, np.uint64).tobytes())) for i, s in sets.items()], "doc_id long, shingles binary")
+
+    def joined(links):
+        root = dict(component)
+        for a, b in links:
+            ra, rb = root[a], root[b]
+            root = {k: min(ra, rb) if v in (ra, rb) else v for k, v in root.items()}
+        return root
+
+    near = [(a, b) for a in sets for b in sets if a < b and component[a] != component[b] and 100 * len({*sets[a]} & {*sets[b]}) >= 45 * len({*sets[a]} | {*sets[b]})]
+    for block in (7, 512):
+        found = [(r.a, r.b) for r in minhash.bucket_links(members, stored, 45, 100, block).collect()]
+        assert {tuple(sorted(x)) for x in found} <= set(near) and joined(found) == joined(near)
+    placed = members.select("bucket", "node", "component")
+    assert [tuple(r)[1:] for r in minhash.open_buckets(placed).collect()] == [(0, 40, 20)]  # one of two buckets with the same members
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
