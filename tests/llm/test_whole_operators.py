@@ -1,6 +1,7 @@
 """Cases in which an operator did less than its whole job."""
 
 import random
+import time
 
 import pytest
 
@@ -25,6 +26,38 @@ def test_short_parts_between_kept_ones_stay():
     assert html_extract.main_text(html).split(PROSE)[2].strip() == "Short. one two bare 1"
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<p>x</p><![foo[y]]>", "x"), ("<![>", ""), ("<![ x", ""), ("<![CDATA[a]]><p>b", "b"), ("<!ELEMENT x>y", "y"), ("<!x", ""), ("<!-->a<p>b", "a b"), ("<!--->a", "a"), ("<!-- - --!>a", "a"),
+        ("<p>a</p><!--x", "a"), ("<p>a</p><p class='", "a"), ("<p>a</p", "a"), ("<p>a<?php echo", "a"), ("<p>a<script>b", "a"), ("a &amp b &#", "a & b &#"), ("<", "<"), ("</", ""), ("</>", ""),
+        (f"<form><div><p>{PROSE}</p><p>{PROSE}</p></div></form>", f"{PROSE} {PROSE}"), (f"<form role='form'><article><p>{PROSE}</p></article></form>", PROSE),
+        (f"<div><p>{PROSE}</p><form><p>Write to us, with your name, and we will answer.</p><button>Send</button></form></div>", PROSE),
+        (f'<div class="social-science article"><p>{PROSE}</p></div>', PROSE), (f'<body><div class="menu"><a>n</a></div><div class="sidebar-left main-content"><p>{PROSE}</p></div>', PROSE),
+        (f"<article><p>Let <math><mi>x</mi></math> be, and press <button>OK</button> now. {PROSE}</p></article>", f"Let x be, and press OK now. {PROSE}"),
+    ],
+)
+def test_awkward_markup(html, text):
+    assert html_extract.main_text(html) == text
+
+
+def test_any_markup_is_read():
+    rng = random.Random(13)
+    parts = ["<", ">", "</", "<!", "<![", "]]>", "<!--", "--", "-->", "<?", "?>", "&", "&#x", ";", "'", '"', "=", " ", "/", "\n", "\0", "p", "div", "a href", "article", "script", "b", "form", "table", "tr", "td", "li", "ul", "CDATA[", "DOCTYPE", "text, and more of it", "\u2028", "漢"]
+    for _ in range(3000):
+        html = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+        assert isinstance(html_extract.main_text(html), str)
+        html_extract.main_text(f"<article><p>{PROSE}</p>{html}")
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div class='menu'>", "<b><hr>", "<p>", "<li><article>", "<a>", "<p><button><b>", "<div><p>x, y</p>", "<form>", "<!", "<a b='", "<table><td>"])
+def test_time_grows_with_the_page(unit):
+    """A hundred thousand tags that are left open take seconds, not hours."""
+    start = time.process_time()
+    html_extract.main_text(unit * (100_000 // max(1, unit.count("<"))) + PROSE)
+    assert time.process_time() - start < 20
+
+
 def test_short_lines_are_near_within_one_edit(spark):
     rng = random.Random(5)
     base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(9, 27))).replace(" ", "_") for _ in range(14)]
