@@ -98,4 +98,48 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op8_mixing": r"""
+        WITH sized AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   CAST('0x' || substr(md5('20250:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS draw
+            FROM documents),
+        totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+        placed AS (
+            SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS position, 2.0::DOUBLE * source_size AS most,
+                   [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight
+            FROM totals),
+        leveled AS (
+            SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(most) OVER (ORDER BY most / weight, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                   / sum(weight) OVER (ORDER BY most / weight, position ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM placed),
+        targets AS (
+            SELECT source, position, source_size, CASE WHEN level * weight >= most OR water IS NULL THEN most ELSE least(most, water * weight) END AS target
+            FROM leveled, (SELECT min_by(level, (most / weight, position)) FILTER (level * weight < most) AS water FROM leveled)),
+        quotas AS (
+            SELECT position, count(*) FILTER (place <= house) AS quota
+            FROM (SELECT position, row_number() OVER (ORDER BY target / (2 * s + 1) DESC, position, s) AS place, (SELECT round(sum(target) / 64) FROM targets) AS house
+                  FROM (SELECT position, target, unnest(range(0, CAST(ceil(target / 64) AS BIGINT) + (SELECT count(*) FROM targets) + 2)) AS s FROM targets WHERE target > 0))
+            GROUP BY position),
+        dealt AS (
+            SELECT doc_id, s.source, size, draw, source_size, target, t.position, coalesce(quota, 0) AS quota,
+                   draw % greatest(CAST(ceil(source_size / 1048576) AS BIGINT), 1) AS shard
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN quotas q ON q.position = t.position),
+        shards AS (SELECT position, shard, any_value(quota) AS source_quota, CAST(sum(size) AS BIGINT) AS shard_size, CAST(ceil(sum(size) / 64) AS BIGINT) AS blocks FROM dealt GROUP BY position, shard),
+        seats AS (
+            SELECT position, shard, count(*) FILTER (place <= source_quota) AS quota
+            FROM (SELECT position, shard, source_quota, row_number() OVER (PARTITION BY position ORDER BY shard_size / (2 * s + 1) DESC, shard, s) AS place
+                  FROM (SELECT *, unnest(range(0, 2 * blocks + (SELECT count(*) FROM shards) + 2)) AS s FROM shards WHERE shard_size > 0))
+            GROUP BY position, shard),
+        shares AS (SELECT s.position, s.shard, blocks, least(quota, 2 * blocks) // blocks AS passes, least(quota, 2 * blocks) % blocks AS rest FROM shards s JOIN seats q ON s.position = q.position AND s.shard = q.shard),
+        drawn AS (
+            SELECT *, row_number() OVER (PARTITION BY position, shard ORDER BY draw, block) AS place
+            FROM (SELECT position, shard, rest, block, CAST('0x' || substr(md5('20250:block:' || position || ':' || shard || ':' || block), 1, 15) AS BIGINT) AS draw
+                  FROM (SELECT *, unnest(range(0, blocks)) AS block FROM shares))),
+        ordered AS (SELECT *, row_number() OVER () AS line, coalesce(sum(size) OVER (PARTITION BY position, shard ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM dealt),
+        pieces AS (
+            SELECT line, position, shard, block, least(before + size, (block + 1) * 64) - greatest(before, block * 64) AS words
+            FROM (SELECT *, unnest(range(CAST(before // 64 AS BIGINT), CAST((before + size - 1) // 64 AS BIGINT) + 1)) AS block FROM ordered WHERE size > 0)),
+        once AS (SELECT line, sum(words) AS words FROM pieces JOIN drawn USING (position, shard, block) WHERE place <= rest GROUP BY line)
+        SELECT doc_id, size, source_size, target, CAST(coalesce(passes, 0) * size + coalesce(words, 0) AS BIGINT) AS taken, source
+        FROM ordered o LEFT JOIN shares h ON o.position = h.position AND o.shard = h.shard LEFT JOIN once USING (line)""",
 }
