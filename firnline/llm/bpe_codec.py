@@ -24,6 +24,8 @@ from firnline.llm.common import small_batches, text_of
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pre-tokens whose ids a worker remembers; more are forgotten together, so its memory is bounded.
 REMEMBERED = 1_000_000
+#: About how many bytes those take; very long ones count.
+REMEMBERED_BYTES = 64 << 20
 _NORMAL, _UNKNOWN = 1, 2
 
 
@@ -78,18 +80,22 @@ class Codec:
         import sentencepiece
 
         self.pieces = read_ranks(path)
-        self.shown = dict(enumerate(byte_characters()))
+        self.shown = {b: ord(c) for b, c in enumerate(byte_characters())}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised_model(self.pieces))
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
+        back = {c: b for b, c in self.shown.items()}
+        self.decoded = [bytes(back[ord(c)] for c in self.model.id_to_piece(i)) for i in range(len(self.pieces))]
 
     def _learn(self, pre_tokens: list[str]) -> None:
         encoded = self.model.encode([self._show(t) for t in pre_tokens], num_threads=1)
         self.known.update(zip(pre_tokens, [array("I", ids).tobytes() for ids in encoded], strict=True))
+        self.known_bytes += 5 * sum(map(len, pre_tokens))
 
     def _show(self, pre_token: str) -> str:
         if pre_token.isascii() and pre_token.isprintable():  # only the space is shown as another character
-            return pre_token.replace(" ", self.shown[0x20])
+            return pre_token.replace(" ", chr(self.shown[0x20]))
         return pre_token.encode().decode("latin-1").translate(self.shown)
 
     def encode(self, text: str) -> bytes:
@@ -97,14 +103,16 @@ class Codec:
         pre_tokens = self.split(text)
         known = self.known
         if new := {t for t in pre_tokens if t not in known}:
-            if len(known) + len(new) > REMEMBERED:
+            if len(known) + len(new) > REMEMBERED or self.known_bytes > REMEMBERED_BYTES:
                 known.clear()
+                self.known_bytes = 0
                 new = {*pre_tokens}
             self._learn([*new])
         return b"".join(map(known.__getitem__, pre_tokens))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of the ids: each piece of the model by the inverse of the byte mapping."""
+        return b"".join(map(self.decoded.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(maxsize=2)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import bit_table, materialise, may_be_wanted, small_batches, text_of
+from firnline.llm.common import bit_table, discard, materialise, may_be_wanted, small_batches, text_of
 from firnline.llm.minhash import groups, mixed, slices
 from firnline.llm.suffix_dedup import FIRST_BITS, _BASE, _powers, _sorted_groups, combined
 
@@ -226,7 +226,7 @@ def _live_keys(rows: DataFrame) -> DataFrame:
 
 
 def _line_texts(documents_wanted: np.ndarray, lines_wanted: np.ndarray):
-    """ref, doc_id, number, line of those lines whose bits are set, in those documents whose bits are."""
+    """ref, c, doc_id, number, line of those lines whose bits are set, in those documents whose bits are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,12 +234,13 @@ def _line_texts(documents_wanted: np.ndarray, lines_wanted: np.ndarray):
             doc, done = batch.column("doc_id").to_numpy(), 0
             for piece in slices(batch.column("text")):
                 lines = Lines(piece.to_pylist())
-                ref = reference(lines.hashes())
+                h, c = lines.whole()
+                ref, c = reference(h), c.view(np.int64)
                 chosen = np.flatnonzero(may_be_wanted(lines_wanted, ref))
                 texts = [lines.joined[a:b] for a, b in zip(lines.start[chosen].tolist(), lines.end[chosen].tolist(), strict=True)]
-                columns = [pa.array(ref[chosen]), pa.array(doc[done + lines.text[chosen]]), pa.array(lines.number[chosen]), pa.array(texts, pa.string())]
+                columns = [pa.array(ref[chosen]), pa.array(c[chosen]), pa.array(doc[done + lines.text[chosen]]), pa.array(lines.number[chosen]), pa.array(texts, pa.string())]
                 done += len(piece)
-                yield pa.RecordBatch.from_arrays(columns, ["ref", "doc_id", "number", "line"])
+                yield pa.RecordBatch.from_arrays(columns, ["ref", "c", "doc_id", "number", "line"])
 
     return run
 
@@ -252,37 +253,38 @@ def _histograms(texts: list[str]) -> np.ndarray:
 
 
 def _later_lines(members: DataFrame, tau: int, least_chars: int, block: int = BLOCK) -> DataFrame:
-    """ref of the lines that have a near earlier one in one of their keys: within tau edits, or fewer for short lines.
+    """ref, c of the lines that have a near earlier one in one of their keys: within tau edits, or fewer for short lines.
 
     A key of many lines is cut into blocks; each two blocks meet in a task of their own.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("ref"), "blocks").cast("int")
     dealt = members.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "probe", "ref", "doc_id", "number", "line")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "probe", "ref", "c", "doc_id", "number", "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["key", "i", "j"]):
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            side, probe, ref, doc, number = (group.column(k).to_numpy() for k in ("own", "probe", "ref", "doc_id", "number"))
+            side, probe, ref, c, doc, number = (group.column(k).to_numpy() for k in ("own", "probe", "ref", "c", "doc_id", "number"))
             texts = group.column("line").to_pylist()
             counts, length = _histograms(texts), np.array([len(t) for t in texts])
-            later: set[int] = set()
+            later: set[tuple[int, int]] = set()
             for x in np.flatnonzero(~probe.astype(bool)):
                 most = np.where(np.minimum(length, length[x]) >= least_chars, tau, min(SHORT_TAU, tau))
-                near = (np.abs(counts - counts[x]).sum(1) <= 2 * most) & (np.abs(length - length[x]) <= most) & (ref != ref[x])
+                near = (np.abs(counts - counts[x]).sum(1) <= 2 * most) & (np.abs(length - length[x]) <= most) & ((ref != ref[x]) | (c != c[x]))
                 if i != j:
                     near &= side != side[x]
                 for y in np.flatnonzero(near):
                     second = y if (doc[x], number[x]) < (doc[y], number[y]) else x
-                    if ref[second] not in later and edit_distance_within(texts[x], texts[y], int(most[y])) <= most[y]:
-                        later.add(int(ref[second]))
+                    line = int(ref[second]), int(c[second])
+                    if line not in later and edit_distance_within(texts[x], texts[y], int(most[y])) <= most[y]:
+                        later.add(line)
             if later:
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(later), pa.int64())], ["ref"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sorted(later), strict=True)], ["ref", "c"])
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "probe", "ref")
-    return dealt.mapInArrow(run, "ref long").distinct()
+    return dealt.mapInArrow(run, "ref long, c long").distinct()
 
 
 def repeated_lines(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHARS, short_chars: int = SHORT_CHARS) -> DataFrame:
@@ -300,13 +302,14 @@ def repeated_lines(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHA
     live = materialise(_live_keys(texts.mapInArrow(_segment_keys(tau, least_chars, short_chars), "key long, line long")), "line-keys")
     wanted = live.select("ref").distinct()
     once = occurrences.where("packed % 2 = 0").withColumn("ref", F.col("h").bitwiseAND((1 << 63) - 1))  # the others have an earlier one
-    firsts = once.join(wanted, "ref", "left_semi").groupBy("ref").agg(F.min(F.struct("doc_id", F.shiftright("packed", FIRST_BITS).alias("number"))).alias("at"))
-    firsts = materialise(firsts.select("ref", "at.doc_id", "at.number"), "line-firsts")
-    found = texts.mapInArrow(_line_texts(bit_table(firsts, "doc_id"), bit_table(firsts, "ref")), "ref long, doc_id long, number long, line string")
-    firsts = materialise(found.join(firsts, ["ref", "doc_id", "number"], "left_semi"), "line-texts")
-    members = live.join(firsts, "ref").select("key", "probe", "ref", "doc_id", "number", "line")
+    firsts = once.join(wanted, "ref", "left_semi").groupBy("ref", "c").agg(F.min(F.struct("doc_id", F.shiftright("packed", FIRST_BITS).alias("number"))).alias("at"))
+    firsts = materialise(firsts.select("ref", "c", "at.doc_id", "at.number"), "line-firsts")
+    found = texts.mapInArrow(_line_texts(bit_table(firsts, "doc_id"), bit_table(firsts, "ref")), "ref long, c long, doc_id long, number long, line string")
+    lines = materialise(found.join(firsts, ["ref", "c", "doc_id", "number"], "left_semi"), "line-texts")
+    members = live.join(lines, "ref").select("key", "probe", "ref", "c", "doc_id", "number", "line")
     later = materialise(_later_lines(members, tau, least_chars), "line-near")
-    near = once.join(later, "ref").select("doc_id", F.shiftright("packed", FIRST_BITS).alias("number"), F.lit(True).alias("near"))
+    discard(firsts, lines, live)
+    near = once.join(later, ["ref", "c"]).select("doc_id", F.shiftright("packed", FIRST_BITS).alias("number"), F.lit(True).alias("near"))
     removed = exact.unionByName(near).groupBy("doc_id", "number").agg(F.min("near").alias("near"))
     pick = lambda flag: F.array_sort(F.collect_list(F.when(F.col("near") == flag, F.col("number"))))
     return removed.groupBy("doc_id").agg(pick(False).alias("exact"), pick(True).alias("near"))
@@ -319,7 +322,7 @@ def line_report(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHARS,
     """
     text = text_of()
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
-    found = repeated_lines(docs, tau, least_chars, short_chars).select(F.col("doc_id").alias("_id"), "exact", "near")
+    found = repeated_lines(docs, tau, least_chars, short_chars).select(F.col("doc_id").alias("_id"), "exact", "near")  # counted has no such column
     none = F.array().cast("array<bigint>")
     rows = counted.join(found, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_lines", F.coalesce("exact", none).alias("exact"), F.coalesce("near", none).alias("near"))
     return rows.select("doc_id", "n_lines", F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"), F.array_sort(F.concat("exact", "near")).alias("removed"))
@@ -327,17 +330,20 @@ def line_report(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHARS,
 
 def without_repeated_lines(docs: DataFrame, tau: int = TAU, least_chars: int = LEAST_CHARS, short_chars: int = SHORT_CHARS) -> DataFrame:
     """The rows of docs, with their columns, whose texts have lost their repeated lines. No row goes, null texts stay null."""
-    found = repeated_lines(docs, tau, least_chars, short_chars).select(F.col("doc_id").alias("_id"), F.concat("exact", "near").alias("_removed"))
+    found = repeated_lines(docs, tau, least_chars, short_chars).select("doc_id", F.concat("exact", "near").alias("removed")).alias("f")
     names = docs.columns
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, removed in enumerate(batch.column("_removed")):
+            texts = batch.column(at).to_pylist()
+            for i, removed in enumerate(batch.column(len(names))):
                 if removed.is_valid and texts[i] is not None:
                     gone = set(removed.as_py())
                     texts[i] = "\n".join(line for k, line in enumerate(texts[i].split("\n")) if k not in gone)
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left").select(*names, "_removed").mapInArrow(run, docs.schema)
+    left = docs.alias("d")
+    rows = left.join(found, F.col("d.doc_id") == F.col("f.doc_id"), "left").select("d.*", F.col("f.removed").alias("lines removed by number"))
+    return rows.mapInArrow(run, docs.schema)

@@ -161,7 +161,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     n = known.count()
     if n > sample_rows:
         known = known.where(F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
-    examples = docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_id", "quality", "text")
+    chosen = F.broadcast(known).alias("k")
+    examples = docs.select("doc_id", "text").alias("d").join(chosen, F.col("d.doc_id") == F.col("k._id")).select("k._id", "k.quality", "d.text")
     found = feature_rows(examples, ("_id", "quality")).orderBy("_id").toPandas()
     if not len(found):
         return fit(np.empty((0, len(NAMES))), np.empty(0))
