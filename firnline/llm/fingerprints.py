@@ -1,17 +1,20 @@
 """Document fingerprints from prefix polynomial hashes.
 
 With P[i] = c_0 + c_1 B + ... + c_(i-1) B^(i-1) modulo a prime, any span's hash is (P[j] - P[i]) B^-i, so any two spans
-can be compared, and how far two texts agree from given places is found by binary search. A fingerprint keeps the
-length, the whole hash, the hashes of prefixes and suffixes at multiples of a power of two, and the smallest hashes
-among all spans of SPAN code points.
+can be compared, and how far two texts agree is found by binary search. A fingerprint keeps the length, the whole hash,
+the hashes of prefixes and suffixes at multiples of a power of two, and the smallest hashes among all spans of SPAN code
+points. Where both texts are at hand their likeness takes the longest common beginning and end from the prefix arrays,
+else from the marks that the fingerprints keep.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +28,8 @@ MARKS = 32
 SKETCH = 64
 #: Code points whose prefix hashes are held at once.
 BLOCK = 1 << 20
-#: Neighbourhoods of doc_id; their ends are broadcast, so there are never more than this.
-MOST_BUCKETS = 1 << 16
-BUCKET_ROWS = 256
+#: Ranges of doc_id: rows in one, how many there can be, how many doc_ids decide where they end, bits of ranges without doc_id.
+BUCKET_ROWS, MOST_RANGES, SAMPLED, NULL_BITS = 256, 1 << 14, 1 << 18, 10
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _P = np.uint64(PRIME)
 _31 = np.uint64(31)
@@ -93,6 +95,33 @@ class PrefixHashes:
         return low
 
 
+def common_start(a: np.ndarray, b: np.ndarray, block: int = BLOCK) -> int:
+    """How many code points two texts have in common from their start, by binary search over prefix arrays of a block at a time."""
+    n = min(len(a), len(b))
+    for at in range(0, n, block):
+        ends = min(at + block, n)
+        ours, theirs = ([prefix_hashes(x[at:ends], base) for base in BASES] for x in (a, b))
+        low, high = 0, ends - at
+        if all(p[high] == q[high] for p, q in zip(ours, theirs, strict=True)):
+            continue
+        while low < high:
+            mid = (low + high + 1) // 2
+            if all(p[mid] == q[mid] for p, q in zip(ours, theirs, strict=True)):
+                low = mid
+            else:
+                high = mid - 1
+        return at + low
+    return n
+
+
+def common_ends(a: str, b: str) -> tuple[int, int]:
+    """The lengths of the longest common beginning and end of two texts; together at most the shorter one's."""
+    x, y = code_points(a), code_points(b)
+    begin = common_start(x, y)
+    rest = min(len(x), len(y)) - begin
+    return begin, common_start(x[len(x) - rest :][::-1], y[len(y) - rest :][::-1])
+
+
 def _folded(x: np.ndarray) -> np.ndarray:
     """Congruent to x modulo PRIME and under 2^32, for x < 2^62."""
     return (x & _P) + (x >> _31)
@@ -122,10 +151,11 @@ def fingerprint(text: str) -> str:
         if len(block) >= SPAN:
             spans = _folded(sums[SPAN:] - sums[:-SPAN]) * _table(back, len(block) - SPAN + 1)
             spans = _folded(_folded(_folded(spans)) * np.uint64(0x5DEECE66))  # the last factor makes small ones a fair sample
-            if len(spans) > 32 * SKETCH:
-                few = spans[spans <= np.uint64(PRIME // (len(spans) // (4 * SKETCH)))]
-                spans = few if len(_least(few.astype(np.uint32))) == SKETCH else spans
-            smallest = _least(np.concatenate([smallest, _reduced(spans).astype(np.uint32)]))
+            spans = _reduced(spans).astype(np.uint32)
+            if len(spans) > 32 * SKETCH:  # few of many are so small, and almost always enough
+                few = _least(spans[spans <= np.uint32(PRIME // (len(spans) // (4 * SKETCH)))])
+                spans = few if len(few) == SKETCH else spans
+            smallest = _least(np.concatenate([smallest, spans]))
         here = (places > at) & (places <= at + own)
         at_places[here] = _reduced(_reduced(sums[places[here] - at]) * shift + np.uint64(first))
         first = (first + int(sums[own]) * int(shift)) % PRIME
@@ -158,8 +188,11 @@ def _agreed(a: str, b: str, every_a: int, every_b: int) -> int:
     return low
 
 
-def likeness(a: str, b: str) -> float:
-    """0 to 1 from two fingerprints: the larger of the share that common beginning and end cover, and of the common spans."""
+def likeness(a: str, b: str, ends: tuple[int, int] | None = None) -> float:
+    """0 to 1 from two fingerprints: the larger of the share that common beginning and end cover, and of the common spans.
+
+    ends: the lengths of common beginning and end where they are known; else those of the marks that agree.
+    """
     if a == b:
         return 1.0
     n, step, prefixes, suffixes, sketch = _parsed(a)
@@ -167,8 +200,7 @@ def likeness(a: str, b: str) -> float:
     if not n or not m:
         return 0.0
     unit = max(step, other)
-    begin = unit * _agreed(prefixes, prefixes2, unit // step, unit // other)
-    end = unit * _agreed(suffixes, suffixes2, unit // step, unit // other)
+    begin, end = ends or tuple(unit * _agreed(x, y, unit // step, unit // other) for x, y in ((prefixes, prefixes2), (suffixes, suffixes2)))
     covered = min(begin + end, n, m) / max(n, m)
     ours, theirs = np.frombuffer(bytes.fromhex(sketch), ">u4"), np.frombuffer(bytes.fromhex(sketch2), ">u4")
     both = np.sort(np.concatenate([ours, theirs]).astype(np.uint32))
@@ -178,56 +210,89 @@ def likeness(a: str, b: str) -> float:
     return min(max(covered, common), 1 - 1e-9)
 
 
-def neighbourhoods(docs: DataFrame) -> DataFrame:
-    """doc_id, text, bucket, guest: rows dealt by ranges of doc_id, each with the row that follows its last as guest.
+def _digests(held: tuple, text: str, own: str) -> tuple:
+    """The row of the document in `held` (doc_id, text, fingerprint), whose next has this text and fingerprint."""
+    doc_id, before, print_before = held
+    half = len(before) // 2
+    edited = before[: len(before) - half] + text[:half]
+    print_edited = fingerprint(edited)
+    near = [likeness(print_before, x, common_ends(before, t) if print_before != x else None) for x, t in ((print_edited, edited), (own, text))]
+    return (doc_id, len(before), hashlib.sha256(edited.encode()).hexdigest(), print_before, print_edited, *near)
 
-    Only doc_ids are read to place the ranges, whose ends are at most MOST_BUCKETS rows; whole texts are moved once.
+
+_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+_NAMES = [f.split(" ")[0] for f in SCHEMA.split(", ")]
+
+
+def range_bounds(ids: DataFrame, bucket_rows: int) -> np.ndarray:
+    """Ascending doc_ids that cut ids into ranges of about bucket_rows rows, or more where there would be too many ranges.
+
+    They come from a sample of doc_ids by a hash, of about SAMPLED rows, so the driver gets no more at any size. The
+    sample only decides how even the ranges are.
+    """
+    n = ids.count()
+    if not n:
+        return np.empty(0, np.int64)
+    sample = ids.where(F.pmod(F.xxhash64("doc_id", F.lit("ranges")), F.lit(max(1, n // SAMPLED))) == 0)
+    found = np.unique(sample.toPandas()["doc_id"].to_numpy(np.int64))
+    ranges = min(MOST_RANGES, -(-n // bucket_rows), len(found))
+    return found[np.arange(1, ranges) * len(found) // ranges] if ranges > 1 else np.empty(0, np.int64)
+
+
+def neighbourhoods(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """doc_id, text, range, guest: rows dealt by ranges of doc_id, each with the row that follows its last as guest.
+
+    Ranges are in descending order, those of rows without doc_id, which a hash of the text deals, come last. Whole texts
+    are moved once; the first rows of ranges are broadcast, at most twice MOST_RANGES short rows.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high = low or 0, high or 0
-    rows = max(BUCKET_ROWS, -(-n // (MOST_BUCKETS - 1)))
-    width = max(1, -(-(high - low + 1) * rows // max(n, 1)), -(-(high - low + 1) // (MOST_BUCKETS - 1)))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(0)).cast("long")
-    ends = ids.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("doc_id"))
-    order = Window.orderBy("bucket")
-    after = F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(order))
-    guests = F.broadcast(ends.select(F.col("doc_id").alias("_end"), after.alias("bucket")))
-    rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    visiting = rows_of.join(guests, F.col("doc_id").eqNullSafe(F.col("_end"))).select("doc_id", "text", "bucket", F.lit(True).alias("guest"))
+    text = text_of()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    bounds = range_bounds(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null"), bucket_rows)
+
+    @F.pandas_udf("int")
+    def of_id(ids: pd.Series) -> pd.Series:
+        return pd.Series(len(bounds) - np.searchsorted(bounds, ids.to_numpy(np.int64), "right"), dtype="int32")
+
+    without_id = len(bounds) + 1 + F.shiftrightunsigned("hash", 64 - NULL_BITS).cast("int")
+    number = F.when(F.col("doc_id").isNull(), without_id).otherwise(of_id(F.coalesce("doc_id", F.lit(0))))
+    rows = rows.withColumn("range", number)
+    first = F.max(F.struct("doc_id", F.bitwise_not("hash").alias("not_hash"))).alias("first")  # the largest doc_id, the smallest hash
+    ranges = rows.groupBy("range").agg(first)
+    order = Window.orderBy("range")
+    before = F.coalesce(F.lag("range").over(order), F.last("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    guests = F.broadcast(ranges.select(F.col("first.doc_id").alias("first_id"), F.bitwise_not("first.not_hash").alias("first_hash"), before.alias("host")))
+    visiting = rows.join(guests, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")))
+    visiting = visiting.select("doc_id", "text", "hash", F.col("host").alias("range"), F.lit(True).alias("guest"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = rows_of.select("doc_id", "text", bucket.alias("bucket"), F.lit(False).alias("guest")).unionByName(visiting)
-    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    both = rows.withColumn("guest", F.lit(False)).unionByName(visiting)
+    dealt = both.repartition(parts, "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "hash", "text")
+    return dealt.select("doc_id", "text", "range", "guest")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last half of its code points replaced by as many from the start of the next document, by
     descending doc_id and after the last the first. Null texts count as empty, null doc_ids come last; rows of one
-    doc_id follow each other by text. A single document is its own next. Other columns are not read.
+    doc_id, or without one, follow each other by a hash of their texts. A single document is its own next. An empty
+    table gives no rows. Other columns are not read.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        held = None  # the last row whose next has not come yet: bucket, doc_id, text, fingerprint
+        held = None  # the last row, whose next has not come yet: doc_id, text, fingerprint
+        last = None  # its range
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for doc_id, text, bucket, guest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "guest")), strict=True):
+            out = []
+            for doc_id, text, number, guest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "range", "guest")), strict=True):
+                if guest and (held is None or number != last):  # a guest that has been met
+                    continue
                 own = fingerprint(text)
-                if held is not None and held[0] == bucket:
-                    before, print_before = held[2], held[3]
-                    half = len(before) // 2
-                    edited = before[: len(before) - half] + text[:half]
-                    print_edited = fingerprint(edited)
-                    row = (held[1], len(before), hashlib.sha256(edited.encode()).hexdigest(), print_before, print_edited, likeness(print_before, print_edited), likeness(print_before, own))
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-                held = None if guest else (bucket, doc_id, text, own)
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], [f.split(" ")[0] for f in SCHEMA.split(", ")])
-
-    return neighbourhoods(docs).mapInArrow(run, SCHEMA)
+                if held is not None and number == last:
+                    out.append(_digests(held, text, own))
+                held, last = (None if guest else (doc_id, text, own)), number
+            columns = zip(*out, strict=True) if out else [[]] * len(_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _TYPES, strict=True)], _NAMES)
+
+    return neighbourhoods(docs, bucket_rows).mapInArrow(run, SCHEMA)

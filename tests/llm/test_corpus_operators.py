@@ -150,14 +150,63 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprints(empty(spark)).count() == 0
 
 
-def test_fingerprints_over_many_neighbourhoods(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 3)
-    texts = [f"text number {i} " * (i % 7 + 1) for i in range(40)]
-    rows = spark.createDataFrame([(i * i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
-    got = by_id(fingerprints.fingerprints(rows))
-    for i, t in enumerate(texts):
-        half = len(t) // 2
-        assert got[i * i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + texts[(i - 1) % 40][:half]).encode()).hexdigest()
+def brute_likeness(a, b):
+    """The larger of the shares of common beginning and end, and of the spans, counted one by one."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    least = min(len(a), len(b))
+    begin = next((k for k in range(least) if a[k] != b[k]), least)
+    end = next((k for k in range(least - begin) if a[-1 - k] != b[-1 - k]), least - begin)
+    return (begin + end) / max(len(a), len(b))
+
+
+def test_fingerprints_over_many_ranges(spark):
+    """Ids far apart, an id that lies far out, and texts whose common ends are known."""
+    texts = [f"text number {i} " * (i % 7 + 1) for i in range(60)]
+    ids = [*range(30), *(10**9 + i for i in range(29)), 2**62]
+    rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(4)
+    found = fingerprints.fingerprints(rows, 3).collect()
+    sizes = [r["count"] for r in fingerprints.neighbourhoods(rows, 3).where("not guest").groupBy("range").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 6  # even ranges, though nearly all ids lie in a billionth of their span
+    got = {r.doc_id: r for r in found}
+    assert len(got) == len(found) == 60
+    for k, (i, t) in enumerate(zip(ids, texts, strict=True)):
+        half, following = len(t) // 2, texts[(k - 1) % 60]
+        edited = t[: len(t) - half] + following[:half]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[i].near_edited >= brute_likeness(t, edited) - 1e-8 and got[i].near_next >= brute_likeness(t, following) - 1e-8
+        assert (got[i].near_next == 1) == (t == following)
+
+
+def test_fingerprints_of_rows_without_or_with_one_id(spark):
+    docs = spark.createDataFrame([(None, "a"), (None, "b"), (3, "c"), (3, "c"), (3, None)], "doc_id long, text string")
+    rows = fingerprints.fingerprints(docs, 1).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in rows) == Counter([(None, 1), (None, 1), (3, 1), (3, 1), (3, 0)])
+
+
+def test_common_ends_by_blocks():
+    rng = random.Random(6)
+    for _ in range(200):
+        a = "".join(rng.choice("ab") for _ in range(rng.randint(0, 40)))
+        b = list(a)
+        for _ in range(rng.randint(0, 2)):
+            if b:
+                b[rng.randrange(len(b))] = rng.choice("abc漢")
+        x, y = fingerprints.code_points(a), fingerprints.code_points("".join(b))
+        expected = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+        assert fingerprints.common_start(x, y, 7) == fingerprints.common_start(x, y) == expected
+        begin, end = fingerprints.common_ends(a, "".join(b))
+        assert begin == expected and (a == "".join(b) or begin + end == round(brute_likeness(a, "".join(b)) * max(len(a), 1)))
+
+
+def test_sketches_of_long_texts_are_full():
+    rng = random.Random(2)
+    for n in (100, 2_100, 30_000):
+        text = "".join(chr(rng.randint(97, 122)) for _ in range(n))
+        spans = {text[i : i + fingerprints.SPAN] for i in range(n - fingerprints.SPAN + 1)}
+        assert len(fingerprints._parsed(fingerprints.fingerprint(text))[4]) == 8 * min(fingerprints.SKETCH, len(spans))
 
 
 def test_prefix_hashes_find_extensions():
