@@ -199,13 +199,14 @@ def common_counts(sets: list[np.ndarray], chosen: np.ndarray) -> Iterator[tuple[
 def open_buckets(placed: DataFrame) -> DataFrame:
     """bucket, base, n_base, n_rest of the buckets of placed (bucket, node, component) that hold several components.
 
-    base is the component with most members in the bucket. Of buckets with the same members one is enough.
+    base is the component with most members in the bucket. Of buckets with the same members one is enough, and the two
+    members of a bucket without others have been compared already.
     """
     own = F.xxhash64("node"), F.xxhash64("node", F.lit(1))
     parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(x).alias(f"x{k}") for k, x in enumerate(own)])
     most = F.max(F.struct("n", "component"))
     whole = parts.groupBy("bucket").agg(most.alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("components"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
-    whole = whole.where("components > 1").groupBy("n", "x0", "x1").agg(F.min(F.struct("bucket", "most")).alias("one"))
+    whole = whole.where("components > 1 and n > 2").groupBy("n", "x0", "x1").agg(F.min(F.struct("bucket", "most")).alias("one"))
     return whole.select("one.bucket", F.col("one.most.component").alias("base"), F.col("one.most.n").alias("n_base"), (F.col("n") - F.col("one.most.n")).alias("n_rest"))
 
 

@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firnline.llm.common import materialise, small_batches, text_of
@@ -132,10 +132,10 @@ def _bounded_runs(column: pa.Array, depth: int, gram: int) -> Iterator[tuple[np.
 def _run_rows(depth: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, done, parts = batch.column("doc_id").to_numpy(), 0, []
+            doc, base, done, parts = batch.column("doc_id").to_numpy(), batch.column("base").to_numpy(), 0, []
             for piece in slices(batch.column("text")):
                 for text, first, offset, count, h, c in _bounded_runs(piece, depth, gram):
-                    parts.append((h, c, doc[done + text], first, offset, count))
+                    parts.append((h, c, doc[done + text], base[done + text] + first, offset, count))
                 done += len(piece)
             if parts:
                 yield combined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -196,12 +196,14 @@ def _core_rows(depth: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+            for i, (doc, before) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("base").to_pylist(), strict=True)):
                 data = string_bytes(batch.column("text").slice(i, 1))[0]
                 spans = SpanHashes(data)
                 padded = np.concatenate([np.zeros(STEP - 1, np.uint8), data, np.zeros(STEP - 1, np.uint8)])
                 h, packed = (x.values.to_numpy() for x in (batch.column("grams")[i], batch.column("pending")[i]))
                 first, high, count = unpacked(packed)
+                first, own = first - before, (first >= before) & (first < before + len(data))  # rows of one doc_id get all its runs
+                h, first, high, count = h[own], first[own], high[own], count[own]
                 anchor, low = first + high, high - count + 1
                 for base in range(0, free + 1, STEP):
                     has = np.flatnonzero((low < base + STEP) & (high >= base))
@@ -209,7 +211,7 @@ def _core_rows(depth: int, gram: int):
                     begin, end = anchor[has] - base, anchor[has] + gram + free - base - STEP + 1
                     around = padded[np.concatenate([begin[:, None] + np.arange(STEP - 1), end[:, None] + np.arange(STEP - 1) + STEP - 1], 1)]
                     grams = h[has].view(np.uint64)
-                    parts.append((mixed(spans(begin, end) ^ mixed(grams + np.uint64(base))), grams, np.full(len(has), doc), (anchor[has] - most) << FIRST_BITS | (most - base) << _OFFSET_BITS | (most - least) << _FLAG_BITS, around))
+                    parts.append((mixed(spans(begin, end) ^ mixed(grams + np.uint64(base))), grams, np.full(len(has), doc), (before + anchor[has] - most) << FIRST_BITS | (most - base) << _OFFSET_BITS | (most - least) << _FLAG_BITS, around))
             if parts:
                 h, c, doc, packed, around = (np.concatenate(x) for x in zip(*parts, strict=True))
                 binary = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(np.arange(0, around.size + 1, 2 * STEP - 2, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(around))])
@@ -270,27 +272,45 @@ def _windows_or_runs(key: np.ndarray, h: np.ndarray, doc: np.ndarray, first: np.
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """own_id, text: under new names, so that Spark sees that both joins below deal the same rows out and does it once."""
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("own_id"), text_of().alias("own_text"))
+    """own_id, own_text, base, copies of rows with a doc_id: under new names, so that Spark sees that both joins below deal the same rows out and does it once.
+
+    base is where the row's text begins in its document: 0, but for rows of one doc_id with different texts, which are
+    parts of one document in the order of their texts; repeated rows are one part.
+    """
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("own_id"), text_of().alias("own_text"))
+    again = materialise(rows.groupBy("own_id").count().where("count > 1").select("own_id"), "suffix-repeated")
+    if again.isEmpty():
+        return rows.withColumns({"base": F.lit(0).cast("long"), "copies": F.lit(1).cast("long")})
+    parts = rows.join(again, "own_id", "left_semi").groupBy("own_id", "own_text").agg(F.count(F.lit(1)).alias("copies"))
+    before = Window.partitionBy("own_id").orderBy("own_text").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("base", F.coalesce(F.sum(F.octet_length("own_text")).over(before), F.lit(0)).cast("long"))
+    others = rows.join(again, "own_id", "left_anti").withColumns({"base": F.lit(0).cast("long"), "copies": F.lit(1).cast("long")})
+    return others.unionByName(materialise(parts, "suffix-parts"))
 
 
-def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, packed: the runs of repeated windows; windows first .. first + count - 1 begin strings seen before."""
+def repeated_spans(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
+    """own_id, packed of the texts (own_id, own_text, base): the runs of repeated windows, from the document's start.
+
+    Windows first .. first + count - 1 begin strings seen before.
+    """
     if not 0 < gram <= depth <= 255 or (depth - gram + 1) % STEP:
         raise ValueError(f"depth - gram + 1 must be a multiple of {STEP}, and depth at most 255")
-    small_batches(docs.sparkSession)
-    texts = _texts(docs)
-    settled = materialise(_sorted_groups(texts.toDF("doc_id", "text").mapInArrow(_run_rows(depth, gram), _GROUPED)), "suffix-groups")
+    settled = materialise(_sorted_groups(texts.select("own_id", "own_text", "base").toDF("doc_id", "text", "base").mapInArrow(_run_rows(depth, gram), _GROUPED)), "suffix-groups")
     pending = settled.where("not repeated").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("h").alias("grams"), F.collect_list("packed").alias("pending"))
-    cores = texts.join(pending, F.col("own_id") == F.col("_id")).select(F.col("own_id").alias("doc_id"), F.col("own_text").alias("text"), "grams", "pending").mapInArrow(_core_rows(depth, gram), _GROUPED + ", around binary")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cores = texts.join(pending, F.col("own_id") == F.col("_id")).select(F.col("own_id").alias("doc_id"), F.col("own_text").alias("text"), "base", "grams", "pending").mapInArrow(_core_rows(depth, gram), _GROUPED + ", around binary")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     windows = cores.repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(_window_rows, _GROUPED)
-    return settled.where("repeated").select("doc_id", "packed").unionByName(_sorted_groups(windows).where("repeated").select("doc_id", "packed"))
+    found = settled.where("repeated").select("doc_id", "packed").unionByName(_sorted_groups(windows).where("repeated").select("doc_id", "packed"))
+    return found.withColumnRenamed("doc_id", "own_id")
 
 
-def _kept_parts(text: bytes, packed: np.ndarray, depth: int) -> tuple[list[tuple[int, int]], int]:
-    """The spans of text that stay, and the number of maximal removed spans."""
+def _kept_parts(text: bytes, packed: np.ndarray, depth: int, base: int = 0) -> tuple[list[tuple[int, int]], int]:
+    """The spans of text that stay, and the number of maximal removed spans. base: where the text begins in its document."""
     start, _, count = unpacked(packed)
+    own = (start >= base) & (start < base + len(text))
+    start, count = start[own] - base, count[own]
+    if not len(start):
+        return [(0, len(text))], 0
     order = np.argsort(start, kind="stable")
     start, end = start[order], np.maximum.accumulate((start + count - 1 + depth)[order])
     new = np.ones(len(start), bool)
@@ -304,30 +324,37 @@ def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, with_tex
 
     Each byte covered by a string of `depth` bytes that also starts earlier (smaller doc_id, or same document, earlier
     start) is removed; overlaps count, and the input decides, not what is left. Null texts are empty; texts shorter
-    than depth are kept whole. doc_id is unique; rows without one are kept whole and compared with nothing.
+    than depth are kept whole. Rows of one doc_id are parts of one document, in the order of their texts; matches don't
+    cross parts, and repeated rows are one part, so they keep the same bytes. Rows without doc_id are kept whole and
+    compared with nothing. An empty table gives no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
-    spans = repeated_spans(docs, depth, gram).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("packed").alias("packed"))
+    texts = _texts(docs)
+    spans = repeated_spans(texts, depth, gram).groupBy(F.col("own_id").alias("_id")).agg(F.collect_list("packed").alias("packed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_bytes(batch.column("text"))
             data = data.tobytes()
             rows: list[list] = [[] for _ in range(5)]
-            for i, packed in enumerate(batch.column("packed")):
+            for i, (packed, base) in enumerate(zip(batch.column("packed"), batch.column("base").to_pylist(), strict=True)):
                 text = data[offsets[i] : offsets[i + 1]]
                 removed = 0
                 if packed.is_valid:
-                    parts, removed = _kept_parts(text, packed.values.to_numpy(), depth)
+                    parts, removed = _kept_parts(text, packed.values.to_numpy(), depth, base)
                     kept = b"".join(text[a:b] for a, b in parts)
                 else:
                     kept = text
-                for column, x in zip(rows, (len(text), len(text) - len(kept), removed, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                row = (len(text), len(text) - len(kept), removed, hashlib.sha256(kept).hexdigest(), kept)
+                for column, x in zip(rows, row, strict=True):
                     column.append(x)
             arrays = [batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays(arrays if with_text else arrays[:5], names if with_text else names[:5])
-
-    rows = _texts(docs).join(spans, F.col("own_id") == F.col("_id"), "left").select(F.col("own_id").alias("doc_id"), F.col("own_text").alias("text"), "packed")
-    without_id = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long"), text_of().alias("text"), F.lit(None).cast("array<bigint>").alias("packed"))
-    return rows.unionByName(without_id).mapInArrow(run, SCHEMA + (", kept binary" if with_text else ""))
+            done = pa.RecordBatch.from_arrays(arrays if with_text else arrays[:5], names if with_text else names[:5])
+            copies = batch.column("copies").to_numpy()
+            yield done if (copies == 1).all() else done.take(pa.array(np.repeat(np.arange(len(copies)), copies)))
+
+    schema = SCHEMA + (", kept binary" if with_text else "")
+    rows = texts.join(spans, F.col("own_id") == F.col("_id"), "left").select(F.col("own_id").alias("doc_id"), F.col("own_text").alias("text"), "base", "copies", "packed")
+    without_id = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long"), text_of().alias("text"), F.lit(0).cast("long").alias("base"), F.lit(1).cast("long").alias("copies"), F.lit(None).cast("array<bigint>").alias("packed"))
+    return rows.unionByName(without_id).mapInArrow(run, schema)

@@ -133,6 +133,27 @@ def test_suffix_dedup_keeps_rows_without_id(spark):
     assert got == {1: 299, None: 0}
 
 
+def test_suffix_dedup_of_rows_with_one_id(spark):
+    """Repeated rows keep the same bytes; other rows of one doc_id are parts of one document, in the order of their texts."""
+    rng = random.Random(17)
+    one, two, three = ("".join(rng.choice("abcdef ") for _ in range(n)) for n in (400, 300, 350))
+    rows = [(1, one), (1, one), (2, two), (2, two + one[:250]), (2, three + two[100:]), (3, three), (3, ""), (3, None), (None, one)]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, base int").repartition(3)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.deduplicated(docs, with_text=True).collect())
+
+    seen, expected = {}, Counter([(None, 400, 0, 0, one.encode())])
+    for i in (1, 2, 3):
+        for t in sorted({(t or "").encode() for k, t in rows if k == i}):
+            hit = np.zeros(len(t), bool)
+            for s in range(len(t) - 99):
+                hit[s : s + 100] |= t[s : s + 100] in seen
+                seen[t[s : s + 100]] = True
+            kept = bytes(np.frombuffer(t, np.uint8)[~hit])
+            copies = sum(k == i and (x or "").encode() == t for k, x in rows)
+            expected[(i, len(t), int(hit.sum()), int((np.diff(np.append(0, hit.astype(int))) == 1).sum()), kept)] += copies
+    assert got == expected
+
+
 def test_fingerprints(spark):
     got = by_id(fingerprints.fingerprints(table(spark)))
     n = len(TEXTS)
