@@ -95,22 +95,25 @@ class PrefixHashes:
         return low
 
 
-def common_start(a: np.ndarray, b: np.ndarray, block: int = BLOCK) -> int:
-    """How many code points two texts have in common from their start, by binary search over prefix arrays of a block at a time."""
-    n = min(len(a), len(b))
-    for at in range(0, n, block):
-        ends = min(at + block, n)
-        ours, theirs = ([prefix_hashes(x[at:ends], base) for base in BASES] for x in (a, b))
-        low, high = 0, ends - at
-        if all(p[high] == q[high] for p, q in zip(ours, theirs, strict=True)):
-            continue
-        while low < high:
-            mid = (low + high + 1) // 2
-            if all(p[mid] == q[mid] for p, q in zip(ours, theirs, strict=True)):
-                low = mid
-            else:
-                high = mid - 1
-        return at + low
+def common_start(a: np.ndarray, b: np.ndarray, least: int = 64, most: int = BLOCK) -> int:
+    """How many code points two texts have in common from their start, by binary search over prefix arrays.
+
+    The arrays are made a block at a time, each four times as long as the one before, so texts that soon differ cost little.
+    """
+    n, at, block = min(len(a), len(b)), 0, least
+    while at < n:
+        end = min(at + block, n)
+        ours, theirs = ([prefix_hashes(x[at:end], base) for base in BASES] for x in (a, b))
+        low, high = 0, end - at
+        if any(p[high] != q[high] for p, q in zip(ours, theirs, strict=True)):
+            while low < high:
+                mid = (low + high + 1) // 2
+                if all(p[mid] == q[mid] for p, q in zip(ours, theirs, strict=True)):
+                    low = mid
+                else:
+                    high = mid - 1
+            return at + low
+        at, block = end, min(4 * block, most)
     return n
 
 

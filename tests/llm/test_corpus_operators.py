@@ -217,7 +217,7 @@ def test_common_ends_by_blocks():
                 b[rng.randrange(len(b))] = rng.choice("abc漢")
         x, y = fingerprints.code_points(a), fingerprints.code_points("".join(b))
         expected = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
-        assert fingerprints.common_start(x, y, 7) == fingerprints.common_start(x, y) == expected
+        assert fingerprints.common_start(x, y, 3, 7) == fingerprints.common_start(x, y) == expected
         begin, end = fingerprints.common_ends(a, "".join(b))
         assert begin == expected and (a == "".join(b) or begin + end == round(brute_likeness(a, "".join(b)) * max(len(a), 1)))
 
