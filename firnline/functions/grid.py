@@ -187,6 +187,23 @@ class Albers:
         return F.degrees(F.atan2(x, dy) / n) + self.lon_0, F.degrees(phi)
 
 
+SINUSOIDAL_CRS, ALBERS_CRS, GEOGRAPHIC = "+proj=sinu", "EPSG:5070", ("EPSG:4326", "EPSG:4269")
+
+
+def reprojected(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
+    """A place of one projection in another, over longitude and latitude; the two geographic datums count as one."""
+    if source == target or source in GEOGRAPHIC and target in GEOGRAPHIC:
+        return x, y
+    lonlat = {ALBERS_CRS: lambda: Albers().inverse(x, y), SINUSOIDAL_CRS: lambda: sinusoidal_inverse(x, y)}
+    placed = {ALBERS_CRS: Albers().forward, SINUSOIDAL_CRS: sinusoidal}
+    kind = lambda crs: SINUSOIDAL_CRS if crs.startswith(SINUSOIDAL_CRS) else crs
+    for crs in (source, target):
+        if crs not in GEOGRAPHIC and kind(crs) not in placed:
+            raise QueryError(f"{crs} is none of the projections that can be computed here")
+    lon, lat = (x, y) if source in GEOGRAPHIC else lonlat[kind(source)]()
+    return (lon, lat) if target in GEOGRAPHIC else placed[kind(target)](lon, lat)
+
+
 def combined_extent(grids: DataFrame) -> DataFrame:
     """The bounds of all grids of rows origin_x, origin_y, pixel, cols, rows."""
     east, south = F.col("origin_x") + F.col("cols") * F.col("pixel"), F.col("origin_y") - F.col("rows") * F.col("pixel")

@@ -42,10 +42,15 @@ def completeness_findings(listing: DataFrame, dataset: str, wanted: Sequence[str
     return findings(bad, "dates", dataset, F.col("date").cast("string"), F.concat(F.lit("missing "), F.array_join("missing", ", ")))
 
 
+def latest_date(observations: DataFrame) -> DataFrame:
+    """date: the last one that there is, null if there is none."""
+    return observations.agg(F.max("date").alias("date"))
+
+
 def value_ranges(observations: DataFrame, variables: Sequence[Variable], on: dt.date | None = None) -> DataFrame:
     """variable, unit, minimum, maximum, mean (all scaled), nodata_pct on one date, the latest if none is given."""
     if on is None:
-        on = observations.agg(F.max("date")).first()[0]
+        on = latest_date(observations).first()[0]
         if on is None:
             raise QueryError("there are no ingested dates")
     day = observations.where(F.col("date") == F.lit(on))
@@ -81,6 +86,16 @@ def artifact_findings(manifest: DataFrame, dataset: str, wanted: Mapping[str, in
     return findings(joined.withColumn("_i", issue).where("_i is not null"), "files", dataset, F.col("artifact"), F.col("_i"))
 
 
+def without_pixels(records: DataFrame, burned: DataFrame) -> DataFrame:
+    """triplet of records (triplet) whose basin has no burned pixels (basin)."""
+    return records.select("triplet").join(burned.select(F.col("basin").alias("triplet")), "triplet", "left_anti")
+
+
+def without_record(burned: DataFrame, records: DataFrame) -> DataFrame:
+    """triplet of basins with burned pixels (basin) that have no record (triplet), each once."""
+    return burned.select(F.col("basin").alias("triplet")).distinct().join(records.select("triplet"), "triplet", "left_anti")
+
+
 def basin_findings(dataset: str, records: DataFrame, burned: DataFrame, coverage: DataFrame) -> DataFrame:
     """Findings of basins without pixels, pixels without basin, and incomplete coverage.
 
@@ -88,8 +103,8 @@ def basin_findings(dataset: str, records: DataFrame, burned: DataFrame, coverage
     """
     have = burned.groupBy(F.col("basin").alias("triplet")).agg(F.sum("area_m2").alias("area"))
     checks = [
-        (records.join(have, "triplet", "left_anti"), "no raster"),
-        (have.join(records, "triplet", "left_anti"), "orphan raster"),
+        (without_pixels(records, burned), "no raster"),
+        (without_record(burned, records), "orphan raster"),
         (coverage.where("coverage = 'partial'"), "partial coverage"),
         (coverage.where("coverage = 'none'"), "no coverage"),
         (have.where("coalesce(area, 0) <= 0"), "empty basin: it does not meet the grid, or is all masked"),
@@ -97,14 +112,18 @@ def basin_findings(dataset: str, records: DataFrame, burned: DataFrame, coverage
     return reduce(DataFrame.unionByName, [findings(rows, "pourpoints", dataset, F.col("triplet"), F.lit(issue)) for rows, issue in checks])
 
 
-#: The checks in the order in which their findings are told.
+#: The checks in the order in which their findings are told; one that is not among them comes after, by name.
 CHECKS = ("grid", "dates", "files", "pourpoints")
 
 
 def health(checks: Mapping[str, Callable[[], DataFrame]], chosen: Sequence[str] | None = None) -> DataFrame:
-    """The findings of the chosen checks (each once, in the order of CHECKS), sorted within each."""
-    names = list(dict.fromkeys(chosen or CHECKS))
-    if unknown := [n for n in names if n not in CHECKS]:
-        raise QueryError(f"unknown check {', '.join(unknown)}; there are {', '.join(CHECKS)}")
-    parts = [checks[n]().withColumn("_k", F.lit(CHECKS.index(n))) for n in CHECKS if n in names and n in checks]
+    """The findings of the chosen checks (each once, in the order of CHECKS), sorted within each.
+
+    checks: functions that give findings, by name; a new check is one more entry.
+    """
+    known = [*CHECKS, *sorted(set(checks) - set(CHECKS))]
+    names = list(dict.fromkeys(chosen or known))
+    if unknown := [n for n in names if n not in known]:
+        raise QueryError(f"unknown check {', '.join(unknown)}; there are {', '.join(known)}")
+    parts = [checks[n]().withColumn("_k", F.lit(k)) for k, n in enumerate(known) if n in names and n in checks]
     return reduce(DataFrame.unionByName, parts).orderBy("_k", "dataset", "target", "issue").drop("_k")

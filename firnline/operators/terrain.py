@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firnline.functions.grid import Grid
@@ -17,35 +19,57 @@ FLAT_DEGREES = 2.0
 NORTH, EAST, SOUTH, WEST, FLAT = range(5)
 
 
-def neighbours(fine: DataFrame, value: str = "z", strip: int = 4096, by: Sequence[str] = ()) -> DataFrame:
-    """row, col, value and the eight values around it as n_{-1,0,1}{-1,0,1}; null where a neighbour is absent or not finite.
+#: Pixels along the edge of a block of the stencil.
+BLOCK = 1024
 
-    Each pixel is sent to the (at most nine) places beside it and the nine meet in an aggregation, so rows and columns
-    of any length need no window over a whole line.
-    """
-    good = F.when(F.isnan(value) | (F.abs(F.col(value)) == float("inf")), None).otherwise(F.col(value))
-    shifts = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)])
-    sent = fine.select(*by, "row", "col", good.alias("_v"), F.explode(shifts).alias("_s"))
-    sent = sent.select(*by, (F.col("row") + F.col("_s.dr")).alias("row"), (F.col("col") + F.col("_s.dc")).alias("col"), (-F.col("_s.dr")).alias("dr"), (-F.col("_s.dc")).alias("dc"), "_v")
-    terms = [F.max(F.when((F.col("dr") == dr) & (F.col("dc") == dc), F.col("_v"))).alias(f"n_{dr + 1}{dc + 1}") for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
-    here = F.max((F.col("dr") == 0) & (F.col("dc") == 0))
-    return sent.groupBy(*by, "row", "col").agg(*terms, here.alias("_here")).where("_here").drop("_here")
 
+def haloed_blocks(fine: DataFrame, block: int = BLOCK, by: Sequence[str] = ()) -> DataFrame:
+    """fine with _br, _bc: the block that each row is for. Pixels at a block's edge go to the blocks beside it as well.
 
-def slope_aspect(fine: DataFrame, pixel_x: float, pixel_y: float, value: str = "z", by: Sequence[str] = ()) -> DataFrame:
+    All others go to their own block only, so hardly more rows are moved than there are pixels.
+    """
+    steps = lambda c: F.when(F.pmod(F.col(c), F.lit(block)) == 0, F.array(F.lit(-1), F.lit(0))).when(F.pmod(F.col(c), F.lit(block)) == block - 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    if block == 1:
+        steps = lambda c: F.array(F.lit(-1), F.lit(0), F.lit(1))
+    own = fine.withColumns({"_r": F.floor(F.col("row") / block).cast("int"), "_c": F.floor(F.col("col") / block).cast("int")})
+    edge = lambda c: (F.pmod(F.col(c), F.lit(block)) == 0) | (F.pmod(F.col(c), F.lit(block)) == block - 1)
+    at_edge = edge("row") | edge("col")
+    inner = own.where(~at_edge).withColumns({"_br": F.col("_r"), "_bc": F.col("_c")})
+    outer = own.where(at_edge).withColumn("_dr", F.explode(steps("row"))).withColumn("_dc", F.explode(steps("col")))
+    outer = outer.withColumns({"_br": F.col("_r") + F.col("_dr"), "_bc": F.col("_c") + F.col("_dc")}).drop("_dr", "_dc")
+    return inner.unionByName(outer).drop("_r", "_c")
+
+
+def slope_aspect(fine: DataFrame, pixel_x: float, pixel_y: float, value: str = "z", by: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """row, col, z, slope and aspect in degrees, by Horn's weights; null where one of the nine values is missing.
 
-    Aspect is the direction that the ground falls to, clockwise from north.
+    Aspect is the direction that the ground falls to, clockwise from north. Pixels meet in square blocks with a rim of
+    one pixel around them, and the stencil runs over a block as an array.
     """
-    n = {f"{r}{c}": F.col(f"n_{r}{c}") for r in range(3) for c in range(3)}
-    dx = ((n["02"] + 2 * n["12"] + n["22"]) - (n["00"] + 2 * n["10"] + n["20"])) / (8 * pixel_x)
-    dy = ((n["20"] + 2 * n["21"] + n["22"]) - (n["00"] + 2 * n["01"] + n["02"])) / (8 * pixel_y)
-    whole = F.lit(True)
-    for c in n.values():
-        whole = whole & c.isNotNull()
-    turned = F.degrees(F.atan2(-dx, dy))  # the gradient's north part is -dy
-    around = neighbours(fine, value, by=by)
-    return around.select(*by, "row", "col", n["11"].alias("z"), F.when(whole, F.degrees(F.atan(F.hypot(dx, dy)))).alias("slope"), F.when(whole, F.pmod(turned, F.lit(360.0))).alias("aspect"))
+    good = F.when(~F.isnan(value) & (F.abs(F.col(value)) != float("inf")), F.col(value).cast("double"))
+    rows = fine.select(*by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), good.alias("z"))
+    keys = {c: t for c, t in fine.dtypes if c in by}
+    schema = "".join(f"`{c}` {keys[c]}, " for c in by) + "row int, col int, z double, slope double, aspect double"
+
+    def run(group: pa.Table) -> pa.Table:
+        row, col = (group.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
+        top, left = group.column("_br")[0].as_py() * block, group.column("_bc")[0].as_py() * block
+        area = np.full((block + 2, block + 2), np.nan)
+        area[row - top + 1, col - left + 1] = group.column("z").to_numpy(zero_copy_only=False)
+        n = {(i, j): area[i : i + block, j : j + block] for i in range(3) for j in range(3)}
+        dx = ((n[0, 2] + 2 * n[1, 2] + n[2, 2]) - (n[0, 0] + 2 * n[1, 0] + n[2, 0])) / (8 * pixel_x)
+        dy = ((n[2, 0] + 2 * n[2, 1] + n[2, 2]) - (n[0, 0] + 2 * n[0, 1] + n[0, 2])) / (8 * pixel_y)
+        dx[np.isnan(n[1, 1])] = np.nan
+        own = np.flatnonzero((row >= top) & (row < top + block) & (col >= left) & (col < left + block))
+        i, j = row[own] - top, col[own] - left
+        dx, dy = dx[i, j], dy[i, j]
+        slope, aspect = np.degrees(np.arctan(np.hypot(dx, dy))), np.degrees(np.arctan2(-dx, dy)) % 360.0  # the gradient's north part is -dy
+        aspect[aspect == 360.0] = 0.0  # a negative turn too small to tell from none
+        found = group.take(pa.array(own))
+        out = [found.column(c) for c in (*by, "row", "col", "z")] + [pa.array(x, from_pandas=True) for x in (slope, aspect)]
+        return pa.Table.from_arrays(out, names=[*by, "row", "col", "z", "slope", "aspect"])
+
+    return haloed_blocks(rows, block, by).groupBy(*by, "_br", "_bc").applyInArrow(run, schema)
 
 
 def aspect_class(slope: Column, aspect: Column, flat: float = FLAT_DEGREES) -> Column:
@@ -123,17 +147,3 @@ def resampled(fine: DataFrame, grid: Grid, target: DataFrame, value: str = "z")
     source = fine.select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col(value).alias("_value"))
     summed = each.join(source, ["_row", "_col"], "left").groupBy("row", "col", "x", "y").agg(F.sum(F.when(F.col("_value").isNotNull(), F.col("_w") * F.col("_value"))).alias("_s"), F.sum(F.when(F.col("_value").isNotNull(), F.col("_w"))).alias("_n"))
     return summed.select("row", "col", "x", "y", (F.col("_s") / F.nullif(F.col("_n"), F.lit(0.0))).alias(value))
-
-
-def slope_by_lines(fine: DataFrame, pixel_x: float, pixel_y: float, value: str = "z") -> DataFrame:
-    """As slope_aspect, by windows along rows and then columns: less shuffled where lines are short and pixels dense."""
-    along, down = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
-    beside = lambda f, c, w, key, step: F.when(f(key).over(w) == F.col(key) + step, f(c).over(w))
-    first = fine.select("row", "col", F.col(value).alias("m"), beside(F.lag, value, along, "col", -1).alias("l"), beside(F.lead, value, along, "col", 1).alias("r"))
-    cols = {}
-    for name in ("l", "m", "r"):
-        cols[f"t{name}"], cols[f"b{name}"] = beside(F.lag, name, down, "row", -1), beside(F.lead, name, down, "row", 1)
-    full = first.withColumns(cols)
-    dx = ((F.col("tr") + 2 * F.col("r") + F.col("br")) - (F.col("tl") + 2 * F.col("l") + F.col("bl"))) / (8 * pixel_x)
-    dy = ((F.col("bl") + 2 * F.col("bm") + F.col("br")) - (F.col("tl") + 2 * F.col("tm") + F.col("tr"))) / (8 * pixel_y)
-    return full.select("row", "col", F.col("m").alias("z"), F.degrees(F.atan(F.hypot(dx, dy))).alias("slope"), F.pmod(F.degrees(F.atan2(-dx, dy)), F.lit(360.0)).alias("aspect"))

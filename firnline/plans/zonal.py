@@ -108,7 +108,8 @@ def in_zone_geometry(aoi: DataFrame, zone_pixels: DataFrame, axes: Sequence[Axis
     tiles = [F.col("tile_id")] if "tile_id" in aoi.columns else []
     if axes:
         columns = sorted({axis.layer.column for axis in axes})
-        ground = ground.join(zone_pixels.select("pixel_id", *columns), "pixel_id")
+        at = ["tile_id", "pixel_id"] if tiles and "tile_id" in zone_pixels.columns else ["pixel_id"]
+        ground = ground.join(zone_pixels.select(*at, *columns), at)
     numbered = ground.select("basin", "pixel_id", "area_m2", *tiles, *[axis.ordinal.alias(f"o{k}") for k, axis in enumerate(axes)])
     for k in range(len(axes)):
         numbered = numbered.where(F.col(f"o{k}") >= 0)
@@ -129,15 +130,17 @@ def weighted(value: Column, area: Column) -> Column:
 def reductions(observations: DataFrame, geometry: DataFrame, variables: Sequence[Variable]) -> DataFrame:
     """basin, date, cell and each variable's unscaled statistic, from wide observations (date, pixel_id, a column each).
 
-    Spark chooses the join by the size of the geometry it finds: broadcast when small, shuffled when not.
+    Spark chooses the join by the size of the geometry it finds: broadcast when small, shuffled when not. Where both
+    sides know their tiles these are part of the join's key.
     """
+    at = [c for c in ("tile_id", "pixel_id") if c == "pixel_id" or c in observations.columns and c in geometry.columns]
     terms = []
     for v in variables:
         has_data = v.source.isNotNull() & (v.source != F.lit(v.nodata))
         terms.append(F.sum(F.when(has_data, weighted(v.source, F.col("area_m2")))).alias(f"w_{v.key}"))
         terms.append(F.sum(F.when(has_data, F.col("area_m2").cast("double"))).alias(f"a_{v.key}"))
     columns = dict.fromkeys(v.column or v.key for v in variables)
-    joined = observations.select("date", "pixel_id", *columns).join(geometry.select("basin", "pixel_id", "area_m2", "cell"), "pixel_id")
+    joined = observations.select("date", *at, *columns).join(geometry.select("basin", *at, "area_m2", "cell"), at)
     sums = joined.groupBy("basin", "date", "cell").agg(*terms)
     return sums.select("basin", "date", "cell", *[REDUCERS[v.reducer](F.col(f"w_{v.key}"), F.col(f"a_{v.key}")).alias(v.stat) for v in variables])
 
@@ -182,10 +185,11 @@ def zonal_stats(
     geometry = in_zone_geometry(aoi, zone_pixels if zone_pixels is not None else aoi, axes, mask)
     areas = cell_areas(geometry)
     cells = F.broadcast(cells_frame(spark, axes))  # at most max_cells rows
-    basins = aoi.select("basin").distinct()
-    spine_cells = basins.crossJoin(cells).join(areas, ["basin", "cell"], "left").withColumn("area_m2", F.coalesce("area_m2", F.lit(0.0)))
-    if not include_empty and axes:
-        spine_cells = spine_cells.where("area_m2 > 0")
+    if include_empty or not axes:
+        basins = aoi.select("basin").distinct()
+        spine_cells = basins.crossJoin(cells).join(areas, ["basin", "cell"], "left").withColumn("area_m2", F.coalesce("area_m2", F.lit(0.0)))
+    else:  # only cells that have ground
+        spine_cells = areas.where("area_m2 > 0").join(cells, "cell").select("basin", *cells.columns, "area_m2")
     days = (available if available is not None else observations).where(dates.predicate(F.col("date"))).select("date").distinct()
     reduced = reductions(observed, geometry, chosen)
     spine = spine_cells.crossJoin(days)
@@ -199,11 +203,21 @@ def ordered(result: ZonalResult) -> DataFrame:
     return result.rows.orderBy("basin", "date", "cell")
 
 
+def resolved(listing: DataFrame) -> DataFrame:
+    """date, variable, files: how many files each variable of a date stands in, of a listing (date, variable)."""
+    return listing.groupBy("date", "variable").agg(F.count(F.lit(1)).alias("files"))
+
+
+def first_present(listing: DataFrame) -> DataFrame:
+    """The first entry of a listing (date, variable): of the earliest date, the first variable by name."""
+    return listing.select("date", "variable").where("date is not null and variable is not null").orderBy("date", "variable").limit(1)
+
+
 def completeness(listing: DataFrame, wanted: Sequence[str], dates: DateQuery | None = None) -> DataFrame:
     """date, missing: dates of a listing (date, variable) that lack a wanted variable or have it more than once."""
-    found = listing if dates is None else listing.where(dates.predicate(F.col("date")))
-    once = found.groupBy("date").agg(*[F.count_if(F.col("variable") == v).alias(f"n{i}") for i, v in enumerate(sorted(set(wanted)))])
-    missing = F.filter(F.array(*[F.when(F.col(f"n{i}") != 1, F.lit(v)) for i, v in enumerate(sorted(set(wanted)))]), lambda x: x.isNotNull())
+    found = resolved(listing if dates is None else listing.where(dates.predicate(F.col("date"))))
+    once = found.groupBy("date").agg(*[F.sum(F.when(F.col("variable") == v, F.col("files"))).alias(f"n{i}") for i, v in enumerate(sorted(set(wanted)))])
+    missing = F.filter(F.array(*[F.when(F.coalesce(f"n{i}", F.lit(0)) != 1, F.lit(v)) for i, v in enumerate(sorted(set(wanted)))]), lambda x: x.isNotNull())
     return once.select("date", missing.alias("missing")).where(F.size("missing") > 0)
 
 

@@ -164,8 +164,8 @@ _add("p1_open_start", _one_basin_dates(DateRange(None, dt.date(1995, 12, 31))),
 _add("p1_open_end", _one_basin_dates(DateRange(dt.date(2001, 1, 1))), f"WITH {OBS_SQL} SELECT DISTINCT date FROM obs WHERE date >= DATE '2001-01-01'")
 _add("p3_day_of_year", _one_basin_dates(APRIL_1), f"WITH {OBS_SQL} SELECT DISTINCT date FROM obs WHERE {_PREDICATE['april']}")
 _add("p3_leap_day", _one_basin_dates(DayOfYear(2, 29, 1995, 2001)), f"WITH {OBS_SQL} SELECT DISTINCT date FROM obs WHERE month(date) = 2 AND day(date) = 29 AND year(date) BETWEEN 1995 AND 2001")
-_add("s3_available_dates", lambda s, d: observations(s, d).select("date").distinct(), f"WITH {OBS_SQL} SELECT DISTINCT date FROM obs")
-_add("o3_latest_date", lambda s, d: observations(s, d).agg(F.max("date").alias("date")), f"WITH {OBS_SQL} SELECT max(date) AS date FROM obs")
+_add("s3_available_dates", _one_basin_dates(DateRange()), f"WITH {OBS_SQL} SELECT DISTINCT date FROM obs")
+_add("o3_latest_date", lambda s, d: D.latest_date(observations(s, d)), f"WITH {OBS_SQL} SELECT max(date) AS date FROM obs")
 
 
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +173,8 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LISTING = "listing AS (SELECT CAST(l_shipdate AS DATE) AS date, l_returnflag AS variable FROM lineitem)"
-_add("s4_resolve_variables", lambda s, d: _listing(s, d).groupBy("date", "variable").agg(F.count(F.lit(1)).alias("files")), f"WITH {_LISTING} SELECT date, variable, count(*) AS files FROM listing GROUP BY ALL")
+_add("o4_first_present", lambda s, d: Z.first_present(_listing(s, d)), f"WITH {_LISTING} SELECT date, variable FROM listing ORDER BY date, variable LIMIT 1")
+_add("s4_resolve_variables", lambda s, d: Z.resolved(_listing(s, d)), f"WITH {_LISTING} SELECT date, variable, count(*) AS files FROM listing GROUP BY ALL")
 _add(
     "j15_completeness",
     lambda s, d: Z.completeness(_listing(s, d), ["A", "N", "R"]).select("date", F.array_join("missing", ",").alias("missing")),
@@ -274,9 +275,15 @@ def _result(spark: SparkSession, sf_dir: str, dates=APRIL_1, variables=(DISC, QT
 _LONG = f"WITH r AS ({_zonal_sql('april', f'{_DISC}, {_MEAN}', [_FOREST])}) "
 _add("a9_long_rows", lambda s, d: O.long_rows(_result(s, d)), _LONG + "SELECT basin, date, cell, 'mean_disc_pct' AS variable, mean_disc_pct AS value FROM r UNION ALL SELECT basin, date, cell, 'mean_qty_ea', mean_qty_ea FROM r")
 _add("a9_variable_pivot", lambda s, d: O.pivoted(O.long_rows(_result(s, d)), ["date", "cell"], ["mean_disc_pct", "mean_qty_ea"]), _LONG + "SELECT date, cell, mean_disc_pct, mean_qty_ea FROM r")
-_add("a10_compact_matrix", lambda s, d: O.matrix(_result(s, d)).select("basin", "date", F.to_json("values").alias("values")))
-_add("s24_csv_rows", lambda s, d: O.csv_columns(_result(s, d)))
-_add("s25_compact_json", lambda s, d: O.matrix(_result(s, d)).select(F.to_json(F.struct("date", "values")).alias("json")))
+_MATRIX = "'[' || string_agg('[' || coalesce(CAST(mean_disc_pct AS VARCHAR), 'null') || ',' || coalesce(CAST(mean_qty_ea AS VARCHAR), 'null') || ']', ',' ORDER BY cell) || ']'"
+_add("a10_compact_matrix", lambda s, d: O.matrix(_result(s, d)).select("basin", "date", F.to_json("values").alias("values")), _LONG + f'SELECT basin, date, {_MATRIX} AS "values" FROM r GROUP BY basin, date')
+_add(
+    "s24_csv_rows",
+    lambda s, d: O.csv_columns(_result(s, d)),
+    _LONG + """SELECT CAST(date AS VARCHAR) AS date, CASE o0 WHEN 0 THEN 'unforested' ELSE 'forested' END AS "landcover.forest_cover_side", '50' AS "landcover.forest_cover_threshold_%", CAST(area_m2 AS VARCHAR) AS area_m2,
+        coalesce(CAST(mean_disc_pct AS VARCHAR), '') AS mean_disc_pct, coalesce(CAST(mean_qty_ea AS VARCHAR), '') AS mean_qty_ea FROM r""",
+)
+_add("s25_compact_json", lambda s, d: O.matrix(_result(s, d)).select(F.to_json(F.struct("date", "values")).alias("json")), _LONG + f"""SELECT '{{"date":"' || date || '","values":' || {_MATRIX} || '}}' AS json FROM r GROUP BY basin, date""")
 
 
 def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,6 +320,11 @@ n AS (SELECT a.r, a.c, any_value(a.z) AS z, count(b.z) AS n, max(b.z) FILTER (b.
 g AS (SELECT r, c, n, ((z02 + 2 * z12 + z22) - (z00 + 2 * z10 + z20)) / 80 AS dx, ((z20 + 2 * z21 + z22) - (z00 + 2 * z01 + z02)) / 80 AS dy FROM n),
 s AS (SELECT CAST(r AS INT) AS "row", CAST(c AS INT) AS col, CASE WHEN n = 9 THEN degrees(atan(sqrt(dx * dx + dy * dy))) END AS slope, CASE WHEN n = 9 THEN (degrees(atan2(-dx, dy)) + 360) % 360 END AS aspect FROM g) """
 _add("w1_horn_slope", lambda s, d: T.slope_aspect(_surface(s, d), 10, 10).select("row", "col", F.round("slope", 6).alias("slope"), F.round("aspect", 6).alias("aspect")), _HORN + 'SELECT "row", col, round(slope, 6) AS slope, round(aspect, 6) AS aspect FROM s')
+_add(
+    "w2_default_flat",
+    lambda s, d: T.slope_aspect(_surface(s, d), 500, 500).select("row", "col", T.aspect_class(F.col("slope"), F.col("aspect")).alias("cls")),
+    _HORN.replace("/ 80", "/ 4000e0") + 'SELECT "row", col, CAST(CASE WHEN slope IS NULL THEN -1 WHEN slope < 2 THEN 4 WHEN aspect >= 315 OR aspect < 45 THEN 0 WHEN aspect < 135 THEN 1 WHEN aspect < 225 THEN 2 ELSE 3 END AS INT) AS cls FROM s',
+)
 _add(
     "w2_aspect_class",
     lambda s, d: T.slope_aspect(_surface(s, d), 10, 10).select("row", "col", T.aspect_class(F.col("slope"), F.col("aspect"), 60.0).alias("cls")),
@@ -356,8 +368,8 @@ def _drift(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _DRIFT = f"WITH {_STATIONS}, rec AS (SELECT triplet FROM stations WHERE s_suppkey % 4 <> 0), burned AS (SELECT triplet, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 1 END AS area FROM stations WHERE s_suppkey % 3 <> 0) "
-_add("j9_record_without_raster", lambda s, d: _drift(s, d)[0].join(_drift(s, d)[1].select(F.col("basin").alias("triplet")), "triplet", "left_anti"), _DRIFT + "SELECT triplet FROM rec EXCEPT SELECT triplet FROM burned")
-_add("j9_raster_without_record", lambda s, d: _drift(s, d)[1].select(F.col("basin").alias("triplet")).join(_drift(s, d)[0], "triplet", "left_anti"), _DRIFT + "SELECT triplet FROM burned EXCEPT SELECT triplet FROM rec")
+_add("j9_record_without_raster", lambda s, d: D.without_pixels(*_drift(s, d)), _DRIFT + "SELECT triplet FROM rec EXCEPT SELECT triplet FROM burned")
+_add("j9_raster_without_record", lambda s, d: D.without_record(*_drift(s, d)[::-1]), _DRIFT + "SELECT triplet FROM burned EXCEPT SELECT triplet FROM rec")
 
 
 def _basin_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,7 +478,7 @@ def _offsets(tiles: DataFrame) -> DataFrame:
     return tiles.select("h", "v").distinct().select("h", "v", (F.col("v") * 20).alias("row_off"), (F.col("h") * 25).alias("col_off"))
 
 
-_add("s15_mosaic_offsets", lambda s, d: I.mosaic(_tiles(s, d), _offsets(_tiles(s, d)), 255), f'WITH {PIXELS_SQL} SELECT CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, CAST(forest_cover AS INT) AS value FROM pixels WHERE "row" < 40 AND NOT (col >= 25 AND "row" >= 20) AND forest_cover <> 255')
+_add("s15_mosaic_offsets", lambda s, d: I.mosaic(_tiles(s, d), _offsets(_tiles(s, d)), 255), f'WITH {PIXELS_SQL} SELECT CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, CAST(forest_cover AS INT) AS value FROM pixels WHERE NOT (col >= 25 AND "row" BETWEEN 20 AND 39) AND forest_cover <> 255')
 
 
 def _skip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -479,7 +491,7 @@ def _skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("s21_skip_decision", _skip, f"WITH {_ORDER_DAYS} SELECT date, CASE WHEN month(date) % 2 = 0 AND day(date) % 3 <> 0 THEN 'skip' ELSE 'write' END AS action FROM days")
 _add(
     "a20_tiles_by_date",
-    lambda s, d: _read(s, d, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("tiles"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("kinds")),
+    lambda s, d: I.tiles_by_date(_read(s, d, "lineitem").withColumn("date", F.col("l_shipdate").cast("date")), F.col("l_returnflag"), F.col("l_suppkey"), F.col("l_linenumber")).select("date", F.col("n").alias("tiles"), F.array_join("kinds", ",").alias("kinds")),
     "SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS tiles, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS kinds FROM lineitem GROUP BY 1",
 )
 
@@ -494,5 +506,21 @@ def _geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("f36_source_classify", lambda s, d: B.parse_records(_geojson(s, d)).select("path", "status", "triplet"), f"WITH {_STATIONS} SELECT name AS path, ['skipped', 'invalid', 'invalid', 'import'][s_suppkey % 4 + 1] AS status, CASE WHEN s_suppkey % 4 <> 1 THEN triplet END AS triplet FROM stations")
-_add("s27_index_features", lambda s, d: B.feature_json(_covered(s, d).select("triplet", "name", "lon", "lat", F.lit(1.5).alias("area_meters"), F.lit("h").alias("geometry_hash"), "coverage")))
-_add("s11_archive_problems", lambda s, d: N.snodas_problems(N.snodas_names(_snodas_stems(s, d)).withColumn("archive", F.col("o_orderkey") % 100)).select("archive", "problem"))
+_add(
+    "s27_index_features",
+    lambda s, d: B.feature_json(_covered(s, d).select("triplet", "name", "lon", "lat", F.lit(1.5).alias("area_meters"), F.lit("h").alias("geometry_hash"), "coverage")),
+    f"""WITH {_STATIONS} SELECT triplet, '{{"type":"Feature","id":"' || triplet || '","geometry":{{"type":"Point","coordinates":[' || lon || ',' || lat || ']}},"properties":{{"name":"' || name
+        || '","area_meters":1.5,"geometry_hash":"h","coverage":{{"snodas":"full","swann":"' || CASE WHEN s_suppkey % 2 = 0 THEN 'partial' ELSE 'none' END || '"}}}}}}' AS feature FROM stations""",
+)
+_add(
+    "s11_archive_problems",
+    lambda s, d: N.snodas_problems(N.snodas_names(_snodas_stems(s, d)).withColumn("archive", F.col("o_orderkey") % 100)).select("archive", "problem"),
+    """WITH parsed AS (
+        SELECT o_orderkey % 100 AS archive, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END AS date,
+            CASE WHEN o_orderkey % 5 <> 0 THEN CASE o_orderkey % 4 WHEN 0 THEN 'swe' WHEN 1 THEN 'depth' WHEN 2 THEN CASE o_orderkey % 2 WHEN 0 THEN 'precip_liquid' ELSE 'precip_solid' END END END AS product
+        FROM orders),
+    each AS (SELECT archive, count(*) FILTER (product IS NULL OR date IS NULL) AS bad, count(product) AS n, list(DISTINCT product) FILTER (product IS NOT NULL) AS have, count(DISTINCT date) AS dates FROM parsed GROUP BY archive),
+    told AS (SELECT *, list_filter(['average_temp', 'depth', 'precip_liquid', 'precip_solid', 'runoff', 'sublimation', 'sublimation_blowing', 'swe'], lambda x: NOT list_contains(coalesce(have, []), x)) AS missing FROM each),
+    problems AS (SELECT archive, CASE WHEN bad > 0 THEN 'a file name can''t be parsed' WHEN len(missing) > 0 THEN 'missing products: ' || array_to_string(missing, ', ') WHEN n > len(have) THEN 'a product comes twice' WHEN dates > 1 THEN 'more than one date' END AS problem FROM told)
+    SELECT archive, problem FROM problems WHERE problem IS NOT NULL""",
+)

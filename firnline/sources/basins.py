@@ -1,12 +1,11 @@
 """The store of basins: records, their index, and their pixels on each dataset.
 
-Tables are versioned: a new version is written beside the old one and a small pointer names the one in force, so a job
-can read what it replaces and a job that dies leaves the old version.
+Tables are versioned, so a job can read what it replaces, and one that dies leaves the old version in force. Plans of
+what changes are written beside them and read back, so no row of them passes the driver.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,39 +15,25 @@ from firnline.errors import QueryError, UnknownBasin
 from firnline.operators import basins as B
 from firnline.sources.catalog import Dataset
 from firnline.sources.ingest import provenance_tag
+from firnline.sources.tables import Table
 
 RECORDS = "triplet string, name string, awdb_id string, usgs_id string, lon double, lat double, rings array<array<array<double>>>, properties map<string,string>, geometry_hash string"
 INDEX = "triplet string, name string, lon double, lat double, area_meters double, geometry_hash string, coverage map<string,string>"
 PIXELS = "basin string, row int, col int, pixel_id long, tile_id int, area_m2 float, burn_hash string"
 
 
-class Table:
-    """A Parquet table that is replaced as a whole."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def read(self) -> DataFrame:
-        try:
-            version = self.spark.read.text(f"{self.path}/current").first()[0]
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
-
-    def replace(self, rows: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
-
-
 class BasinStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.records = Table(spark, f"{path}/records", RECORDS)
         self.index = Table(spark, f"{path}/index", INDEX)
 
+    def _kept_plan(self, name: str, plan: DataFrame) -> DataFrame:
+        """A plan with a row for each station, as it was before what it reads is replaced."""
+        table = Table(self.spark, f"{self.path}/plans/{name}")
+        table.replace(plan)
+        return table.read()
+
     def pixels(self, dataset: Dataset) -> Table:
         return Table(self.spark, f"{dataset.path}/burned", PIXELS)
 
@@ -87,7 +72,8 @@ class BasinStore:
             if dump_to is None:
                 raise QueryError("records would be pruned: give a folder to dump them to")
             stored.join(pruned, "triplet", "left_semi").write.mode("overwrite").parquet(dump_to)
-        outcome = self.spark.createDataFrame(planned.collect(), "triplet string, change string")  # one row per station
+        outcome = self._kept_plan("sync", planned)
+        pruned = outcome.where("change = 'prune'").select("triplet")
         kept = stored.join(incoming.select("triplet"), "triplet", "left_anti").join(pruned, "triplet", "left_anti")
         self.records.replace(kept.unionByName(incoming))
         self.reindex(datasets, full=False)
@@ -130,11 +116,12 @@ class BasinStore:
         burned = have.select(F.col("basin").alias("triplet"), "burn_hash", F.lit(True).alias("_b")).distinct()
         plan = records.select("triplet", "burn_hash").join(states, "triplet").join(burned, ["triplet", "burn_hash"], "left")
         action = F.when(F.col("coverage") == "none", "outside").when(F.col("_b") & F.lit(not rebuild), "current").otherwise("burn")
-        outcome = self.spark.createDataFrame(plan.select("triplet", action.alias("action")).collect(), "triplet string, action string")  # one row per station
+        outcome = self._kept_plan(f"rasterise-{dataset.name}", plan.select("triplet", action.alias("action")))
         todo = records.join(outcome.where("action = 'burn'"), "triplet", "left_semi")
         fresh = B.burned(todo, g, mask).join(todo.select(F.col("triplet").alias("basin"), "burn_hash"), "basin")
         kept = have.join(outcome.where("action = 'current'").select(F.col("triplet").alias("basin")), "basin", "left_semi")
         columns = [c.split(" ")[0] for c in PIXELS.split(", ")]
         table.replace(kept.select(columns).unionByName(fresh.select(columns)))
-        table.read().select("basin", "pixel_id", "tile_id", "area_m2").repartition("tile_id").sortWithinPartitions("basin", "pixel_id").write.mode("overwrite").parquet(f"{dataset.path}/aoi_pixels")
+        pixels = table.read().select("basin", "pixel_id", "tile_id", "area_m2").repartition("tile_id").sortWithinPartitions("basin", "pixel_id")
+        Table(self.spark, f"{dataset.path}/aoi_pixels").replace(pixels)
         return outcome

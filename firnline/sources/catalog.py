@@ -20,6 +20,7 @@ from firnline.functions.grid import Grid
 from firnline.functions.zones import STANDARD_LAYERS, Layer, parse_selection, resolve_axis
 from firnline.operators.basins import Box, require_coverage
 from firnline.plans.zonal import MAX_CELLS, Variable, ZonalResult, choose_variables, require_burned, require_cell_count, require_complete, zonal_stats
+from firnline.sources.tables import Table, stored
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,7 @@ class Dataset:
     holes: Sequence[Box] = ()
     active: bool = True
     path: str = ""
+    ingester: str = ""
 
     @property
     def domain(self) -> Sequence[Box]:
@@ -39,7 +41,7 @@ class Dataset:
         return self.boxes or (self.grid.extent,)
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/{name}")
+        return stored(spark, f"{self.path}/{name}")
 
     def layers(self) -> dict[str, Layer]:
         """The zone layers that the dataset enables."""
@@ -55,11 +57,11 @@ _MODIS_TILE = 1111950.5197665233
 def _snodas() -> Dataset:
     units = {"precip_solid": _KG, "precip_liquid": _KG, "swe": _MM, "depth": _MM, "average_temp": _KELVIN, "sublimation": _MM100, "sublimation_blowing": _MM100, "runoff": _MM100}
     pixel = 1 / 120
-    return Dataset("snodas", Grid(-124.73333333333333, 52.875, pixel, 6935, 3351, 256), {k: Variable(k, u, s, nodata=-9999) for k, (u, s) in units.items()}, _ALL_ZONES)
+    return Dataset("snodas", Grid(-124.73333333333333, 52.875, pixel, 6935, 3351, 256), {k: Variable(k, u, s, nodata=-9999) for k, (u, s) in units.items()}, _ALL_ZONES, ingester="snodas")
 
 
 def _swann() -> Dataset:
-    return Dataset("swann-800m", Grid(-125.0208, 49.9375, 0.008333325, 7025, 3105, 256, "EPSG:4269"), {k: Variable(k, "mm", nodata=-999) for k in ("swe", "depth")}, _ALL_ZONES)
+    return Dataset("swann-800m", Grid(-125.0208, 49.9375, 0.008333325, 7025, 3105, 256, "EPSG:4269"), {k: Variable(k, "mm", nodata=-999) for k in ("swe", "depth")}, _ALL_ZONES, ingester="swann")
 
 
 def _instarr() -> Dataset:
@@ -69,7 +71,7 @@ def _instarr() -> Dataset:
     west, north = (8 - 18) * _MODIS_TILE, (9 - 4) * _MODIS_TILE
     box = lambda h, v: ((h - 18) * _MODIS_TILE, (8 - v) * _MODIS_TILE, (h - 17) * _MODIS_TILE, (9 - v) * _MODIS_TILE)
     grid = Grid(west, north, _MODIS_TILE / 2400, 7200, 4800, 512, _SINUSOIDAL)
-    return Dataset("instarr", grid, variables, _ALL_ZONES, [box(h, v) for h in (8, 9, 10) for v in (4, 5) if (h, v) != (10, 5)], [box(10, 5)])
+    return Dataset("instarr", grid, variables, _ALL_ZONES, [box(h, v) for h in (8, 9, 10) for v in (4, 5) if (h, v) != (10, 5)], [box(10, 5)], ingester="instarr")
 
 
 #: The three built-in datasets.
@@ -116,6 +118,20 @@ class Catalogue:
             raise UnknownDataset(f"there is no template {template}; there are {', '.join(sorted(TEMPLATES))}")
         return self.register(replace(TEMPLATES[template], name=name or template))
 
+    def stage(self, template: str, name: str | None = None, mask: DataFrame | None = None) -> Dataset:
+        """A new dataset that is not active yet, with the pixel_ids of its valid ground where a mask is given."""
+        if template not in TEMPLATES:
+            raise UnknownDataset(f"there is no template {template}; there are {', '.join(sorted(TEMPLATES))}")
+        dataset = self.register(replace(TEMPLATES[template], name=name or template, active=False))
+        if mask is not None:
+            Table(self.spark, f"{dataset.path}/mask", "pixel_id long").replace(mask.select(F.col("pixel_id").cast("long")).distinct())
+        return dataset
+
+    def mask(self, name: str) -> DataFrame | None:
+        """pixel_id of a dataset's valid ground; None where all of it is."""
+        table = Table(self.spark, f"{self.registered(name).path}/mask", "pixel_id long")
+        return table.read() if table.versions() else None
+
     def set_active(self, name: str, active: bool) -> None:
         self.datasets[name] = replace(self.registered(name), active=active)
         self.save()
@@ -159,9 +175,12 @@ class Catalogue:
         axes = [resolve_axis(s, dataset.zones, layers) for s in selections]
         require_cell_count(axes, max_cells)
         observations = dataset.table(self.spark, "observations")
-        tiles = sorted(r[0] for r in aoi.select("tile_id").distinct().limit(1001).collect())
-        if len(tiles) <= 1000:  # few enough for a list that the scan can prune by; larger basins read by the join alone
-            observations = observations.where(F.col("tile_id").isin(*tiles))
+        tiles = aoi.select("tile_id").distinct()  # no more than the grid has tiles
+        listed = sorted(r[0] for r in tiles.limit(1001).collect())
+        if len(listed) <= 1000:  # few enough for a list that the scan can prune row groups by
+            observations = observations.where(F.col("tile_id").isin(*listed))
+        else:
+            observations = observations.join(F.broadcast(tiles), "tile_id", "left_semi")
         zone_pixels = dataset.table(self.spark, "zone_pixels") if axes else None
         available = listing.where(F.col("variable").isin(*[v.key for v in chosen])).select("date").distinct()
         return zonal_stats(observations, aoi, zone_pixels, dates, chosen, axes, available=available, include_empty=include_empty, max_cells=max_cells)
@@ -174,4 +193,4 @@ def dataset_of(values: Mapping[str, Any]) -> Dataset:
     if unknown:
         raise QueryError(f"dataset {values['name']} has unknown zone layers: {', '.join(unknown)}")
     boxes = lambda key: [tuple(b) for b in values[key]]
-    return Dataset(values["name"], Grid(**values["grid"]), variables, values["zones"], boxes("boxes"), boxes("holes"), values["active"], values["path"])
+    return Dataset(values["name"], Grid(**values["grid"]), variables, values["zones"], boxes("boxes"), boxes("holes"), values["active"], values["path"], values.get("ingester", ""))

@@ -10,18 +10,22 @@ from __future__ import annotations
 import gzip
 import io
 import tarfile
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from firnline.errors import SourceError
+from firnline.errors import ExistsError, IncompleteData, SourceError
 from firnline.functions.grid import Grid
 from firnline.functions.names import INSTARR, SNODAS, SWANN, output_name, snodas_names, versioned
+from firnline.sources.tables import Table, delete, exists, move
 
 FORMAT = 1
+MANIFEST = "source_hash string, variable string, format_version int, out_name string, date date"
 
 
 def files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
@@ -52,9 +56,14 @@ def instarr_files(found: DataFrame) -> DataFrame:
     return found.where(F.col("name").rlike(INSTARR)).withColumns({"h": part(1).cast("int"), "v": part(2).cast("int"), "collection": part(3), "date": F.to_date(part(4), "yyyyMMdd"), "version": part(5)})
 
 
+def tiles_by_date(tiles: DataFrame, kind: Column, place: Column, name: Column) -> DataFrame:
+    """date, kinds (each once, ascending), tiles (names, ascending), places (how many), n of each date's tiles."""
+    return tiles.groupBy("date").agg(F.array_sort(F.collect_set(kind)).alias("kinds"), F.array_sort(F.collect_list(name)).alias("tiles"), F.count_distinct(place).alias("places"), F.count(F.lit(1)).alias("n"))
+
+
 def instarr_days(tiles: DataFrame) -> DataFrame:
     """date, stem, tiles: a day's tiles are one mosaic, of one collection and version."""
-    days = tiles.groupBy("date").agg(F.collect_set(F.struct("collection", "version")).alias("kinds"), F.array_sort(F.collect_list("name")).alias("tiles"), F.count_distinct("h", "v").alias("places"), F.count(F.lit(1)).alias("n"))
+    days = tiles_by_date(tiles, F.struct("collection", "version"), F.struct("h", "v"), F.col("name"))
     mixed = days.where((F.size("kinds") > 1) | (F.col("n") > F.col("places")))
     if bad := mixed.orderBy("date").limit(3).collect():
         raise SourceError("; ".join(f"{r.date}: its tiles are not one set" for r in bad))
@@ -62,10 +71,26 @@ def instarr_days(tiles: DataFrame) -> DataFrame:
     return days.select("date", F.format_string("SPIRES_NRT_%s_%s_%s", kind["collection"], F.date_format("date", "yyyyMMdd"), kind["version"]).alias("stem"), "tiles")
 
 
-def mosaic(tiles: DataFrame, offsets: DataFrame, nodata: float, keys: Sequence[str] = ("h", "v")) -> DataFrame:
-    """Tile pixels (keys, row, col, value) at their offsets (keys, row_off, col_off): gaps and nodata are absent rows."""
+def mosaic(tiles: DataFrame, offsets: DataFrame, nodata: float, keys: Sequence[str] = ("h", "v"), also: Sequence[str] = ()) -> DataFrame:
+    """Tile pixels (keys, row, col, value) at their offsets (keys, row_off, col_off): gaps and nodata are absent rows.
+
+    also: columns that come along.
+    """
     placed = tiles.join(F.broadcast(offsets), list(keys))  # one row for each tile of a fixed grid
-    return placed.where(F.col("value") != nodata).select((F.col("row") + F.col("row_off")).cast("int").alias("row"), (F.col("col") + F.col("col_off")).cast("int").alias("col"), "value")
+    return placed.where(F.col("value") != nodata).select(*also, (F.col("row") + F.col("row_off")).cast("int").alias("row"), (F.col("col") + F.col("col_off")).cast("int").alias("col"), "value")
+
+
+def archive_members(archives: DataFrame) -> DataFrame:
+    """path, stem of the rasters in tar archives (path, content); only the headers are read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                    stems = [m.name.rpartition("/")[2].split(".")[0] for m in tar if ".dat" in m.name]
+                yield pd.DataFrame({"path": path, "stem": stems})
+
+    return archives.select("path", "content").mapInPandas(run, "path string, stem string")
 
 
 def snodas_pixels(archives: DataFrame, grid: Grid) -> DataFrame:
@@ -101,9 +126,10 @@ def observations_of(rows: DataFrame, grid: Grid, nodata: float, variable: str =
     return each.select("date", "variable", grid.tile_id(F.col("row"), F.col("col")).alias("tile_id"), grid.pixel_id(F.col("row"), F.col("col")).alias("pixel_id"), "value")
 
 
-def wide(observations: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """Long observations with a column for each variable, as the observations table keeps them."""
-    return observations.groupBy("date", "tile_id", "pixel_id").agg(*[F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in variables])
+def wide(observations: DataFrame, variables: Sequence[str], types: Mapping[str, str] | None = None) -> DataFrame:
+    """Long observations with a column for each variable, of its type if given, as the observations table keeps them."""
+    value = lambda v: F.max(F.when(F.col("variable") == v, F.col("value")))
+    return observations.groupBy("date", "tile_id", "pixel_id").agg(*[(value(v).cast(types[v]) if types else value(v)).alias(v) for v in variables])
 
 
 def decisions(incoming: DataFrame, manifest: DataFrame | None, force: bool = False) -> DataFrame:
@@ -118,25 +144,67 @@ def decisions(incoming: DataFrame, manifest: DataFrame | None, force: bool = Fal
     return incoming.join(have, "date", "left").select("date", "source_hash", F.when(same, "skip").otherwise("write").alias("action"))
 
 
-def commit(observations: DataFrame, plan: DataFrame, variables: Sequence[str], path: str) -> DataFrame:
+def manifest_of(spark: SparkSession, path: str) -> DataFrame | None:
+    """A dataset's manifest; None before its first commit."""
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest") if exists(spark, f"{path}/manifest") else None
+
+
+def _put(rows: DataFrame, path: str, within: Sequence[str]) -> None:
+    """Replace the dates that rows have, and no others. Spark writes them aside and moves whole dates in at the end."""
+    dealt = rows.repartition("date", *within[:1]).sortWithinPartitions("date", *within)
+    dealt.write.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").mode("overwrite").partitionBy("date").parquet(path)
+
+
+def commit(observations: DataFrame, plan: DataFrame, variables: Sequence[str], path: str, complete: bool = False, merge: bool = False, types: Mapping[str, str] | None = None) -> DataFrame:
     """Write the planned dates' pixels, then their manifest rows; gives date, action of all planned dates.
 
-    Only the partitions of written dates are replaced. A date that should be written but has no pixels is an error.
+    plan: date, source_hash, action, and variable where hashes are of single variables. Only written dates are
+    replaced, and the manifest gets the variables that were found. A date that should be written but has no pixels is
+    an error, as is one that lacks a variable, with `complete`; nothing has been written then. With `merge` a date's
+    pixels join those that are stored: what comes now counts for its variable and pixel, all else stays.
     """
     spark = observations.sparkSession
-    todo = plan.where("action = 'write'").select("date", "source_hash")
-    data = wide(observations.join(F.broadcast(todo.select("date")), "date", "left_semi"), variables)  # a row per date
-    absent = todo.join(observations.select("date").distinct(), "date", "left_anti")
-    if bad := absent.orderBy("date").limit(3).collect():
-        raise SourceError(f"no pixels for {', '.join(r.date.isoformat() for r in bad)}")
-    if todo.isEmpty():
-        return plan.select("date", "action")
-    data.repartition("date", "tile_id").sortWithinPartitions("date", "tile_id", "pixel_id").write.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").mode("overwrite").partitionBy("date").parquet(f"{path}/observations")
-    names = F.explode(F.array(*[F.lit(v) for v in variables])).alias("variable")
-    rows = todo.select("source_hash", names, F.lit(FORMAT).alias("format_version"), "date")
-    rows = rows.withColumn("out_name", output_name(F.date_format("date", "yyyyMMdd"), F.col("variable")))
-    rows.repartition("date").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("date").parquet(f"{path}/manifest")
-    return spark.createDataFrame(plan.select("date", "action").collect(), "date date, action string")  # one row per day
+    planned = plan.collect()  # before anything that the plan reads is replaced; a row per day, or per day and variable
+    outcome = spark.createDataFrame(sorted({(r.date, r.action) for r in planned}), "date date, action string")
+    by_variable = "variable" in plan.columns
+    keys = ["date", "variable"] if by_variable else ["date"]
+    todo = spark.createDataFrame([tuple(r[k] for k in keys) + (r.source_hash,) for r in planned if r.action == "write"], ("date date, variable string" if by_variable else "date date") + ", source_hash string")
+    days = sorted({r.date for r in planned if r.action == "write"})
+    if not days:
+        return outcome
+    chosen = observations.join(F.broadcast(todo.select("date").distinct()), "date", "left_semi")
+    found = {(r.date, r.variable) for r in chosen.where(F.col("variable").isin(*variables)).select("date", "variable").distinct().collect()}
+    if absent := [d.isoformat() for d in days if all(d != date for date, _ in found)]:
+        raise SourceError(f"no pixels for {', '.join(absent[:3])}")
+    if complete and (short := [f"{d.isoformat()} has no {v}" for d in days for v in variables if (d, v) not in found]):
+        raise IncompleteData("; ".join(short[:3]))
+    present = spark.createDataFrame(sorted(found), "date date, variable string")
+    named = present.join(todo, keys).withColumn("format_version", F.lit(FORMAT)).withColumn("out_name", output_name(F.date_format("date", "yyyyMMdd"), F.col("variable")))
+    named = named.select("source_hash", "variable", "format_version", "out_name", "date")
+    data = wide(chosen, variables, types)
+    before = manifest_of(spark, path)
+    if merge and before is not None:
+        days_of = F.broadcast(todo.select("date").distinct())
+        stored_rows = spark.read.schema(_observation_schema(data)).parquet(f"{path}/observations").join(days_of, "date", "left_semi")
+        at = ["date", "tile_id", "pixel_id"]
+        data = data.alias("n").join(stored_rows.alias("o"), at, "full").select(*at, *[F.coalesce(f"n.{v}", f"o.{v}").alias(v) for v in variables])
+        old = before.join(days_of, "date", "left_semi").join(F.broadcast(present), ["date", "variable"], "left_anti")
+        named = named.unionByName(old.select(named.columns))
+        aside = f"{path}/merging-{uuid.uuid4().hex}"
+        named.write.parquet(f"{aside}/manifest")  # what is merged is read from what is replaced
+        data.write.parquet(f"{aside}/observations")
+        named, data = spark.read.schema(named.schema).parquet(f"{aside}/manifest"), spark.read.schema(data.schema).parquet(f"{aside}/observations")
+    _put(data, f"{path}/observations", ["tile_id", "pixel_id"])
+    _put(named, f"{path}/manifest", ["variable"])
+    if merge and before is not None:
+        delete(spark, aside)
+    return outcome
+
+
+def _observation_schema(data: DataFrame) -> StructType:
+    """The schema of stored observations: that of new ones, the date last as it names folders."""
+    fields = {f.name: f for f in data.schema.fields}
+    return StructType([f for n, f in fields.items() if n != "date"] + [fields["date"]])
 
 
 def remove_date(spark: SparkSession, path: str, date: str, dry_run: bool = False) -> list[str]:
@@ -152,9 +220,27 @@ def remove_date(spark: SparkSession, path: str, date: str, dry_run: bool = False
     return have
 
 
+LAYERS = "zone_pixels"
+
+
+def require_absent_layers(spark: SparkSession, path: str, force: bool = False) -> None:
+    """Raise if a dataset has zone layers already, unless they may be replaced."""
+    if not force and exists(spark, f"{path}/{LAYERS}"):
+        raise ExistsError(f"{path} has zone layers already: replace them with force")
+
+
 def write_layers(layers: DataFrame, path: str, force: bool = False) -> None:
-    """Write a dataset's zone pixels; existing ones are replaced only with force."""
-    layers.repartition("tile_id").sortWithinPartitions("pixel_id").write.mode("overwrite" if force else "errorifexists").option("compression", "zstd").parquet(f"{path}/zone_pixels")
+    """Put a dataset's zone pixels in force, once all of them are written; existing ones are replaced only with force."""
+    spark = layers.sparkSession
+    require_absent_layers(spark, path, force)
+    table = Table(spark, f"{path}/{LAYERS}")
+    if exists(spark, table.path) and not table.versions():  # plain files from elsewhere: they go when the new ones are there
+        aside = Table(spark, f"{path}/{LAYERS}-new")
+        aside.replace(layers.repartition("tile_id").sortWithinPartitions("pixel_id"), compression="zstd")
+        delete(spark, table.path)
+        move(spark, aside.path, table.path)
+        return
+    table.replace(layers.repartition("tile_id").sortWithinPartitions("pixel_id"), compression="zstd")
 
 
 def provenance_tag(parts: Sequence[Column]) -> Column:

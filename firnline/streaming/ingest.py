@@ -1,37 +1,46 @@
-"""Taking in observations as a stream: each micro-batch goes through the same converging commit as a batch job."""
+"""Taking in observations as a stream: each micro-batch goes through the same converging commit as a batch job.
+
+A date's rows may come in any number of batches. Each is merged with what is stored: what comes last counts for its
+variable and pixel, so a re-released value replaces the old one. A batch that is run again, after a failure, finds its
+own rows or merges the same values anew: the tables end up the same.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from firnline.sources.ingest import commit, decisions, provenance_tag
+from firnline.sources.ingest import commit, manifest_of, provenance_tag
 
 
 def batch_plan(batch: DataFrame, manifest: DataFrame | None) -> DataFrame:
-    """What to do with each date of a batch (date, variable, tile_id, pixel_id, value), by a digest of its rows.
+    """date, variable, source_hash, action for each date and variable of a batch (date, variable, tile_id, pixel_id, value).
 
-    The digest adds up row hashes, so it does not depend on the order of rows and needs no group in one task.
+    The digest adds up row hashes, so it does not depend on the order of rows and needs no group in one task. A date is
+    skipped when the manifest has all its variables of the batch with these digests.
     """
     row = F.xxhash64("variable", "pixel_id", F.col("value").cast("double")).cast("decimal(38,0)")
-    days = batch.groupBy("date").agg(F.sum(row).alias("_s"), F.count(F.lit(1)).alias("_n"), F.collect_set("variable").alias("variables"))
-    return decisions(days.select("date", "variables", provenance_tag([F.col("_s"), F.col("_n")]).alias("source_hash")), manifest)
+    days = batch.groupBy("date", "variable").agg(F.sum(row).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    days = days.select("date", "variable", provenance_tag([F.col("_s"), F.col("_n")]).alias("source_hash"))
+    if manifest is None:
+        return days.withColumn("action", F.lit("write"))
+    known = manifest.select("date", "variable", F.col("source_hash").alias("_known"))
+    seen = days.join(known, ["date", "variable"], "left").withColumn("_same", F.coalesce(F.col("_known") == F.col("source_hash"), F.lit(False)))
+    whole = seen.groupBy("date").agg(F.min("_same").alias("_all"))  # a row per day
+    return seen.join(whole, "date").select("date", "variable", "source_hash", F.when(F.col("_all"), "skip").otherwise("write").alias("action"))
 
 
 def start_ingest(observations: DataFrame, variables: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Commit a stream's dates to a dataset. A batch that is run again, or sent again, changes nothing."""
+    """Commit a stream's dates to a dataset."""
 
     def take(batch: DataFrame, _: int) -> None:
-        spark: SparkSession = batch.sparkSession
+        held = batch.persist()  # the digest and the commit read it
         try:
-            manifest = spark.read.parquet(f"{path}/manifest")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            manifest = None
-        commit(batch, batch_plan(batch, manifest), variables, path)
+            commit(held, batch_plan(held, manifest_of(batch.sparkSession, path)), variables, path, merge=True)
+        finally:
+            held.unpersist()
 
     return observations.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
