@@ -9,9 +9,12 @@ import sys
 from firnline.api import Service
 from firnline.errors import FirnlineError
 from firnline.functions.dates import parse_dates
+from firnline.functions.grid import ALBERS_CRS, Grid
+from firnline.operators.generate import generate, local_pixels
 from firnline.sources.basins import BasinStore
 from firnline.sources.catalog import Catalogue
 from firnline.sources.ingest import remove_date
+from firnline.sources.ingesters import run_ingest
 
 
 def parser() -> argparse.ArgumentParser:
@@ -34,6 +37,17 @@ def parser() -> argparse.ArgumentParser:
         sub = commands.add_parser(f"dataset-{name}")
         for word in words:
             sub.add_argument(word)
+    ingest = commands.add_parser("ingest", help="take a source into a dataset")
+    ingest.add_argument("dataset")
+    ingest.add_argument("source")
+    ingest.add_argument("--force", action="store_true", help="write dates that are known already, too")
+    ingest.add_argument("--dry-run", action="store_true")
+    layers = commands.add_parser("generate", help="make zone layers from local sources, once for all datasets given")
+    layers.add_argument("dataset", nargs="+")
+    layers.add_argument("--elevation", help="Parquet table of row, col, z on the grid of --grid")
+    layers.add_argument("--landcover", help="Parquet table of row, col, nlcd on the grid of --grid")
+    layers.add_argument("--grid", required=True, help="ORIGIN_X,ORIGIN_Y,PIXEL,COLS,ROWS of the sources, in EPSG:5070")
+    layers.add_argument("--force", action="store_true", help="replace layers that are there")
     for name, words in {"import": ("source",), "sync": ("source",), "list": (), "show": ("triplet",), "dump": ("triplet", "to"), "remove": ("triplet",), "reindex": (), "rasterize": ("dataset",)}.items():
         sub = commands.add_parser(f"pourpoint-{name}")
         for word in words:
@@ -64,6 +78,8 @@ def run(spark, args: argparse.Namespace) -> int:
     else:
         answer = {
             "init": lambda: sorted(catalogue.datasets),
+            "ingest": lambda: rows(run_ingest(spark, args.source, catalogue.registered(args.dataset), force=args.force, dry_run=args.dry_run)),
+            "generate": lambda: _generate(spark, catalogue, args),
             "status": service.status,
             "dataset-list": service.datasets,
             "dataset-info": lambda: service.dataset(name),
@@ -86,6 +102,15 @@ def run(spark, args: argparse.Namespace) -> int:
     return 1 if args.command == "doctor" and answer else 0
 
 
+def _generate(spark, catalogue: Catalogue, args: argparse.Namespace) -> list[str]:
+    x, y, pixel, cols, rows = (float(v) for v in args.grid.split(","))
+    grid = Grid(x, y, pixel, int(cols), int(rows), crs=ALBERS_CRS)
+    given = {"terrain": (args.elevation, "z", "double"), "landcover": (args.landcover, "nlcd", "smallint")}
+    sources = {kind: (local_pixels(spark, path, value, dtype), grid) for kind, (path, value, dtype) in given.items() if path}
+    generate(sources, [catalogue.registered(n) for n in args.dataset], args.force)
+    return args.dataset
+
+
 def main() -> int:
     from pyspark.sql import SparkSession
 
