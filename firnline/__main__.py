@@ -11,6 +11,7 @@ from firnline.errors import FirnlineError
 from firnline.functions.dates import parse_dates
 from firnline.functions.grid import ALBERS_CRS, Grid
 from firnline.operators.generate import generate, local_pixels
+from firnline.plans.output import emitted
 from firnline.sources.basins import BasinStore
 from firnline.sources.catalog import Catalogue
 from firnline.sources.ingest import remove_date
@@ -58,6 +59,7 @@ def parser() -> argparse.ArgumentParser:
     doctor = commands.add_parser("doctor", help="findings about a dataset; status 1 if there are any")
     doctor.add_argument("dataset")
     doctor.add_argument("--check", action="append")
+    doctor.add_argument("--format", choices=("json", "csv", "table"), default="table")
     return out
 
 
@@ -74,7 +76,9 @@ def run(spark, args: argparse.Namespace) -> int:
             sys.stdout.writelines(answer)
             return 0
     elif args.command == "doctor":
-        answer = service.doctor(args.dataset, args.check)
+        lines = list(emitted(service.findings(args.dataset, args.check), args.format))
+        print("".join(x if x.endswith("\n") else x + "\n" for x in lines), end="")
+        return int(len(lines) > (args.format != "json"))
     else:
         answer = {
             "init": lambda: sorted(catalogue.datasets),
@@ -99,7 +103,7 @@ def run(spark, args: argparse.Namespace) -> int:
             "pourpoint-rasterize": lambda: rows(store.rasterise(catalogue[args.dataset], rebuild=args.rebuild)),
         }[args.command]()
     print(json.dumps(answer, indent=2, default=str))
-    return 1 if args.command == "doctor" and answer else 0
+    return 0
 
 
 def _generate(spark, catalogue: Catalogue, args: argparse.Namespace) -> list[str]:

@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator, Sequence
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firnline import errors
@@ -97,17 +98,19 @@ class Service:
         return [r.asDict() for r in D.value_ranges(d.table(self.catalogue.spark, "observations"), list(d.variables.values()), day).collect()]
 
     def doctor(self, name: str, checks: Sequence[str] | None = None) -> list[dict[str, str]]:
-        """Findings about a dataset's dates and basins."""
+        return [r.asDict() for r in self.findings(name, checks).collect()]
+
+    def findings(self, name: str, checks: Sequence[str] | None = None) -> DataFrame:
+        """Findings about a dataset's dates and basins, as rows."""
         d, spark = self.catalogue.registered(name), self.catalogue.spark
         records = self.store.records.read()
-        found = D.health(
+        return D.health(
             {
                 "dates": lambda: D.completeness_findings(d.table(spark, "manifest"), name, sorted(d.variables)),
                 "pourpoints": lambda: D.basin_findings(name, records.select("triplet"), d.table(spark, "aoi_pixels"), B.coverage(records, d.domain, d.holes)),
             },
             checks or ("dates", "pourpoints"),
         )
-        return [r.asDict() for r in found.collect()]
 
 
 def answer(service: Service, question: str, **how: Any) -> tuple[int, str]:

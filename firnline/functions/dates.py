@@ -65,8 +65,7 @@ class DayOfYear:
 DateQuery = DateRange | DayOfYear
 
 _DAY = re.compile(r"\d{4}-?\d{2}-?\d{2}")
-_MONTH_DAY = re.compile(r"(\d{2})-(\d{2})")
-_YEARS = re.compile(r"(\d{4})(?:\.\.(\d{4}))?")
+_RECURRING = re.compile(r"(?P<month>\d\d)-(?P<day>\d\d)")
 
 
 def parse_day(text: str) -> dt.date:
@@ -80,30 +79,41 @@ def parse_day(text: str) -> dt.date:
         raise DateSyntaxError(f"{text!r} is no date of the calendar") from None
 
 
+def parse_years(text: str) -> tuple[int, int]:
+    """The first and last year of YYYY or YYYY..YYYY."""
+    ends = text.split("..")
+    if len(ends) > 2 or not all(len(y) == 4 and y.isdecimal() and y.isascii() for y in ends):
+        raise DateSyntaxError("years must be YYYY or YYYY..YYYY")
+    return int(ends[0]), int(ends[-1])
+
+
+def parse_interval(text: str) -> DateRange:
+    """start/end, where .. or nothing leaves that end open, or a single day."""
+    ends = text.split("/")
+    if len(ends) == 1:
+        day = parse_day(text)
+        return DateRange(day, day)
+    if len(ends) > 2:
+        raise DateSyntaxError(f"{text!r} has more than two ends")
+    start, end = (None if e in ("", "..") else parse_day(e) for e in ends)
+    if start is not None and end is not None and start > end:
+        raise DateSyntaxError(f"{text!r} ends before it starts")
+    return DateRange(start, end)
+
+
 def parse_dates(dates: str | None, years: str | None = None) -> DateQuery:
-    """The query that a dates text (an interval, a day, or MM-DD) and a years text (YYYY or YYYY..YYYY) stand for.
+    """The query that a dates text (an interval, a day, or a recurring MM-DD) and a years text stand for.
 
-    Intervals are start/end, where .. or nothing leaves an end open. No texts: all dates.
+    A recurring day needs years, and years need one. No texts: all dates.
     """
-    if years is not None:
-        day, span = _MONTH_DAY.fullmatch(dates or ""), _YEARS.fullmatch(years)
-        if not day:
-            raise DateSyntaxError("years need a recurring day: dates as MM-DD")
-        if not span:
-            raise DateSyntaxError("years must be YYYY or YYYY..YYYY")
-        return DayOfYear(int(day[1]), int(day[2]), int(span[1]), int(span[2] or span[1]))
-    if dates is None:
-        return DateRange()
-    if _MONTH_DAY.fullmatch(dates):
+    recurring = _RECURRING.fullmatch(dates or "")
+    if recurring and years is not None:
+        return DayOfYear(int(recurring["month"]), int(recurring["day"]), *parse_years(years))
+    if recurring:
         raise DateSyntaxError(f"{dates} recurs every year: give years too, or a full date")
-    parts = dates.split("/")
-    if len(parts) > 2:
-        raise DateSyntaxError(f"{dates!r} has more than two ends")
-    ends = [None if len(parts) == 2 and p in ("", "..") else parse_day(p) for p in parts]
-    start, end = ends[0], ends[-1]
-    if start and end and end < start:
-        raise DateSyntaxError(f"{dates!r} ends before it starts")
-    return DateRange(start, end)
+    if years is not None:
+        raise DateSyntaxError("years need a recurring day: dates as MM-DD")
+    return DateRange() if dates is None else parse_interval(dates)
 
 
 def selected_dates(available: DataFrame, query: DateQuery, date: str = "date") -> DataFrame:

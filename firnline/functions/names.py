@@ -28,8 +28,9 @@ def is_triplet(triplet: Column) -> Column:
     return triplet.rlike(TRIPLET)
 
 
-def stat_name(reducer: Column, key: Column, unit: Column) -> Column:
-    return F.concat_ws("_", reducer, key, unit)
+def is_path(token: str) -> bool:
+    """Whether a word stands for a configuration file rather than for a dataset's name."""
+    return token.endswith(".json") or any(mark in token for mark in "/\\")
 
 
 def output_name(stem: Column, key: Column) -> Column:
@@ -78,8 +79,27 @@ def versioned(version: int, digest: Column) -> Column:
     return F.concat(F.lit(f"v{version}:"), digest)
 
 
-#: How the three kinds of source files are named.
-SNODAS = r"^([a-z]{2})_([a-z]{3})(v\d)(\d{4})(S?)([a-zA-Z]{2}[\d_]{2})[AT](0001|0024)TTNATS(\d{4})(\d{2})(\d{2})(\d{2})(H|D)(P00[01])$"
+#: The parts of a daily raster's name, in order, as the archive's user guide describes them.
+SNODAS_PARTS = {
+    "region": r"[a-z]{2}",  # us: the contiguous United States
+    "_": "_",
+    "model": r"[a-z]{3}",  # ssm: simple snow model
+    "datatype": r"v\d",  # v0 driving input, v1 model output
+    "product_code": r"\d{4}",
+    "scaled": "S?",  # S: values are scaled to integers
+    "vcode": r"[a-zA-Z]{2}[\d_]{2}",  # vertical integration, and the phase of precipitation
+    "_a": "[AT]",  # accumulated over time, or at a time
+    "timecode": "0001|0024",
+    "_t": "TTNATS",
+    "year": r"\d{4}",
+    "month": r"\d\d",
+    "day": r"\d\d",
+    "hour": r"\d\d",
+    "interval": "[HD]",  # hourly or daily
+    "offset": "P00[01]",
+}
+SNODAS = "^" + "".join(f"({pattern})" for pattern in SNODAS_PARTS.values()) + "$"
+#: How converted daily files and tiles are named.
 SWANN = r"^UA_SWE_Depth_800m_v1_(\d{8})_(early|provisional|stable)\.nc$"
 INSTARR = r"^SPIRES_NRT_h(\d\d)v(\d\d)_(MOD09GA\d+)_(\d{8})_(V[\d.]+)\.nc$"
 #: Product code, version code (null: any) and variable of SNODAS files.
@@ -101,15 +121,16 @@ def snodas_names(files: DataFrame, stem: str = "stem") -> DataFrame:
     The product is that of code and version code, else that of the code alone. Names of another form have null in all
     of these, as have impossible dates and unknown products in theirs.
     """
-    part = lambda k: F.when(F.col(stem).rlike(SNODAS), F.regexp_extract(stem, SNODAS, k))
+    place = {name: k for k, name in enumerate(SNODAS_PARTS, 1)}
+    part = lambda name: F.when(F.col(stem).rlike(SNODAS), F.regexp_extract(stem, SNODAS, place[name]))
     product = F.lit(None).cast("string")
     for code, vcode, name in SNODAS_PRODUCTS:
-        is_it = (part(4).cast("int") == code) & (F.lit(True) if vcode is None else part(6) == vcode)
+        is_it = (part("product_code").cast("int") == code) & (F.lit(True) if vcode is None else part("vcode") == vcode)
         product = F.when(is_it, name).otherwise(product)
-    return files.select(
-        "*", part(1).alias("region"), part(2).alias("model"), part(3).alias("datatype"), part(4).cast("int").alias("product_code"), (part(5) == "S").alias("scaled"), part(6).alias("vcode"), part(7).alias("timecode"),
-        F.try_to_timestamp(F.concat(part(8), part(9), part(10)), F.lit("yyyyMMdd")).cast("date").alias("date"), part(11).cast("int").alias("hour"), part(12).alias("interval"), part(13).alias("offset"), product.alias("product"),
-    )
+    numbers = {"product_code": part("product_code").cast("int"), "scaled": part("scaled") == "S", "hour": part("hour").cast("int")}
+    date = F.try_to_timestamp(F.concat(part("year"), part("month"), part("day")), F.lit("yyyyMMdd")).cast("date")
+    told = [numbers.get(n, part(n)).alias(n) for n in ("region", "model", "datatype", "product_code", "scaled", "vcode", "timecode", "hour", "interval", "offset")]
+    return files.select("*", *told, date.alias("date"), product.alias("product"))
 
 
 def snodas_problems(parsed: DataFrame, hour: int = 5, region: str = "us") -> DataFrame:

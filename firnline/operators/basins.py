@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Mapping, Sequence
 
@@ -22,22 +23,25 @@ SOURCE_SCHEMA = (
 
 
 def parse_records(sources: DataFrame, text: str = "json", path: str = "path") -> DataFrame:
-    """path, status, reason, triplet, name, awdb_id, usgs_id, lon, lat, rings, properties of GeoJSON texts.
+    """path, status, reason, triplet, name, awdb_id, usgs_id, lon, lat, rings, polygons, properties of GeoJSON texts.
 
     A record is a Feature with a Point (no basin: status skipped) or a GeometryCollection of exactly one Point and one
     Polygon or MultiPolygon (status import). All else is invalid, with a reason; one bad text spoils no other.
-    rings: every ring of every polygon; a place is in the basin where an odd number of rings hold it.
+    rings: every ring of every polygon; a place is in the basin where an odd number of rings hold it. polygons: how many
+    of them each polygon of a MultiPolygon has, null for a Polygon.
     """
     parsed = sources.select(path, F.from_json(F.col(text), SOURCE_SCHEMA, {"mode": "PERMISSIVE"}).alias("r")).select(path, "r.*")
     everything = F.when(F.col("type") == "Feature", F.array("geometry")).when(F.col("type") == "GeometryCollection", F.col("geometries"))
     points, areas = F.filter(everything, lambda g: g["type"] == "Point"), F.filter(everything, lambda g: g["type"].isin("Polygon", "MultiPolygon"))
     point = F.from_json(F.get(points, F.lit(0))["coordinates"], "array<double>")
     area = F.get(areas, F.lit(0))
-    rings = F.when(area["type"] == "Polygon", F.from_json(area["coordinates"], f"array<{_RING}>")).when(area["type"] == "MultiPolygon", F.flatten(F.from_json(area["coordinates"], f"array<array<{_RING}>>")))
+    several = F.when(area["type"] == "MultiPolygon", F.from_json(area["coordinates"], f"array<array<{_RING}>>"))
+    rings = F.when(area["type"] == "Polygon", F.from_json(area["coordinates"], f"array<{_RING}>")).otherwise(F.flatten(several))
+    polygons = F.transform(several, lambda p: F.size(p))
     name = F.coalesce(F.nullif(F.col("properties")["nwccname"], F.lit("")), F.nullif(F.col("properties")["name"], F.lit("")))
     rows = parsed.select(
         path, F.col("type").alias("_type"), F.col("id").alias("triplet"), name.alias("name"), F.col("properties")["awdb_id"].alias("awdb_id"), F.col("properties")["usgs_id"].alias("usgs_id"),
-        F.get(point, F.lit(0)).alias("lon"), F.get(point, F.lit(1)).alias("lat"), rings.alias("rings"), "properties", F.size(everything).alias("_n"), F.size(points).alias("_points"), F.size(areas).alias("_areas"),
+        F.get(point, F.lit(0)).alias("lon"), F.get(point, F.lit(1)).alias("lat"), rings.alias("rings"), polygons.alias("polygons"), "properties", F.size(everything).alias("_n"), F.size(points).alias("_points"), F.size(areas).alias("_areas"),
     )
     collection = F.col("_type") == "GeometryCollection"
     broken = F.exists("rings", lambda ring: (F.size(ring) < 4) | F.exists(ring, lambda p: F.size(p) < 2))
@@ -51,7 +55,7 @@ def parse_records(sources: DataFrame, text: str = "json", path: str = "path") ->
         .when(collection & (F.col("rings").isNull() | (F.size("rings") == 0) | broken), "a polygon that can't be read")
     )
     status = F.when(reason.isNotNull(), "invalid").when(collection, "import").otherwise("skipped")
-    return rows.select(path, status.alias("status"), reason.alias("reason"), "triplet", "name", "awdb_id", "usgs_id", "lon", "lat", F.when(collection, F.col("rings")).alias("rings"), "properties")
+    return rows.select(path, status.alias("status"), reason.alias("reason"), "triplet", "name", "awdb_id", "usgs_id", "lon", "lat", F.when(collection, F.col("rings")).alias("rings"), F.when(collection, F.col("polygons")).alias("polygons"), "properties")
 
 
 def edges(basins: DataFrame, key: str = "triplet") -> DataFrame:
@@ -150,24 +154,28 @@ def require_coverage(state: str | None, basin: str, dataset: str, allow_partial:
     raise CoverageError(f"dataset {dataset} {detail}: basin {basin}")
 
 
-def wkb_hash(rings: Column) -> Column:
-    """sha256 of the rings as little-endian well-known binary of one polygon."""
-    return F.sha2(_wkb(rings), 256)
+def wkb_hash(rings: Column, polygons: Column | None = None) -> Column:
+    """sha256 of little-endian well-known binary: of one polygon with these rings, or of as many as polygons has counts of rings."""
+    return F.sha2(_wkb(rings, F.lit(None).cast("array<int>") if polygons is None else polygons), 256)
 
 
 @F.pandas_udf(BinaryType())
-def _wkb(rings: pd.Series) -> pd.Series:
+def _wkb(rings: pd.Series, polygons: pd.Series) -> pd.Series:
     """One call for a batch of basin records; pixels never pass here."""
 
-    def encoded(polygon: list | None) -> bytes | None:
-        if polygon is None:
-            return None
+    def encoded(polygon: list) -> bytes:
         out = struct.pack("<BII", 1, 3, len(polygon))
         for ring in polygon:
             out += struct.pack("<I", len(ring)) + b"".join(struct.pack("<dd", p[0], p[1]) for p in ring)
         return out
 
-    return rings.map(encoded)
+    def whole(own: list | None, counts: list | None) -> bytes | None:
+        if own is None or counts is None:
+            return None if own is None else encoded(own)
+        ends = [0, *itertools.accumulate(counts)]
+        return struct.pack("<BII", 1, 6, len(counts)) + b"".join(encoded(own[a:b]) for a, b in itertools.pairwise(ends))
+
+    return pd.Series([whole(r, p) for r, p in zip(rings, polygons, strict=True)], dtype=object)
 
 
 def build_index(records: DataFrame, coverages: Mapping[str, DataFrame], previous: DataFrame | None = None) -> DataFrame:
@@ -176,7 +184,7 @@ def build_index(records: DataFrame, coverages: Mapping[str, DataFrame], previous
     An entry of `previous` whose geometry hash is unchanged and whose coverage has exactly the given datasets is kept
     as it is; the others are worked out anew.
     """
-    hashed = records.where("status = 'import'").withColumn("geometry_hash", wkb_hash(F.col("rings")))
+    hashed = records.where("status = 'import'").withColumn("geometry_hash", wkb_hash(F.col("rings"), F.col("polygons") if "polygons" in records.columns else None))
     names = sorted(coverages)
     fresh = hashed
     kept = None

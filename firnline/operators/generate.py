@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.errors import QueryError, SourceError
-from firnline.functions.grid import Grid, reprojected
+from firnline.functions.grid import Grid, clipped, reprojected, require_aligned
 from firnline.functions.names import tiles_covering
 from firnline.operators import terrain as T
 from firnline.sources.catalog import Dataset
@@ -83,7 +83,8 @@ def generate(sources: Mapping[str, tuple[DataFrame, Grid]], targets: Sequence[Da
     spark = next(iter(sources.values()))[0].sparkSession
     for target in targets:
         require_absent_layers(spark, target.path, force)
-    kept = {kind: source_pixels(kind, fine, grid).persist(StorageLevel.DISK_ONLY) for kind, (fine, grid) in sources.items()}
+    near = {kind: (_near(fine, grid, targets), grid) for kind, (fine, grid) in sources.items()}
+    kept = {kind: source_pixels(kind, fine, grid).persist(StorageLevel.DISK_ONLY) for kind, (fine, grid) in near.items()}
     try:
         for target in targets:
             parts = {kind: engines[kind](cells_of(pixels, sources[kind][1], target.grid)) for kind, pixels in kept.items()}
@@ -93,6 +94,23 @@ def generate(sources: Mapping[str, tuple[DataFrame, Grid]], targets: Sequence[Da
             pixels.unpersist()
 
 
+def _near(fine: DataFrame, grid: Grid, targets: Sequence[Dataset]) -> DataFrame:
+    """The source's pixels in the bounds of the targets, and one more on each side; all of them where projections differ."""
+    if any(t.grid.crs != grid.crs for t in targets):
+        return fine
+    west, south, east, north = (pick(t.grid.extent[k] for t in targets) for k, pick in enumerate((min, min, max, max)))
+    part = clipped(grid, west - grid.pixel, south - grid.pixel, east + grid.pixel, north + grid.pixel)
+    row, col = round((grid.origin_y - part.origin_y) / grid.pixel), round((part.origin_x - grid.origin_x) / grid.pixel)
+    return fine.where(F.col("row").between(row, row + part.rows - 1) & F.col("col").between(col, col + part.cols - 1))
+
+
+def import_layers(layers: DataFrame, target: Dataset, force: bool = False) -> None:
+    """Put zone layers that were made elsewhere (row, col and the layers) in force; they must fill the dataset's grid."""
+    require_aligned(layers, target.grid)
+    row, col = F.col("row"), F.col("col")
+    write_layers(layers.withColumns({"pixel_id": target.grid.pixel_id(row, col), "tile_id": target.grid.tile_id(row, col)}), target.path, force)
+
+
 def local_pixels(spark: SparkSession, path: str, value: str, dtype: str) -> DataFrame:
     """A source from a local Parquet table of row, col and a value."""
     if not exists(spark, path):

@@ -445,6 +445,20 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WINDOWS = f"""WITH {_STATIONS}, t AS (SELECT triplet, lon - 0.6e0 < -116 AND lon + 0.6e0 > -119 AND lat - 0.6e0 < 44 AND lat + 0.6e0 > 41.5 AS ok, greatest(0, least(2, CAST(floor((44 - (lat + 0.6e0)) / 1) AS INT))) AS r0, greatest(0, least(2, CAST(floor((lon - 0.6e0 + 119) / 1) AS INT))) AS c0,
     greatest(0, least(2, CAST(ceil((44 - (lat - 0.6e0)) / 1) AS INT) - 1)) AS r1, greatest(0, least(2, CAST(ceil((lon + 0.6e0 + 119) / 1) AS INT) - 1)) AS c1 FROM stations) """
+_add("f10_window_of_tag", lambda s, d: _windows(s, d).select("triplet", G.window_tag(G.window_of_tag(F.concat(F.lit(" "), "tag"))).alias("tag")).where("tag <> ''"), _WINDOWS + "SELECT triplet, r0 || ' ' || c0 || ' ' || r1 || ' ' || c1 AS tag FROM t WHERE ok")
+
+
+def _offset_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a station's own pixel stands in the array of the tiles around it."""
+    g = G.Grid(-119.0, 44.0, 0.25, 12, 10, 4)
+    w = g.bounding_tiles(F.col("lon") - 0.6, F.col("lat") - 0.6, F.col("lon") + 0.6, F.col("lat") + 0.6)
+    row, col = g.cell(F.col("lon"), F.col("lat"))
+    r, c = G.place_offset(F.col("w"), F.col("r"), F.col("c"), g.tile)
+    return stations(spark, sf_dir).select("triplet", w.alias("w"), row.alias("r"), col.alias("c")).where("w is not null and r is not null and c is not null").select("triplet", r.alias("row"), c.alias("col"))
+
+
+_add("f22_place_offset", _offset_in_window, _WINDOWS + """, c AS (SELECT triplet, CAST(floor((lon + 119) / 0.25) AS INT) AS c, CAST(floor((44 - lat) / 0.25) AS INT) AS r FROM stations)
+    SELECT triplet, r - r0 * 4 AS "row", c - c0 * 4 AS col FROM t JOIN c USING (triplet) WHERE ok AND r BETWEEN 0 AND 9 AND c BETWEEN 0 AND 11""")
 _add("f20_bounding_tiles", lambda s, d: _windows(s, d).select("triplet", "tag"), _WINDOWS + "SELECT triplet, CASE WHEN ok THEN r0 || ' ' || c0 || ' ' || r1 || ' ' || c1 END AS tag FROM t")
 _add("f21_tiles_in_bbox", lambda s, d: _windows(s, d).where("tag is not null").select("triplet", "tiles"), _WINDOWS + ", x AS (SELECT triplet, r.range AS r, c.range AS c FROM t, range(3) r, range(3) c WHERE ok AND r.range BETWEEN r0 AND r1 AND c.range BETWEEN c0 AND c1) SELECT triplet, string_agg(CAST(r * 3 + c AS VARCHAR), ',' ORDER BY r, c) AS tiles FROM x GROUP BY triplet")
 _add("f7_tile_name", lambda s, d: stations(s, d).select("triplet", N.tile_name(F.floor("lat"), F.floor("lon")).alias("tile")), f"WITH {_STATIONS} SELECT triplet, printf('n%02dw%03d', CAST(floor(lat) AS INT) + 1, CAST(-floor(lon) AS INT)) AS tile FROM stations")

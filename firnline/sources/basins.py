@@ -17,7 +17,7 @@ from firnline.sources.catalog import Dataset
 from firnline.sources.ingest import provenance_tag
 from firnline.sources.tables import Table
 
-RECORDS = "triplet string, name string, awdb_id string, usgs_id string, lon double, lat double, rings array<array<array<double>>>, properties map<string,string>, geometry_hash string"
+RECORDS = "triplet string, name string, awdb_id string, usgs_id string, lon double, lat double, rings array<array<array<double>>>, polygons array<int>, properties map<string,string>, geometry_hash string"
 INDEX = "triplet string, name string, lon double, lat double, area_meters double, geometry_hash string, coverage map<string,string>"
 PIXELS = "basin string, row int, col int, pixel_id long, tile_id int, area_m2 float, burn_hash string"
 
@@ -81,8 +81,8 @@ class BasinStore:
 
     def _incoming(self, parsed: DataFrame) -> DataFrame:
         latest = parsed.where("status = 'import'").groupBy("triplet").agg(F.max("path").alias("path"))
-        rows = parsed.join(latest, ["triplet", "path"], "left_semi").withColumn("geometry_hash", B.wkb_hash(F.col("rings")))
-        return rows.dropDuplicates(["triplet"]).select("triplet", "name", "awdb_id", "usgs_id", "lon", "lat", "rings", "properties", "geometry_hash")
+        rows = parsed.join(latest, ["triplet", "path"], "left_semi").withColumn("geometry_hash", B.wkb_hash(F.col("rings"), F.col("polygons")))
+        return rows.dropDuplicates(["triplet"]).select("triplet", "name", "awdb_id", "usgs_id", "lon", "lat", "rings", "polygons", "properties", "geometry_hash")
 
     def remove(self, triplet: str, datasets: Sequence[Dataset], dry_run: bool = False) -> list[str]:
         """Take a basin out of records, index and pixels; tells what had it."""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from firnline.errors import ExistsError, QueryError, UnknownDataset
 from firnline.functions.dates import DateQuery
 from firnline.functions.grid import Grid
+from firnline.functions.names import is_path
 from firnline.functions.zones import STANDARD_LAYERS, Layer, parse_selection, resolve_axis
 from firnline.operators.basins import Box, require_coverage
 from firnline.plans.zonal import MAX_CELLS, Variable, ZonalResult, choose_variables, require_burned, require_cell_count, require_complete, zonal_stats
@@ -106,6 +107,8 @@ class Catalogue:
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/catalogue")
 
     def register(self, dataset: Dataset, replace_it: bool = False) -> Dataset:
+        if is_path(dataset.name):
+            raise QueryError(f"{dataset.name!r} reads as a path: it can't be a dataset's name")
         if dataset.name in self.datasets and not replace_it:
             raise ExistsError(f"there is a dataset {dataset.name} already")
         placed = dataset if dataset.path else replace(dataset, path=f"{self.path}/data/{dataset.name}")
@@ -141,6 +144,12 @@ class Catalogue:
             raise UnknownDataset(f"there is no dataset {name}; there are {', '.join(sorted(self.datasets)) or 'none'}")
         return self.datasets[name]
 
+    def resolve(self, token: str) -> Dataset:
+        """The dataset of a name, or of the JSON file that a path names."""
+        if not is_path(token):
+            return self.registered(token)
+        return dataset_of(json.loads("\n".join(r[0] for r in self.spark.read.text(token, wholetext=True).collect())))
+
     def __getitem__(self, name: str) -> Dataset:
         found = self.registered(name)
         if not found.active:

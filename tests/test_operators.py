@@ -3,7 +3,9 @@
 import datetime as dt
 import gzip
 import io
+import hashlib
 import json
+import struct
 import math
 import tarfile
 
@@ -11,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from firnline.errors import CoverageError, ExistsError, SourceError, UnknownDataset
+from firnline.errors import QueryError, CoverageError, ExistsError, SourceError, UnknownDataset
 from firnline.functions import names as N
 from firnline.functions.dates import DateRange
 from firnline.functions.grid import Albers, Grid, sinusoidal, sinusoidal_inverse
@@ -242,3 +244,35 @@ def test_mosaic_leaves_gaps_absent(spark):
     tiles = spark.createDataFrame([(0, 0, 0, 0, 7), (0, 0, 0, 1, 255), (1, 0, 0, 0, 9)], "h int, v int, row int, col int, value int")
     offsets = spark.createDataFrame([(0, 0, 0, 0), (1, 0, 0, 2)], "h int, v int, row_off int, col_off int")
     assert {(r.row, r.col): r.value for r in I.mosaic(tiles, offsets, 255).collect()} == {(0, 0): 7, (0, 2): 9}
+
+
+def test_a_multipolygon_is_not_the_polygon_of_its_rings(spark):
+    ring = lambda x: [[x, 0.0], [x + 1, 0.0], [x + 1, 1.0], [x, 0.0]]
+    geometries = [{"type": "Polygon", "coordinates": [ring(0), ring(5)]}, {"type": "MultiPolygon", "coordinates": [[ring(0)], [ring(5)]]}, {"type": "MultiPolygon", "coordinates": [[ring(0), ring(5)]]}]
+    texts = [json.dumps({"type": "GeometryCollection", "id": "1:MT:USGS", "properties": {"name": "A"}, "geometries": [{"type": "Point", "coordinates": [0, 0]}, g]}) for g in geometries]
+    rows = B.parse_records(spark.createDataFrame(list(enumerate(texts)), "path int, json string"))
+    hashes = {r.path: r.h for r in rows.select("path", B.wkb_hash(F.col("rings"), F.col("polygons")).alias("h")).collect()}
+    assert len(set(hashes.values())) == 3
+    one = struct.pack("<BII", 1, 3, 2) + b"".join(struct.pack("<I", 4) + b"".join(struct.pack("<dd", *p) for p in ring(x)) for x in (0, 5))
+    assert hashes[0] == hashlib.sha256(one).hexdigest() and hashes[2] == hashlib.sha256(struct.pack("<BII", 1, 6, 1) + one).hexdigest()
+
+
+def test_path_words(spark, tmp_path):
+    from firnline.functions.names import is_path
+
+    assert [is_path(t) for t in ("snodas", "a/b", "a\\b", "x.json", "json")] == [False, True, True, True, False]
+    catalogue = Catalogue.initialise(spark, str(tmp_path))
+    from dataclasses import asdict, replace
+
+    with pytest.raises(QueryError):
+        catalogue.register(replace(TEMPLATES["snodas"], name="a/b"))
+    (tmp_path / "one.json").write_text(json.dumps(asdict(replace(TEMPLATES["snodas"], name="one"))))
+    assert catalogue.resolve(str(tmp_path / "one.json")).name == "one"
+
+
+def test_a_new_check_is_one_more_entry(spark):
+    rows = spark.createDataFrame([("x",)], "target string")
+    extra = {"own": lambda: D.findings(rows, "own", "demo", F.col("target"), F.lit("odd"))}
+    assert [tuple(r) for r in D.health(extra).collect()] == [("own", "demo", "x", "odd")]
+    with pytest.raises(QueryError):
+        D.health(extra, ["other"])
