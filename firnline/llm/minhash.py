@@ -3,8 +3,8 @@
 A document's set holds its distinct shingles of five words. Documents with equal sets are one class, told by its
 smallest doc_id. Classes that share a band of their minima are candidates. Each bucket first links its members to its
 smallest one. Where that leaves several components in a bucket, all members outside its largest component are compared
-by full sets with all others in it, in blocks of bounded size. So groups of thousands of near copies give a few links
-a document, and no pair of classes in a bucket goes unjudged.
+with all others in it, in blocks of bounded size: by signatures first, and those that these leave by full sets. So groups
+of thousands of near copies give a few links a document, and no pair of classes in a bucket goes unjudged.
 """
 
 from __future__ import annotations
@@ -196,27 +196,25 @@ def common_counts(sets: list[np.ndarray], chosen: np.ndarray) -> Iterator[tuple[
         marked[own] = 0
 
 
-def open_buckets(placed: DataFrame) -> DataFrame:
+def open_buckets(placed: DataFrame, least: int = 2) -> DataFrame:
     """bucket, base, n_base, n_rest of the buckets of placed (bucket, node, component) that hold several components.
 
-    base is the component with most members in the bucket. Of buckets with the same members one is enough, and the two
-    members of a bucket without others have been compared already.
+    base is the component with most members in the bucket. Of buckets with the same members one is enough. Buckets of
+    fewer than `least` members are left out.
     """
     own = F.xxhash64("node"), F.xxhash64("node", F.lit(1))
     parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(x).alias(f"x{k}") for k, x in enumerate(own)])
     most = F.max(F.struct("n", "component"))
     whole = parts.groupBy("bucket").agg(most.alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("components"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
-    whole = whole.where("components > 1 and n > 2").groupBy("n", "x0", "x1").agg(F.min(F.struct("bucket", "most")).alias("one"))
+    whole = whole.where((F.col("components") > 1) & (F.col("n") >= least)).groupBy("n", "x0", "x1").agg(F.min(F.struct("bucket", "most")).alias("one"))
     return whole.select("one.bucket", F.col("one.most.component").alias("base"), F.col("one.most.n").alias("n_base"), (F.col("n") - F.col("one.most.n")).alias("n_rest"))
 
 
-def bucket_links(members: DataFrame, sets: DataFrame, like: int = LIKE, of: int = OF, block: int = BLOCK) -> DataFrame:
-    """Links a, b between different components in one bucket, for members of bucket, node, component, base, n_base, n_rest.
+def dealt_blocks(members: DataFrame, block: int) -> DataFrame:
+    """bucket, i, j, own, node, component: the members of bucket, node, component, base, n_base, n_rest dealt out by blocks.
 
-    Every two members of a bucket that are of different components are compared by their full sets. Members outside the
-    largest component are cut into blocks of about `block`, and so is that one; each of the former meets each block in
-    a task of its own, which holds these members only and gives no more links than it takes to join what is linked:
-    fewer than it has members. No two blocks of the largest component meet.
+    Members outside a bucket's largest component are cut into blocks of about `block`, and so is that one; each of the
+    former (i) meets each block (j) in a task of its own. No two blocks of the largest component meet.
     """
     count = lambda n: F.ceil(F.col(n) / block).cast("int")
     rest, base, based = count("n_rest"), count("n_base"), F.col("component") == F.col("base")
@@ -224,9 +222,47 @@ def bucket_links(members: DataFrame, sets: DataFrame, like: int = LIKE, of: int
     spread = lambda size: F.pmod(F.xxhash64("node"), size).cast("int")
     dealt = dealt.withColumn("own", F.when(based, F.col("rest") + spread(F.col("blocks") - F.col("rest"))).otherwise(spread(F.col("rest"))))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(based, F.col("rest")).otherwise(F.col("blocks")) - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
-    dealt = dealt.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
+
+
+def _met(dealt: DataFrame) -> DataFrame:
+    """The rows of each two blocks in one task, one after the other."""
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+
+
+def alike_members(members: DataFrame, signed: DataFrame, least: float = LEAST_AGREEMENT, block: int = BLOCK) -> DataFrame:
+    """bucket, node of the members whose signature agrees with that of a member of another component in the bucket.
+
+    Signature verification within buckets: most members of a bucket meet there by chance, and their sets need not move.
+    """
+    dealt = dealt_blocks(members, block).join(signed, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ["bucket", "i", "j"]):
+            component = group.column("component").to_numpy()
+            if (component == component[0]).all():
+                continue
+            side, i, j = group.column("own").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+            low = _matrix(group.column("signature").combine_chunks())
+            alike = np.zeros(len(low), bool)
+            for x in np.flatnonzero(side == i):
+                near = (component != component[x]) & ((i == j) | (side == j)) & ((low == low[x]).mean(1) >= least)
+                alike |= near
+                alike[x] |= near.any()
+            yield pa.RecordBatch.from_arrays([group.column(c).combine_chunks().filter(pa.array(alike)) for c in ("bucket", "node")], ["bucket", "node"])
+
+    return _met(dealt).mapInArrow(run, "bucket long, node long").distinct()
+
+
+def bucket_links(members: DataFrame, sets: DataFrame, like: int = LIKE, of: int = OF, block: int = BLOCK) -> DataFrame:
+    """Links a, b between different components in one bucket, for members of bucket, node, component, base, n_base, n_rest.
+
+    Every two members of a bucket that are of different components are compared by their full sets, in blocks. A task
+    holds the members of two blocks only and gives no more links than it takes to join what is linked: fewer than it
+    has members.
+    """
+    dealt = dealt_blocks(members, block).join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["bucket", "i", "j"]):
@@ -247,8 +283,7 @@ def bucket_links(members: DataFrame, sets: DataFrame, like: int = LIKE, of: int
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = dealt.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    return _met(dealt).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -282,11 +317,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialise(confirmed(tried, sets), "minhash-links")
     components = materialise(connected_components(links), "minhash-components")
     placed = buckets.join(components, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    several = materialise(placed.join(dealt_anew(open_buckets(placed)), "bucket"), "minhash-open")
-    more = materialise(bucket_links(several, sets), "minhash-links")
+    several = materialise(placed.join(dealt_anew(open_buckets(placed, 3)), "bucket"), "minhash-open")  # the smallest of a bucket has met each of its members
+    alike = several.select("bucket", "node", "component").join(alike_members(several, signed), ["bucket", "node"], "left_semi")
+    alike = materialise(alike, "minhash-alike")
+    left = materialise(alike.join(dealt_anew(open_buckets(alike)), "bucket"), "minhash-open")
+    more = materialise(bucket_links(left, sets), "minhash-links")
     if not more.isEmpty():
         components = materialise(connected_components(links.unionByName(more)), "minhash-components")
-    discard(buckets, signed, sets, tried, links, several, more)
+    discard(buckets, signed, sets, tried, links, several, alike, left, more)
     component = F.coalesce("component", "rep", "doc_id")
     return members.select("doc_id", "n", "rep").join(components, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -324,7 +324,15 @@ def test_a_bucket_of_several_components_is_compared_within(spark):
     for block in (7, 512):
         found = [(r.a, r.b) for r in minhash.bucket_links(members, stored, 45, 100, block).collect()]
         assert {tuple(sorted(x)) for x in found} <= set(near) and joined(found) == joined(near)
+    low = {i: bytes(rng.choice(b"abc") if k % 3 else k for k in range(128)) for i in sets}
+    signed = spark.createDataFrame([(i, bytearray(x)) for i, x in low.items()], "node long, signature binary")
+    agree = lambda a, b: sum(x == y for x, y in zip(low[a], low[b], strict=True)) / 128
+    alike = {(k, a) for k in (1, 2) for a in sets if any(component[a] != component[b] and agree(a, b) >= 0.62 for b in sets)}
+    for block in (7, 512):
+        assert {tuple(r) for r in minhash.alike_members(members, signed, 0.62, block).collect()} == alike and 0 < len(alike) < 120
     placed = members.select("bucket", "node", "component")
+    pair = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (8, 3, 3), (8, 4, 3)], "bucket long, node long, component long")
+    assert [r.bucket for r in minhash.open_buckets(pair).collect()] == [7] and minhash.open_buckets(pair, 3).count() == 0
     assert [tuple(r)[1:] for r in minhash.open_buckets(placed).collect()] == [(0, 40, 20)]  # one of two buckets with the same members
 
 
