@@ -24,7 +24,7 @@ from firnline.llm.common import discard, materialise, shared_folder
 #: The directory has 2^MAX_DEPTH places: a broadcast of under 2 MB at any corpus size.
 MAX_DEPTH = 16
 #: Hashes that a bucket holds before it is split, and entries in one of its files. At MAX_DEPTH it gets more files instead.
-CAPACITY = 4096
+CAPACITY = 1024
 #: At most this many hashes can have so large a share of all rows that their rows are summed up first.
 MOST_HOT = 1 << 16
 #: Rows of one hash that an owner takes as they are, whatever the number of rows.
