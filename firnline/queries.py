@@ -7,6 +7,7 @@ say how. Each query calls the engine's operators; the SQL says the same independ
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,13 @@ from firnline.functions.dates import DateRange, DayOfYear, selected_dates
 from firnline.functions.zones import STANDARD_LAYERS, parse_selection, resolve_axis
 from firnline.operators import basins as B
 from firnline.operators import diagnostics as D
+from firnline.operators import generate as L
 from firnline.operators import terrain as T
 from firnline.plans import output as O
 from firnline.plans import zonal as Z
 from firnline.sources import ingest as I
+from firnline.sources.tables import work_folder
+from firnline.streaming.ingest import start_ingest
 
 GRID = G.Grid(-120.0, 45.0, 0.01, 50, 40_000, 10)
 FINE = G.Grid(0.0, 0.0, 1.0, 50, 40_000, 10, "local")
@@ -332,6 +336,63 @@ _add(
 )
 
 
+SOURCE, TARGET = G.Grid(0.0, 0.0, 1.0, 50, 40_000, 10, "local", 10.0), G.Grid(0.0, 0.0, 4.0, 13, 10_000, 4, "local")
+
+
+def _layers(kind: str, fine: Callable[[SparkSession, str], DataFrame]):
+    """One kind of zone layers on every pixel of a target grid of 4 x 4 source pixels, as generation makes them."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cells = L.ENGINES[kind](L.cells_of(L.source_pixels(kind, fine(spark, sf_dir), SOURCE), SOURCE, TARGET))
+        layers = [F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, (t, _) in L.LAYERS[kind].items()]
+        return L.layers_on(TARGET, {kind: cells}).select("pixel_id", "tile_id", *layers)
+
+    return query
+
+
+_FRAME = "frame AS (SELECT range AS pixel_id, CAST((range // 13 // 4) * 4 + range % 13 // 4 AS INT) AS tile_id FROM range(130000))"
+_CLASSED = """, cl AS (SELECT (s."row" // 4) * 13 + s.col // 4 AS cell, z, aspect, CASE WHEN slope IS NULL THEN -1 WHEN slope < 2 THEN 4 WHEN aspect >= 315 OR aspect < 45 THEN 0 WHEN aspect < 135 THEN 1 WHEN aspect < 225 THEN 2 ELSE 3 END AS cls FROM s JOIN f ON s."row" = f.r AND s.col = f.c),
+counted AS (SELECT cell, count(*) FILTER (cls = 0) AS n0, count(*) FILTER (cls = 1) AS n1, count(*) FILTER (cls = 2) AS n2, count(*) FILTER (cls = 3) AS n3, count(*) FILTER (cls = 4) AS n4, count(*) FILTER (cls >= 0) AS total,
+    sum(z) FILTER (cls >= 0) AS sum_z, sum(cos(radians(aspect))) FILTER (cls BETWEEN 0 AND 3) AS sum_cos, sum(sin(radians(aspect))) FILTER (cls BETWEEN 0 AND 3) AS sum_sin FROM cl GROUP BY cell HAVING count(*) FILTER (cls >= 0) > 0),
+shares AS (SELECT cell, sum(CASE WHEN n > 0 THEN -(n / total) * ln(n / total) ELSE 0 END) / ln(5) AS entropy FROM (SELECT cell, total, unnest([n0, n1, n2, n3, n4]) AS n FROM counted) GROUP BY cell), """
+_add(
+    "m5_terrain_layers",
+    _layers("terrain", lambda s, d: _surface(s, d)),
+    _HORN + _CLASSED + _FRAME + """ SELECT pixel_id, tile_id, round(coalesce(sum_z / total, -9999), 6) AS elevation, CAST(CASE WHEN total IS NULL THEN 255 ELSE list_position([n0, n1, n2, n3, n4], list_max([n0, n1, n2, n3, n4])) - 1 END AS INT) AS aspect,
+    round(CASE WHEN total - n4 > 0 THEN sum_cos / (total - n4) ELSE -9999 END, 6) AS northness, round(CASE WHEN total - n4 > 0 THEN sum_sin / (total - n4) ELSE -9999 END, 6) AS eastness, round(coalesce(entropy, -1), 6) AS aspect_entropy
+    FROM frame LEFT JOIN counted ON pixel_id = counted.cell LEFT JOIN shares ON pixel_id = shares.cell""",
+)
+_add(
+    "m6_forest_layers",
+    _layers("landcover", lambda s, d: pixels(s, d).select("row", "col", F.when(F.col("forest_cover") % 7 == 0, 0).otherwise(F.lit(38) + F.col("forest_cover") % 7).alias("nlcd"))),
+    f"""WITH {PIXELS_SQL}, c AS (SELECT ("row" // 4) * 13 + col // 4 AS cell, CASE WHEN forest_cover % 7 = 0 THEN 0 ELSE 38 + forest_cover % 7 END AS nlcd FROM pixels),
+    n AS (SELECT cell, count(*) FILTER (nlcd IN (41, 42, 43)) AS forest, count(*) FILTER (nlcd <> 0) AS valid FROM c GROUP BY cell), {_FRAME}
+    SELECT pixel_id, tile_id, CAST(CASE WHEN valid > 0 THEN round_even(100e0 * forest / valid, 0) ELSE 255 END AS INT) AS forest_cover FROM frame LEFT JOIN n ON pixel_id = cell""",
+)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items of a month as a stream in two runs: quantities of some lines first, then discounts of all and quantities anew."""
+    path = f"{work_folder(spark)}/streamed-{uuid.uuid4().hex}"
+    schema = _read(spark, sf_dir, "lineitem").schema
+    lines = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/lineitem*")
+    base = lines.select(F.trunc("l_shipdate", "month").alias("date"), F.col("l_partkey").alias("pixel_id"), (F.col("l_partkey") % 64).cast("int").alias("tile_id"), "l_linenumber", "l_quantity", "l_discount")
+    long = lambda rows, variable, value: rows.select("date", F.lit(variable).alias("variable"), "tile_id", "pixel_id", value.alias("value"))
+    first = long(base.where("l_linenumber <= 3"), "qty", F.col("l_quantity"))
+    then = long(base, "disc", F.col("l_discount") * 100).unionByName(long(base.where("l_linenumber = 2"), "qty", -F.col("l_quantity")))
+    for k, rows in enumerate((first, then, then)):  # the last run finds all of it known
+        start_ingest(rows, ["disc", "qty"], path, f"{path}-progress-{min(k, 1)}").awaitTermination()
+    return spark.read.schema("tile_id int, pixel_id long, disc double, qty double, date date").parquet(f"{path}/observations").select("date", "pixel_id", "tile_id", "disc", "qty")
+
+
+_add(
+    "stream_ingest",
+    _streamed,
+    """WITH l AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, l_partkey AS pixel_id, l_linenumber AS n, l_quantity AS qty, l_discount * 100 AS disc FROM lineitem)
+    SELECT date, pixel_id, CAST(pixel_id % 64 AS INT) AS tile_id, max(disc) AS disc, coalesce(max(-qty) FILTER (n = 2), max(qty) FILTER (n <= 3)) AS qty FROM l GROUP BY date, pixel_id""",
+)
+
+
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _read(spark, sf_dir, "nation")
     joined = _read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))

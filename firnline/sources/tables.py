@@ -7,6 +7,7 @@ reads what it replaces can do so.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,19 @@ def _path(spark: SparkSession, path: str):
     return out, out.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+_own: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share, from spark.checkpoint.dir; a local session gets its own where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="firnline-"))
+    return folder.rstrip("/")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     place, system = _path(spark, path)
     return system.exists(place)
