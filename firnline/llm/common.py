@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firnline.sources.tables import delete
+from firnline.sources.tables import work_folder as shared_folder
+
 #: A word: a run without space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_own_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where that is unset a local session gets a folder of its own; on a cluster it is an error, as executors would not
-    see each other's files.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        session = spark.sparkContext.applicationId
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if session not in _own_folders:
-            _own_folders[session] = "file://" + tempfile.mkdtemp(prefix="firnline-")
-        folder = _own_folders[session]
-    return folder.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
@@ -46,9 +28,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def discard(*stored: DataFrame) -> None:
     """Delete what `materialise` wrote for these, once nothing that is still to be worked out reads it."""
     for df in stored:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df._stored_at)
 
 
 def dealt_anew(df: DataFrame) -> DataFrame:
