@@ -251,11 +251,10 @@ def brute_components(texts):
         w = [x for x in __import__("re").findall(r"[^\x20\x09-\x0D]+", lowered)]
         sets.append({tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)})
     component = list(range(len(texts)))
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b and 100 * len(a & b) >= 75 * len(a | b)]
     for _ in texts:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if a and b and 100 * len(a & b) >= 75 * len(a | b):
-                    component[i] = component[j] = min(component[i], component[j])
+        for i, j in links:
+            component[i] = component[j] = min(component[i], component[j])
     return {i: (len(s), component[i], component[i] == i) for i, s in enumerate(sets)}
 
 
