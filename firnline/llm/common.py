@@ -41,7 +41,7 @@ def dealt_anew(df: DataFrame) -> DataFrame:
 
 
 #: Rows and bytes of an Arrow batch that Python workers get, the same for all operators.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
