@@ -10,8 +10,8 @@ from firnline.api import Service
 from firnline.errors import FirnlineError
 from firnline.functions.dates import parse_dates
 from firnline.functions.grid import ALBERS_CRS, Grid
-from firnline.operators.generate import generate, local_pixels
-from firnline.plans.output import emitted
+from firnline.operators.generate import elevation_tiles, generate, import_layers, local_pixels, warped
+from firnline.plans.output import emitted, write_csv
 from firnline.sources.basins import BasinStore
 from firnline.sources.catalog import Catalogue
 from firnline.sources.ingest import remove_date
@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     stats.add_argument("--variable", action="append", default=[])
     stats.add_argument("--zone", action="append", default=[], help="LAYER or LAYER:PARAM=VALUE")
     stats.add_argument("--format", choices=("json", "csv"), default="csv")
+    stats.add_argument("--out", help="a folder that executors write CSV files to, in place of printing")
     stats.add_argument("--allow-partial", action="store_true")
     stats.add_argument("--include-empty-zones", action="store_true")
     for name, words in {"list": (), "info": ("name",), "dates": ("name",), "values": ("name",), "create": ("template", "name"), "activate": ("name",), "deactivate": ("name",), "remove-date": ("name", "date")}.items():
@@ -46,9 +47,15 @@ def parser() -> argparse.ArgumentParser:
     layers = commands.add_parser("generate", help="make zone layers from local sources, once for all datasets given")
     layers.add_argument("dataset", nargs="+")
     layers.add_argument("--elevation", help="Parquet table of row, col, z on the grid of --grid")
+    layers.add_argument("--tiles", help="in place of --elevation: a folder of one-degree tables, warped to the grid of --grid")
+    layers.add_argument("--per-degree", type=int, default=10_800, help="pixels along a degree of the tiles")
     layers.add_argument("--landcover", help="Parquet table of row, col, nlcd on the grid of --grid")
-    layers.add_argument("--grid", required=True, help="ORIGIN_X,ORIGIN_Y,PIXEL,COLS,ROWS of the sources, in EPSG:5070")
+    layers.add_argument("--grid", required=True, help="--grid=ORIGIN_X,ORIGIN_Y,PIXEL,COLS,ROWS of the sources, in EPSG:5070")
     layers.add_argument("--force", action="store_true", help="replace layers that are there")
+    made = commands.add_parser("layers-import", help="take in zone layers made elsewhere: a Parquet table of row, col and the layers")
+    made.add_argument("dataset")
+    made.add_argument("source")
+    made.add_argument("--force", action="store_true", help="replace layers that are there")
     for name, words in {"import": ("source",), "sync": ("source",), "list": (), "show": ("triplet",), "dump": ("triplet", "to"), "remove": ("triplet",), "reindex": (), "rasterize": ("dataset",)}.items():
         sub = commands.add_parser(f"pourpoint-{name}")
         for word in words:
@@ -70,6 +77,10 @@ def run(spark, args: argparse.Namespace) -> int:
     service, name = Service(catalogue, store), getattr(args, "name", "")
     active = [catalogue[n] for n in catalogue.active()]
     rows = lambda frame: [r.asDict(recursive=True) for r in frame.collect()]
+    if args.command == "stats" and args.out:
+        result = catalogue.zonal_stats(args.dataset, args.triplet, parse_dates(args.dates, args.years), args.variable, args.zone, store.index.read(), args.allow_partial, args.include_empty_zones)
+        write_csv(result, args.out)
+        return 0
     if args.command == "stats":
         answer = service.stats(args.dataset, args.triplet, parse_dates(args.dates, args.years), args.variable, args.zone, args.allow_partial, args.include_empty_zones, args.format)
         if args.format == "csv":
@@ -84,6 +95,7 @@ def run(spark, args: argparse.Namespace) -> int:
             "init": lambda: sorted(catalogue.datasets),
             "ingest": lambda: rows(run_ingest(spark, args.source, catalogue.registered(args.dataset), force=args.force, dry_run=args.dry_run)),
             "generate": lambda: _generate(spark, catalogue, args),
+            "layers-import": lambda: import_layers(spark.read.parquet(args.source), catalogue.registered(args.dataset), args.force),
             "status": service.status,
             "dataset-list": service.datasets,
             "dataset-info": lambda: service.dataset(name),
@@ -111,7 +123,12 @@ def _generate(spark, catalogue: Catalogue, args: argparse.Namespace) -> list[str
     grid = Grid(x, y, pixel, int(cols), int(rows), crs=ALBERS_CRS)
     given = {"terrain": (args.elevation, "z", "double"), "landcover": (args.landcover, "nlcd", "smallint")}
     sources = {kind: (local_pixels(spark, path, value, dtype), grid) for kind, (path, value, dtype) in given.items() if path}
-    generate(sources, [catalogue.registered(n) for n in args.dataset], args.force)
+    targets = [catalogue.registered(n) for n in args.dataset]
+    if args.tiles:
+        bounds = tuple(pick(t.grid.extent[k] for t in targets) for k, pick in enumerate((min, min, max, max)))
+        pixels, tiles_grid = elevation_tiles(spark, args.tiles, bounds, args.per_degree)
+        sources["terrain"] = warped(pixels, tiles_grid, grid), grid
+    generate(sources, targets, args.force)
     return args.dataset
 
 

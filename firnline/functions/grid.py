@@ -183,7 +183,8 @@ class Albers:
             d = 1 - e * e * s * s
             return phi + d * d / (2 * F.cos(phi)) * (q / (1 - e * e) - s / d + F.log((1 - e * s) / (1 + e * s)) / (2 * e))
 
-        phi = reduce(lambda p, _: closer(p), range(3), phi)
+        once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  # else each step would repeat all before it
+        phi = reduce(lambda p, _: once(p, closer), range(3), phi)
         return F.degrees(F.atan2(x, dy) / n) + self.lon_0, F.degrees(phi)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from firnline.errors import BasinNotBurned, IncompleteData, QueryError
 from firnline.functions.dates import DateQuery
+from firnline.functions.names import glob_pattern
 from firnline.functions.zones import Axis, Zone
 
 MAX_CELLS = 10_000
@@ -208,6 +209,13 @@ def resolved(listing: DataFrame) -> DataFrame:
     return listing.groupBy("date", "variable").agg(F.count(F.lit(1)).alias("files"))
 
 
+def listing_of(files: DataFrame, variables: Sequence[Variable]) -> DataFrame:
+    """date, variable of files (date, name): a file is a variable's if its name matches the variable's glob."""
+    own = [F.when(F.col("name").rlike(glob_pattern(v.glob)), F.lit(v.key)) for v in variables if v.glob]
+    named = files.select("date", F.explode(F.array_compact(F.array(*own))).alias("variable")) if own else files.select("date", F.lit(None).cast("string").alias("variable")).limit(0)
+    return named
+
+
 def first_present(listing: DataFrame) -> DataFrame:
     """The first entry of a listing (date, variable): of the earliest date, the first variable by name."""
     return listing.select("date", "variable").where("date is not null and variable is not null").orderBy("date", "variable").limit(1)

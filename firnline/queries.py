@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,6 +180,11 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LISTING = "listing AS (SELECT CAST(l_shipdate AS DATE) AS date, l_returnflag AS variable FROM lineitem)"
 _add("o4_first_present", lambda s, d: Z.first_present(_listing(s, d)), f"WITH {_LISTING} SELECT date, variable FROM listing ORDER BY date, variable LIMIT 1")
 _add("s4_resolve_variables", lambda s, d: Z.resolved(_listing(s, d)), f"WITH {_LISTING} SELECT date, variable, count(*) AS files FROM listing GROUP BY ALL")
+_add(
+    "f4_glob_listing",
+    lambda s, d: Z.resolved(Z.listing_of(_listing(s, d).select("date", F.concat("variable", F.lit("__x.tif")).alias("name")), [replace(QTY, glob="[AR]__*.tif"), replace(DISC, glob="[!A]__?.tif"), Z.Variable("other", "ea")])),
+    f"WITH {_LISTING} SELECT date, v AS variable, count(*) AS files FROM listing, (VALUES ('qty', 'A'), ('qty', 'R'), ('disc', 'N'), ('disc', 'R')) AS m(v, flag) WHERE variable = flag GROUP BY date, v",
+)
 _add(
     "j15_completeness",
     lambda s, d: Z.completeness(_listing(s, d), ["A", "N", "R"]).select("date", F.array_join("missing", ",").alias("missing")),

@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from firnline.errors import ExistsError, IncompleteData, SourceError
 from firnline.functions.grid import Grid
-from firnline.functions.names import INSTARR, SNODAS, SWANN, output_name, snodas_names, versioned
+from firnline.functions.names import INSTARR, SWANN, output_name, snodas_names, versioned
 from firnline.sources.tables import Table, delete, exists, move
 
 FORMAT = 1
@@ -246,7 +246,3 @@ def write_layers(layers: DataFrame, path: str, force: bool = False) -> None:
 def provenance_tag(parts: Sequence[Column]) -> Column:
     """A versioned digest of a row's parts."""
     return versioned(FORMAT, F.sha2(F.concat_ws("\x1f", *[p.cast("string") for p in parts]), 256))
-
-
-def is_snodas(name: Column) -> Column:
-    return name.rlike(SNODAS)

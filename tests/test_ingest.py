@@ -198,6 +198,27 @@ def test_layers_of_several_targets_from_one_source(spark, tmp_path):
         G.generate({}, targets)
 
 
+def test_layers_from_tiles_and_from_elsewhere_by_command(spark, tmp_path, capsys):
+    root, grid = str(tmp_path / "root"), Grid(-105.9, 39.9, 0.05, 4, 4, 4)
+    catalogue = Catalogue.initialise(spark, root)
+    demo = catalogue.register(replace(TEMPLATES["snodas"], name="demo", grid=grid))
+    spark.createDataFrame([(r, c, 100.0) for r in range(50) for c in range(50)], "row int, col int, z double").write.parquet(str(tmp_path / "tiles/n40w106.parquet"))
+    x, y = (spark.range(1).select(*[c.alias(k) for c, k in zip(Albers().forward(F.lit(-105.95), F.lit(39.98)), "xy", strict=True)]).first())
+    args = [root, "generate", "demo", "--tiles", str(tmp_path / "tiles"), "--per-degree", "50", f"--grid={x},{y},2000,25,25"]
+    assert run(spark, parser().parse_args(args)) == 0 and '"demo"' in capsys.readouterr().out
+    rows = demo.table(spark, "zone_pixels").collect()
+    assert len(rows) == 16 and all(abs(r.elevation - 100.0) < 1e-6 and r.aspect == T.FLAT and r.eastness == -9999.0 for r in rows)
+    made = [(r, c, 7.0) for r in range(4) for c in range(4)]
+    spark.createDataFrame(made, "row int, col int, elevation double").write.parquet(str(tmp_path / "made"))
+    with pytest.raises(ExistsError):
+        run(spark, parser().parse_args([root, "layers-import", "demo", str(tmp_path / "made")]))
+    assert run(spark, parser().parse_args([root, "layers-import", "demo", str(tmp_path / "made"), "--force"])) == 0
+    assert {r.elevation for r in demo.table(spark, "zone_pixels").collect()} == {7.0}
+    spark.createDataFrame(made[1:], "row int, col int, elevation double").write.parquet(str(tmp_path / "short"))
+    with pytest.raises(SourceError):
+        run(spark, parser().parse_args([root, "layers-import", "demo", str(tmp_path / "short"), "--force"]))
+
+
 def test_elevation_tiles_that_are_there(spark, tmp_path):
     for name, z in (("n40w106", 1.0), ("n39w105", 2.0)):
         spark.createDataFrame([(r, c, z) for r in range(4) for c in range(4)], "row int, col int, z double").write.parquet(str(tmp_path / f"{name}.parquet"))
