@@ -1,4 +1,4 @@
-"""Queries of the ten corpus operators: thin calls with production parameters over the whole intended table."""
+"""Queries of the corpus operators: thin calls with production parameters over the whole intended table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from firnline.llm import bpe_codec, exact_index, fingerprints, html_extract, line_dedup, minhash, mixing, quality_gam, suffix_dedup, token_counts
+from firnline.llm import bpe_codec, exact_index, fill_in_middle, fingerprints, html_extract, line_dedup, minhash, mixing, quality_gam, suffix_dedup, token_counts
 from firnline.llm.common import documents
 
 
@@ -51,6 +51,10 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle_digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_codec": op2_bpe_codec,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_html_extract": op9_html_extract,
     "op10_quality_gam": op10_quality_gam,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -142,4 +147,21 @@ ORACLES: dict[str, str] = {
         once AS (SELECT line, sum(words) AS words FROM pieces JOIN drawn USING (position, shard, block) WHERE place <= rest GROUP BY line)
         SELECT doc_id, size, source_size, target, CAST(coalesce(passes, 0) * size + coalesce(words, 0) AS BIGINT) AS taken, source
         FROM ordered o LEFT JOIN shares h ON o.position = h.position AND o.shard = h.shard LEFT JOIN once USING (line)""",
+    "op12_fill_in_middle": r"""
+        WITH lined AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+        drawn AS (
+            SELECT *, len(u) AS n, text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain,
+                   CAST('0x' || d[1:8] AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || d[9:16] AS BIGINT) % (len(u) + 1) AS y, CAST('0x' || d[25:32] AS BIGINT) % 100 < 50 AS spm
+            FROM lined),
+        cut AS (
+            SELECT *, CASE WHEN least(x, y) = 0 THEN '' ELSE array_to_string(u[1:least(x, y)], '') END AS p,
+                   CASE WHEN x = y THEN '' ELSE array_to_string(u[least(x, y) + 1:greatest(x, y)], '') END AS m,
+                   CASE WHEN greatest(x, y) = n THEN '' ELSE array_to_string(u[greatest(x, y) + 1:n], '') END AS s
+            FROM drawn)
+        SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+               CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+               sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM cut""",
 }
