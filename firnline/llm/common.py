@@ -40,6 +40,19 @@ def dealt_anew(df: DataFrame) -> DataFrame:
     return df.hint("rebalance")
 
 
+#: Bytes of input for each task that gathers rows by a key, and the most such tasks.
+TASK_BYTES, MOST_TASKS = 32 << 20, 100_000
+
+
+def tasks_for(*inputs: DataFrame) -> int:
+    """How many tasks to gather rows by a key in: what the session has set, or more if the inputs' files ask for it.
+
+    Spark knows the size of files; of other inputs it has no idea and says so by a number beyond any size.
+    """
+    size = sum(int(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for x in inputs)
+    return max(int(inputs[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // TASK_BYTES), MOST_TASKS) if size < 1 << 55 else 0)
+
+
 #: Rows and bytes of an Arrow batch that Python workers get, the same for all operators.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 

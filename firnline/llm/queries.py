@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from firnline.llm import bpe_codec, exact_index, fill_in_middle, fingerprints, html_extract, line_dedup, minhash, mixing, quality_gam, suffix_dedup, token_counts
+from firnline.llm import bpe_codec, exact_index, fill_in_middle, fingerprints, html_extract, line_dedup, minhash, mixing, quality_gam, suffix_dedup, super_kmers, token_counts
 from firnline.llm.common import documents
 
 
@@ -55,6 +55,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.fill_in_middle_digests(documents(spark, sf_dir))
 
 
+def op13_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return super_kmers.without_repeated_windows(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_codec": op2_bpe_codec,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extract": op9_html_extract,
     "op10_quality_gam": op10_quality_gam,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_super_kmers": op13_super_kmers,
 }
 
 ORACLES: dict[str, str] = {
@@ -164,4 +169,15 @@ ORACLES: dict[str, str] = {
                sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
                sha256(text) AS restored_sha256
         FROM cut""",
+    "op13_super_kmers": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (SELECT doc_id, s, array_to_string(w[s:s + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d)),
+        hits AS (SELECT doc_id, s FROM windows QUALIFY count(*) OVER (PARTITION BY g) > 1),
+        each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS s FROM d),
+        judged AS (
+            SELECT doc_id, s, word, max(CASE WHEN h.s IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+            FROM each LEFT JOIN hits h USING (doc_id, s)),
+        cut AS (SELECT doc_id, count(*) AS words, sum(gone) AS removed, string_agg(word, ' ' ORDER BY s) FILTER (gone = 0) AS kept FROM judged GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(words, 0) AS BIGINT) AS n_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN cut USING (doc_id)""",
 }
