@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from firnline.llm import bpe_codec, exact_index, fill_in_middle, fingerprints, html_extract, line_dedup, minhash, mixing, quality_gam, suffix_dedup, super_kmers, token_counts
+from firnline.llm import bpe_codec, exact_index, fill_in_middle, fingerprints, html_extract, line_dedup, minhash, mixing, quality_gam, spelling, suffix_dedup, super_kmers, token_counts
 from firnline.llm.common import documents
 
 
@@ -51,6 +51,10 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.fill_in_middle_digests(documents(spark, sf_dir))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_html_extract": op9_html_extract,
     "op10_quality_gam": op10_quality_gam,
+    "op11_spelling": op11_spelling,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_super_kmers": op13_super_kmers,
 }
@@ -152,6 +157,33 @@ ORACLES: dict[str, str] = {
         once AS (SELECT line, sum(words) AS words FROM pieces JOIN drawn USING (position, shard, block) WHERE place <= rest GROUP BY line)
         SELECT doc_id, size, source_size, target, CAST(coalesce(passes, 0) * size + coalesce(words, 0) AS BIGINT) AS taken, source
         FROM ordered o LEFT JOIN shares h ON o.position = h.position AND o.shard = h.shard LEFT JOIN once USING (line)""",
+    "op11_spelling": r"""
+        WITH RECURSIVE steps AS (
+            SELECT list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS crc, x
+            FROM (SELECT unnest(range(0, 256)) AS x)),
+        crcs AS MATERIALIZED (SELECT list(crc ORDER BY x) AS t FROM steps),
+        found AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+        each AS (SELECT doc_id, w, count(*) AS times, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS h FROM found GROUP BY doc_id, w),
+        summed AS (
+            SELECT w, times, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, CAST(length(h) AS BIGINT), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+                   lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) AS BIGINT) + 1])), 4294967295) AS crc
+            FROM each, crcs),
+        kept AS (SELECT CASE WHEN crc % 31 = 0 THEN left(w, crc % length(w)) || substr(w, crc % length(w) + 2) ELSE w END AS word, times FROM summed),
+        words AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM kept WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+        cut AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS d, length(word) AS size FROM (SELECT *, unnest(range(0, CAST(length(word) AS BIGINT))) AS i FROM words)),
+        near AS (
+            SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.d = b.d AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.d = b.word
+            UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.d = b.word),
+        best AS (SELECT word, count(*) AS n_near, max(n) AS most FROM near GROUP BY word),
+        formed AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * w.n THEN most END AS form_n,
+                   CASE WHEN most >= 10 * w.n THEN (SELECT min(hex(encode(other))) FROM near x WHERE x.word = w.word AND x.n = most) END AS form
+            FROM words w LEFT JOIN best USING (word)),
+        named AS MATERIALIZED (SELECT word, n, n_near, form_n, decode(unhex(form)) AS form FROM formed),
+        led(word, last) AS (SELECT word, word FROM named UNION SELECT l.word, m.form FROM led l JOIN named m ON l.last = m.word WHERE m.form IS NOT NULL)
+        SELECT m.word, m.form, l.last AS root, m.n, m.n_near, m.form_n
+        FROM named m JOIN led l ON l.word = m.word JOIN named e ON e.word = l.last AND e.form IS NULL""",
     "op12_fill_in_middle": r"""
         WITH lined AS (
             SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
