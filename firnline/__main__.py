@@ -125,7 +125,8 @@ def _generate(spark, catalogue: Catalogue, args: argparse.Namespace) -> list[str
     sources = {kind: (local_pixels(spark, path, value, dtype), grid) for kind, (path, value, dtype) in given.items() if path}
     targets = [catalogue.registered(n) for n in args.dataset]
     if args.tiles:
-        bounds = tuple(pick(t.grid.extent[k] for t in targets) for k, pick in enumerate((min, min, max, max)))
+        degrees = [t.grid.bounds_in_degrees(spark) for t in targets]
+        bounds = tuple(pick(b[k] for b in degrees) for k, pick in enumerate((min, min, max, max)))
         pixels, tiles_grid = elevation_tiles(spark, args.tiles, bounds, args.per_degree)
         sources["terrain"] = warped(pixels, tiles_grid, grid), grid
     generate(sources, targets, args.force)

@@ -107,7 +107,7 @@ class Service:
         return D.health(
             {
                 "dates": lambda: D.completeness_findings(d.table(spark, "manifest"), name, sorted(d.variables)),
-                "pourpoints": lambda: D.basin_findings(name, records.select("triplet"), d.table(spark, "aoi_pixels"), B.coverage(records, d.domain, d.holes)),
+                "pourpoints": lambda: D.basin_findings(name, records.select("triplet"), d.table(spark, "aoi_pixels"), d.coverage(records)),
             },
             checks or ("dates", "pourpoints"),
         )

@@ -47,6 +47,23 @@ class Grid:
     def is_geographic(self) -> bool:
         return self.crs in ("EPSG:4326", "EPSG:4269")
 
+    @property
+    def has_projection(self) -> bool:
+        """Whether places of the grid can be computed from longitude and latitude."""
+        return self.crs in GEOGRAPHIC or self.crs == ALBERS_CRS or self.crs.startswith(SINUSOIDAL_CRS)
+
+    def bounds_in_degrees(self, spark: SparkSession, steps: int = 64) -> tuple[float, float, float, float]:
+        """west, south, east, north of the grid's sides in longitude and latitude; sides are bent there, so many places of each count."""
+        if self.crs in GEOGRAPHIC:
+            return self.extent
+        w, s, e, n = self.extent
+        at = F.col("id") / steps
+        x, y = F.lit(w) + at * (e - w), F.lit(s) + at * (n - s)
+        sides = [(x, F.lit(s)), (x, F.lit(n)), (F.lit(w), y), (F.lit(e), y)]
+        each = spark.range(steps + 1).select(F.explode(F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in sides])).alias("p"))
+        lon, lat = reprojected(F.col("p.x"), F.col("p.y"), self.crs, GEOGRAPHIC[0])
+        return tuple(each.select(lon.alias("lon"), lat.alias("lat")).agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first())
+
     def pixel_id(self, row: Column, col: Column) -> Column:
         return (row.cast("long") * self.cols + col).cast("long")
 

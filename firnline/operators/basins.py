@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from firnline.errors import CoverageError, UnknownBasin
-from firnline.functions.grid import Grid, ellipsoid_strip
+from firnline.functions.grid import GEOGRAPHIC, Grid, ellipsoid_strip, reprojected
 from firnline.functions.names import is_triplet
 
 _RING = "array<array<double>>"
@@ -67,22 +67,72 @@ def edges(basins: DataFrame, key: str = "triplet") -> DataFrame:
     return each.select(key, at("a", 0).alias("x1"), at("a", 1).alias("y1"), at("b", 0).alias("x2"), at("b", 1).alias("y2")).where("not (x1 = x2 and y1 = y2)")
 
 
+def placed_edges(basins: DataFrame, crs: str, bound: float | None, key: str = "triplet") -> DataFrame:
+    """key, x1, y1, x2, y2: the edges of rings in longitude and latitude, in a projection.
+
+    An edge is straight in longitude and latitude, so it is bent in the projection. It is cut into as many pieces as it
+    takes for each to stay within `bound` (in the projection's unit) of the bent line: how far its middle and quarters
+    lie from the chord tells how many, and a second round cuts what the first took for too straight. No bound: only the
+    corners are projected.
+    """
+    out = edges(basins, key)
+    if crs in GEOGRAPHIC:
+        return out
+    if bound is not None:
+        for _ in range(2):
+            out = _bent(out, crs, bound, key)
+    (x1, y1), (x2, y2) = (reprojected(F.col(f"x{k}"), F.col(f"y{k}"), GEOGRAPHIC[0], crs) for k in (1, 2))
+    return out.select(key, x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).where("not (x1 = x2 and y1 = y2)")
+
+
+def _bent(lonlat: DataFrame, crs: str, bound: float, key: str) -> DataFrame:
+    """The edges in longitude and latitude, cut so that pieces are within the bound if they bend evenly."""
+    at = lambda t: tuple(F.col(f"{c}1") + t * (F.col(f"{c}2") - F.col(f"{c}1")) for c in "xy")
+    names = ("a", "q", "m", "r", "b")
+    places = {n: reprojected(*at(t), GEOGRAPHIC[0], crs) for n, t in zip(names, (0.0, 0.25, 0.5, 0.75, 1.0), strict=True)}
+    seen = lonlat.withColumns({f"_{n}{c}": v for n, place in places.items() for c, v in zip("xy", place, strict=True)})
+
+    def off(n: str, t: float) -> Column:
+        """How far a place is from the chord's at the same share of it."""
+        d = [F.col(f"_{n}{c}") - F.col(f"_a{c}") - t * (F.col(f"_b{c}") - F.col(f"_a{c}")) for c in "xy"]
+        return F.sqrt(d[0] * d[0] + d[1] * d[1])
+
+    most = F.greatest(off("q", 0.25) * (4 / 3), off("m", 0.5), off("r", 0.75) * (4 / 3))  # of an even bend, the middle's
+    pieces = F.greatest(F.ceil(F.sqrt(most / bound)), F.lit(1)).cast("int")
+    each = seen.withColumn("_n", pieces).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    end = lambda c, i: F.when(i == F.col("_n"), F.col(f"{c}2")).otherwise(F.col(f"{c}1") + i / F.col("_n") * (F.col(f"{c}2") - F.col(f"{c}1")))
+    i = F.col("_i")
+    return each.select(key, end("x", i).alias("x1"), end("y", i).alias("y1"), end("x", i + 1).alias("x2"), end("y", i + 1).alias("y2"))
+
+
 def crosses(x: Column, y: Column) -> Column:
     """Whether the edge x1, y1, x2, y2 crosses the ray from (x, y) to the east."""
     straddles = (F.col("y1") > y) != (F.col("y2") > y)
     return straddles & (x < (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1"))
 
 
-def burned(basins: DataFrame, grid: Grid, mask: DataFrame | None = None, key: str = "triplet") -> DataFrame:
+def grid_edges(basins: DataFrame, grid: Grid, key: str = "triplet", bend: float | None = None) -> DataFrame:
+    """The edges of rings in the grid's coordinates; a bend is in pixels."""
+    if not grid.has_projection:
+        return edges(basins, key)
+    return placed_edges(basins, grid.crs, None if bend is None else bend * grid.pixel, key)
+
+
+#: How far a projected edge may be from the bent line that it stands for, in pixels.
+BEND = 1 / 16
+
+
+def burned(basins: DataFrame, grid: Grid, mask: DataFrame | None = None, key: str = "triplet", bend: float | None = BEND) -> DataFrame:
     """basin, row, col, pixel_id, tile_id, area_m2 of the pixels whose centres lie in a basin.
 
     A grid row meets only those edges that span it, and the crossings to the right of a centre are counted by sorting
     them per row: each pair of crossings bounds a run of pixels. So the work grows with the basin's outline and pixels
-    and no basin is set against the whole grid. mask: pixel_ids of valid ground. Coordinates are the grid's.
+    and no basin is set against the whole grid. mask: pixel_ids of valid ground. Rings are in longitude and latitude;
+    on a projected grid their edges are placed to within `bend` pixels. A grid of no known projection has the rings' own.
     """
     first = F.greatest(F.lit(0), F.ceil((F.lit(grid.origin_y) - F.greatest("y1", "y2")) / grid.pixel - 0.5)).cast("int")
     last = F.least(F.lit(grid.rows - 1), F.floor((F.lit(grid.origin_y) - F.least("y1", "y2")) / grid.pixel - 0.5)).cast("int")
-    spanned = edges(basins, key).withColumns({"_f": first, "_l": last}).where("_f <= _l").withColumn("row", F.explode(F.sequence("_f", "_l")))
+    spanned = grid_edges(basins, grid, key, bend).withColumns({"_f": first, "_l": last}).where("_f <= _l").withColumn("row", F.explode(F.sequence("_f", "_l")))
     y = F.lit(grid.origin_y) - (F.col("row") + 0.5) * grid.pixel
     at = spanned.where((F.col("y1") > y) != (F.col("y2") > y)).select(key, "row", ((F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")).alias("x"))
     lines = at.groupBy(key, "row").agg(F.array_sort(F.collect_list("x")).alias("xs"))
@@ -112,15 +162,17 @@ def geodesic_area(basins: DataFrame, key: str = "triplet") -> DataFrame:
 Box = tuple[float, float, float, float]
 
 
-def coverage(basins: DataFrame, boxes: Sequence[Box], holes: Sequence[Box] = (), key: str = "triplet") -> DataFrame:
+def coverage(basins: DataFrame, boxes: Sequence[Box], holes: Sequence[Box] = (), key: str = "triplet", grid: Grid | None = None, bend: float | None = BEND) -> DataFrame:
     """key, coverage (full, partial, none) of each basin by a domain: boxes (west, south, east, north) less holes.
 
+    With a grid, boxes are in its coordinates, and rings, in longitude and latitude, are placed there first.
+
     Covered: every corner lies in a box and no part of the basin in a hole. Boxes must tile a region whose only gaps
     are the holes; with one box there is none.
     """
     from functools import reduce
 
-    e = edges(basins, key)
+    e = edges(basins, key) if grid is None else grid_edges(basins, grid, key, bend)
     inside = lambda x, y, b: (F.col(x) >= b[0]) & (F.col(x) <= b[2]) & (F.col(y) >= b[1]) & (F.col(y) <= b[3])
     any_of = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
 

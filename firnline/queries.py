@@ -20,6 +20,7 @@ from firnline.functions.dates import DateRange, DayOfYear, selected_dates
 from firnline.functions.zones import STANDARD_LAYERS, parse_selection, resolve_axis
 from firnline.operators import basins as B
 from firnline.operators import diagnostics as D
+from firnline.operators import footprint as P
 from firnline.operators import generate as L
 from firnline.operators import terrain as T
 from firnline.plans import output as O
@@ -497,6 +498,70 @@ _add(
     p AS (SELECT p_partkey AS pixel_id, -120e0 + (p_partkey % 50 + 0.5e0) * 0.01e0 AS x, 45e0 - (p_partkey // 50 + 0.5e0) * 0.01e0 AS y FROM part)
     SELECT '1:MT:USGS' AS basin, pixel_id FROM p, e GROUP BY pixel_id HAVING count(*) FILTER ((y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) % 2 = 1""",
 )
+
+SINUSOIDAL, CONIC = G.Grid(-10.6e6, 5.15e6, 10_000.0, 190, 90, 32, G.SINUSOIDAL_CRS), G.Grid(-2.25e6, 3.0e6, 10_000.0, 100, 120, 32, G.ALBERS_CRS)
+_CORNERS = ((-1.0, -0.8), (1.2, -0.5), (0.1, 0.9))
+
+
+def _wedges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A triangle of some degrees about each station."""
+    ring = F.array(*[F.array(F.col("lon") + dx, F.col("lat") + dy) for dx, dy in (*_CORNERS, _CORNERS[0])])
+    return stations(spark, sf_dir).select("triplet", F.array(ring).alias("rings"))
+
+
+def _burned_sql(grid: G.Grid, placed: str) -> str:
+    """Ray casting in longitude and latitude, with each pixel's centre taken back there."""
+    sides = ", ".join(f"({ax}e0, {ay}e0, {bx}e0, {by}e0)" for (ax, ay), (bx, by) in zip(_CORNERS, (*_CORNERS[1:], _CORNERS[0]), strict=True))
+    return f"""WITH {_STATIONS}, side(px, py, qx, qy) AS (VALUES {sides}),
+    centres AS (SELECT range AS pixel_id, {grid.origin_x}e0 + (range % {grid.cols} + 0.5e0) * {grid.pixel}e0 AS x, {grid.origin_y}e0 - (range // {grid.cols} + 0.5e0) * {grid.pixel}e0 AS y FROM range({grid.rows * grid.cols})),
+    {placed},
+    near AS (SELECT triplet, pixel_id, p.lon AS x, p.lat AS y, s.lon, s.lat FROM stations s JOIN places p ON p.lon BETWEEN s.lon - 1.3 AND s.lon + 1.3 AND p.lat BETWEEN s.lat - 1 AND s.lat + 1)
+    SELECT triplet AS basin, pixel_id FROM near, side GROUP BY triplet, pixel_id
+    HAVING count(*) FILTER ((lat + py > y) <> (lat + qy > y) AND x < (qx - px) * (y - lat - py) / (qy - py) + lon + px) % 2 = 1"""
+
+
+_add(
+    "f25_burn_sinusoidal",
+    lambda s, d: B.burned(_wedges(s, d), SINUSOIDAL, bend=1e-6).select("basin", "pixel_id"),
+    _burned_sql(SINUSOIDAL, "places AS (SELECT pixel_id, degrees(x / (6371007.181e0 * cos(y / 6371007.181e0))) AS lon, degrees(y / 6371007.181e0) AS lat FROM centres)"),
+)
+_LATITUDE = "phi + (1 - e2 * sin(phi) ** 2) ** 2 / (2 * cos(phi)) * (q / (1 - e2) - sin(phi) / (1 - e2 * sin(phi) ** 2) + ln((1 - e * sin(phi)) / (1 + e * sin(phi))) / (2 * e))"
+_CONE = f"""ell AS (SELECT sqrt(f * (2 - f)) AS e, f * (2 - f) AS e2 FROM (SELECT 1 / 298.257222101e0 AS f)),
+    at_lat AS (SELECT phi, e, e2, cos(phi) / sqrt(1 - e2 * sin(phi) ** 2) AS m, (1 - e2) * (sin(phi) / (1 - e2 * sin(phi) ** 2) - ln((1 - e * sin(phi)) / (1 + e * sin(phi))) / (2 * e)) AS q FROM ell, (SELECT unnest([radians(23e0), radians(29.5e0), radians(45.5e0)]) AS phi)),
+    three AS (SELECT e, e2, list(m ORDER BY phi) AS m, list(q ORDER BY phi) AS q FROM at_lat GROUP BY e, e2),
+    cone AS (SELECT e, e2, n, m[2] ** 2 + n * q[2] AS c, 6378137e0 * sqrt(m[2] ** 2 + n * q[2] - n * q[1]) / n AS rho FROM (SELECT *, (m[2] ** 2 - m[3] ** 2) / (q[3] - q[2]) AS n FROM three)),
+    p0 AS (SELECT pixel_id, e, e2, degrees(atan2(x, rho - y) / n) - 96 AS lon, (c - (x ** 2 + (rho - y) ** 2) * n ** 2 / 6378137e0 ** 2) / n AS q FROM centres, cone),
+    p1 AS (SELECT *, asin(q / 2) AS phi FROM p0), p2 AS (SELECT * REPLACE ({_LATITUDE} AS phi) FROM p1), p3 AS (SELECT * REPLACE ({_LATITUDE} AS phi) FROM p2), p4 AS (SELECT * REPLACE ({_LATITUDE} AS phi) FROM p3),
+    p5 AS (SELECT * REPLACE ({_LATITUDE} AS phi) FROM p4), places AS (SELECT pixel_id, lon, degrees(phi) AS lat FROM p5)"""
+_add("f27_burn_albers", lambda s, d: B.burned(_wedges(s, d), CONIC, bend=1e-6).select("basin", "pixel_id"), _burned_sql(CONIC, _CONE))
+
+#: A footprint of slanted tiles, three by three, of which the middle and one corner are absent.
+_SLANT = lambda i, j: (-121.03 + 1.5 * i + 0.4 * j, 40.23 + 0.15 * i + 1.3 * j)
+_ABSENT = ((1, 1), (2, 2))
+FOOTPRINT = [[[_SLANT(i, j), _SLANT(i + 1, j), _SLANT(i + 1, j + 1), _SLANT(i, j + 1), _SLANT(i, j)]] for i in range(3) for j in range(3) if (i, j) not in _ABSENT]
+
+
+def _footprint_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    band = P.band_height(FOOTPRINT)
+    return P.covered(B.edges(_wedges(spark, sf_dir)), P.outline(P.polygon_edges(spark, FOOTPRINT), band, 1e-9), band, 1e-9)
+
+
+_SHAPES = f"""tile(i, j, there, size) AS (SELECT i.range, j.range, (i.range, j.range) NOT IN ((1, 1), (2, 2)), 1 FROM range(3) i, range(3) j UNION ALL SELECT 0, 0, TRUE, 3),
+    quad AS (SELECT i, j, there, size, k, -121.03e0 + 1.5e0 * (i + di * size) + 0.4e0 * (j + dj * size) AS x, 40.23e0 + 0.15e0 * (i + di * size) + 1.3e0 * (j + dj * size) AS y FROM tile, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) AS c(k, di, dj)),
+    tri AS (SELECT triplet, k, lon + dx AS x, lat + dy AS y FROM stations, (VALUES {", ".join(f"({k}, {dx}e0, {dy}e0)" for k, (dx, dy) in enumerate(_CORNERS))}) AS c(k, dx, dy)),
+    qe AS (SELECT a.i, a.j, a.there, a.size, a.k, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM quad a JOIN quad b ON a.i = b.i AND a.j = b.j AND a.size = b.size AND b.k = (a.k + 1) % 4),
+    te AS (SELECT a.triplet, a.k, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM tri a JOIN tri b ON a.triplet = b.triplet AND b.k = (a.k + 1) % 3),
+    by_quad AS (SELECT triplet, i, j, there, size, bool_or(apart) AS apart, bool_and(within) AS within FROM (
+        SELECT t.triplet, i, j, there, size, e.k, bool_and((x2 - x1) * (t.y - y1) - (y2 - y1) * (t.x - x1) < 0) AS apart, bool_and((x2 - x1) * (t.y - y1) - (y2 - y1) * (t.x - x1) >= 0) AS within FROM qe e, tri t GROUP BY ALL) GROUP BY ALL),
+    by_tri AS (SELECT triplet, i, j, size, bool_or(apart) AS apart FROM (
+        SELECT e.triplet, i, j, size, e.k, bool_and((x2 - x1) * (q.y - y1) - (y2 - y1) * (q.x - x1) < 0) AS apart FROM te e, quad q GROUP BY ALL) GROUP BY ALL),
+    met AS (SELECT q.*, NOT (q.apart OR t.apart) AS meets FROM by_quad q JOIN by_tri t USING (triplet, i, j, size))"""
+_add(
+    "j7_footprint_coverage",
+    _footprint_coverage,
+    f"""WITH {_STATIONS}, {_SHAPES}
+    SELECT triplet, CASE WHEN bool_or(within) FILTER (size = 3) AND NOT bool_or(meets) FILTER (NOT there) THEN 'full' WHEN bool_or(meets) FILTER (there AND size = 1) THEN 'partial' ELSE 'none' END AS coverage FROM met GROUP BY triplet""",
+)
 _add("f24_cell_area", lambda s, d: pixels(s, d).select("row").distinct().select("row", F.round(GRID.cell_area(F.col("row")), 3).alias("area_m2")), """WITH r AS (SELECT DISTINCT p_partkey // 50 AS "row" FROM part), k AS (SELECT sqrt(f * (2 - f)) AS e, 6378137e0 * (1 - f) AS b FROM (SELECT 1 / 298.257223563e0 AS f)),
     s AS (SELECT "row", e, b, sin(radians(45e0 - "row" * 0.01e0)) AS n, sin(radians(45e0 - ("row" + 1) * 0.01e0)) AS s FROM r, k)
     SELECT CAST("row" AS INT) AS "row", round(abs(b * b / 2 * (n / (1 - e * e * n * n) + ln((1 + e * n) / (1 - e * n)) / (2 * e)) - b * b / 2 * (s / (1 - e * e * s * s) + ln((1 + e * s) / (1 - e * s)) / (2 * e))) * radians(0.01e0), 3) AS area_m2 FROM s""")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from firnline.errors import QueryError, UnknownBasin
 from firnline.operators import basins as B
-from firnline.sources.catalog import Dataset
+from firnline.sources.catalog import Dataset, mask_digest
 from firnline.sources.ingest import provenance_tag
 from firnline.sources.tables import Table
 
@@ -98,19 +98,21 @@ class BasinStore:
     def reindex(self, datasets: Sequence[Dataset], full: bool = True) -> None:
         """Build the index; unless full, entries whose geometry and datasets are unchanged are kept."""
         records = self.records.read().withColumn("status", F.lit("import"))
-        coverages = {d.name: B.coverage(records, d.domain, d.holes) for d in datasets}
+        coverages = {d.name: d.coverage(records) for d in datasets}
         self.index.replace(B.build_index(records, coverages, None if full else self.index.read()))
 
     def rasterise(self, dataset: Dataset, mask: DataFrame | None = None, rebuild: bool = False) -> DataFrame:
         """Burn the basins that are missing or stale on a dataset, and drop those without a record; gives triplet, action.
 
-        What a basin's pixels depend on (outline, grid) is hashed into them. Basins outside the dataset's domain are
+        What a basin's pixels depend on (outline, grid, mask) is hashed into them; the mask is the dataset's own unless one
+        is given. Basins outside the dataset's domain are
         skipped. The dataset's aoi_pixels table becomes the pixels in force.
         """
         g = dataset.grid
-        tag = provenance_tag([F.col("geometry_hash"), F.lit(f"{g.origin_x} {g.origin_y} {g.pixel} {g.cols} {g.rows} {g.crs}")])
+        mask = dataset.mask(self.spark) if mask is None else mask
+        tag = provenance_tag([F.col("geometry_hash"), F.lit(f"{g.origin_x} {g.origin_y} {g.pixel} {g.cols} {g.rows} {g.crs}"), F.lit(mask_digest(mask))])
         records = self.records.read().withColumn("burn_hash", tag)
-        states = B.coverage(records, dataset.domain, dataset.holes)
+        states = dataset.coverage(records)
         table = self.pixels(dataset)
         have = table.read()
         burned = have.select(F.col("basin").alias("triplet"), "burn_hash", F.lit(True).alias("_b")).distinct()

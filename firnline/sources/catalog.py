@@ -19,11 +19,16 @@ from firnline.functions.dates import DateQuery
 from firnline.functions.grid import Grid
 from firnline.functions.names import is_path
 from firnline.functions.zones import STANDARD_LAYERS, Layer, parse_selection, resolve_axis
-from firnline.operators.basins import Box, require_coverage
+from firnline.operators.basins import BEND, Box, coverage, grid_edges, require_coverage
+from firnline.operators.footprint import band_height, covered, outline, polygon_edges
 from firnline.plans.zonal import MAX_CELLS, Variable, ZonalResult, choose_variables, require_burned, require_cell_count, require_complete, zonal_stats
 from firnline.sources.tables import Table, stored
 
 
+#: Rings of places in the grid's coordinates.
+Polygon = Sequence[Sequence[Sequence[float]]]
+
+
 @dataclass(frozen=True)
 class Dataset:
     name: str
@@ -32,23 +37,44 @@ class Dataset:
     zones: Mapping[str, Mapping[str, float]] = field(default_factory=dict)
     boxes: Sequence[Box] = ()
     holes: Sequence[Box] = ()
+    footprint: Sequence[Polygon] = ()
     active: bool = True
     path: str = ""
     ingester: str = ""
 
     @property
     def domain(self) -> Sequence[Box]:
-        """What the dataset serves: its declared boxes, else its grid."""
+        """What the dataset serves without a footprint: its declared boxes, else its grid; in the grid's coordinates."""
         return self.boxes or (self.grid.extent,)
 
+    def coverage(self, basins: DataFrame, key: str = "triplet") -> DataFrame:
+        """key, coverage of basins in longitude and latitude by the footprint, if the dataset has one, else by its domain."""
+        if not self.footprint:
+            return coverage(basins, self.domain, self.holes, key, self.grid)
+        spark, band, eps = basins.sparkSession, band_height(self.footprint), self.grid.pixel * 1e-6
+        found = covered(grid_edges(basins, self.grid, key, BEND), outline(polygon_edges(spark, self.footprint), band, eps), band, eps, key)
+        return basins.select(key).distinct().join(found, key, "left").select(key, F.coalesce("coverage", F.lit("none")).alias("coverage"))
+
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         return stored(spark, f"{self.path}/{name}")
 
+    def mask(self, spark: SparkSession) -> DataFrame | None:
+        """pixel_id of the valid ground; None where all of it is."""
+        table = Table(spark, f"{self.path}/mask", "pixel_id long")
+        return table.read() if table.versions() else None
+
     def layers(self) -> dict[str, Layer]:
         """The zone layers that the dataset enables."""
         return {k: v for k, v in STANDARD_LAYERS.items() if k in self.zones}
 
 
+def mask_digest(mask: DataFrame | None) -> str:
+    """What tells masks apart: their number of pixels and a sum of hashes; nothing for no mask."""
+    if mask is None:
+        return ""
+    return "{n} {s}".format(**mask.select("pixel_id").distinct().agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("pixel_id").cast("decimal(38,0)")).alias("s")).first().asDict())
+
+
 _MM, _MM100, _KELVIN, _KG = ("mm", 1), ("mm", 100), ("k", 10), ("kg_per_m2", 10)
 _ALL_ZONES: dict[str, dict[str, float]] = {k: {} for k in STANDARD_LAYERS}
 _SINUSOIDAL = "+proj=sinu +R=6371007.181 +units=m"
@@ -65,14 +91,19 @@ def _swann() -> Dataset:
     return Dataset("swann-800m", Grid(-125.0208, 49.9375, 0.008333325, 7025, 3105, 256, "EPSG:4269"), {k: Variable(k, "mm", nodata=-999) for k in ("swe", "depth")}, _ALL_ZONES, ingester="swann")
 
 
+def modis_tile(h: int, v: int) -> list[list[list[float]]]:
+    """A tile of the sinusoidal tiling as a polygon, in metres."""
+    west, south, size = (h - 18) * _MODIS_TILE, (8 - v) * _MODIS_TILE, _MODIS_TILE
+    return [[[west, south], [west + size, south], [west + size, south + size], [west, south + size], [west, south]]]
+
+
 def _instarr() -> Dataset:
     bytes_ = {k: "percent" for k in ("snow_fraction", "viewable_snow_fraction", "albedo_dirty_flat", "albedo_dirty_terrain_corrected", "deltavis")}
     words = {"grain_size": "um", "dust_concentration": "ppm", "snow_cover_duration": "day", "radiative_forcing": "w_per_m2"}
     variables = {k: Variable(k, u, nodata=255, dtype="smallint") for k, u in bytes_.items()} | {k: Variable(k, u, nodata=65535, dtype="int") for k, u in words.items()}
     west, north = (8 - 18) * _MODIS_TILE, (9 - 4) * _MODIS_TILE
-    box = lambda h, v: ((h - 18) * _MODIS_TILE, (8 - v) * _MODIS_TILE, (h - 17) * _MODIS_TILE, (9 - v) * _MODIS_TILE)
     grid = Grid(west, north, _MODIS_TILE / 2400, 7200, 4800, 512, _SINUSOIDAL)
-    return Dataset("instarr", grid, variables, _ALL_ZONES, [box(h, v) for h in (8, 9, 10) for v in (4, 5) if (h, v) != (10, 5)], [box(10, 5)], ingester="instarr")
+    return Dataset("instarr", grid, variables, _ALL_ZONES, footprint=[modis_tile(h, v) for h in (8, 9, 10) for v in (4, 5) if (h, v) != (10, 5)], ingester="instarr")
 
 
 #: The three built-in datasets.
@@ -132,8 +163,7 @@ class Catalogue:
 
     def mask(self, name: str) -> DataFrame | None:
         """pixel_id of a dataset's valid ground; None where all of it is."""
-        table = Table(self.spark, f"{self.registered(name).path}/mask", "pixel_id long")
-        return table.read() if table.versions() else None
+        return self.registered(name).mask(self.spark)
 
     def set_active(self, name: str, active: bool) -> None:
         self.datasets[name] = replace(self.registered(name), active=active)
@@ -202,4 +232,4 @@ def dataset_of(values: Mapping[str, Any]) -> Dataset:
     if unknown:
         raise QueryError(f"dataset {values['name']} has unknown zone layers: {', '.join(unknown)}")
     boxes = lambda key: [tuple(b) for b in values[key]]
-    return Dataset(values["name"], Grid(**values["grid"]), variables, values["zones"], boxes("boxes"), boxes("holes"), values["active"], values["path"], values.get("ingester", ""))
+    return Dataset(values["name"], Grid(**values["grid"]), variables, values["zones"], boxes("boxes"), boxes("holes"), values.get("footprint", ()), values["active"], values["path"], values.get("ingester", ""))
