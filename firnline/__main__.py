@@ -35,10 +35,14 @@ def parser() -> argparse.ArgumentParser:
     stats.add_argument("--out", help="a folder that executors write CSV files to, in place of printing")
     stats.add_argument("--allow-partial", action="store_true")
     stats.add_argument("--include-empty-zones", action="store_true")
-    for name, words in {"list": (), "info": ("name",), "dates": ("name",), "values": ("name",), "create": ("template", "name"), "activate": ("name",), "deactivate": ("name",), "remove-date": ("name", "date")}.items():
+    for name, words in {"list": (), "info": ("name",), "dates": ("name",), "values": ("name",), "create": ("template", "name"), "stage": ("template", "name"), "register": ("file",), "activate": ("name",), "deactivate": ("name",), "remove-date": ("name", "date")}.items():
         sub = commands.add_parser(f"dataset-{name}")
         for word in words:
             sub.add_argument(word)
+        if name in ("create", "stage"):
+            sub.add_argument("--mask", help="a Parquet table of the pixel_ids of valid ground")
+        if name == "register":
+            sub.add_argument("--replace", action="store_true", help="replace a dataset of that name")
     ingest = commands.add_parser("ingest", help="take a source into a dataset")
     ingest.add_argument("dataset")
     ingest.add_argument("source")
@@ -77,6 +81,7 @@ def run(spark, args: argparse.Namespace) -> int:
     service, name = Service(catalogue, store), getattr(args, "name", "")
     active = [catalogue[n] for n in catalogue.active()]
     rows = lambda frame: [r.asDict(recursive=True) for r in frame.collect()]
+    mask = lambda: spark.read.parquet(args.mask) if args.mask else None
     if args.command == "stats" and args.out:
         result = catalogue.zonal_stats(args.dataset, args.triplet, parse_dates(args.dates, args.years), args.variable, args.zone, store.index.read(), args.allow_partial, args.include_empty_zones)
         write_csv(result, args.out)
@@ -101,7 +106,9 @@ def run(spark, args: argparse.Namespace) -> int:
             "dataset-info": lambda: service.dataset(name),
             "dataset-dates": lambda: service.dates(name),
             "dataset-values": lambda: service.values(name),
-            "dataset-create": lambda: catalogue.create(args.template, name).name,
+            "dataset-create": lambda: catalogue.create(args.template, name, mask()).name,
+            "dataset-stage": lambda: catalogue.stage(args.template, name, mask()).name,
+            "dataset-register": lambda: catalogue.register(catalogue.resolve(args.file), args.replace).name,
             "dataset-activate": lambda: catalogue.set_active(name, True),
             "dataset-deactivate": lambda: catalogue.set_active(name, False),
             "dataset-remove-date": lambda: remove_date(spark, catalogue.registered(name).path, args.date),

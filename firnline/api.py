@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -16,7 +16,9 @@ from firnline.operators import basins as B
 from firnline.operators import diagnostics as D
 from firnline.plans.output import compact, iter_csv
 from firnline.sources.basins import BasinStore
-from firnline.sources.catalog import Catalogue
+from firnline.sources.catalog import Catalogue, Dataset
+from firnline.sources.ingest import FORMAT
+from firnline.sources.tables import exists
 
 VERSION = "0.1.0"
 POINT_PAGE, BASIN_PAGE, MOST_PAGE = 100, 25, 1000
@@ -35,6 +37,13 @@ class Service:
         kinds = [e for e in vars(errors).values() if isinstance(e, type) and issubclass(e, errors.FirnlineError)]
         return [{"key": e.__name__, "status": e.status, "about": (e.__doc__ or "").strip()} for e in sorted(kinds, key=lambda e: e.__name__)]
 
+    def problem(self, key: str) -> dict[str, Any]:
+        """One kind of error by its key."""
+        found = [p for p in self.problems() if p["key"] == key]
+        if not found:
+            raise errors.UnknownProblem(f"there is no problem {key}")
+        return found[0]
+
     def datasets(self) -> list[dict[str, Any]]:
         return [{"name": name} for name in self.catalogue.active()]
 
@@ -95,22 +104,44 @@ class Service:
     def values(self, name: str, on: str | None = None) -> list[dict[str, Any]]:
         d = self.catalogue.registered(name)
         day = parse_dates(on).start if on else None
-        return [r.asDict() for r in D.value_ranges(d.table(self.catalogue.spark, "observations"), list(d.variables.values()), day).collect()]
+        mask = d.mask(self.catalogue.spark)
+        pixels, observations = d.grid.rows * d.grid.cols, d.table(self.catalogue.spark, "observations")
+        if mask is not None:
+            pixels, observations = mask.select("pixel_id").distinct().count(), observations.join(mask.select("pixel_id").distinct(), "pixel_id", "left_semi")
+        return [r.asDict() for r in D.value_ranges(observations, list(d.variables.values()), day, pixels).collect()]
 
     def doctor(self, name: str, checks: Sequence[str] | None = None) -> list[dict[str, str]]:
         return [r.asDict() for r in self.findings(name, checks).collect()]
 
     def findings(self, name: str, checks: Sequence[str] | None = None) -> DataFrame:
-        """Findings about a dataset's dates and basins, as rows."""
+        """Findings about a dataset's grid, dates, files and basins, as rows; without a choice, of all that it has tables for."""
         d, spark = self.catalogue.registered(name), self.catalogue.spark
         records = self.store.records.read()
-        return D.health(
-            {
-                "dates": lambda: D.completeness_findings(d.table(spark, "manifest"), name, sorted(d.variables)),
-                "pourpoints": lambda: D.basin_findings(name, records.select("triplet"), d.table(spark, "aoi_pixels"), d.coverage(records)),
-            },
-            checks or ("dates", "pourpoints"),
-        )
+        there = [t for t in ("zone_pixels", "aoi_pixels", "observations") if exists(spark, f"{d.path}/{t}")]
+        tables = {t: d.table(spark, t) for t in there}
+        known = {
+            "grid": lambda: D.lattice_findings(tables, name, d.grid),
+            "dates": lambda: D.completeness_findings(d.table(spark, "manifest"), name, sorted(d.variables)),
+            "files": lambda: self._file_findings(d, tables),
+            "pourpoints": lambda: D.basin_findings(name, records.select("triplet"), tables["aoi_pixels"], d.coverage(records)),
+        }
+        missing = {"grid": not there, "dates": not exists(spark, f"{d.path}/manifest"), "pourpoints": "aoi_pixels" not in tables}
+        has = {k: v for k, v in known.items() if not missing.get(k)}
+        return D.health(has, checks) if has else spark.createDataFrame([], D.FINDING)
+
+    def _file_findings(self, d: Dataset, tables: Mapping[str, DataFrame]) -> DataFrame:
+        """Zone layers that are enabled but absent, dates and basins in another format version."""
+        spark, wanted = self.catalogue.spark, {k: FORMAT for k in d.layers()}
+        columns = tables["zone_pixels"].columns if "zone_pixels" in tables else []
+        have = [(k, f"v{FORMAT}:") for k, layer in d.layers().items() if layer.column in columns]
+        found = D.artifact_findings(spark.createDataFrame(have, "artifact string, tag string"), d.name, wanted)
+        tags = []
+        if exists(spark, f"{d.path}/manifest"):
+            tags.append(d.table(spark, "manifest").select(F.concat_ws(" ", F.col("date").cast("string"), "variable").alias("artifact"), F.col("source_hash").alias("tag")))
+        tags.append(self.store.pixels(d).read().select(F.col("basin").alias("artifact"), F.col("burn_hash").alias("tag")).distinct())
+        for rows in tags:
+            found = found.unionByName(D.stale_findings(rows, d.name, FORMAT))
+        return found
 
 
 def answer(service: Service, question: str, **how: Any) -> tuple[int, str]:

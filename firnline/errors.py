@@ -53,3 +53,15 @@ class SourceError(FirnlineError):
 
 class ExistsError(FirnlineError):
     """Something would be overwritten that was not meant to be."""
+
+
+class UnknownProblem(FirnlineError):
+    """There is no kind of error of that key."""
+
+    status = 404
+
+
+class NoBasin(FirnlineError):
+    """The station has a point but no basin."""
+
+    status = 409

@@ -59,11 +59,22 @@ def csv_name(triplet: str, query: DateQuery, zones: int) -> str:
     return f"{triplet.replace(':', '_')}_{query.fragment()}{f'_zonal_{zones}' if zones else ''}.csv"
 
 
+def csv_names(triplet: Column, query: DateQuery, zones: int) -> Column:
+    """The file names of results for a column of stations."""
+    return F.concat(F.replace(triplet, F.lit(":"), F.lit("_")), F.lit(csv_name("", query, zones)))
+
+
 def tile_name(lat: Column, lon: Column) -> Column:
     """The name of the 1-degree elevation tile whose south-west corner is (lat, lon): by its north-west corner."""
     return F.format_string("n%02dw%03d", (lat + 1).cast("int"), (-lon).cast("int"))
 
 
+def tiles_of(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Names of all 1-degree tiles that cover the bounds of a row, as an array."""
+    lats, lons = F.sequence(F.floor(south), F.ceil(north) - 1), F.sequence(F.floor(west), F.ceil(east) - 1)
+    return F.flatten(F.transform(lats, lambda lat: F.transform(lons, lambda lon: tile_name(lat, lon))))
+
+
 def tiles_covering(spark: SparkSession, west: float, south: float, east: float, north: float) -> DataFrame:
     """tile: names of all 1-degree tiles that cover the bounds, each once, in order."""
     cells = spark.range(1).select(F.explode(F.sequence(F.floor(F.lit(south)), F.ceil(F.lit(north)) - 1)).alias("lat")).select("lat", F.explode(F.sequence(F.floor(F.lit(west)), F.ceil(F.lit(east)) - 1)).alias("lon"))
@@ -79,26 +90,8 @@ def versioned(version: int, digest: Column) -> Column:
     return F.concat(F.lit(f"v{version}:"), digest)
 
 
-#: The parts of a daily raster's name, in order, as the archive's user guide describes them.
-SNODAS_PARTS = {
-    "region": r"[a-z]{2}",  # us: the contiguous United States
-    "_": "_",
-    "model": r"[a-z]{3}",  # ssm: simple snow model
-    "datatype": r"v\d",  # v0 driving input, v1 model output
-    "product_code": r"\d{4}",
-    "scaled": "S?",  # S: values are scaled to integers
-    "vcode": r"[a-zA-Z]{2}[\d_]{2}",  # vertical integration, and the phase of precipitation
-    "_a": "[AT]",  # accumulated over time, or at a time
-    "timecode": "0001|0024",
-    "_t": "TTNATS",
-    "year": r"\d{4}",
-    "month": r"\d\d",
-    "day": r"\d\d",
-    "hour": r"\d\d",
-    "interval": "[HD]",  # hourly or daily
-    "offset": "P00[01]",
-}
-SNODAS = "^" + "".join(f"({pattern})" for pattern in SNODAS_PARTS.values()) + "$"
+#: Fixed value: a daily raster's name by the archive's user guide. Groups: region, product, vertical code, day, hour.
+SNODAS = r"^([a-z]{2})_[a-z]{3}v\d(\d{4})S?([a-zA-Z]{2}[\d_]{2})[AT](?:0001|0024)TTNATS(\d{8})(\d\d)[HD]P00[01]$"
 #: How converted daily files and tiles are named.
 SWANN = r"^UA_SWE_Depth_800m_v1_(\d{8})_(early|provisional|stable)\.nc$"
 INSTARR = r"^SPIRES_NRT_h(\d\d)v(\d\d)_(MOD09GA\d+)_(\d{8})_(V[\d.]+)\.nc$"
@@ -116,21 +109,17 @@ SNODAS_PRODUCTS: Sequence[tuple[int, str | None, str]] = (
 
 
 def snodas_names(files: DataFrame, stem: str = "stem") -> DataFrame:
-    """files with region, model, datatype, product_code, scaled, vcode, timecode, date, hour, interval, offset, product.
+    """files with region, product_code, vcode, date, hour, product.
 
     The product is that of code and version code, else that of the code alone. Names of another form have null in all
     of these, as have impossible dates and unknown products in theirs.
     """
-    place = {name: k for k, name in enumerate(SNODAS_PARTS, 1)}
-    part = lambda name: F.when(F.col(stem).rlike(SNODAS), F.regexp_extract(stem, SNODAS, place[name]))
+    region, code, vertical, day, hour = (F.nullif(F.regexp_extract(stem, SNODAS, k), F.lit("")) for k in range(1, 6))
     product = F.lit(None).cast("string")
-    for code, vcode, name in SNODAS_PRODUCTS:
-        is_it = (part("product_code").cast("int") == code) & (F.lit(True) if vcode is None else part("vcode") == vcode)
-        product = F.when(is_it, name).otherwise(product)
-    numbers = {"product_code": part("product_code").cast("int"), "scaled": part("scaled") == "S", "hour": part("hour").cast("int")}
-    date = F.try_to_timestamp(F.concat(part("year"), part("month"), part("day")), F.lit("yyyyMMdd")).cast("date")
-    told = [numbers.get(n, part(n)).alias(n) for n in ("region", "model", "datatype", "product_code", "scaled", "vcode", "timecode", "hour", "interval", "offset")]
-    return files.select("*", *told, date.alias("date"), product.alias("product"))
+    for number, vcode, name in SNODAS_PRODUCTS:
+        product = F.when((code.cast("int") == number) & (F.lit(True) if vcode is None else vertical == vcode), name).otherwise(product)
+    told = {"region": region, "product_code": code.cast("int"), "vcode": vertical, "date": F.try_to_timestamp(day, F.lit("yyyyMMdd")).cast("date"), "hour": hour.cast("int"), "product": product}
+    return files.select("*", *[value.alias(name) for name, value in told.items()])
 
 
 def snodas_problems(parsed: DataFrame, hour: int = 5, region: str = "us") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from firnline.errors import CoverageError, UnknownBasin
+from firnline.errors import CoverageError, NoBasin, UnknownBasin
 from firnline.functions.grid import GEOGRAPHIC, Grid, ellipsoid_strip, reprojected
 from firnline.functions.names import is_triplet
 
@@ -293,6 +293,17 @@ def one_record(records: DataFrame, triplet: str) -> DataFrame:
     return found
 
 
+def require_basin(parsed: DataFrame, triplet: str) -> DataFrame:
+    """The parsed record of a station; raises where it has a point only, or where there is none."""
+    found = parsed.where((F.col("triplet") == triplet) & F.col("status").isin("import", "skipped"))
+    if found.isEmpty():
+        raise UnknownBasin(f"there is no basin {triplet}")
+    with_basin = found.where("status = 'import'")
+    if with_basin.isEmpty():
+        raise NoBasin(f"{triplet} has a point but no basin")
+    return with_basin
+
+
 def feature_json(index: DataFrame) -> DataFrame:
     """Each entry as a GeoJSON Feature text, in order of triplet."""
     point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))

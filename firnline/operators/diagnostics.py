@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from firnline.errors import QueryError
 from firnline.functions.dates import DateQuery, DateRange
-from firnline.functions.grid import close
+from firnline.functions.grid import Grid, close
 from firnline.functions.names import format_version
 from firnline.plans.zonal import Variable, completeness
 
@@ -47,19 +47,24 @@ def latest_date(observations: DataFrame) -> DataFrame:
     return observations.agg(F.max("date").alias("date"))
 
 
-def value_ranges(observations: DataFrame, variables: Sequence[Variable], on: dt.date | None = None) -> DataFrame:
-    """variable, unit, minimum, maximum, mean (all scaled), nodata_pct on one date, the latest if none is given."""
+def value_ranges(observations: DataFrame, variables: Sequence[Variable], on: dt.date | None = None, pixels: int | None = None) -> DataFrame:
+    """variable, unit, minimum, maximum, mean (all scaled), nodata_pct on one date, the latest if none is given.
+
+    pixels: how many the raster has; pixels without data need not be rows. None: each has a row.
+    """
     if on is None:
         on = latest_date(observations).first()[0]
         if on is None:
             raise QueryError("there are no ingested dates")
     day = observations.where(F.col("date") == F.lit(on))
     chosen = sorted(variables, key=lambda v: v.key)
+    whole = F.count(F.lit(1)) if pixels is None else F.lit(pixels)
     each = []
     for v in chosen:
         x = F.when(v.source.isNotNull() & (v.source != F.lit(v.nodata)), v.source.cast("double"))
-        each.append(F.struct(F.lit(v.key).alias("variable"), F.lit(v.unit).alias("unit"), (F.min(x) / v.scale).alias("minimum"), (F.max(x) / v.scale).alias("maximum"), (F.avg(x) / v.scale).alias("mean"), (F.lit(100.0) * (F.count(F.lit(1)) - F.count(x)) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("nodata_pct")))
-    return day.agg(F.array(*each).alias("r")).select(F.explode("r").alias("r")).select("r.*").where("nodata_pct is not null")
+        each.append(F.struct(F.lit(v.key).alias("variable"), F.lit(v.unit).alias("unit"), (F.min(x) / v.scale).alias("minimum"), (F.max(x) / v.scale).alias("maximum"), (F.avg(x) / v.scale).alias("mean"), (F.lit(100.0) * (whole - F.count(x)) / F.nullif(whole, F.lit(0))).alias("nodata_pct")))
+    told = day.agg(F.array(*each).alias("r"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    return told.select(F.explode("r").alias("r")).select("r.*").where("nodata_pct is not null")
 
 
 def band_statistics(pixels: DataFrame, value: str, nodata: float, keys: Sequence[str] = ()) -> DataFrame:
@@ -76,6 +81,19 @@ def grid_findings(stored: DataFrame, dataset: str, origin_x: float, origin_y: fl
     return findings(stored.withColumn("_i", issue).where("_i is not null"), "grid", dataset, F.col("target"), F.col("_i"))
 
 
+def lattice_findings(tables: Mapping[str, DataFrame], dataset: str, grid: Grid) -> DataFrame:
+    """Findings of tables with pixel_id (and tile_id) whose pixels are not on the grid, or not in their tiles."""
+    parts = []
+    for target, rows in tables.items():
+        row, col = grid.row_of(F.col("pixel_id")), grid.col_of(F.col("pixel_id"))
+        off = (F.col("pixel_id") < 0) | (F.col("pixel_id") >= grid.rows * grid.cols)
+        astray = ~off & (F.col("tile_id") != grid.tile_id(row, col)) if "tile_id" in rows.columns else F.lit(False)
+        counted = rows.agg(F.count_if(off).alias("off"), F.count_if(astray).alias("astray"))
+        issue = F.when(F.col("off") > 0, F.format_string("%d pixels are off the grid", "off")).when(F.col("astray") > 0, F.format_string("%d pixels are in another tile", "astray"))
+        parts.append(findings(counted.withColumn("_i", issue).where("_i is not null"), "grid", dataset, F.lit(target), F.col("_i")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def artifact_findings(manifest: DataFrame, dataset: str, wanted: Mapping[str, int]) -> DataFrame:
     """Findings of layers that the manifest (artifact, tag) lacks or has in another format version."""
     spark = manifest.sparkSession
@@ -86,6 +104,13 @@ def artifact_findings(manifest: DataFrame, dataset: str, wanted: Mapping[str, in
     return findings(joined.withColumn("_i", issue).where("_i is not null"), "files", dataset, F.col("artifact"), F.col("_i"))
 
 
+def stale_findings(stored: DataFrame, dataset: str, current: int) -> DataFrame:
+    """Findings of stored artifacts (artifact, tag) that are of another format version."""
+    version = format_version(F.col("tag"))
+    issue = F.format_string("stale format (stored %s, current %s)", F.coalesce(version.cast("string"), F.lit("none")), F.lit(str(current)))
+    return findings(stored.where(~version.eqNullSafe(F.lit(current))), "files", dataset, F.col("artifact"), issue)
+
+
 def without_pixels(records: DataFrame, burned: DataFrame) -> DataFrame:
     """triplet of records (triplet) whose basin has no burned pixels (basin)."""
     return records.select("triplet").join(burned.select(F.col("basin").alias("triplet")), "triplet", "left_anti")
@@ -125,5 +150,7 @@ def health(checks: Mapping[str, Callable[[], DataFrame]], chosen: Sequence[str]
     names = list(dict.fromkeys(chosen or known))
     if unknown := [n for n in names if n not in known]:
         raise QueryError(f"unknown check {', '.join(unknown)}; there are {', '.join(known)}")
+    if absent := [n for n in names if n not in checks and chosen]:
+        raise QueryError(f"there is nothing to check for {', '.join(absent)}")
     parts = [checks[n]().withColumn("_k", F.lit(k)) for k, n in enumerate(known) if n in names and n in checks]
     return reduce(DataFrame.unionByName, parts).orderBy("_k", "dataset", "target", "issue").drop("_k")

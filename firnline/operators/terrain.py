@@ -23,7 +23,7 @@ NORTH, EAST, SOUTH, WEST, FLAT = range(5)
 BLOCK = 1024
 
 
-def haloed_blocks(fine: DataFrame, block: int = BLOCK, by: Sequence[str] = ()) -> DataFrame:
+def haloed_blocks(fine: DataFrame, block: int = BLOCK) -> DataFrame:
     """fine with _br, _bc: the block that each row is for. Pixels at a block's edge go to the blocks beside it as well.
 
     All others go to their own block only, so hardly more rows are moved than there are pixels.
@@ -69,7 +69,7 @@ def slope_aspect(fine: DataFrame, pixel_x: float, pixel_y: float, value: str = "
         out = [found.column(c) for c in (*by, "row", "col", "z")] + [pa.array(x, from_pandas=True) for x in (slope, aspect)]
         return pa.Table.from_arrays(out, names=[*by, "row", "col", "z", "slope", "aspect"])
 
-    return haloed_blocks(rows, block, by).groupBy(*by, "_br", "_bc").applyInArrow(run, schema)
+    return haloed_blocks(rows, block).groupBy(*by, "_br", "_bc").applyInArrow(run, schema)
 
 
 def aspect_class(slope: Column, aspect: Column, flat: float = FLAT_DEGREES) -> Column:

@@ -235,30 +235,75 @@ def _assign(layer: str, token: str | None = None):
 
 for _name, _layer, _column in (("z2_banded_assign", _E, "o_elev"), ("z4_bucket_assign", _N, "o_north"), ("z6_threshold_assign", _H, "o_entropy"), ("z7_categorical_assign", _A, "o_aspect")):
     _add(_name, _assign(_layer), f"WITH {PIXELS_SQL}, {_zone_sql()} SELECT pixel_id, {_column} AS ordinal FROM zoned")
-_add("z1_banded_zones", lambda s, d: STANDARD_LAYERS[_E].scheme.frame(s, _E).select("axis", "ordinal", "label", "low", "high"), "SELECT 'terrain.elevation' AS axis, CAST(range + 1 AS INT) AS ordinal, (range * 1000) || '-' || ((range + 1) * 1000) || ' ft' AS label, range * 1000e0 AS low, (range + 1) * 1000e0 AS high FROM range(-1, 15)")
-_add("z3_bucket_zones", lambda s, d: STANDARD_LAYERS[_N].scheme.frame(s, _N).select("axis", "ordinal", "low", "high"), "SELECT 'terrain.northness' AS axis, CAST(range AS INT) AS ordinal, range * 0.5e0 - 1 AS low, range * 0.5e0 - 0.5e0 AS high FROM range(4)")
-_add("z5_threshold_zones", lambda s, d: STANDARD_LAYERS[_F].scheme.frame(s, _F).select("ordinal", "label", "side", "threshold", "unit"), "SELECT 0 AS ordinal, 'unforested' AS label, 'below' AS side, 50e0 AS threshold, '%' AS unit UNION ALL SELECT 1, 'forested', 'above', 50e0, '%'")
+
+
+def _met(layer: str, *columns: str):
+    """The zones of a layer that pixels meet, as its scheme describes them, with how many pixels do."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = _assign(layer)(spark, sf_dir).where("ordinal >= 0").groupBy("ordinal").agg(F.count(F.lit(1)).alias("pixels"))
+        return STANDARD_LAYERS[layer].scheme.frame(spark, layer).join(found, "ordinal").select("ordinal", "pixels", *columns)
+
+    return query
+
+
+def _met_sql(column: str, told: str) -> str:
+    return f"WITH {PIXELS_SQL}, {_zone_sql()}, met AS (SELECT {column} AS ordinal, count(*) AS pixels FROM zoned WHERE {column} >= 0 GROUP BY 1) SELECT ordinal, pixels, {told} FROM met"
+
+
+_add("z1_banded_zones", _met(_E, "axis", "label", "low", "high"), _met_sql("o_elev", "'terrain.elevation' AS axis, ((ordinal - 1) * 1000) || '-' || (ordinal * 1000) || ' ft' AS label, (ordinal - 1) * 1000e0 AS low, ordinal * 1000e0 AS high"))
+_add("z3_bucket_zones", _met(_N, "axis", "low", "high"), _met_sql("o_north", "'terrain.northness' AS axis, ordinal * 0.5e0 - 1 AS low, ordinal * 0.5e0 - 0.5e0 AS high"))
+_add("z5_threshold_zones", _met(_F, "label", "side", "threshold", "unit"), _met_sql("o_forest", "['unforested', 'forested'][ordinal + 1] AS label, ['below', 'above'][ordinal + 1] AS side, 50e0 AS threshold, '%' AS unit"))
+
+
+def _met_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of two crossed axes that each basin's pixels meet, with their zones."""
+    axes = _axes(_A, _F)
+    met = Z.in_zone_geometry(pixels(spark, sf_dir).select("basin", "pixel_id", "area_m2"), pixels(spark, sf_dir).drop("basin", "area_m2"), axes).groupBy("basin", "cell").agg(F.count(F.lit(1)).alias("pixels"))
+    return met.join(Z.cells_frame(spark, axes), "cell").select("basin", "cell", "pixels", "o0", "z0", "o1", "z1")
+
+
 _add(
     "j2_zone_product",
-    lambda s, d: Z.cells_frame(s, _axes(_A, _F)),
-    """SELECT CAST(a.range * 2 + f.range AS INT) AS cell, CAST(a.range AS INT) AS o0, ['North', 'East', 'South', 'West', 'Flat'][a.range + 1] AS z0, CAST(f.range AS INT) AS o1, ['unforested', 'forested'][f.range + 1] AS z1 FROM range(5) a, range(2) f""",
+    _met_cells,
+    f"""WITH {PIXELS_SQL}, {_zone_sql()} SELECT basin, CAST(o_aspect * 2 + o_forest AS INT) AS cell, count(*) AS pixels, o_aspect AS o0, ['North', 'East', 'South', 'West', 'Flat'][o_aspect + 1] AS z0, o_forest AS o1, ['unforested', 'forested'][o_forest + 1] AS z1
+    FROM zoned WHERE area_m2 > 0 AND o_aspect >= 0 AND o_forest >= 0 GROUP BY basin, o_aspect, o_forest""",
 )
 
 
 def _zone_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV columns of the zones that pixels meet, on three layers."""
     rows = [(layer, z.ordinal, header, text) for layer in (_E, _A, _F) for z in STANDARD_LAYERS[layer].scheme.zones() for header, text in z.columns(layer).items()]
-    return spark.createDataFrame(rows, "layer string, ordinal int, header string, value string")
+    ordinals = F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), resolve_axis(parse_selection(k)).ordinal.alias("ordinal")) for k in (_E, _A, _F)]))
+    met = pixels(spark, sf_dir).select(ordinals.alias("m")).select("m.*").distinct()
+    return spark.createDataFrame(rows, "layer string, ordinal int, header string, value string").join(met, ["layer", "ordinal"], "left_semi")
 
 
 _add(
     "z15_zone_columns",
     _zone_columns,
-    """SELECT 'terrain.elevation' AS layer, CAST(r.range + 1 AS INT) AS ordinal, 'terrain.elevation_' || h || '_ft' AS header, CAST((r.range + CASE h WHEN 'max' THEN 1 ELSE 0 END) * 1000 AS VARCHAR) AS value FROM range(-1, 15) r, (SELECT unnest(['min', 'max']) AS h)
-    UNION ALL SELECT 'terrain.aspect', CAST(range AS INT), 'terrain.aspect', ['N', 'E', 'S', 'W', 'flat'][range + 1] FROM range(5)
-    UNION ALL SELECT 'landcover.forest_cover', CAST(range AS INT), 'landcover.forest_cover_side', ['unforested', 'forested'][range + 1] FROM range(2)
-    UNION ALL SELECT 'landcover.forest_cover', CAST(range AS INT), 'landcover.forest_cover_threshold_%', '50' FROM range(2)""",
+    f"""WITH {PIXELS_SQL}, {_zone_sql()}, e AS (SELECT DISTINCT o_elev AS o FROM zoned WHERE o_elev >= 0), a AS (SELECT DISTINCT o_aspect AS o FROM zoned WHERE o_aspect >= 0), f AS (SELECT DISTINCT o_forest AS o FROM zoned WHERE o_forest >= 0)
+    SELECT 'terrain.elevation' AS layer, o AS ordinal, 'terrain.elevation_' || h || '_ft' AS header, CAST((o - 1 + CASE h WHEN 'max' THEN 1 ELSE 0 END) * 1000 AS VARCHAR) AS value FROM e, (SELECT unnest(['min', 'max']) AS h)
+    UNION ALL SELECT 'terrain.aspect', o, 'terrain.aspect', ['N', 'E', 'S', 'W', 'flat'][o + 1] FROM a
+    UNION ALL SELECT 'landcover.forest_cover', o, 'landcover.forest_cover_side', ['unforested', 'forested'][o + 1] FROM f
+    UNION ALL SELECT 'landcover.forest_cover', o, 'landcover.forest_cover_threshold_%', '50' FROM f""",
+)
+
+
+def _layer_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the registry says of each layer, with how many pixels its scheme gives a zone."""
+    given = F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), (resolve_axis(parse_selection(k)).ordinal >= 0).alias("zoned")) for k in STANDARD_LAYERS]))
+    used = pixels(spark, sf_dir).select(given.alias("g")).groupBy("g.layer").agg(F.count_if("g.zoned").alias("pixels"))
+    return _layer_rows(spark).join(used, "layer")
+
+
+_add(
+    "z13_registry",
+    _layer_use,
+    f"""WITH {PIXELS_SQL}, {_zone_sql()}, n AS (SELECT count(*) FILTER (o_elev >= 0) AS e, count(*) FILTER (o_aspect >= 0) AS a, count(*) FILTER (o_north >= 0) AS n, count(*) FILTER (o_entropy >= 0) AS h, count(*) FILTER (o_forest >= 0) AS f FROM zoned)
+    SELECT layer, kind, param, "default", [f, a, h, n, e, n][k] AS pixels FROM n, (VALUES (1, 'landcover.forest_cover', 'threshold', 'threshold_pct', 50e0), (2, 'terrain.aspect', 'categorical', NULL, NULL), (3, 'terrain.aspect_entropy', 'threshold', 'entropy_threshold', 0.5e0),
+        (4, 'terrain.eastness', 'bucketed', 'buckets', 4e0), (5, 'terrain.elevation', 'banded', 'band_step_ft', 1000e0), (6, 'terrain.northness', 'bucketed', 'buckets', 4e0)) t(k, layer, kind, param, "default")""",
 )
-_add("z13_registry", lambda s, d: _layer_rows(s), """SELECT * FROM (VALUES ('landcover.forest_cover', 'threshold', 'threshold_pct', 50e0), ('terrain.aspect', 'categorical', NULL, NULL), ('terrain.aspect_entropy', 'threshold', 'entropy_threshold', 0.5e0), ('terrain.eastness', 'bucketed', 'buckets', 4e0), ('terrain.elevation', 'banded', 'band_step_ft', 1000e0), ('terrain.northness', 'bucketed', 'buckets', 4e0)) t(layer, kind, param, "default")""")
 
 
 def _layer_rows(spark: SparkSession) -> DataFrame:
@@ -343,21 +388,26 @@ _add(
 )
 
 
-SOURCE, TARGET = G.Grid(0.0, 0.0, 1.0, 50, 40_000, 10, "local", 10.0), G.Grid(0.0, 0.0, 4.0, 13, 10_000, 4, "local")
+def _grids(spark: SparkSession, sf_dir: str) -> tuple[G.Grid, G.Grid]:
+    """A source grid that holds every part's pixel, and a target grid of 4 x 4 source pixels."""
+    last = _read(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] or 0
+    rows = last // 50 + 1
+    return G.Grid(0.0, 0.0, 1.0, 50, rows, 10, "local", 10.0), G.Grid(0.0, 0.0, 4.0, 13, -(-rows // 4), 4, "local")
 
 
 def _layers(kind: str, fine: Callable[[SparkSession, str], DataFrame]):
-    """One kind of zone layers on every pixel of a target grid of 4 x 4 source pixels, as generation makes them."""
+    """One kind of zone layers on every pixel of the target grid, as generation makes them."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cells = L.ENGINES[kind](L.cells_of(L.source_pixels(kind, fine(spark, sf_dir), SOURCE), SOURCE, TARGET))
+        source, target = _grids(spark, sf_dir)
+        cells = L.ENGINES[kind](L.cells_of(L.source_pixels(kind, fine(spark, sf_dir), source), source, target))
         layers = [F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, (t, _) in L.LAYERS[kind].items()]
-        return L.layers_on(TARGET, {kind: cells}).select("pixel_id", "tile_id", *layers)
+        return L.layers_on(target, {kind: cells}).select("pixel_id", "tile_id", *layers)
 
     return query
 
 
-_FRAME = "frame AS (SELECT range AS pixel_id, CAST((range // 13 // 4) * 4 + range % 13 // 4 AS INT) AS tile_id FROM range(130000))"
+_FRAME = "frame AS (SELECT range AS pixel_id, CAST((range // 13 // 4) * 4 + range % 13 // 4 AS INT) AS tile_id FROM range((SELECT CAST(13 * (max(p_partkey) // 50 // 4 + 1) AS BIGINT) FROM part)))"
 _CLASSED = """, cl AS (SELECT (s."row" // 4) * 13 + s.col // 4 AS cell, z, aspect, CASE WHEN slope IS NULL THEN -1 WHEN slope < 2 THEN 4 WHEN aspect >= 315 OR aspect < 45 THEN 0 WHEN aspect < 135 THEN 1 WHEN aspect < 225 THEN 2 ELSE 3 END AS cls FROM s JOIN f ON s."row" = f.r AND s.col = f.c),
 counted AS (SELECT cell, count(*) FILTER (cls = 0) AS n0, count(*) FILTER (cls = 1) AS n1, count(*) FILTER (cls = 2) AS n2, count(*) FILTER (cls = 3) AS n3, count(*) FILTER (cls = 4) AS n4, count(*) FILTER (cls >= 0) AS total,
     sum(z) FILTER (cls >= 0) AS sum_z, sum(cos(radians(aspect))) FILTER (cls BETWEEN 0 AND 3) AS sum_cos, sum(sin(radians(aspect))) FILTER (cls BETWEEN 0 AND 3) AS sum_sin FROM cl GROUP BY cell HAVING count(*) FILTER (cls >= 0) > 0),
@@ -400,6 +450,25 @@ _add(
 )
 
 
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of a month's line items as a stream in two runs: the last shipped of a batch counts, then those of the second run; tax is no variable."""
+    path = f"{work_folder(spark)}/folded-{uuid.uuid4().hex}"
+    lines = spark.readStream.schema(_read(spark, sf_dir, "lineitem").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/lineitem*")
+    base = lines.select(F.trunc("l_shipdate", "month").alias("date"), F.col("l_partkey").alias("pixel_id"), (F.col("l_partkey") % 64).cast("int").alias("tile_id"), "l_linenumber", "l_quantity", F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("shipped"))
+    long = lambda rows, variable, value: rows.select("date", F.lit(variable).alias("variable"), "tile_id", "pixel_id", value.alias("value"), "shipped")
+    for k, rows in enumerate((long(base, "qty", F.col("l_quantity")).unionByName(long(base, "tax", F.lit(1e9))), long(base.where("l_linenumber = 1"), "qty", -F.col("l_quantity")))):
+        start_ingest(rows, ["qty"], path, f"{path}-progress-{k}", order="shipped").awaitTermination()
+    return spark.read.schema("tile_id int, pixel_id long, qty double, date date").parquet(f"{path}/observations").select("date", "pixel_id", "qty")
+
+
+_add(
+    "stream_fold",
+    _folded,
+    """WITH l AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, l_partkey AS pixel_id, l_linenumber AS n, l_quantity AS qty, (l_shipdate, l_orderkey, l_linenumber) AS shipped FROM lineitem)
+    SELECT date, pixel_id, coalesce(arg_max(-qty, shipped) FILTER (n = 1), arg_max(qty, shipped)) AS qty FROM l GROUP BY date, pixel_id""",
+)
+
+
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _read(spark, sf_dir, "nation")
     joined = _read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
@@ -594,7 +663,12 @@ _add("f22_place_offset", _offset_in_window, _WINDOWS + """, c AS (SELECT triplet
 _add("f20_bounding_tiles", lambda s, d: _windows(s, d).select("triplet", "tag"), _WINDOWS + "SELECT triplet, CASE WHEN ok THEN r0 || ' ' || c0 || ' ' || r1 || ' ' || c1 END AS tag FROM t")
 _add("f21_tiles_in_bbox", lambda s, d: _windows(s, d).where("tag is not null").select("triplet", "tiles"), _WINDOWS + ", x AS (SELECT triplet, r.range AS r, c.range AS c FROM t, range(3) r, range(3) c WHERE ok AND r.range BETWEEN r0 AND r1 AND c.range BETWEEN c0 AND c1) SELECT triplet, string_agg(CAST(r * 3 + c AS VARCHAR), ',' ORDER BY r, c) AS tiles FROM x GROUP BY triplet")
 _add("f7_tile_name", lambda s, d: stations(s, d).select("triplet", N.tile_name(F.floor("lat"), F.floor("lon")).alias("tile")), f"WITH {_STATIONS} SELECT triplet, printf('n%02dw%03d', CAST(floor(lat) AS INT) + 1, CAST(-floor(lon) AS INT)) AS tile FROM stations")
-_add("s16_candidate_tiles", lambda s, d: N.tiles_covering(s, -106.5, 38.2, -104.0, 40.0), "SELECT printf('n%02dw%03d', a.range + 1, -b.range) AS tile FROM range(38, 40) a, range(-107, -104) b")
+_add(
+    "s16_candidate_tiles",
+    lambda s, d: _squares(s, d).select("triplet", F.explode(N.tiles_of(F.col("rings")[0][0][0], F.col("rings")[0][0][1], F.col("rings")[0][2][0], F.col("rings")[0][2][1])).alias("tile")),
+    f"""WITH {_STATIONS} SELECT triplet, printf('n%02dw%03d', CAST(a AS INT) + 1, CAST(-b AS INT)) AS tile FROM (
+        SELECT triplet, unnest(range(CAST(floor(lat - 1) AS BIGINT), CAST(ceil(lat + 1) AS BIGINT))) AS a, lon FROM stations) x, LATERAL (SELECT unnest(range(CAST(floor(x.lon - 1) AS BIGINT), CAST(ceil(x.lon + 1) AS BIGINT))) AS b)""",
+)
 
 
 def _snodas_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -611,7 +685,11 @@ _add(
     FROM (SELECT o_orderkey, o_orderdate, o_orderkey % 5 <> 0 AS ok, [1034, 1036, 1025, 9999][o_orderkey % 4 + 1] AS code FROM orders)""",
 )
 _add("f9_format_version", lambda s, d: _read(s, d, "orders").select("o_orderkey", N.format_version(F.when(F.col("o_orderkey") % 3 == 0, "v3:abc").when(F.col("o_orderkey") % 3 == 1, "legacy").otherwise("vx:1")).alias("version")), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 3 END AS version FROM orders")
-_add("f6_csv_filename", lambda s, d: s.createDataFrame([(N.csv_name("12345:MT:USGS", q, n),) for q, n in ((SPRING, 0), (APRIL_1, 2), (DateRange(), 1))], "name string"), "SELECT unnest(['12345_MT_USGS_1996-03-01-1996-05-31.csv', '12345_MT_USGS_4-1_1995-2000_zonal_2.csv', '12345_MT_USGS_open-open_zonal_1.csv']) AS name")
+_add(
+    "f6_csv_filename",
+    lambda s, d: stations(s, d).select("triplet", F.explode(F.array(*[N.csv_names(F.col("triplet"), q, n) for q, n in ((SPRING, 0), (APRIL_1, 2), (DateRange(), 1))])).alias("name")),
+    f"WITH {_STATIONS} SELECT triplet, replace(triplet, ':', '_') || unnest(['_1996-03-01-1996-05-31.csv', '_4-1_1995-2000_zonal_2.csv', '_open-open_zonal_1.csv']) AS name FROM stations",
+)
 
 
 def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,16 +147,18 @@ class Catalogue:
         self.save()
         return placed
 
-    def create(self, template: str, name: str | None = None) -> Dataset:
-        if template not in TEMPLATES:
-            raise UnknownDataset(f"there is no template {template}; there are {', '.join(sorted(TEMPLATES))}")
-        return self.register(replace(TEMPLATES[template], name=name or template))
+    def create(self, template: str, name: str | None = None, mask: DataFrame | None = None) -> Dataset:
+        """A new active dataset, with the pixel_ids of its valid ground where a mask is given."""
+        return self._new(template, name, True, mask)
 
     def stage(self, template: str, name: str | None = None, mask: DataFrame | None = None) -> Dataset:
         """A new dataset that is not active yet, with the pixel_ids of its valid ground where a mask is given."""
+        return self._new(template, name, False, mask)
+
+    def _new(self, template: str, name: str | None, active: bool, mask: DataFrame | None) -> Dataset:
         if template not in TEMPLATES:
             raise UnknownDataset(f"there is no template {template}; there are {', '.join(sorted(TEMPLATES))}")
-        dataset = self.register(replace(TEMPLATES[template], name=name or template, active=False))
+        dataset = self.register(replace(TEMPLATES[template], name=name or template, active=active))
         if mask is not None:
             Table(self.spark, f"{dataset.path}/mask", "pixel_id long").replace(mask.select(F.col("pixel_id").cast("long")).distinct())
         return dataset

@@ -126,9 +126,14 @@ def observations_of(rows: DataFrame, grid: Grid, nodata: float, variable: str =
     return each.select("date", "variable", grid.tile_id(F.col("row"), F.col("col")).alias("tile_id"), grid.pixel_id(F.col("row"), F.col("col")).alias("pixel_id"), "value")
 
 
-def wide(observations: DataFrame, variables: Sequence[str], types: Mapping[str, str] | None = None) -> DataFrame:
-    """Long observations with a column for each variable, of its type if given, as the observations table keeps them."""
-    value = lambda v: F.max(F.when(F.col("variable") == v, F.col("value")))
+def wide(observations: DataFrame, variables: Sequence[str], types: Mapping[str, str] | None = None, order: str | None = None) -> DataFrame:
+    """Long observations with a column for each variable, of its type if given, as the observations table keeps them.
+
+    Of several values for a variable and pixel the last by `order` counts, the largest of those or without an order.
+    """
+    ranked = F.col("value") if order is None else F.struct(F.col(order).alias("order"), F.col("value").alias("value"))
+    of = lambda v: F.max(F.when(F.col("variable") == v, ranked))
+    value = lambda v: of(v) if order is None else of(v)["value"]
     return observations.groupBy("date", "tile_id", "pixel_id").agg(*[(value(v).cast(types[v]) if types else value(v)).alias(v) for v in variables])
 
 
@@ -155,13 +160,13 @@ def _put(rows: DataFrame, path: str, within: Sequence[str]) -> None:
     dealt.write.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").mode("overwrite").partitionBy("date").parquet(path)
 
 
-def commit(observations: DataFrame, plan: DataFrame, variables: Sequence[str], path: str, complete: bool = False, merge: bool = False, types: Mapping[str, str] | None = None) -> DataFrame:
+def commit(observations: DataFrame, plan: DataFrame, variables: Sequence[str], path: str, complete: bool = False, merge: bool = False, types: Mapping[str, str] | None = None, order: str | None = None) -> DataFrame:
     """Write the planned dates' pixels, then their manifest rows; gives date, action of all planned dates.
 
     plan: date, source_hash, action, and variable where hashes are of single variables. Only written dates are
     replaced, and the manifest gets the variables that were found. A date that should be written but has no pixels is
     an error, as is one that lacks a variable, with `complete`; nothing has been written then. With `merge` a date's
-    pixels join those that are stored: what comes now counts for its variable and pixel, all else stays.
+    pixels join those that are stored: what comes now counts for its variable and pixel, all else stays. order: the column that tells which of several values is the last.
     """
     spark = observations.sparkSession
     planned = plan.collect()  # before anything that the plan reads is replaced; a row per day, or per day and variable
@@ -181,7 +186,7 @@ def commit(observations: DataFrame, plan: DataFrame, variables: Sequence[str], p
     present = spark.createDataFrame(sorted(found), "date date, variable string")
     named = present.join(todo, keys).withColumn("format_version", F.lit(FORMAT)).withColumn("out_name", output_name(F.date_format("date", "yyyyMMdd"), F.col("variable")))
     named = named.select("source_hash", "variable", "format_version", "out_name", "date")
-    data = wide(chosen, variables, types)
+    data = wide(chosen, variables, types, order)
     before = manifest_of(spark, path)
     if merge and before is not None:
         days_of = F.broadcast(todo.select("date").distinct())

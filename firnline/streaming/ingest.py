@@ -16,13 +16,22 @@ from pyspark.sql.streaming import StreamingQuery
 from firnline.sources.ingest import commit, manifest_of, provenance_tag
 
 
-def batch_plan(batch: DataFrame, manifest: DataFrame | None) -> DataFrame:
+#: The column that arrived() adds.
+ARRIVED = "arrived"
+
+
+def arrived(files: DataFrame) -> DataFrame:
+    """A stream of Parquet files with the order in which rows arrive: by the file's time, its path, and the row in it."""
+    return files.withColumn(ARRIVED, F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")))
+
+
+def batch_plan(batch: DataFrame, manifest: DataFrame | None, order: str | None = None) -> DataFrame:
     """date, variable, source_hash, action for each date and variable of a batch (date, variable, tile_id, pixel_id, value).
 
     The digest adds up row hashes, so it does not depend on the order of rows and needs no group in one task. A date is
     skipped when the manifest has all its variables of the batch with these digests.
     """
-    row = F.xxhash64("variable", "pixel_id", F.col("value").cast("double")).cast("decimal(38,0)")
+    row = F.xxhash64("variable", "pixel_id", F.col("value").cast("double"), *([order] if order else [])).cast("decimal(38,0)")
     days = batch.groupBy("date", "variable").agg(F.sum(row).alias("_s"), F.count(F.lit(1)).alias("_n"))
     days = days.select("date", "variable", provenance_tag([F.col("_s"), F.col("_n")]).alias("source_hash"))
     if manifest is None:
@@ -33,13 +42,18 @@ def batch_plan(batch: DataFrame, manifest: DataFrame | None) -> DataFrame:
     return seen.join(whole, "date").select("date", "variable", "source_hash", F.when(F.col("_all"), "skip").otherwise("write").alias("action"))
 
 
-def start_ingest(observations: DataFrame, variables: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Commit a stream's dates to a dataset."""
+def start_ingest(observations: DataFrame, variables: Sequence[str], path: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Commit a stream's dates to a dataset.
+
+    order: a column of the stream that tells which of a pixel's values in one batch is the last, as `arrived` adds it;
+    across batches, which Spark runs in order, the later batch's counts. Rows of variables that the dataset lacks are
+    passed over.
+    """
 
     def take(batch: DataFrame, _: int) -> None:
-        held = batch.persist()  # the digest and the commit read it
+        held = batch.where(F.col("variable").isin(*variables)).persist()  # the digest and the commit read it
         try:
-            commit(held, batch_plan(held, manifest_of(batch.sparkSession, path)), variables, path, merge=True)
+            commit(held, batch_plan(held, manifest_of(batch.sparkSession, path), order), variables, path, merge=True, order=order)
         finally:
             held.unpersist()
 
