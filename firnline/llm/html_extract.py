@@ -25,10 +25,10 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements whose text is never the article's.
-DROPPED_TAGS = frozenset("script style noscript template svg head title nav footer aside button select option textarea input iframe object embed canvas audio video dialog menu fieldset applet map".split())
-#: Elements that are left out like those with a dropped name: a form may also wrap a whole page.
-NAMED_TAGS = frozenset(["form"])
+#: Elements whose text is never the article's: no text for readers, and controls of forms.
+DROPPED_TAGS = frozenset("script style noscript template svg head title button select option textarea input iframe embed".split())
+#: Elements that are left out like those with a dropped name: each may also wrap a whole page.
+NAMED_TAGS = frozenset("form fieldset nav footer aside dialog menu map object applet canvas audio video".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 #: Words of class and id names, between other letters, that mark such parts.
 DROPPED_NAMES = re.compile(
@@ -169,7 +169,7 @@ class TreeBuilder(HTMLParser):
             return True
         for name, value in attrs:
             value = (value or "").lower()
-            if name == "role" and value in DROPPED_ROLES and not (value == "form" and tag in NAMED_TAGS) or name == "hidden" or name == "aria-hidden" and value == "true":
+            if name == "role" and value in DROPPED_ROLES and not (value == "form" and tag == "form") or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True

@@ -74,3 +74,11 @@ def test_short_lines_are_near_within_one_edit(spark):
     assert "Read more about it." in near
     got = {r.doc_id: (r.n_exact, r.n_near) for r in line_dedup.line_report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
     assert got == {i: (int(first[x] != i), int(first[x] == i and x in near)) for i, x in enumerate(lines)}
+
+
+@pytest.mark.parametrize("tag", "fieldset aside dialog menu map object audio video canvas nav footer form".split())
+def test_an_element_that_holds_the_whole_article_is_read(tag):
+    """It is left out beside an article, and kept where its prose is the page's."""
+    assert html_extract.main_text(f"<body><{tag}><p>{PROSE}</p><p>{PROSE}</p></{tag}></body>") == f"{PROSE} {PROSE}"
+    assert html_extract.main_text(f"<body><div><p>{PROSE}</p><p>{PROSE}</p></div><{tag}><p>{PROSE}</p></{tag}></body>") == f"{PROSE} {PROSE}"
+    assert html_extract.main_text(f"<body><article><p>{PROSE}</p></article><{tag}><p>{PROSE}</p><p>{PROSE}</p></{tag}></body>") == PROSE
