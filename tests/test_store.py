@@ -62,7 +62,7 @@ def test_import_burn_query_sync_and_remove(spark, root, capsys):
     assert service.pourpoint("1:MT:USGS")["geometry"]["type"] == "Polygon"
     assert service.dataset("demo")["variables"][0]["stat"] == "mean_swe_mm" and service.dates("demo") == ["2020-04-01"]
     assert service.values("demo")[0]["maximum"] == 31 and service.status()[0]["dates"] == 1
-    assert {(f["target"][0], f["issue"]) for f in service.doctor("demo")} == {("2", "partial coverage"), ("3", "no coverage"), ("3", "no raster")}
+    assert {(f["target"][0], f["issue"]) for f in service.doctor("demo", ["dates", "pourpoints"])} == {("2", "partial coverage"), ("3", "no coverage"), ("3", "no raster")}
 
     assert run(spark, parser().parse_args([root, "stats", "demo", "1:MT:USGS", "--variable", "swe", "--dates", "04-01", "--years", "2020"])) == 0
     assert capsys.readouterr().out.splitlines()[0] == "date,area_m2,mean_swe_mm"
