@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import reduce
+from types import SimpleNamespace
+from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,15 +145,19 @@ def place_offset(window: Column, row: Column, col: Column, tile: int) -> tuple[C
     return row - window["ul_row"] * tile, col - window["ul_col"] * tile
 
 
-def sinusoidal(lon: Column, lat: Column, radius: float = MODIS_RADIUS) -> tuple[Column, Column]:
+#: The functions that projections need, for arrays in place of columns.
+ARRAYS = SimpleNamespace(sin=np.sin, cos=np.cos, sqrt=np.sqrt, log=np.log, asin=np.arcsin, atan2=np.arctan2, radians=np.radians, degrees=np.degrees, lit=lambda x: x)
+
+
+def sinusoidal(lon: Column, lat: Column, radius: float = MODIS_RADIUS, m: Any = F) -> tuple[Column, Column]:
     """x, y of degrees in the MODIS sinusoidal projection."""
-    phi = F.radians(lat)
-    return F.lit(radius) * F.radians(lon) * F.cos(phi), F.lit(radius) * phi
+    phi = m.radians(lat)
+    return m.lit(radius) * m.radians(lon) * m.cos(phi), m.lit(radius) * phi
 
 
-def sinusoidal_inverse(x: Column, y: Column, radius: float = MODIS_RADIUS) -> tuple[Column, Column]:
+def sinusoidal_inverse(x: Column, y: Column, radius: float = MODIS_RADIUS, m: Any = F) -> tuple[Column, Column]:
     phi = y / radius
-    return F.degrees(x / (F.lit(radius) * F.cos(phi))), F.degrees(phi)
+    return m.degrees(x / (m.lit(radius) * m.cos(phi))), m.degrees(phi)
 
 
 @dataclass(frozen=True)
@@ -182,38 +189,39 @@ class Albers:
         c = self._m(p1) ** 2 + n * self._q(p1)
         return n, c, self.a * math.sqrt(c - n * self._q(p0)) / n
 
-    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+    def forward(self, lon: Column, lat: Column, m: Any = F) -> tuple[Column, Column]:
         n, c, rho_0 = self._constants()
-        e, s = self._e, F.sin(F.radians(lat))
-        q = F.lit(1 - e * e) * (s / (1 - e * e * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
-        rho, theta = F.sqrt(F.lit(c) - n * q) * (self.a / n), F.radians(lon - self.lon_0) * n
-        return rho * F.sin(theta), F.lit(rho_0) - rho * F.cos(theta)
+        e, s = self._e, m.sin(m.radians(lat))
+        q = m.lit(1 - e * e) * (s / (1 - e * e * s * s) - m.log((1 - e * s) / (1 + e * s)) / (2 * e))
+        rho, theta = m.sqrt(m.lit(c) - n * q) * (self.a / n), m.radians(lon - self.lon_0) * n
+        return rho * m.sin(theta), m.lit(rho_0) - rho * m.cos(theta)
 
-    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
+    def inverse(self, x: Column, y: Column, m: Any = F) -> tuple[Column, Column]:
         n, c, rho_0 = self._constants()
-        e, dy = self._e, F.lit(rho_0) - y
-        q = (F.lit(c) - (x * x + dy * dy) * (n * n / (self.a * self.a))) / n
-        phi = F.asin(q / 2)
+        e, dy = self._e, m.lit(rho_0) - y
+        q = (m.lit(c) - (x * x + dy * dy) * (n * n / (self.a * self.a))) / n
+        phi = m.asin(q / 2)
 
         def closer(phi: Column) -> Column:
-            s = F.sin(phi)
+            s = m.sin(phi)
             d = 1 - e * e * s * s
-            return phi + d * d / (2 * F.cos(phi)) * (q / (1 - e * e) - s / d + F.log((1 - e * s) / (1 + e * s)) / (2 * e))
+            return phi + d * d / (2 * m.cos(phi)) * (q / (1 - e * e) - s / d + m.log((1 - e * s) / (1 + e * s)) / (2 * e))
 
-        once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  # else each step would repeat all before it
+        # of a column each step would repeat all before it
+        once = (lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))) if m is F else (lambda value, use: use(value))
         phi = reduce(lambda p, _: once(p, closer), range(3), phi)
-        return F.degrees(F.atan2(x, dy) / n) + self.lon_0, F.degrees(phi)
+        return m.degrees(m.atan2(x, dy) / n) + self.lon_0, m.degrees(phi)
 
 
 SINUSOIDAL_CRS, ALBERS_CRS, GEOGRAPHIC = "+proj=sinu", "EPSG:5070", ("EPSG:4326", "EPSG:4269")
 
 
-def reprojected(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
-    """A place of one projection in another, over longitude and latitude; the two geographic datums count as one."""
+def reprojected(x: Column, y: Column, source: str, target: str, m: Any = F) -> tuple[Column, Column]:
+    """A place of one projection in another, over longitude and latitude; the two geographic datums count as one. m: ARRAYS for arrays."""
     if source == target or source in GEOGRAPHIC and target in GEOGRAPHIC:
         return x, y
-    lonlat = {ALBERS_CRS: lambda: Albers().inverse(x, y), SINUSOIDAL_CRS: lambda: sinusoidal_inverse(x, y)}
-    placed = {ALBERS_CRS: Albers().forward, SINUSOIDAL_CRS: sinusoidal}
+    lonlat = {ALBERS_CRS: lambda: Albers().inverse(x, y, m), SINUSOIDAL_CRS: lambda: sinusoidal_inverse(x, y, m=m)}
+    placed = {ALBERS_CRS: lambda lon, lat: Albers().forward(lon, lat, m), SINUSOIDAL_CRS: lambda lon, lat: sinusoidal(lon, lat, m=m)}
     kind = lambda crs: SINUSOIDAL_CRS if crs.startswith(SINUSOIDAL_CRS) else crs
     for crs in (source, target):
         if crs not in GEOGRAPHIC and kind(crs) not in placed:

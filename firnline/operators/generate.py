@@ -7,15 +7,18 @@ be given in place of the standard two.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.errors import QueryError, SourceError
-from firnline.functions.grid import Grid, clipped, reprojected, require_aligned
+from firnline.functions.grid import ARRAYS, Grid, clipped, reprojected, require_aligned
 from firnline.functions.names import tiles_covering
 from firnline.operators import terrain as T
 from firnline.sources.catalog import Dataset
@@ -140,8 +143,85 @@ def elevation_tiles(spark: SparkSession, folder: str, bounds: tuple[float, float
     return reduce(DataFrame.unionByName, parts), grid
 
 
-def warped(fine: DataFrame, source: Grid, work: Grid, value: str = "z") -> DataFrame:
-    """row, col, value on the pixels of a work grid, interpolated from a source in another projection."""
-    frame = work.frame(fine.sparkSession).select("row", "col")
-    x, y = reprojected(*work.centre(F.col("row"), F.col("col")), work.crs, source.crs)
-    return T.resampled(fine, source, frame.withColumns({"x": x, "y": y}), value).select("row", "col", value)
+#: Source pixels along the edge of what a block of a warp reads, about, and places of a block that are projected along each side.
+WARP, SAMPLES = 1024, 9
+
+
+def _in_source(row: np.ndarray, col: np.ndarray, work: Grid, source: Grid) -> tuple[np.ndarray, np.ndarray]:
+    """Where the centres of a work grid's pixels stand among a source's pixel centres: row and column, with fractions."""
+    x, y = reprojected(work.origin_x + (col + 0.5) * work.pixel, work.origin_y - (row + 0.5) * work.pixel, work.crs, source.crs, ARRAYS)
+    return (source.origin_y - y) / source.pixel - 0.5, (x - source.origin_x) / source.pixel - 0.5
+
+
+def block_edge(source: Grid, work: Grid, wanted: int = WARP) -> int:
+    """How many work pixels along a block's edge read about so many source pixels, by the middle of the work grid."""
+    row, col = np.array([work.rows / 2, work.rows / 2 + 1, work.rows / 2]), np.array([work.cols / 2, work.cols / 2, work.cols / 2 + 1])
+    r, c = _in_source(row, col, work, source)
+    ratio = max(np.hypot(r[1] - r[0], c[1] - c[0]), np.hypot(r[2] - r[0], c[2] - c[0]))
+    return int(min(max(wanted / ratio, 16), 2 * wanted))
+
+
+def _windows(source: Grid, work: Grid, edge: int):
+    """work block, source block: those source blocks (of `edge` pixels) that a work block's interpolation reads from."""
+    across = -(-work.cols // edge)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, need = [], []
+            for block in batch.column("block").to_pylist():
+                top, left = block // across * edge, block % across * edge
+                rows, cols = np.linspace(top, min(top + edge, work.rows) - 1, SAMPLES), np.linspace(left, min(left + edge, work.cols) - 1, SAMPLES)
+                spans = []
+                for place, most in zip(_in_source(*np.meshgrid(rows, cols, indexing="ij"), work, source), (source.rows, source.cols), strict=True):
+                    bend = max(np.abs(np.diff(place, 2, axis=k)).max() for k in (0, 1))  # between the samples it is a quarter of that
+                    low, high = max(math.floor(place.min() - bend) - 1, 0), min(math.ceil(place.max() + bend) + 1, most - 1)
+                    spans.append(range(low // WARP, high // WARP + 1) if low <= high else range(0))
+                pairs = [(block, r << 32 | c) for r in spans[0] for c in spans[1]]
+                own += [p[0] for p in pairs]
+                need += [p[1] for p in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(need, pa.int64())], ["block", "source"])
+
+    return run
+
+
+def warped(fine: DataFrame, source: Grid, work: Grid, value: str = "z", edge: int | None = None) -> DataFrame:
+    """row, col, value on the pixels of a work grid, interpolated from the four source pixels about each; null without any.
+
+    The work grid is cut into blocks. Each block's corners and sides, taken back to the source, tell which source blocks
+    it reads; source pixels are sent once to each work block that reads theirs, and a task interpolates one block as
+    arrays. Null and NaN count as missing; their weights go to the other neighbours.
+    """
+    edge = edge or block_edge(source, work)
+    spark, across, down = fine.sparkSession, -(-work.cols // edge), -(-work.rows // edge)
+    blocks = spark.range(across * down).select(F.col("id").alias("block"))
+    reads = blocks.mapInArrow(_windows(source, work, edge), "block long, source long")
+    own = fine.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(value).cast("double").alias("value")).where("value is not null and not isnan(value)")
+    own = own.withColumn("source", F.shiftleft(F.floor(F.col("row") / WARP).cast("long"), 32).bitwiseOR(F.floor(F.col("col") / WARP).cast("long")))
+    sent = own.join(reads, "source").select("block", "row", "col", "value")
+
+    def run(key: tuple, block: pa.Table, pixels: pa.Table) -> pa.Table:
+        number = key[0].as_py()
+        top, left = number // across * edge, number % across * edge
+        row, col = (x.ravel() for x in np.mgrid[top : min(top + edge, work.rows), left : min(left + edge, work.cols)])
+        out = np.full(len(row), np.nan)
+        if len(pixels):
+            r, c, v = (pixels.column(k).to_numpy() for k in ("row", "col", "value"))
+            r0, c0 = int(r.min()), int(c.min())
+            area = np.full((int(r.max()) - r0 + 1, int(c.max()) - c0 + 1), np.nan)
+            area[r - r0, c - c0] = v
+            y, x = _in_source(row.astype(float), col.astype(float), work, source)
+            i, j = np.floor(y), np.floor(x)
+            v, u = y - i, x - j
+            total, weight = np.zeros(len(row)), np.zeros(len(row))
+            for di in (0, 1):
+                for dj in (0, 1):
+                    a, b = (i + di - r0).astype(np.int64), (j + dj - c0).astype(np.int64)
+                    there = (a >= 0) & (a < area.shape[0]) & (b >= 0) & (b < area.shape[1])
+                    found = np.where(there, area[np.where(there, a, 0), np.where(there, b, 0)], np.nan)
+                    w = np.where(np.isnan(found), 0.0, (v if di else 1 - v) * (u if dj else 1 - u))
+                    total += np.where(w > 0, w * np.nan_to_num(found), 0.0)
+                    weight += w
+            np.divide(total, weight, out=out, where=weight > 0)
+        return pa.table({"row": row.astype(np.int32), "col": col.astype(np.int32), value: pa.array(out, pa.float64(), from_pandas=True)})
+
+    return blocks.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(run, f"row int, col int, `{value}` double")

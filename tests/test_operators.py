@@ -19,6 +19,7 @@ from firnline.functions.dates import DateRange
 from firnline.functions.grid import Albers, Grid, sinusoidal, sinusoidal_inverse
 from firnline.operators import basins as B
 from firnline.operators import diagnostics as D
+from firnline.operators import generate as L
 from firnline.operators import terrain as T
 from firnline.sources import ingest as I
 from firnline.sources.catalog import TEMPLATES, Catalogue
@@ -73,6 +74,24 @@ def test_bilinear_of_a_plane_is_the_plane(spark):
     assert abs(got[0] - (2 * 2.0 + 3 * 1.75)) < 1e-9 and abs(got[1] - (2 * 4.4 + 3 * 3.5)) < 1e-9
 
 
+@pytest.mark.parametrize("crs,origin,pixel", [("EPSG:5070", (-1_120_000.0, 2_050_000.0), 3000.0), ("+proj=sinu +R=6371007.181 +units=m", (-9_260_000.0, 4_560_000.0), 2500.0), ("EPSG:4326", (-108.99, 40.93), 0.031)])
+@pytest.mark.parametrize("edge", [None, 7])
+def test_a_warp_by_blocks_is_the_plain_one(spark, monkeypatch, crs, origin, pixel, edge):
+    """Equal to interpolating each place by joins, with gaps in the source and a work grid that reaches beyond it."""
+    from firnline.functions.grid import reprojected
+
+    monkeypatch.setattr(L, "WARP", 13)
+    rng = np.random.default_rng(2)
+    source, work = Grid(-109.0, 41.0, 0.02, 60, 50), Grid(*origin, pixel, 40, 37, 8, crs)
+    z = rng.normal(size=(50, 60))
+    fine = surface(spark, np.where(rng.random(z.shape) < 0.1, np.nan, z)).where("not isnan(z)")
+    x, y = reprojected(*work.centre(F.col("row"), F.col("col")), work.crs, source.crs)
+    plain = {(r.row, r.col): r.z for r in T.resampled(fine, source, work.frame(spark).select("row", "col", x.alias("x"), y.alias("y"))).collect()}
+    got = {(r.row, r.col): r.z for r in L.warped(fine, source, work, edge=edge).collect()}
+    assert got.keys() == plain.keys() and sum(v is None for v in got.values()) > 0 and sum(v is not None for v in got.values()) > 200
+    assert all((a is None) == (got[k] is None) and (a is None or abs(a - got[k]) < 1e-9) for k, a in plain.items())
+
+
 def basin(spark, *rings, triplet="12345:MT:USGS"):
     return spark.createDataFrame([(triplet, [[list(map(float, p)) for p in ring] for ring in rings])], "triplet string, rings array<array<array<double>>>")
 
