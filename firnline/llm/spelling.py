@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from firnline.llm.common import dealt_anew, discard, materialise, small_batches, tasks_for, text_of
 
 LEAST_CHARS, LEAST_COUNT, RATIO = 7, 2, 10
-#: Rows of one key beyond which it is split.
-HOT = 2048
-#: Segments of whole keys in one automaton.
-AUTOMATON = 1 << 14
+#: Rows of one key beyond which it is split over tasks, and words beyond which it is split within one.
+HOT, FEW = 1 << 12, 8
+#: Words of whole keys in one automaton.
+AUTOMATON = 1 << 12
 #: What is deleted: a code point of one occurrence in so many.
 ONE_IN = 31
 _ROWS = "key long, word string, n long, indexed boolean, lo int, tail int, segment string, place int, at_end boolean"
@@ -98,6 +98,8 @@ def _canonical(a: str, b: str, lo: int, tail: int) -> bool:
     """Whether a's rows meet b in this state first: where both halves are shared, the pair counts in that of the first half."""
     state = (0, 0)
     while state != (lo, tail):
+        if len(a) - sum(state) < 2:
+            return False
         left, right = halves(len(a), *state)
         state = left if left[0] + left[1] <= len(b) and a[: left[0]] == b[: left[0]] else right
         if state[0] > lo or state[1] > tail:
@@ -106,53 +108,94 @@ def _canonical(a: str, b: str, lo: int, tail: int) -> bool:
 
 
 class Shard:
-    """An automaton of some segments, with the words that have them."""
+    """Whole keys: an automaton of their words' segments, and which words visit which.
+
+    A key of more than FEW words is split in memory as `_split` does, until few words share all of a state, so that a
+    hit leads to few words that have to be compared.
+    """
 
     def __init__(self, rows: list[tuple]):
-        self.words: dict[str, list[tuple]] = defaultdict(list)
-        for word, n, lo, tail, segment, place, at_end in rows:
-            self.words[segment].append((word, n, lo, tail, place, at_end))
+        keys: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+        for key, word, n, indexed, *state in rows:
+            keys[key][not indexed].append((word, n, *state) if indexed else (word, *state))
+        self.words: dict[str, dict[int, tuple]] = defaultdict(dict)
+        self.visits: dict[str, list[int]] = defaultdict(list)
+        self._groups = 0
+        for indexed, probes in keys.values():
+            if indexed:
+                _, _, lo, tail, *place = indexed[0]
+                self._settle([x[:2] for x in indexed], list(dict.fromkeys(x[0] for x in probes)), lo, tail, *place)
         self.automaton = ahocorasick.Automaton()
         for segment in self.words:
             self.automaton.add_word(segment, segment)
-        self.automaton.make_automaton()
-
-    def near(self, word: str, states: set[tuple[int, int]]) -> Iterator[tuple[str, int]]:
-        """Words one edit from this one, with their counts, of those that share one of the states with it."""
-        for end, segment in self.automaton.iter(word):
-            begin, left = end + 1 - len(segment), len(word) - end - 1
-            for other, n, lo, tail, place, at_end in self.words[segment]:
-                if (left if at_end else begin) == place and abs(len(other) - len(word)) <= 1 and (lo, tail) in states and one_edit(other, word) and _canonical(other, word, lo, tail):
-                    yield other, n
+        if self.words:
+            self.automaton.make_automaton()
+
+    def _settle(self, indexed: list[tuple[str, int]], probes: list[str], lo: int, tail: int, segment: str, place: int, at_end: bool) -> None:
+        if not probes or len(indexed) == 1 and probes == [indexed[0][0]]:
+            return
+        if len(indexed) <= FEW or max(len(w) for w, _ in indexed) - lo - tail < 4:
+            self._register(indexed, probes, lo, tail, segment, place, at_end)
+            return
+        if whole := [x for x in indexed if len(x[0]) - lo - tail < 2]:  # nothing of these is left to split
+            self._register(whole, probes, lo, tail, segment, place, at_end)
+            indexed = [x for x in indexed if len(x[0]) - lo - tail >= 2]
+        parts: dict[tuple, tuple[list, list]] = {}
+        for word, n in indexed:
+            for _, _, _, *state in _dealt(word, n, True, lo, tail):
+                parts.setdefault(tuple(state), ([], []))[0].append((word, n))
+        for word in probes:
+            for _, _, _, *state in _dealt(word, 0, False, lo, tail):
+                if (part := parts.get(tuple(state))) is not None:
+                    part[1].append(word)
+        for state, (own, visitors) in parts.items():
+            self._settle(own, list(dict.fromkeys(visitors)), *state)  # a word may come to a state by two ways
+
+    def _register(self, indexed: list[tuple[str, int]], probes: list[str], lo: int, tail: int, segment: str, place: int, at_end: bool) -> None:
+        self._groups += 1
+        self.words[segment][self._groups] = [(w, n, w[lo : len(w) - tail]) for w, n in indexed], lo, tail, place, at_end
+        for word in probes:
+            self.visits[word].append(self._groups)
+
+    def near(self) -> Iterator[tuple[str, str, int]]:
+        """Each visiting word with the words one edit away that share a state with it, and their counts."""
+        for word, groups in self.visits.items():
+            m = len(word)
+            for end, segment in self.automaton.iter(word):
+                here = self.words[segment]
+                for group in groups:
+                    if group not in here:
+                        continue
+                    indexed, lo, tail, place, at_end = here[group]
+                    if (m - end - 1 if at_end else end + 1 - len(segment)) != place:
+                        continue
+                    rest = word[lo : m - tail]
+                    size = len(rest)
+                    for other, n, left in indexed:  # one edit leaves the first or the last of two code points and more
+                        if -1 <= len(left) - size <= 1 and (size < 2 or len(left) < 2 or left[0] == rest[0] or left[-1] == rest[-1]) and one_edit(left, rest) and _canonical(other, word, lo, tail):
+                            yield word, other, n
 
 
 def _pairs(most: int):
-    """word, near, near_n from rows sorted by key, by automata of at most about `most` segments each."""
+    """word, near, near_n from rows sorted by key, by automata of at most about `most` words each."""
+
+    def scanned(held: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*Shard(held).near(), strict=True)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["word", "near", "near_n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         indexed, last = 0, None
-
-        def scanned() -> pa.RecordBatch:
-            shard = Shard([(w, n, *rest) for _, w, n, own, *rest in held if own])
-            visits: dict[str, set[tuple[int, int]]] = defaultdict(set)
-            for _, w, _, own, lo, tail, *_ in held:
-                if not own:
-                    visits[w].add((lo, tail))
-            out = [(w, other, n) for w, states in visits.items() for other, n in shard.near(w, states)]
-            columns = list(zip(*out, strict=True)) if out else [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["word", "near", "near_n"])
-
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
                 if row[0] != last and indexed >= most:
-                    yield scanned()
+                    yield scanned(held)
                     held, indexed = [], 0
                 last = row[0]
                 held.append(row)
                 indexed += row[3]
         if indexed:
-            yield scanned()
+            yield scanned(held)
 
     return run
 
@@ -173,7 +216,10 @@ def near_pairs(words: DataFrame, hot: int = HOT, automaton: int = AUTOMATON) ->
         many = rows.where("again").drop("again")
         if many.isEmpty():
             break
-        rows = materialise(_split(many), "spelling-halves")
+        whole = F.col("indexed") & (F.length("word") - F.col("lo") - F.col("tail") < 2)  # nothing of these is left to split
+        kept = many.where(whole)
+        settled += [kept, many.where("not indexed").join(kept.select("key").distinct(), "key", "left_semi").select(kept.columns)]
+        rows = materialise(_split(many.where(~whole)), "spelling-halves")
     every = settled[0]
     for x in settled[1:]:
         every = every.unionByName(x)

@@ -89,6 +89,26 @@ def test_small_automata_and_hot_halves_lose_no_pair(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_words_of_which_nothing_is_left_to_split(spark, monkeypatch):
+    """Short and long words share all of a state; splitting goes on within tasks and over them."""
+    words = sorted({p + "abcdefgh"[:k] + s for p in ("abcde", "abcd", "abcdef") for k in range(4) for s in ("", "x", "xy", "q", "zz", "xyz", "xyzw", "abc")} | {"abcdefg" + c for c in "abcdefghijkl"})
+    want = {(a, b) for a in words for b in words if distance_one(a, b)}
+    frame = spark.createDataFrame([(w, 2) for w in words if len(w) > 1], "word string, n long")
+    for hot, few in ((1, 1), (5, 1), (2048, 1), (12, 3)):
+        monkeypatch.setattr(spelling, "FEW", few)
+        got = [(r.word, r.near) for r in spelling.near_pairs(frame, hot, 50).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_every_split_ends():
+    rng = random.Random(4)
+    for _ in range(40):
+        words = list({"".join(rng.choice("ab") for _ in range(rng.randint(2, 9))) for _ in range(30)})
+        rows = [(hash(x[3:5] + (w[: x[3]], w[len(w) - x[4] :])), *x) for w in words for own in (True, False) for x in spelling._dealt(w, 1, own, 0, 0)]
+        got = [(w, other) for w, other, _ in spelling.Shard(rows).near()]
+        assert len(got) == len(set(got)) and set(got) == {(a, b) for a in words for b in words if distance_one(a, b)}
+
+
 def test_one_edit():
     rng = random.Random(2)
     for _ in range(4000):
