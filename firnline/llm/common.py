@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +24,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if (written := _written.get()) is not None:
+        written.append(path)
+    return out
+
+
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def settled(spark: SparkSession, name: str, work: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of work(), written; all else that was written on the way to them is deleted."""
+    token = _written.set([])
+    try:
+        out = materialise(work(), name)
+        rest = [path for path in _written.get() if path != out._stored_at]
+    finally:
+        _written.reset(token)
+    for path in rest:
+        delete(spark, path)
+    if (written := _written.get()) is not None:
+        written.append(out._stored_at)
     return out
 
 

@@ -170,3 +170,14 @@ def test_pages_have_their_article_and_nothing_else(spark, sf_dir):
         told = [" ".join(html.unescape(re.sub(r"</?\w[^>]*>", "", part)).split()) for part in parts]
         expected = " ".join(t for t in told if t)
         assert (rows[page_id].text, rows[page_id].n_chars) == (expected, len(expected))
+
+
+def test_the_pipeline_leaves_its_last_input_only(spark, sf_dir, tmp_path, monkeypatch):
+    """Every other folder that stages write on the way is gone when the result is there."""
+    import corpus_pipeline
+    from firnline.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.count() > 0
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["pipeline-3"]
