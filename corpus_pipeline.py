@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from firnline.llm import bpe_codec, line_dedup, minhash, mixing, quality_gam
-from firnline.llm.common import documents, materialise
+from firnline.llm.common import discard, documents, settled
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Of what is written on the way, only the last stage's input stays, and what that stage writes."""
     docs = documents(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"pipeline-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settled(spark, f"pipeline-{k}", lambda stage=stage, rows=docs: stage(spark, rows, sf_dir))
+        if k:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
