@@ -586,4 +586,4 @@ def test_pipeline_stages_and_names(spark, sf_dir):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "MinHash near-dedup", "mixing sources", "byte-level BPE"]
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in __spark_entry__.queries() if k.startswith("op") and "_" in k}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in __spark_entry__.queries() if k.startswith("op") and "_" in k}
