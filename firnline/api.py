@@ -117,7 +117,8 @@ class Service:
         """Findings about a dataset's grid, dates, files and basins, as rows; without a choice, of all that it has tables for."""
         d, spark = self.catalogue.registered(name), self.catalogue.spark
         records = self.store.records.read()
-        there = [t for t in ("zone_pixels", "aoi_pixels", "observations") if exists(spark, f"{d.path}/{t}")]
+        dated = d.snapshot(spark).has_dates()
+        there = [t for t in ("zone_pixels", "aoi_pixels") if exists(spark, f"{d.path}/{t}")] + ["observations"] * dated
         tables = {t: d.table(spark, t) for t in there}
         known = {
             "grid": lambda: D.lattice_findings(tables, name, d.grid),
@@ -125,7 +126,7 @@ class Service:
             "files": lambda: self._file_findings(d, tables),
             "pourpoints": lambda: D.basin_findings(name, records.select("triplet"), tables["aoi_pixels"], d.coverage(records)),
         }
-        missing = {"grid": not there, "dates": not exists(spark, f"{d.path}/manifest"), "pourpoints": "aoi_pixels" not in tables}
+        missing = {"grid": not there, "dates": not dated, "pourpoints": "aoi_pixels" not in tables}
         has = {k: v for k, v in known.items() if not missing.get(k)}
         return D.health(has, checks) if has else spark.createDataFrame([], D.FINDING)
 
@@ -136,7 +137,7 @@ class Service:
         have = [(k, f"v{FORMAT}:") for k, layer in d.layers().items() if layer.column in columns]
         found = D.artifact_findings(spark.createDataFrame(have, "artifact string, tag string"), d.name, wanted)
         tags = []
-        if exists(spark, f"{d.path}/manifest"):
+        if d.snapshot(spark).has_dates():
             tags.append(d.table(spark, "manifest").select(F.concat_ws(" ", F.col("date").cast("string"), "variable").alias("artifact"), F.col("source_hash").alias("tag")))
         tags.append(self.store.pixels(d).read().select(F.col("basin").alias("artifact"), F.col("burn_hash").alias("tag")).distinct())
         for rows in tags:

@@ -65,3 +65,9 @@ class NoBasin(FirnlineError):
     """The station has a point but no basin."""
 
     status = 409
+
+
+class ConflictError(FirnlineError):
+    """Another commit has changed the same dates meanwhile."""
+
+    status = 409

@@ -26,6 +26,7 @@ from firnline.operators import terrain as T
 from firnline.plans import output as O
 from firnline.plans import zonal as Z
 from firnline.sources import ingest as I
+from firnline.sources.snapshots import Snapshot
 from firnline.sources.tables import work_folder
 from firnline.streaming.ingest import start_ingest
 
@@ -439,7 +440,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     then = long(base, "disc", F.col("l_discount") * 100).unionByName(long(base.where("l_linenumber = 2"), "qty", -F.col("l_quantity")))
     for k, rows in enumerate((first, then, then)):  # the last run finds all of it known
         start_ingest(rows, ["disc", "qty"], path, f"{path}-progress-{min(k, 1)}").awaitTermination()
-    return spark.read.schema("tile_id int, pixel_id long, disc double, qty double, date date").parquet(f"{path}/observations").select("date", "pixel_id", "tile_id", "disc", "qty")
+    return Snapshot.current(spark, path).observations().select("date", "pixel_id", "tile_id", "disc", "qty")
 
 
 _add(
@@ -458,7 +459,7 @@ def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = lambda rows, variable, value: rows.select("date", F.lit(variable).alias("variable"), "tile_id", "pixel_id", value.alias("value"), "shipped")
     for k, rows in enumerate((long(base, "qty", F.col("l_quantity")).unionByName(long(base, "tax", F.lit(1e9))), long(base.where("l_linenumber = 1"), "qty", -F.col("l_quantity")))):
         start_ingest(rows, ["qty"], path, f"{path}-progress-{k}", order="shipped").awaitTermination()
-    return spark.read.schema("tile_id int, pixel_id long, qty double, date date").parquet(f"{path}/observations").select("date", "pixel_id", "qty")
+    return Snapshot.current(spark, path).observations().select("date", "pixel_id", "qty")
 
 
 _add(

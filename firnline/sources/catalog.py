@@ -22,6 +22,7 @@ from firnline.functions.zones import STANDARD_LAYERS, Layer, parse_selection, re
 from firnline.operators.basins import BEND, Box, coverage, grid_edges, require_coverage
 from firnline.operators.footprint import band_height, covered, outline, polygon_edges
 from firnline.plans.zonal import MAX_CELLS, Variable, ZonalResult, choose_variables, require_burned, require_cell_count, require_complete, zonal_stats
+from firnline.sources.snapshots import Snapshot
 from firnline.sources.tables import Table, stored
 
 
@@ -56,8 +57,16 @@ class Dataset:
         return basins.select(key).distinct().join(found, key, "left").select(key, F.coalesce("coverage", F.lit("none")).alias("coverage"))
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
+        """A table of the dataset: manifest and observations of the snapshot in force, all else by its own version."""
+        if name in ("manifest", "observations"):
+            snapshot = self.snapshot(spark)
+            return snapshot.manifest() if name == "manifest" else snapshot.observations()
         return stored(spark, f"{self.path}/{name}")
 
+    def snapshot(self, spark: SparkSession) -> Snapshot:
+        """The state of the dataset's dates that is in force, which does not change whatever is committed later."""
+        return Snapshot.current(spark, self.path)
+
     def mask(self, spark: SparkSession) -> DataFrame | None:
         """pixel_id of the valid ground; None where all of it is."""
         table = Table(spark, f"{self.path}/mask", "pixel_id long")
@@ -211,11 +220,12 @@ class Catalogue:
         chosen = choose_variables(variables, dataset.variables)
         aoi = dataset.table(self.spark, "aoi_pixels").where(F.col("basin") == basin)
         require_burned(aoi, basin)
-        listing = dataset.table(self.spark, "manifest").select("date", "variable")
+        snapshot = dataset.snapshot(self.spark)  # dates and pixels of one state
+        listing = snapshot.manifest().select("date", "variable")
         require_complete(listing, [v.key for v in chosen], dates)
         axes = [resolve_axis(s, dataset.zones, layers) for s in selections]
         require_cell_count(axes, max_cells)
-        observations = dataset.table(self.spark, "observations")
+        observations = snapshot.observations(dates)
         tiles = aoi.select("tile_id").distinct()  # no more than the grid has tiles
         listed = sorted(r[0] for r in tiles.limit(1001).collect())
         if len(listed) <= 1000:  # few enough for a list that the scan can prune row groups by

@@ -1,16 +1,16 @@
 """Taking in dated pixels: source files, mosaics, and commits that converge.
 
 A date is written when its content is new: the manifest keeps a hash of each date's source, and dates whose hash is
-known are skipped without reading them. Data go first, by dynamic partition overwrite; the manifest goes last, so a
-job that dies in between is repeated in full by the next.
+known are skipped without reading them. All dates of a commit come in force at once, as a snapshot, so a job that dies
+leaves what was there and is repeated in full by the next.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import gzip
 import io
 import tarfile
-import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -22,10 +22,10 @@ from pyspark.sql.types import StructType
 from firnline.errors import ExistsError, IncompleteData, SourceError
 from firnline.functions.grid import Grid
 from firnline.functions.names import INSTARR, SWANN, output_name, snodas_names, versioned
+from firnline.sources.snapshots import Snapshot, publish, write_pixels
 from firnline.sources.tables import Table, delete, exists, move
 
 FORMAT = 1
-MANIFEST = "source_hash string, variable string, format_version int, out_name string, date date"
 
 
 def files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
@@ -120,9 +120,10 @@ def snodas_pixels(archives: DataFrame, grid: Grid) -> DataFrame:
     return snodas_names(raw).select("stem", "product", "date", "row", "values")
 
 
-def observations_of(rows: DataFrame, grid: Grid, nodata: float, variable: str = "product") -> DataFrame:
-    """date, variable, tile_id, pixel_id, value from rows of values."""
-    each = rows.select("date", F.col(variable).alias("variable"), "row", F.posexplode("values").alias("col", "value")).where(F.col("value") != nodata)
+def observations_of(rows: DataFrame, grid: Grid, nodata: float | Mapping[str, float], variable: str = "product") -> DataFrame:
+    """date, variable, tile_id, pixel_id, value from rows of values. nodata: of all variables, or of each."""
+    missing = F.element_at(F.create_map(*[F.lit(x) for k, v in nodata.items() for x in (k, float(v))]), F.col("variable")) if isinstance(nodata, Mapping) else F.lit(nodata)
+    each = rows.select("date", F.col(variable).alias("variable"), "row", F.posexplode("values").alias("col", "value")).where(~F.col("value").eqNullSafe(missing))
     return each.select("date", "variable", grid.tile_id(F.col("row"), F.col("col")).alias("tile_id"), grid.pixel_id(F.col("row"), F.col("col")).alias("pixel_id"), "value")
 
 
@@ -150,26 +151,24 @@ def decisions(incoming: DataFrame, manifest: DataFrame | None, force: bool = Fal
 
 
 def manifest_of(spark: SparkSession, path: str) -> DataFrame | None:
-    """A dataset's manifest; None before its first commit."""
-    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest") if exists(spark, f"{path}/manifest") else None
+    """A dataset's manifest in force; None before its first commit."""
+    snapshot = Snapshot.current(spark, path)
+    return snapshot.manifest() if snapshot.has_dates() else None
 
 
-def _put(rows: DataFrame, path: str, within: Sequence[str]) -> None:
-    """Replace the dates that rows have, and no others. Spark writes them aside and moves whole dates in at the end."""
-    dealt = rows.repartition("date", *within[:1]).sortWithinPartitions("date", *within)
-    dealt.write.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").mode("overwrite").partitionBy("date").parquet(path)
-
-
-def commit(observations: DataFrame, plan: DataFrame, variables: Sequence[str], path: str, complete: bool = False, merge: bool = False, types: Mapping[str, str] | None = None, order: str | None = None) -> DataFrame:
-    """Write the planned dates' pixels, then their manifest rows; gives date, action of all planned dates.
+def commit(observations: DataFrame, plan: DataFrame, variables: Sequence[str], path: str, complete: bool = False, merge: bool = False, types: Mapping[str, str] | None = None, order: str | None = None, base: Snapshot | None = None) -> DataFrame:
+    """Put the planned dates' pixels and manifest rows in force, all at once; gives date, action of all planned dates.
 
     plan: date, source_hash, action, and variable where hashes are of single variables. Only written dates are
     replaced, and the manifest gets the variables that were found. A date that should be written but has no pixels is
     an error, as is one that lacks a variable, with `complete`; nothing has been written then. With `merge` a date's
-    pixels join those that are stored: what comes now counts for its variable and pixel, all else stays. order: the column that tells which of several values is the last.
+    pixels join those that are stored: what comes now counts for its variable and pixel, all else stays. order: the
+    column that tells which of several values is the last. base: the snapshot that the plan is of, else the current one;
+    a commit that has changed one of the dates since is a conflict.
     """
     spark = observations.sparkSession
-    planned = plan.collect()  # before anything that the plan reads is replaced; a row per day, or per day and variable
+    base = base or Snapshot.current(spark, path)
+    planned = plan.collect()  # a row per day, or per day and variable
     outcome = spark.createDataFrame(sorted({(r.date, r.action) for r in planned}), "date date, action string")
     by_variable = "variable" in plan.columns
     keys = ["date", "variable"] if by_variable else ["date"]
@@ -184,44 +183,29 @@ def commit(observations: DataFrame, plan: DataFrame, variables: Sequence[str], p
     if complete and (short := [f"{d.isoformat()} has no {v}" for d in days for v in variables if (d, v) not in found]):
         raise IncompleteData("; ".join(short[:3]))
     present = spark.createDataFrame(sorted(found), "date date, variable string")
-    named = present.join(todo, keys).withColumn("format_version", F.lit(FORMAT)).withColumn("out_name", output_name(F.date_format("date", "yyyyMMdd"), F.col("variable")))
-    named = named.select("source_hash", "variable", "format_version", "out_name", "date")
     data = wide(chosen, variables, types, order)
-    before = manifest_of(spark, path)
-    if merge and before is not None:
-        days_of = F.broadcast(todo.select("date").distinct())
-        stored_rows = spark.read.schema(_observation_schema(data)).parquet(f"{path}/observations").join(days_of, "date", "left_semi")
-        at = ["date", "tile_id", "pixel_id"]
-        data = data.alias("n").join(stored_rows.alias("o"), at, "full").select(*at, *[F.coalesce(f"n.{v}", f"o.{v}").alias(v) for v in variables])
-        old = before.join(days_of, "date", "left_semi").join(F.broadcast(present), ["date", "variable"], "left_anti")
-        named = named.unionByName(old.select(named.columns))
-        aside = f"{path}/merging-{uuid.uuid4().hex}"
-        named.write.parquet(f"{aside}/manifest")  # what is merged is read from what is replaced
-        data.write.parquet(f"{aside}/observations")
-        named, data = spark.read.schema(named.schema).parquet(f"{aside}/manifest"), spark.read.schema(data.schema).parquet(f"{aside}/observations")
-    _put(data, f"{path}/observations", ["tile_id", "pixel_id"])
-    _put(named, f"{path}/manifest", ["variable"])
-    if merge and before is not None:
-        delete(spark, aside)
+    before = base.held(days)
+    stored_rows = base.rows().where(F.col("date").isin(*days)) if merge else None
+    if merge and not stored_rows.isEmpty():
+        at, stored_pixels = ["date", "tile_id", "pixel_id"], base.observations(days)
+        kept = [v for v in variables if v in stored_pixels.columns]
+        data = data.alias("n").join(stored_pixels.alias("o"), at, "full").select(*at, *[(F.coalesce(f"n.{v}", f"o.{v}") if v in kept else F.col(f"n.{v}")).alias(v) for v in variables])
+    columns = StructType([f for f in data.schema if f.name != "date"])
+    folder = write_pixels(data, path)
+    named = present.join(todo, keys).withColumn("format_version", F.lit(FORMAT)).withColumn("out_name", output_name(F.date_format("date", "yyyyMMdd"), F.col("variable")))
+    if merge:
+        named = named.unionByName(stored_rows.select(named.columns).join(F.broadcast(present), ["date", "variable"], "left_anti"))
+    publish(base, before, days, named.withColumn("folder", F.lit(folder)), columns)
     return outcome
 
 
-def _observation_schema(data: DataFrame) -> StructType:
-    """The schema of stored observations: that of new ones, the date last as it names folders."""
-    fields = {f.name: f for f in data.schema.fields}
-    return StructType([f for n, f in fields.items() if n != "date"] + [fields["date"]])
-
-
 def remove_date(spark: SparkSession, path: str, date: str, dry_run: bool = False) -> list[str]:
     """Take one date out of a dataset; tells the tables that have it."""
-    have = []
-    for table in ("manifest", "observations"):  # the manifest first: without it the date is not there
-        rows = spark.read.parquet(f"{path}/{table}").where(F.col("date") == F.to_date(F.lit(date)))
-        if not rows.isEmpty():
-            have.append(table)
-            if not dry_run:
-                folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}/date={date}")
-                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    day, base = dt.date.fromisoformat(date), Snapshot.current(spark, path)
+    tables = {"manifest": base.manifest().where(F.col("date") == F.lit(day)), "observations": base.observations([day])}
+    have = [name for name, rows in tables.items() if not rows.isEmpty()]
+    if have and not dry_run:
+        publish(base, base.held([day]), [day], None, None)
     return have
 
 

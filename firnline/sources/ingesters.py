@@ -21,6 +21,7 @@ from firnline.errors import SourceError
 from firnline.functions.names import require_sound, snodas_names, snodas_problems
 from firnline.sources import ingest as I
 from firnline.sources.catalog import Dataset
+from firnline.sources.snapshots import Snapshot
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,7 @@ class SnodasArchives:
         def pixels(days: DataFrame) -> DataFrame:
             chosen = dated.join(F.broadcast(days), "date", "left_semi").select("archive")
             rows = I.snodas_pixels(archives.join(F.broadcast(chosen), F.col("path") == F.col("archive"), "left_semi"), dataset.grid)
-            return I.observations_of(rows, dataset.grid, next(iter(dataset.variables.values())).nodata)
+            return I.observations_of(rows, dataset.grid, {k: v.nodata for k, v in dataset.variables.items()})
 
         return Plan(_incoming(hashes, dataset), pixels)
 
@@ -141,9 +142,10 @@ def run_ingest(spark: SparkSession, source: str, dataset: Dataset, ingester: Ing
             raise SourceError(f"dataset {dataset.name} has no ingester; there are {', '.join(sorted(INGESTERS))}")
         ingester = INGESTERS[dataset.ingester]
     plan = ingester.plan(spark, source, dataset)
-    decided = I.decisions(plan.incoming, I.manifest_of(spark, dataset.path), force)
+    base = Snapshot.current(spark, dataset.path)
+    decided = I.decisions(plan.incoming, base.manifest(), force)
     if dry_run:
         return decided.select("date", "action")
     todo = decided.where("action = 'write'").select("date")
     pixels = plan.pixels(todo).withColumn("value", F.col("value").cast("double"))
-    return I.commit(pixels, decided, sorted(dataset.variables), dataset.path, complete=True, types={k: v.dtype for k, v in dataset.variables.items()})
+    return I.commit(pixels, decided, sorted(dataset.variables), dataset.path, complete=True, types={k: v.dtype for k, v in dataset.variables.items()}, base=base)

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from firnline.sources.ingest import commit, manifest_of, provenance_tag
+from firnline.sources.ingest import commit, provenance_tag
+from firnline.sources.snapshots import Snapshot
 
 
 #: The column that arrived() adds.
@@ -53,7 +54,8 @@ def start_ingest(observations: DataFrame, variables: Sequence[str], path: str, c
     def take(batch: DataFrame, _: int) -> None:
         held = batch.where(F.col("variable").isin(*variables)).persist()  # the digest and the commit read it
         try:
-            commit(held, batch_plan(held, manifest_of(batch.sparkSession, path), order), variables, path, merge=True, order=order)
+            base = Snapshot.current(batch.sparkSession, path)
+            commit(held, batch_plan(held, base.manifest(), order), variables, path, merge=True, order=order, base=base)
         finally:
             held.unpersist()
 

@@ -19,6 +19,7 @@ from firnline.operators import terrain as T
 from firnline.sources import ingest as I
 from firnline.sources.catalog import TEMPLATES, Catalogue
 from firnline.sources.ingesters import run_ingest
+from firnline.sources.snapshots import Snapshot
 from firnline.sources.tables import Table
 from firnline.streaming.ingest import start_ingest
 
@@ -28,7 +29,7 @@ GRID = Grid(-120.0, 45.0, 0.01, 8, 6, 4)
 
 
 def values(spark, path):
-    rows = spark.read.parquet(f"{path}/observations").collect()
+    rows = Snapshot.current(spark, path).observations().collect()
     return {(r.date.day, v, r.pixel_id): r[v] for r in rows for v in ("swe", "depth") if r[v] is not None}
 
 

@@ -18,6 +18,7 @@ from firnline.plans.zonal import Variable
 from firnline.sources import ingest as I
 from firnline.sources.basins import BasinStore
 from firnline.sources.catalog import TEMPLATES, Catalogue
+from firnline.sources.snapshots import Snapshot
 from firnline.streaming.ingest import arrived, start_ingest
 
 DAY = dt.date(2020, 1, 1)
@@ -52,7 +53,7 @@ def test_the_last_value_of_a_batch_counts(spark, tmp_path):
     def take():
         stream = arrived(spark.readStream.schema(LONG).parquet(src))
         start_ingest(stream, ["swe"], out, str(tmp_path / "check"), order="arrived").awaitTermination()
-        return {r.pixel_id: r.swe for r in spark.read.parquet(f"{out}/observations").collect()}
+        return {r.pixel_id: r.swe for r in Snapshot.current(spark, out).observations().collect()}
 
     file(("swe", 0, 9), ("swe", 0, 3), ("swe", 1, 1), ("swe", 1, 2))
     assert take() == {0: 3.0, 1: 2.0}  # within a file

@@ -247,6 +247,7 @@ def test_ingest_converges_and_the_catalogue_answers(spark, tmp_path):
 
 
 def test_stream_ingest_is_idempotent(spark, tmp_path):
+    from firnline.sources.snapshots import Snapshot
     from firnline.streaming.ingest import start_ingest
 
     rows = [(dt.date(2020, 1, d), "swe", 0, p, p + d) for d in (1, 2) for p in range(5)]
@@ -255,8 +256,8 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     for k in range(2):
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         start_ingest(stream, ["swe"], str(tmp_path / "out"), str(tmp_path / f"check{k}")).awaitTermination()
-        assert spark.read.parquet(str(tmp_path / "out/observations")).count() == 10
-        assert spark.read.parquet(str(tmp_path / "out/manifest")).count() == 2
+        snapshot = Snapshot.current(spark, str(tmp_path / "out"))
+        assert snapshot.observations().count() == 10 and snapshot.manifest().count() == 2
 
 
 def test_mosaic_leaves_gaps_absent(spark):
