@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     stats.add_argument("--out", help="a folder that executors write CSV files to, in place of printing")
     stats.add_argument("--allow-partial", action="store_true")
     stats.add_argument("--include-empty-zones", action="store_true")
-    for name, words in {"list": (), "info": ("name",), "dates": ("name",), "values": ("name",), "create": ("template", "name"), "stage": ("template", "name"), "register": ("file",), "activate": ("name",), "deactivate": ("name",), "remove-date": ("name", "date")}.items():
+    for name, words in {"list": (), "info": ("name",), "dates": ("name",), "values": ("name",), "create": ("template", "name"), "stage": ("template", "name"), "register": ("file",), "activate": ("name",), "deactivate": ("name",), "pack": ("name",), "remove-date": ("name", "date")}.items():
         sub = commands.add_parser(f"dataset-{name}")
         for word in words:
             sub.add_argument(word)
@@ -111,6 +111,7 @@ def run(spark, args: argparse.Namespace) -> int:
             "dataset-register": lambda: catalogue.register(catalogue.resolve(args.file), args.replace).name,
             "dataset-activate": lambda: catalogue.set_active(name, True),
             "dataset-deactivate": lambda: catalogue.set_active(name, False),
+            "dataset-pack": lambda: catalogue.pack(name),
             "dataset-remove-date": lambda: remove_date(spark, catalogue.registered(name).path, args.date),
             "pourpoint-import": lambda: rows(store.import_(store.sources(args.source), active, args.dry_run)),
             "pourpoint-sync": lambda: rows(store.sync(store.sources(args.source), active, args.dump_to, args.dry_run)),

@@ -79,6 +79,11 @@ class Grid:
     def tile_id(self, row: Column, col: Column) -> Column:
         return (F.floor(row / self.tile) * self.tile_cols + F.floor(col / self.tile)).cast("int")
 
+    def position(self, pixel_id: Column) -> Column:
+        """A pixel's place in its tile, row by row."""
+        row, col = self.row_of(pixel_id), self.col_of(pixel_id)
+        return (F.pmod(row, F.lit(self.tile)) * self.tile + F.pmod(col, F.lit(self.tile))).cast("int")
+
     def centre(self, row: Column, col: Column) -> tuple[Column, Column]:
         """x and y of a pixel's centre."""
         return F.lit(self.origin_x) + (col + 0.5) * self.pixel, F.lit(self.origin_y) - (row + 0.5) * self.pixel

@@ -135,14 +135,18 @@ def reductions(observations: DataFrame, geometry: DataFrame, variables: Sequence
     sides know their tiles these are part of the join's key.
     """
     at = [c for c in ("tile_id", "pixel_id") if c == "pixel_id" or c in observations.columns and c in geometry.columns]
+    columns = dict.fromkeys(v.column or v.key for v in variables)
+    return reduced(observations.select("date", *at, *columns).join(geometry.select("basin", *at, "area_m2", "cell"), at), variables)
+
+
+def reduced(pixels: DataFrame, variables: Sequence[Variable]) -> DataFrame:
+    """basin, date, cell and each variable's unscaled statistic of pixels with basin, date, cell, area_m2 and values."""
     terms = []
     for v in variables:
         has_data = v.source.isNotNull() & (v.source != F.lit(v.nodata))
         terms.append(F.sum(F.when(has_data, weighted(v.source, F.col("area_m2")))).alias(f"w_{v.key}"))
         terms.append(F.sum(F.when(has_data, F.col("area_m2").cast("double"))).alias(f"a_{v.key}"))
-    columns = dict.fromkeys(v.column or v.key for v in variables)
-    joined = observations.select("date", *at, *columns).join(geometry.select("basin", *at, "area_m2", "cell"), at)
-    sums = joined.groupBy("basin", "date", "cell").agg(*terms)
+    sums = pixels.groupBy("basin", "date", "cell").agg(*terms)
     return sums.select("basin", "date", "cell", *[REDUCERS[v.reducer](F.col(f"w_{v.key}"), F.col(f"a_{v.key}")).alias(v.stat) for v in variables])
 
 
@@ -169,6 +173,7 @@ def zonal_stats(
     available: DataFrame | None = None,
     include_empty: bool = False,
     max_cells: int = MAX_CELLS,
+    reduction: Callable[[DataFrame, DataFrame, Sequence[Variable]], DataFrame] = reductions,
 ) -> ZonalResult:
     """Statistics of each variable for every basin of aoi, selected date and crossed zone.
 
@@ -176,6 +181,7 @@ def zonal_stats(
     available date that the query selects has a row for each cell, with null where a cell has no data on it. Cells
     without ground are left out unless include_empty; the one cell of a query without axes never is.
     available: one row per ingested date, else the dates of the observations.
+    reduction: what gives each cell's statistics from observations, geometry and variables; tile arrays have their own.
     """
     if not variables:
         raise QueryError("ask for at least one variable")
@@ -192,10 +198,10 @@ def zonal_stats(
     else:  # only cells that have ground
         spine_cells = areas.where("area_m2 > 0").join(cells, "cell").select("basin", *cells.columns, "area_m2")
     days = (available if available is not None else observations).where(dates.predicate(F.col("date"))).select("date").distinct()
-    reduced = reductions(observed, geometry, chosen)
+    values = reduction(observed, geometry, chosen)
     spine = spine_cells.crossJoin(days)
     labels = [c for k in range(len(axes)) for c in (f"o{k}", f"z{k}")]
-    rows = spine.join(reduced, ["basin", "date", "cell"], "left").select("basin", "date", "cell", *labels, "area_m2", *[(F.col(v.stat) / F.lit(float(v.scale))).alias(v.stat) for v in chosen])
+    rows = spine.join(values, ["basin", "date", "cell"], "left").select("basin", "date", "cell", *labels, "area_m2", *[(F.col(v.stat) / F.lit(float(v.scale))).alias(v.stat) for v in chosen])
     return ZonalResult(rows, spine_cells, list(axes), chosen, include_empty, [axis.layer.key for axis in axes])
 
 

@@ -10,6 +10,7 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from firnline.operators import footprint as P
 from firnline.operators import generate as L
 from firnline.operators import terrain as T
 from firnline.plans import output as O
+from firnline.plans import tiles as A
 from firnline.plans import zonal as Z
 from firnline.sources import ingest as I
 from firnline.sources.snapshots import Snapshot
@@ -158,6 +160,33 @@ _add("p6_unit_scale", _zonal(SPRING, [DISC]), _zonal_sql("spring", _DISC, []))
 _add("p10_valid_domain_mask", _zonal(APRIL_1, [QTY], _F, mask=True), _zonal_sql("april", _MEAN, [_FOREST], extra="pixel_id % 7 <> 0"))
 _add("p11_nonempty_cells", _zonal(APRIL_1, [QTY], _E, _A), _zonal_sql("april", _MEAN, [_ELEV, _ASPECT]))
 _add("j3_dense_spine", _zonal(APRIL_1, [QTY], _E, _A, include_empty=True), _zonal_sql("april", _MEAN, [_ELEV, _ASPECT], include_empty=True))
+
+
+def _month_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest quantity and discount of a part in a month, one row for each; tiles are of 1,024 parts."""
+    rows = observations(spark, sf_dir).groupBy(F.trunc("date", "month").cast("date").alias("date"), "pixel_id").agg(F.max("qty").alias("qty"), F.max("disc").alias("disc"))
+    return rows.withColumn("tile_id", F.floor(F.col("pixel_id") / 1024).cast("int"))
+
+
+_MONTHS_SQL = "obs AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, l_partkey AS pixel_id, max(l_quantity) AS qty, max(l_discount * 100) AS disc FROM lineitem GROUP BY ALL)"
+
+
+def _of_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A zonal query of tile arrays: what is joined is a row for a tile and month."""
+    at = F.pmod("pixel_id", F.lit(1024))
+    tiles = A.pack(_month_values(spark, sf_dir), at, ["disc", "qty"])
+    aoi = pixels(spark, sf_dir).select("basin", "pixel_id", "area_m2", F.floor(F.col("pixel_id") / 1024).cast("int").alias("tile_id"))
+    zones = pixels(spark, sf_dir).drop("basin", "area_m2", "row", "col")
+    months = _month_values(spark, sf_dir).select("date").distinct()
+    return Z.zonal_stats(tiles, aoi, zones, SPRING, [DISC, QTY], _axes(_F), available=months, reduction=partial(A.tile_reductions, position=at)).rows.drop("z0")
+
+
+_add("a6_tile_arrays", _of_tiles, _zonal_sql("spring", f"{_DISC}, {_MEAN}", [_FOREST], "basin").replace(OBS_SQL, _MONTHS_SQL))
+_add(
+    "j1_tile_round_trip",
+    lambda s, d: A.unpack(A.pack(_month_values(s, d), F.pmod("pixel_id", F.lit(1024)), ["disc", "qty"]), ["disc", "qty"]),
+    f"WITH {_MONTHS_SQL} SELECT date, CAST(pixel_id // 1024 AS INT) AS tile_id, CAST(pixel_id % 1024 AS INT) AS position, disc, qty FROM obs",
+)
 _add("z2_banded_step_override", _zonal(APRIL_1, [QTY], _E + ":band_step_ft=500"), _zonal_sql("april", _MEAN, [("o_elev", 31)], step=500))
 _add("z6_threshold_override", _zonal(APRIL_1, [QTY], _F + ":threshold_pct=40"), _zonal_sql("april", _MEAN, [_FOREST], percent=40))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
+from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,8 @@ from firnline.functions.names import is_path
 from firnline.functions.zones import STANDARD_LAYERS, Layer, parse_selection, resolve_axis
 from firnline.operators.basins import BEND, Box, coverage, grid_edges, require_coverage
 from firnline.operators.footprint import band_height, covered, outline, polygon_edges
-from firnline.plans.zonal import MAX_CELLS, Variable, ZonalResult, choose_variables, require_burned, require_cell_count, require_complete, zonal_stats
+from firnline.plans.tiles import tile_reductions
+from firnline.plans.zonal import MAX_CELLS, Variable, ZonalResult, choose_variables, reductions, require_burned, require_cell_count, require_complete, zonal_stats
 from firnline.sources.snapshots import Snapshot
 from firnline.sources.tables import Table, stored
 
@@ -209,6 +211,11 @@ class Catalogue:
             made.append(view)
         return made
 
+    def pack(self, name: str, dates: DateQuery | None = None) -> None:
+        """Keep a dataset's dates as tile arrays too: zonal queries of packed dates read those."""
+        dataset = self.registered(name)
+        dataset.snapshot(self.spark).pack(dataset.grid.position(F.col("pixel_id")), dates)
+
     def zonal_stats(self, name: str, basin: str, dates: DateQuery, variables: Sequence[str], zones: Sequence[str] = (), index: DataFrame | None = None, allow_partial: bool = False, include_empty: bool = False, max_cells: int = MAX_CELLS) -> ZonalResult:
         """The query of one basin. Errors come in this order: dataset, coverage, zones, variables, pixels, dates, cells."""
         dataset = self[name]
@@ -225,7 +232,9 @@ class Catalogue:
         require_complete(listing, [v.key for v in chosen], dates)
         axes = [resolve_axis(s, dataset.zones, layers) for s in selections]
         require_cell_count(axes, max_cells)
-        observations = snapshot.observations(dates)
+        packed = snapshot.packed(dates)
+        observations = snapshot.observations(dates) if packed is None else packed
+        reduction = reductions if packed is None else partial(tile_reductions, position=dataset.grid.position(F.col("pixel_id")))
         tiles = aoi.select("tile_id").distinct()  # no more than the grid has tiles
         listed = sorted(r[0] for r in tiles.limit(1001).collect())
         if len(listed) <= 1000:  # few enough for a list that the scan can prune row groups by
@@ -234,7 +243,7 @@ class Catalogue:
             observations = observations.join(F.broadcast(tiles), "tile_id", "left_semi")
         zone_pixels = dataset.table(self.spark, "zone_pixels") if axes else None
         available = listing.where(F.col("variable").isin(*[v.key for v in chosen])).select("date").distinct()
-        return zonal_stats(observations, aoi, zone_pixels, dates, chosen, axes, available=available, include_empty=include_empty, max_cells=max_cells)
+        return zonal_stats(observations, aoi, zone_pixels, dates, chosen, axes, available=available, include_empty=include_empty, max_cells=max_cells, reduction=reduction)
 
 
 def dataset_of(values: Mapping[str, Any]) -> Dataset:

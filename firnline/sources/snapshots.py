@@ -22,12 +22,13 @@ from dataclasses import dataclass
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import ArrayType, DateType, IntegerType, StructField, StructType
 
 from firnline.errors import ConflictError, SourceError
 from firnline.functions.dates import DateQuery
+from firnline.plans.tiles import pack
 from firnline.sources.tables import KEPT, _path, delete, exists
 
 MANIFEST = "source_hash string, variable string, format_version int, out_name string, date date"
@@ -113,6 +114,38 @@ class Snapshot:
         parts = [r for r in (self._read(schema, f"{self.path}/observations", of(False)), self._read(schema, f"{self.path}/commits", of(True))) if r is not None]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
 
+    def pack(self, position: Column, dates: DateQuery | None = None) -> None:
+        """Write the dates that have none yet as tile arrays as well. Commits are not changed once written, so neither are these.
+
+        Spark moves each date in as a whole: what a job that died has not moved is written by the next.
+        """
+        there = self._packed_places()
+        todo = [(d, f) for d, f in self._places(dates) if f and (d, f) not in there]
+        if not todo:
+            return
+        names = [f.name for f in self.pixel_schema() if f.name not in ("tile_id", "pixel_id")]
+        folders = F.broadcast(self.spark.createDataFrame([(d, f.partition("=")[2]) for d, f in todo], "date date, commit string"))
+        tiles = pack(self.observations([d for d, _ in todo]), position, names).join(folders, "date")
+        out = tiles.repartition("commit", "date", "tile_id").sortWithinPartitions("commit", "date", "tile_id").write
+        out.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").mode("overwrite").partitionBy("commit", "date").parquet(f"{self.path}/packed")
+
+    def packed(self, dates: DateQuery | None = None) -> DataFrame | None:
+        """Tile arrays of the chosen dates; None if one of them has none."""
+        days = self._places(dates)
+        if not days or not set(days) <= self._packed_places():
+            return None
+        arrays = [StructField(f.name, ArrayType(f.dataType)) for f in self.pixel_schema() if f.name not in ("tile_id", "pixel_id")]
+        schema = StructType([StructField("tile_id", IntegerType()), *arrays, StructField("date", DateType())])
+        return self._read(schema, f"{self.path}/packed", [f"{f}/date={d}" for d, f in days])
+
+    def _places(self, dates: DateQuery | None) -> list[tuple[dt.date, str]]:
+        rows = self.rows() if dates is None else self.rows().where(dates.predicate(F.col("date")))
+        return sorted((r.date, r.folder or "") for r in rows.select("date", "folder").distinct().collect())
+
+    def _packed_places(self) -> set[tuple[dt.date, str]]:
+        place, system = _path(self.spark, f"{self.path}/packed/commit=*/date=*")
+        return {(dt.date.fromisoformat(s.getPath().getName()[5:]), s.getPath().getParent().getName()) for s in system.globStatus(place) or []}
+
     def _read(self, schema: StructType, base: str, folders: list[str]) -> DataFrame | None:
         if not folders:
             return None
@@ -196,6 +229,8 @@ def vacuum(spark: SparkSession, path: str, kept: int = KEPT, orphans_after: dt.t
         dropped = places(snapshot) if n > 1 else places(snapshot).union(places(Snapshot.at(spark, path, 0)))
         for r in dropped.distinct().join(named, ["date", "folder"], "left_anti").collect():  # the days that one commit replaced
             delete(spark, f"{path}/commits/{r.folder}/date={r.date}" if r.folder else f"{path}/observations/date={r.date}")
+            if r.folder:
+                delete(spark, f"{path}/packed/{r.folder}/date={r.date}")
         delete(spark, f"{path}/commits/{snapshot.folder}")
         delete(spark, f"{_log(path)}/{n:012d}")  # last, so that a vacuum that dies is done again
     if orphans_after is not None:
