@@ -8,8 +8,10 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from firnline.plans.zonal import ZonalResult, cell_zones
 
@@ -23,11 +25,17 @@ def csv_columns(result: ZonalResult) -> DataFrame:
     header = list(per_cell[0])
     texts = F.broadcast(spark.createDataFrame([(i, *[x[h] for h in header]) for i, x in enumerate(per_cell)], "cell int" + "".join(f", t{k} string" for k in range(len(header)))))
     names += [*header, "area_m2", *[v.stat for v in result.variables]]
-    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    number = lambda c: F.when(F.col(c).isNull(), F.lit("")).otherwise(_number_text(F.col(c).cast("double")))
     rows = result.rows.join(texts, "cell").orderBy("basin", "date", "cell")
     return rows.select(F.col("date").cast("string").alias("date"), *[F.col(f"t{k}").alias(h) for k, h in enumerate(header)], number("area_m2").alias("area_m2"), *[number(v.stat).alias(v.stat) for v in result.variables])
 
 
+@F.pandas_udf(StringType())
+def _number_text(numbers: pd.Series) -> pd.Series:
+    """The fewest digits that tell a number, without an exponent from 0.0001 to below 1e16; a cast to text has one from 1e7."""
+    return pd.Series([repr(x) for x in numbers.tolist()], dtype=object)
+
+
 def iter_csv(result: ZonalResult) -> Iterator[str]:
     """CSV lines, the header first; rows come from the executors one partition at a time."""
     frame = csv_columns(result)

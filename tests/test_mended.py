@@ -14,7 +14,8 @@ from firnline.errors import NoBasin, QueryError, UnknownBasin, UnknownProblem
 from firnline.functions.grid import Grid
 from firnline.operators import basins as B
 from firnline.operators import diagnostics as D
-from firnline.plans.zonal import Variable
+from firnline.plans.output import csv_columns
+from firnline.plans.zonal import Variable, ZonalResult
 from firnline.sources import ingest as I
 from firnline.sources.basins import BasinStore
 from firnline.sources.catalog import TEMPLATES, Catalogue
@@ -118,3 +119,15 @@ def test_problems_by_key_and_guards(spark, service):
         B.require_basin(parsed, "1:MT:USGS")
     with pytest.raises(UnknownBasin):
         B.require_basin(parsed, "2:MT:USGS")
+
+
+def test_csv_rows_of_large_areas(spark, tmp_path):
+    """Numbers of 1e7 and more have no exponent in CSV, and of those below only small ones do: as the SQL and Python write them."""
+    texts = ["10000000.0", "17424625.0", "9999999.0", "1234567890123456.0", "1e+16", "0.0001", "5e-05", "0.3333333333333333", "2e-44", "-12345678.25", ""]
+    numbers = spark.createDataFrame([("b", dt.date(2020, 1, k + 1), 0, float(t) if t else None, 1.0) for k, t in enumerate(texts)], "basin string, date date, cell int, area_m2 double, mean_swe_mm double")
+    result = ZonalResult(numbers, numbers.select("basin", "cell", "area_m2"), [], [Variable("swe", "mm")])
+    assert [r.area_m2 for r in csv_columns(result).collect()] == texts
+    spark.range(300_000).selectExpr("id AS p_partkey", "'Brand#1' AS p_brand", "45 AS p_size", "900D AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(1, dt.date(1996, 4, 1), 1, 1, 7.0, 0.07, 0.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_shipdate date, l_partkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [(r.area_m2, r.mean_qty_ea) for r in Q.QUERIES["s24_csv_rows"](spark, str(tmp_path)).collect()] == [(str(45.0 * (300_000 - len(range(0, 300_000, 89)))), "7.0")]
