@@ -418,18 +418,18 @@ _add(
 )
 
 
-def _grids(spark: SparkSession, sf_dir: str) -> tuple[G.Grid, G.Grid]:
-    """A source grid that holds every part's pixel, and a target grid of 4 x 4 source pixels."""
+def _grids(spark: SparkSession, sf_dir: str, least: int) -> tuple[G.Grid, G.Grid]:
+    """A source grid of so many rows at least that holds every part's pixel, and a target grid of 4 x 4 source pixels."""
     last = _read(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] or 0
-    rows = last // 50 + 1
+    rows = max(least, last // 50 + 1)
     return G.Grid(0.0, 0.0, 1.0, 50, rows, 10, "local", 10.0), G.Grid(0.0, 0.0, 4.0, 13, -(-rows // 4), 4, "local")
 
 
-def _layers(kind: str, fine: Callable[[SparkSession, str], DataFrame]):
+def _layers(kind: str, fine: Callable[[SparkSession, str], DataFrame], least: int = 1):
     """One kind of zone layers on every pixel of the target grid, as generation makes them."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        source, target = _grids(spark, sf_dir)
+        source, target = _grids(spark, sf_dir, least)
         cells = L.ENGINES[kind](L.cells_of(L.source_pixels(kind, fine(spark, sf_dir), source), source, target))
         layers = [F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, (t, _) in L.LAYERS[kind].items()]
         return L.layers_on(target, {kind: cells}).select("pixel_id", "tile_id", *layers)
@@ -437,7 +437,8 @@ def _layers(kind: str, fine: Callable[[SparkSession, str], DataFrame]):
     return query
 
 
-_FRAME = "frame AS (SELECT range AS pixel_id, CAST((range // 13 // 4) * 4 + range % 13 // 4 AS INT) AS tile_id FROM range((SELECT CAST(13 * (max(p_partkey) // 50 // 4 + 1) AS BIGINT) FROM part)))"
+_CELLS_OF_PARTS = "CAST(13 * (max(p_partkey) // 50 // 4 + 1) AS BIGINT)"
+_frame = lambda size: f"frame AS (SELECT range AS pixel_id, CAST((range // 13 // 4) * 4 + range % 13 // 4 AS INT) AS tile_id FROM range((SELECT {size} FROM part)))"
 _CLASSED = """, cl AS (SELECT (s."row" // 4) * 13 + s.col // 4 AS cell, z, aspect, CASE WHEN slope IS NULL THEN -1 WHEN slope < 2 THEN 4 WHEN aspect >= 315 OR aspect < 45 THEN 0 WHEN aspect < 135 THEN 1 WHEN aspect < 225 THEN 2 ELSE 3 END AS cls FROM s JOIN f ON s."row" = f.r AND s.col = f.c),
 counted AS (SELECT cell, count(*) FILTER (cls = 0) AS n0, count(*) FILTER (cls = 1) AS n1, count(*) FILTER (cls = 2) AS n2, count(*) FILTER (cls = 3) AS n3, count(*) FILTER (cls = 4) AS n4, count(*) FILTER (cls >= 0) AS total,
     sum(z) FILTER (cls >= 0) AS sum_z, sum(cos(radians(aspect))) FILTER (cls BETWEEN 0 AND 3) AS sum_cos, sum(sin(radians(aspect))) FILTER (cls BETWEEN 0 AND 3) AS sum_sin FROM cl GROUP BY cell HAVING count(*) FILTER (cls >= 0) > 0),
@@ -445,15 +446,15 @@ shares AS (SELECT cell, sum(CASE WHEN n > 0 THEN -(n / total) * ln(n / total) EL
 _add(
     "m5_terrain_layers",
     _layers("terrain", lambda s, d: _surface(s, d)),
-    _HORN + _CLASSED + _FRAME + """ SELECT pixel_id, tile_id, round(coalesce(sum_z / total, -9999), 6) AS elevation, CAST(CASE WHEN total IS NULL THEN 255 ELSE list_position([n0, n1, n2, n3, n4], list_max([n0, n1, n2, n3, n4])) - 1 END AS INT) AS aspect,
+    _HORN + _CLASSED + _frame(_CELLS_OF_PARTS) + """ SELECT pixel_id, tile_id, round(coalesce(sum_z / total, -9999), 6) AS elevation, CAST(CASE WHEN total IS NULL THEN 255 ELSE list_position([n0, n1, n2, n3, n4], list_max([n0, n1, n2, n3, n4])) - 1 END AS INT) AS aspect,
     round(CASE WHEN total - n4 > 0 THEN sum_cos / (total - n4) ELSE -9999 END, 6) AS northness, round(CASE WHEN total - n4 > 0 THEN sum_sin / (total - n4) ELSE -9999 END, 6) AS eastness, round(coalesce(entropy, -1), 6) AS aspect_entropy
     FROM frame LEFT JOIN counted ON pixel_id = counted.cell LEFT JOIN shares ON pixel_id = shares.cell""",
 )
 _add(
     "m6_forest_layers",
-    _layers("landcover", lambda s, d: pixels(s, d).select("row", "col", F.when(F.col("forest_cover") % 7 == 0, 0).otherwise(F.lit(38) + F.col("forest_cover") % 7).alias("nlcd"))),
+    _layers("landcover", lambda s, d: pixels(s, d).select("row", "col", F.when(F.col("forest_cover") % 7 == 0, 0).otherwise(F.lit(38) + F.col("forest_cover") % 7).alias("nlcd")), 40_000),
     f"""WITH {PIXELS_SQL}, c AS (SELECT ("row" // 4) * 13 + col // 4 AS cell, CASE WHEN forest_cover % 7 = 0 THEN 0 ELSE 38 + forest_cover % 7 END AS nlcd FROM pixels),
-    n AS (SELECT cell, count(*) FILTER (nlcd IN (41, 42, 43)) AS forest, count(*) FILTER (nlcd <> 0) AS valid FROM c GROUP BY cell), {_FRAME}
+    n AS (SELECT cell, count(*) FILTER (nlcd IN (41, 42, 43)) AS forest, count(*) FILTER (nlcd <> 0) AS valid FROM c GROUP BY cell), {_frame(f"greatest(130000, {_CELLS_OF_PARTS})")}
     SELECT pixel_id, tile_id, CAST(CASE WHEN valid > 0 THEN round_even(100e0 * forest / valid, 0) ELSE 255 END AS INT) AS forest_cover FROM frame LEFT JOIN n ON pixel_id = cell""",
 )
 

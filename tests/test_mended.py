@@ -4,6 +4,7 @@ import datetime as dt
 import json
 from dataclasses import asdict, replace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,16 @@ def test_layers_of_parts_with_large_keys(spark, tmp_path):
     assert Q.QUERIES["m5_terrain_layers"](spark, str(tmp_path)).agg(F.max("pixel_id")).first()[0] >= cell(2_500_051)
 
 
+def test_forest_layers_cover_the_whole_grid(spark, tmp_path):
+    """Pixels beyond the last part are told as nodata: the grid has 10,000 rows of 13 at least, and more where parts ask for them."""
+    for k, last, rows in ((0, 2000, 130_000), (1, 2_500_049, 13 * (2_500_049 // 50 // 4 + 1))):
+        spark.createDataFrame([(1, "b", 4, 900.0), (last, "b", 7, 900.0)], "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/{k}/part.parquet")
+        got = {r.pixel_id: (r.tile_id, r.forest_cover) for r in Q.QUERIES["m6_forest_layers"](spark, f"{tmp_path}/{k}").collect()}
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/{k}/part.parquet/*.parquet'")
+        assert len(got) == rows and got == {p: (t, f) for p, t, f in con.sql(Q.ORACLES["m6_forest_layers"]).fetchall()}
+
+
 def test_nodata_share_is_that_of_the_raster(spark):
     """One of four pixels has a value, and only that one has a row."""
     rows = spark.createDataFrame([(DAY, 0, 5.0)], "date date, pixel_id long, swe double")
