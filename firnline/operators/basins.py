@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import struct
 from collections.abc import Mapping, Sequence
 
@@ -75,14 +76,24 @@ def placed_edges(basins: DataFrame, crs: str, bound: float | None, key: str = "t
     lie from the chord tells how many, and a second round cuts what the first took for too straight. No bound: only the
     corners are projected.
     """
-    out = edges(basins, key)
     if crs in GEOGRAPHIC:
-        return out
+        return edges(basins, key)
+    (x1, y1), (x2, y2) = (reprojected(F.col(f"x{k}"), F.col(f"y{k}"), GEOGRAPHIC[0], crs) for k in (1, 2))
+    return _pieces(basins, crs, bound, key).select(key, x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).where("not (x1 = x2 and y1 = y2)")
+
+
+def _pieces(basins: DataFrame, crs: str, bound: float | None, key: str) -> DataFrame:
+    """key, x1, y1, x2, y2: the edges of rings, still in longitude and latitude, cut so that pieces are within the bound.
+
+    A basin's record is short and its work is long, so its edges are dealt out first: a file of many basins is one task
+    otherwise. How many tasks it takes is left to adaptive execution.
+    """
+    out = edges(basins, key)
+    out = out.repartition(*out.columns)
     if bound is not None:
         for _ in range(2):
             out = _bent(out, crs, bound, key)
-    (x1, y1), (x2, y2) = (reprojected(F.col(f"x{k}"), F.col(f"y{k}"), GEOGRAPHIC[0], crs) for k in (1, 2))
-    return out.select(key, x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).where("not (x1 = x2 and y1 = y2)")
+    return out
 
 
 def _bent(lonlat: DataFrame, crs: str, bound: float, key: str) -> DataFrame:
@@ -99,7 +110,8 @@ def _bent(lonlat: DataFrame, crs: str, bound: float, key: str) -> DataFrame:
 
     most = F.greatest(off("q", 0.25) * (4 / 3), off("m", 0.5), off("r", 0.75) * (4 / 3))  # of an even bend, the middle's
     pieces = F.greatest(F.ceil(F.sqrt(most / bound)), F.lit(1)).cast("int")
-    each = seen.withColumn("_n", pieces).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    # outer: there is always a piece, and no filter on the array makes all places be worked out twice
+    each = seen.withColumn("_n", pieces).select(key, "x1", "y1", "x2", "y2", "_n", F.explode_outer(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
     end = lambda c, i: F.when(i == F.col("_n"), F.col(f"{c}2")).otherwise(F.col(f"{c}1") + i / F.col("_n") * (F.col(f"{c}2") - F.col(f"{c}1")))
     i = F.col("_i")
     return each.select(key, end("x", i).alias("x1"), end("y", i).alias("y1"), end("x", i + 1).alias("x2"), end("y", i + 1).alias("y2"))
@@ -120,6 +132,52 @@ def grid_edges(basins: DataFrame, grid: Grid, key: str = "triplet", bend: float
 
 #: How far a projected edge may be from the bent line that it stands for, in pixels.
 BEND = 1 / 16
+#: The same away from the centres of pixels, where no finer place of an edge changes which pixels it parts.
+COARSE = 1 / 1000
+
+
+def _rows_of(placed: DataFrame, grid: Grid, margin: float = 0.0) -> DataFrame:
+    """The edges with each grid row whose centre line they span, or come near to."""
+    first = F.greatest(F.lit(0), F.ceil((F.lit(grid.origin_y - margin) - F.greatest("y1", "y2")) / grid.pixel - 0.5)).cast("int")
+    last = F.least(F.lit(grid.rows - 1), F.floor((F.lit(grid.origin_y + margin) - F.least("y1", "y2")) / grid.pixel - 0.5)).cast("int")
+    spans = placed.withColumns({"_f": first, "_l": last})
+    return spans.select(*placed.columns, F.explode_outer(F.when(F.col("_f") <= F.col("_l"), F.sequence("_f", "_l"))).alias("row")).where("row is not null")
+
+
+def _crossings(spanned: DataFrame, grid: Grid, key: str) -> DataFrame:
+    """key, row, x: where edges cross their rows' centre lines."""
+    y = F.lit(grid.origin_y) - (F.col("row") + 0.5) * grid.pixel
+    return spanned.where((F.col("y1") > y) != (F.col("y2") > y)).select(key, "row", ((F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")).alias("x"))
+
+
+def _near_crossings(basins: DataFrame, grid: Grid, key: str, bend: float) -> DataFrame:
+    """key, row, x: where bent edges cross rows' centre lines, to within `bend` pixels wherever that tells pixels apart.
+
+    A chord and the bent line over it have the same ends, so they part the same pixels unless a pixel's centre lies
+    between them. Edges are placed coarsely; of a piece and a row, the piece is cut finely only if a centre of that row
+    is within twice the coarse bound of its chord. So few pieces are cut, however small the bend.
+    """
+    margin, size = 2 * COARSE * grid.pixel, grid.pixel
+    names = ("x1", "y1", "x2", "y2")
+    lonlat = _pieces(basins, grid.crs, COARSE * size, key)
+    ends = [c for k in (1, 2) for c in reprojected(F.col(f"x{k}"), F.col(f"y{k}"), GEOGRAPHIC[0], grid.crs)]
+    spanned = _rows_of(lonlat.select(key, *[F.col(c).alias(f"_{c}") for c in names], *[e.alias(c) for e, c in zip(ends, names, strict=True)]), grid, margin)
+
+    y, dy = F.lit(grid.origin_y) - (F.col("row") + 0.5) * size, F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+    share = lambda side, level: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y + side - F.col("y1")) / dy)), F.lit(level))
+    xs = [F.col("x1") + share(side, level) * (F.col("x2") - F.col("x1")) for side, level in ((-margin, 0.0), (margin, 1.0))]
+    west, east = ((x - grid.origin_x) / size - 0.5 for x in (F.least(*xs) - margin, F.greatest(*xs) + margin))
+    pieces = math.ceil(math.sqrt(2 * COARSE / bend))
+    numbers = F.when(F.ceil(west) <= F.floor(east), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(-1)))  # -1: the chord does
+    cut = spanned.select("*", F.explode_outer(numbers).alias("_i"))
+    i = F.col("_i")
+
+    def end(c: str, k: Column) -> Column:
+        a, b = F.col(f"_{c}1"), F.col(f"_{c}2")
+        return F.when(k == 0, a).when(k == pieces, b).otherwise(a + k / pieces * (b - a))
+
+    fine = [c for k in (i, i + 1) for c in reprojected(end("x", k), end("y", k), GEOGRAPHIC[0], grid.crs)]
+    return _crossings(cut.select(key, "row", *[F.when(i < 0, F.col(c)).otherwise(f).alias(c) for c, f in zip(names, fine, strict=True)]), grid, key)
 
 
 def burned(basins: DataFrame, grid: Grid, mask: DataFrame | None = None, key: str = "triplet", bend: float | None = BEND) -> DataFrame:
@@ -130,11 +188,8 @@ def burned(basins: DataFrame, grid: Grid, mask: DataFrame | None = None, key: st
     and no basin is set against the whole grid. mask: pixel_ids of valid ground. Rings are in longitude and latitude;
     on a projected grid their edges are placed to within `bend` pixels. A grid of no known projection has the rings' own.
     """
-    first = F.greatest(F.lit(0), F.ceil((F.lit(grid.origin_y) - F.greatest("y1", "y2")) / grid.pixel - 0.5)).cast("int")
-    last = F.least(F.lit(grid.rows - 1), F.floor((F.lit(grid.origin_y) - F.least("y1", "y2")) / grid.pixel - 0.5)).cast("int")
-    spanned = grid_edges(basins, grid, key, bend).withColumns({"_f": first, "_l": last}).where("_f <= _l").withColumn("row", F.explode(F.sequence("_f", "_l")))
-    y = F.lit(grid.origin_y) - (F.col("row") + 0.5) * grid.pixel
-    at = spanned.where((F.col("y1") > y) != (F.col("y2") > y)).select(key, "row", ((F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")).alias("x"))
+    finer = bend is not None and bend < COARSE and grid.has_projection and grid.crs not in GEOGRAPHIC
+    at = _near_crossings(basins, grid, key, bend) if finer else _crossings(_rows_of(grid_edges(basins, grid, key, bend), grid), grid, key)
     lines = at.groupBy(key, "row").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda i: F.struct(F.get("xs", i).alias("a"), F.get("xs", i + 1).alias("b")))
     runs = lines.where(F.size("xs") >= 2).select(key, "row", F.explode(pairs).alias("p"))

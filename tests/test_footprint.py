@@ -140,3 +140,55 @@ def test_bounds_of_a_projected_grid_in_degrees(spark):
     west, south, east, north = TEMPLATES["instarr"].grid.bounds_in_degrees(spark)
     assert north == pytest.approx(50) and south == pytest.approx(30) and west == pytest.approx(-100 / math.cos(math.radians(50)), rel=1e-6) and east == pytest.approx(-70 / math.cos(math.radians(30)), rel=1e-6)
     assert replace(TEMPLATES["snodas"].grid).bounds_in_degrees(spark) == TEMPLATES["snodas"].grid.extent
+
+
+def cast(ring, lon, lat):
+    """Ray casting in longitude and latitude."""
+    hit = np.zeros(lon.shape, bool)
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
+        if y1 != y2:
+            hit ^= ((y1 > lat) != (y2 > lat)) & (lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)
+    return hit
+
+
+@pytest.mark.parametrize("grid", [G.Grid(-2.25e6, 3.0e6, 10_000.0, 190, 160, 32, G.ALBERS_CRS), G.Grid(-10.6e6, 5.15e6, 10_000.0, 250, 140, 32, G.SINUSOIDAL_CRS)])
+def test_edges_close_by_centres_part_them_as_in_degrees(spark, grid):
+    """Sides pass centres at a few millionths of a pixel, far nearer than chords of a thousandth would keep apart."""
+    rng = random.Random(3)
+    row, col = np.divmod(np.arange(grid.rows * grid.cols), grid.cols)
+    x, y = grid.origin_x + (col + 0.5) * grid.pixel, grid.origin_y - (row + 0.5) * grid.pixel
+    lon, lat = G.reprojected(x, y, grid.crs, "EPSG:4326", G.ARRAYS)
+    named = []
+    for k in range(40):
+        p = rng.randrange(len(lon))
+        angle, at, size, off = rng.uniform(0, 2 * math.pi), rng.uniform(0.05, 0.95), rng.choice([0.5, 2.0, 8.0]), rng.choice([-3e-7, 3e-7])
+        dx, dy = math.cos(angle), math.sin(angle)
+        px, py = lon[p] - dy * off, lat[p] + dx * off
+        a, b = (px - at * size * dx, py - at * size * dy), (px + (1 - at) * size * dx, py + (1 - at) * size * dy)
+        named.append((str(k), [[a, b, (px - dy * size, py + dx * size), a]]))
+    named.append(("long", [[(-124, 40), (-108, 41), (-110, 47), (-124, 40)]]))
+    named.append(("hole", [SQUARE(-112, 36, 6)[0], SQUARE(-110, 38, 2)[0]]))
+    got = {name: set() for name, _ in named}
+    for r in B.burned(basin(spark, *named), grid, bend=1e-6).select("basin", "pixel_id").collect():
+        got[r.basin].add(r.pixel_id)
+    for name, rings in named:
+        assert got[name] == set(np.flatnonzero(np.logical_xor.reduce([cast(r, lon, lat) for r in rings])).tolist())
+    assert sum(map(len, got.values())) > 5_000
+
+
+def test_a_small_bend_costs_few_pieces(spark):
+    """Rows that burning makes on its way: edges are cut finely only where a centre is close by."""
+
+    def generated(node):
+        below = [node.children().apply(k) for k in range(node.children().size())]
+        return sum(map(generated, below)) + (node.metrics().apply("numOutputRows").value() if node.nodeName() == "Generate" else 0)
+
+    named = [(str(k), [[(x - 1.0, y - 0.8), (x + 1.2, y - 0.5), (x + 0.1, y + 0.9), (x - 1.0, y - 0.8)]]) for k in range(50) for x, y in [(-120 + k / 10, 40 + k / 20)]]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = B.burned(basin(spark, *named), G.Grid(-2.25e6, 3.0e6, 10_000.0, 100, 120, 32, G.ALBERS_CRS), bend=1e-6).select("basin", "pixel_id")
+        made = len(rows.collect())
+        assert generated(rows._jdf.queryExecution().executedPlan()) - made < 50 * 300
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
